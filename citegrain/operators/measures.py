@@ -31,39 +31,36 @@ def distinct_counts(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
     return df.select(*keys, *columns).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
 
-def severe_pairs(severe=SEVERE_LETTERS) -> Column:
-    """Sorted distinct `tag-severity` texts of severe citations; bounded by the code lists."""
-    pair = F.concat(F.col("deficiency_tag"), F.lit("-"), F.col("scope_severity"))
-    return F.array_sort(F.collect_set(F.when(is_severe(F.col("scope_severity"), severe), pair)))
+def facility_year_measures(citations: DataFrame, severe=SEVERE_LETTERS) -> DataFrame:
+    """All facility-year measures from one scan.
 
-
-def facility_year_measures(citations: DataFrame, severe=SEVERE_LETTERS, lists: bool = False) -> DataFrame:
-    """All facility-year measures in one aggregation over one scan.
-
-    Citations are first reduced to distinct (facility-year, tag, severity) and (facility-year, event)
-    rows in one pass; both kinds share a shuffle that is keyed by the values as well, so a facility
-    holding a third of the citations is spread over many tasks.  What is left per facility-year is
-    bounded by the tag and severity code lists plus one row per event.
+    Citations are first reduced to distinct events and distinct (tag, severity) pairs per
+    facility-year.  That shuffle is keyed by the values as well, so a facility holding a third of all
+    citations is spread over many tasks.  The second aggregation then counts event rows and keeps
+    sets that the tag and severity code lists bound.
     """
-    known = citations.dropna(subset=list(FACILITY_YEAR))
+    none = {c: F.lit(None).cast(citations.schema[c].dataType).alias(c) for c in
+            ("eventid", "deficiency_tag", "scope_severity")}
     kinds = F.array(
-        F.struct(
-            F.lit(True).alias("event_row"),
-            F.col("eventid").cast("string").alias("a"),
-            F.lit(None).cast("string").alias("b"),
-        ),
-        F.struct(
-            F.lit(False).alias("event_row"),
-            F.col("deficiency_tag").cast("string").alias("a"),
-            F.col("scope_severity").alias("b"),
-        ),
+        F.struct(F.lit(True).alias("is_event"), F.col("eventid"),
+                 none["deficiency_tag"], none["scope_severity"]),
+        F.struct(F.lit(False).alias("is_event"), none["eventid"],
+                 F.col("deficiency_tag"), F.col("scope_severity")),
     )
-    reduced = (
-        known.select(*FACILITY_YEAR, F.inline(kinds))
-        .groupBy(*FACILITY_YEAR, "event_row", "a", "b")
-        .agg(F.lit(1).alias("one"))
+    reduced = citations.select(*FACILITY_YEAR, F.inline(kinds)).distinct()
+    tag, letter = F.col("deficiency_tag"), F.col("scope_severity")
+    severe_letter = F.when(is_severe(letter, severe), letter)
+    pair = F.when(severe_letter.isNotNull(), F.concat_ws("-", tag, letter))
+    return reduced.groupBy(*FACILITY_YEAR).agg(
+        F.count_if("is_event").alias("fac_times_inspected"),
+        F.size(F.collect_set(F.when(~F.col("is_event"), F.struct(tag)))).cast("bigint").alias(
+            "no_of_tags_peryear"
+        ),
+        F.size(F.collect_set(severe_letter)).cast("bigint").alias("severe_tags_applied"),
+        F.array_sort(F.collect_set(tag)).alias("list_tags"),
+        F.array_sort(F.collect_set(letter)).alias("scope_list"),
+        F.array_sort(F.collect_set(F.when(tag.isNotNull(), pair))).alias("severe_pairs"),
     )
-    return reduced
 
 
 def state_year_facilities(citations: DataFrame) -> DataFrame:
@@ -138,16 +135,16 @@ def year_pivot(df: DataFrame, row: str, year: str, value: str, years: Sequence[i
 
 
 def margins(df: DataFrame, row: str, year: str, years: Sequence[int], total: str = "All") -> DataFrame:
-    """Row counts by label and year with totals per label, per year and overall.
-
-    Each label's counts come from one aggregation; the total row sums those few label rows.
-    """
+    """Row counts by label and year, with a total per label, per year and overall."""
     counts = [F.count_if(F.col(year) == y).alias(f"y{y}") for y in years]
-    names = [*year_columns(years), "total"]
-    per_label = df.where(F.col(row).isNotNull()).groupBy(F.col(row).cast("string").alias(row)).agg(
-        *counts, F.count(F.lit(1)).alias("total")
+    label = F.when(F.grouping(row) == 1, total).otherwise(F.col(row))
+    return (
+        df.where(F.col(row).isNotNull())
+        .rollup(row)
+        .agg(label.alias("_label"), *counts, F.count(F.col(year)).alias("total"))
+        .drop(row)
+        .withColumnRenamed("_label", row)
     )
-    return per_label
 
 
 def year_growth(pivoted: DataFrame, first: str, second: str, name: str) -> DataFrame:
