@@ -8,15 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def hot_keys(counts: DataFrame, on: Sequence[str], share: int) -> DataFrame:
+def hot_keys(counts: DataFrame, on: Sequence[str], share: int) -> DataFrame | None:
     """Keys holding more than 1/share of all rows, with the number of slices to cut them into.
 
-    `counts` has one row per key and its row count `n`.  At most `share - 1` keys can each hold more
-    than 1/share of the rows, so the result has a fixed size bound however large the data grows.
+    `counts` has one row per key and its row count `n`.  Fewer than `share` keys can each hold more
+    than 1/share of the rows, so the result fits the driver however large the data grows.  None where
+    no key is that large.
     """
-    total = counts.agg(F.sum("n")).scalar()
-    slices = F.ceil(F.col("n") * share / total).cast("int")
-    return counts.where(F.col("n") * share > total).select(*on, slices.alias("_slices"))
+    total, largest = counts.agg(F.sum("n"), F.max("n")).first()
+    if not total or largest * share <= total:
+        return None
+    slices = F.ceil(F.col("n") * share / total).cast("int").alias("_slices")
+    hot = counts.where(F.col("n") * share > total).select(*on, slices)
+    return counts.sparkSession.createDataFrame(hot.collect(), hot.schema)
 
 
 def skew_join(
@@ -30,29 +34,32 @@ def skew_join(
 ) -> DataFrame:
     """Join where single keys of `left` may hold a third of all rows.
 
-    Rows of hot keys are spread over slices by a hash of `spread` (default: all left columns) and the
-    matching right rows are repeated once per slice; all other keys join as usual.  The slice depends
-    on row values only, so recomputed tasks place rows where the first run did.
+    Key sizes are counted first.  Rows of hot keys are spread over slices by a hash of `spread`
+    (default: all left columns) and the matching right rows are repeated once per slice; without hot
+    keys this is the plain join.  The slice depends on row values only, so recomputed tasks place rows
+    where the first run did.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type: {how}")
     on = list(on)
     if counts is None:
-        known = F.lit(True)
-        for c in on:
-            known = known & F.col(c).isNotNull()
-        counts = left.where(known).groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
-    hot = F.broadcast(hot_keys(counts, on, share))
-    mark = F.xxhash64(*(spread or left.columns))
+        counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+    hot = hot_keys(counts, on, share)
+    if hot is None:
+        return left.join(right, on, how)
     some_null = F.lit(False)
     for c in on:
         some_null = some_null | F.col(c).isNull()
     # rows with a null key match nothing; they are spread too so that they do not pile up
     slices = F.coalesce(F.col("_slices"), F.when(some_null, share).otherwise(1))
-    spread_left = left.join(hot, on, "left").withColumn(
-        "_slice", F.pmod(mark, slices).cast("int")
-    ).drop("_slices")
-    copied_right = right.join(hot, on, "left").withColumn(
-        "_slice", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_slices"), F.lit(1)) - 1))
-    ).drop("_slices")
+    mark = F.xxhash64(*(spread or left.columns))
+    spread_left = (
+        left.join(F.broadcast(hot), on, "left")
+        .withColumn("_slice", F.pmod(mark, slices).cast("int"))
+        .drop("_slices")
+    )
+    copies = F.sequence(F.lit(0), F.coalesce(F.col("_slices"), F.lit(1)) - 1)
+    copied_right = (
+        right.join(F.broadcast(hot), on, "left").withColumn("_slice", F.explode(copies)).drop("_slices")
+    )
     return spread_left.join(copied_right, [*on, "_slice"], how).drop("_slice")

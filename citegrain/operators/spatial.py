@@ -11,8 +11,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citegrain.functions.geometry import inside, ring_edges, valid_position, wkt_rings
+from citegrain.functions.geometry import (
+    haversine,
+    inside,
+    ring_edges,
+    unit_vector,
+    valid_position,
+    wkt_rings,
+)
 from citegrain.functions.values import hot_cold
+from citegrain.operators.durable import durable
 from citegrain.operators.rows import repeat_flag
 from citegrain.operators.skew import skew_join
 
@@ -38,21 +46,19 @@ class Grid:
         self.coords = list(coords)
         self.units = [f"_u{i}" for i in range(len(self.coords))]
         self.cells = [f"_c{i}" for i in range(len(self.coords))]
-        edges = points.agg(
-            *[F.min(c).alias(f"lo{i}") for i, c in enumerate(self.coords)],
-            F.greatest(*[F.max(c) - F.min(c) for c in self.coords], F.lit(0.0)).alias("span"),
-        )
-        self.box = edges.select(F.struct("*")).scalar()
-
-    def span(self) -> Column:
-        return F.when(self.box["span"] > 0, self.box["span"]).otherwise(F.lit(1.0))
+        lows = [F.min(c).cast("double") for c in self.coords]
+        highs = [F.max(c).cast("double") for c in self.coords]
+        row = [v if v is not None else 0.0 for v in points.agg(*lows, *highs).first()]
+        self.low, high = row[: len(self.coords)], row[len(self.coords) :]
+        self.span = max(h - v for v, h in zip(self.low, high)) or 1.0
 
     def scale(self, value: Column, axis: int) -> Column:
-        return (value - self.box[f"lo{axis}"]) / self.span()
+        return (value - self.low[axis]) / self.span
 
     def place(self, df: DataFrame) -> DataFrame:
         """Add scaled coordinates in [0, 1]."""
-        return df.withColumns({u: self.scale(F.col(c), i) for i, (c, u) in enumerate(zip(self.coords, self.units))})
+        axes = enumerate(zip(self.coords, self.units))
+        return df.withColumns({u: self.scale(F.col(c), i) for i, (c, u) in axes})
 
     @staticmethod
     def cell(unit: Column, level: Column) -> Column:
@@ -89,6 +95,12 @@ def level_for(reach: Column) -> Column:
     return F.least(F.greatest(exact, F.lit(0)), F.lit(MAX_LEVEL)).cast("int")
 
 
+def levels_in_use(df: DataFrame, level: Column) -> Column:
+    """The levels that occur, as an array constant; there are at most MAX_LEVEL + 1."""
+    found = sorted(r[0] for r in df.select(level).distinct().collect())
+    return F.array(*[F.lit(v) for v in found]) if found else F.array().cast("array<int>")
+
+
 def nearest_neighbours(
     points: DataFrame,
     id_col: str,
@@ -111,12 +123,12 @@ def nearest_neighbours(
     coords, carry = list(coords), list(carry)
     located = points.dropna(subset=[id_col, *coords])
     grid = Grid(located, coords)
-    by_place = Window.partitionBy(*coords).orderBy(id_col)
-    candidates = grid.place(
+    by_place = Window.partitionBy(*coords).orderBy("nbr")
+    candidates = durable(grid.place(
         located.select(F.col(id_col).alias("nbr"), *coords, *carry)
-        .withColumn("_n", F.row_number().over(by_place.orderBy("nbr")))
+        .withColumn("_n", F.row_number().over(by_place))
         .where(F.col("_n") <= k + 1)
-    )
+    ))
     places = candidates.where("_n = 1").select(F.col("nbr").alias("_place"), *coords, *grid.units)
 
     every_level = F.sequence(F.lit(0), F.lit(MAX_LEVEL))
@@ -141,19 +153,22 @@ def nearest_neighbours(
     # widened a little so that rounding cannot lose a neighbour at the rim; a set of k points or
     # fewer has no filled cell and is searched whole
     reach = F.coalesce(F.col("_reach") * (1 + 1e-9) + 1e-12, F.lit(2.0 * len(coords)))
-    searches = places.join(found, "_place", "left").withColumn("_reach", reach)
+    searches = durable(
+        places.join(found, "_place", "left")
+        .withColumn("_reach", reach)
+        .withColumn("_at", level_for(F.col("_reach")))
+    )
 
     wanted = [f"nbr_{c}" for c in (*coords, *carry)]
     targets = candidates.drop("_n").withColumnsRenamed({c: f"nbr_{c}" for c in (*coords, *carry)})
-    used = searches.agg(F.array_sort(F.collect_set(level_for(F.col("_reach"))))).scalar()
-    target_cells = grid.at_levels(targets, used).drop(*grid.units)
-    search_cells = grid.cover(searches, F.col("_reach"), level_for(F.col("_reach")))
+    target_cells = grid.at_levels(targets, levels_in_use(searches, F.col("_at"))).drop(*grid.units)
+    search_cells = grid.cover(searches, F.col("_reach"), F.col("_at"))
     met = skew_join(
-        target_cells, search_cells.drop(*grid.units), keys, "inner", ["nbr"],
-        target_cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")),
+        target_cells, search_cells.drop("_at", *grid.units), keys, "inner", ["nbr"],
+        boxes.select(*keys, "n"),
     )
     near = met.withColumn("_gap2", grid.gap("", "nbr_")).where(
-        F.sqrt("_gap2") / grid.span() <= F.col("_reach")
+        F.sqrt("_gap2") / grid.span <= F.col("_reach")
     )
     by_search = Window.partitionBy("_place").orderBy("_gap2", "nbr")
     ranked = near.withColumn("_rank", F.row_number().over(by_search)).where(F.col("_rank") <= k + 1)
@@ -176,7 +191,7 @@ def band_neighbours(points: DataFrame, id_col: str, coords: Sequence[str], dista
     located = points.dropna(subset=[id_col, *coords])
     grid = Grid(located, coords)
     placed = grid.place(located.select(id_col, *coords))
-    reach = F.lit(float(distance)) / grid.span() * (1 + 1e-9) + 1e-12
+    reach = F.lit(distance / grid.span * (1 + 1e-9) + 1e-12)
     level = level_for(reach)
     keys = ["_level", *grid.cells]
     targets = placed.withColumnsRenamed({id_col: "nbr", **{c: f"nbr_{c}" for c in coords}})
@@ -195,28 +210,21 @@ def band_neighbours(points: DataFrame, id_col: str, coords: Sequence[str], dista
 def local_g(points: DataFrame, id_col: str, coords: Sequence[str], value: str, k: int) -> DataFrame:
     """Local G z-score with equal weights on the k nearest others; null where the variance is 0.
 
-    Overall sums are taken about the mean, which keeps the variance of close values exact.
+    Values are taken about their mean, which keeps the variance of close values exact.
     """
     usable = points.dropna(subset=[id_col, *coords, value])
-    centre = usable.agg(F.avg(value)).scalar()
-    centred = usable.withColumn("_v", F.col(value) - centre)
-    sums = centred.agg(
-        F.struct(
-            F.count(F.lit(1)).cast("double").alias("n"),
-            F.sum("_v").alias("s"),
-            F.sum(F.col("_v") * F.col("_v")).alias("q"),
-        )
-    ).scalar()
+    n, centre, variance_all = usable.agg(F.count(value), F.avg(value), F.var_pop(value)).first()
+    centred = usable.withColumn("_v", F.col(value) - F.lit(centre))
+    squares = n * (variance_all or 0.0)
     lags = (
         nearest_neighbours(centred, id_col, coords, k, carry=["_v"])
         .groupBy(id_col, *coords, value, "_v")
         .agg(F.avg("nbr__v").alias("_lag"), F.count(F.lit(1)).alias("_k"))
     )
-    n = sums["n"]
-    mean = F.try_divide(sums["s"] - F.col("_v"), n - 1)
-    square = F.try_divide(sums["q"] - F.col("_v") * F.col("_v"), n - 1)
+    mean = F.try_divide(-F.col("_v"), F.lit(float(n - 1)))
+    square = F.try_divide(squares - F.col("_v") * F.col("_v"), F.lit(float(n - 1)))
     variance = square - mean * mean
-    factor = F.try_divide((n - 1) / F.col("_k") - 1, n - 2)
+    factor = F.try_divide((n - 1) / F.col("_k") - 1, F.lit(float(n - 2)))
     spread = F.sqrt(F.when(variance * factor > 1e-12 * square, variance * factor))
     return lags.select(
         id_col, *coords, value, F.try_divide(F.col("_lag") - mean, spread).alias("z")
@@ -247,7 +255,7 @@ def points_in_polygons(
     bounded = ringed.withColumns(sides).where(F.col("_x0").isNotNull())
     located = points.dropna(subset=[lon, lat])
     grid = Grid(located, [lon, lat])
-    half = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0")) / 2 / grid.span()
+    half = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0")) / 2 / grid.span
     level = level_for(half)
     keys = ["_level", *grid.cells]
     covering = bounded.withColumn("_level", level)
@@ -255,7 +263,7 @@ def points_in_polygons(
         first = grid.cell(grid.scale(F.col(low), axis), F.col("_level"))
         last = grid.cell(grid.scale(F.col(high), axis), F.col("_level"))
         covering = covering.withColumn(c, F.explode(F.sequence(first, last)))
-    levels = bounded.agg(F.array_sort(F.collect_set(level))).scalar()
+    levels = levels_in_use(bounded, level)
     at_cells = grid.at_levels(grid.place(located), levels).drop(*grid.units)
     met = skew_join(at_cells, covering, keys, "inner", points.columns)
     hit = (
@@ -269,3 +277,21 @@ def points_in_polygons(
     # empty polygons are added, not outer-joined, so a crowded polygon is never shuffled again
     empty = polygons.join(matched.select(polygon_id).distinct(), polygon_id, "left_anti")
     return matched.unionByName(empty, allowMissingColumns=True)
+
+
+def great_circle_neighbours(
+    points: DataFrame, id_col: str, lon: str, lat: str, k: int, carry: Sequence[str] = ()
+) -> DataFrame:
+    """k nearest others by great-circle distance, in metres.
+
+    The search runs on unit-sphere positions, whose chords order pairs as great circles do, so the
+    date line and the poles need no special case.
+    """
+    axes = ["_x", "_y", "_z"]
+    positions = unit_vector(F.col(lon), F.col(lat))
+    on_sphere = valid_points(points, lon, lat).withColumns(dict(zip(axes, positions)))
+    found = nearest_neighbours(on_sphere, id_col, axes, k, [lon, lat, *carry])
+    metres = haversine(F.col(lon), F.col(lat), F.col(f"nbr_{lon}"), F.col(f"nbr_{lat}"))
+    return found.select(
+        *points.columns, "rank", "nbr", metres.alias("metres"), *[f"nbr_{c}" for c in carry]
+    )
