@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,3 +50,9 @@ def promote_header(df: DataFrame, names: Sequence[str]) -> DataFrame:
 def wide_to_long(df: DataFrame, ids: Sequence[str], columns: Sequence[str], name: str, value: str):
     """One row per id and non-null column value."""
     return df.unpivot(list(ids), list(columns), name, value).where(F.col(value).isNotNull())
+
+
+def union_eras(parts: Iterable[tuple[DataFrame, Mapping[str, str]]], common: Iterable[str]) -> DataFrame:
+    """Append tables of different eras: each renamed by its own map, then cut to the common columns."""
+    wanted = [F.col(f"`{c}`") for c in common]
+    return reduce(DataFrame.unionByName, [df.withColumnsRenamed(dict(m)).select(*wanted) for df, m in parts])

@@ -95,3 +95,32 @@ def coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.get("embedding", F.lit(1)).cast("double") * 20 + 38).alias("lat"),
         F.col("label").cast("double").alias("x"),
     )
+
+
+def tracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One polygon per supplier: rectangles for even keys, triangles for odd ones."""
+    key = F.col("s_suppkey")
+    x0 = F.lit(-114.0) + (key % 20) * F.lit(1.9)
+    y0 = F.lit(29.5) + (F.floor(key / 20) % 8) * F.lit(2.0)
+
+    def vertex(dx: float, dy: float):
+        return F.concat_ws(" ", (x0 + F.lit(dx)).cast("string"), (y0 + F.lit(dy)).cast("string"))
+
+    def ring(*corners: tuple[float, float]):
+        body = F.concat_ws(", ", *[vertex(*c) for c in (*corners, corners[0])])
+        return F.concat(F.lit("POLYGON (("), body, F.lit("))"))
+
+    rectangle = ring((0.0, 0.0), (1.7, 0.0), (1.7, 1.6), (0.0, 1.6))
+    triangle = ring((0.0, 0.0), (1.8, 0.0), (0.0, 1.8))
+    return table(spark, sf_dir, "supplier").select(
+        F.lpad(key.cast("string"), 11, "0").alias("geoid"),
+        F.lpad(F.col("s_nationkey").cast("string"), 2, "0").alias("statefp"),
+        F.when(key % 2 == 0, rectangle).otherwise(triangle).alias("wkt"),
+    )
+
+
+def tract_health_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (
+        table(spark, sf_dir, "supplier").where(F.col("s_suppkey") % 4 != 0)
+        .select(F.col("s_suppkey").alias("TractFIPS"), F.col("s_acctbal").alias("health"))
+    )
