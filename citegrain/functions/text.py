@@ -25,13 +25,17 @@ def find_all(text: Column, pattern: str, group: int = 0) -> Column:
 
 def normalise(text: Column) -> Column:
     """Lower-case, drop line-break tags, close up blanks around `#`."""
-    plain = F.regexp_replace(F.lower(text), r"<br/?>", "")
-    return F.regexp_replace(plain, rf"[{BLANK}]?#[{BLANK}]?", "#")
+    lower = F.lower(text)
+    plain = F.when(F.contains(lower, F.lit("<br")), F.regexp_replace(lower, r"<br/?>", "")).otherwise(lower)
+    closed = F.regexp_replace(plain, rf"[{BLANK}]?#[{BLANK}]?", "#")
+    # most reports name nobody by number: a byte search spares them the pattern
+    return F.when(F.contains(text, F.lit("#")), closed).otherwise(plain)
 
 
 def actors(text: Column) -> Column:
     """Distinct actor mentions such as `lpn#3`, sorted."""
-    return F.array_sort(F.array_distinct(find_all(text, ACTOR_PATTERN, 1)))
+    found = F.array_sort(F.array_distinct(find_all(text, ACTOR_PATTERN, 1)))
+    return F.when(F.contains(text, F.lit("#")), found).when(text.isNotNull(), F.array().cast("array<string>"))
 
 
 def tokens(text: Column, pattern: str = TOKEN_PATTERN) -> Column:

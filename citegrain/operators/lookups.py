@@ -25,7 +25,8 @@ def with_coordinates(citations: DataFrame, coordinates: DataFrame) -> DataFrame:
 
     Both sides are made distinct before the join, so its rows are distinct too.
     """
-    return skew_join(citations.distinct(), coordinates.distinct(), ["facility_id"], "left")
+    counts = citations.groupBy("facility_id").agg(F.count(F.lit(1)).alias("n"))
+    return skew_join(citations.distinct(), coordinates.distinct(), ["facility_id"], "left", counts=counts)
 
 
 def coordinate_extract(located: DataFrame) -> DataFrame:

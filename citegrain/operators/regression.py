@@ -14,6 +14,8 @@ from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citegrain.operators.durable import durable
+
 # The settings of the tag-count model.
 SETTINGS = {"maxIter": 10, "regParam": 0.3, "elasticNetParam": 0.8, "standardization": False}
 TRAIN_PERCENT = 80
@@ -81,8 +83,11 @@ def fit_tag_model(
     one_hot: str,
     key: Sequence[str],
 ) -> TagModel:
-    """Index, encode, assemble and scale on all rows, then fit on the training side."""
-    complete = df.dropna("any")
+    """Index, encode, assemble and scale on all rows, then fit on the training side.
+
+    Every fit and metric reads the rows once more, so they are kept first.
+    """
+    complete = durable(df.dropna("any"))
     stages = feature_stages(numeric, indexed, one_hot)
     features = Pipeline(stages=stages).fit(complete)
     scaled = features.transform(complete)

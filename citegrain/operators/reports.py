@@ -29,7 +29,8 @@ def co_mentions(docs: DataFrame, doc: str, text: str) -> DataFrame:
     Pairs are formed inside the sentence row, without a self-join.  A sentence starts with a blank
     added for matching, as the actor pattern wants one in front of each mention.
     """
-    spoken = sentence_rows(docs.select(doc, t.normalise(F.col(text)).alias("_t")), doc, "_t")
+    marked = docs.where(F.contains(F.col(text), F.lit("#")))
+    spoken = sentence_rows(marked.select(doc, t.normalise(F.col(text)).alias("_t")), doc, "_t")
     named = spoken.select(doc, t.actors(F.concat(F.lit(" "), F.col("sentence"))).alias("_names"))
     return (
         named.where(F.size("_names") > 1)

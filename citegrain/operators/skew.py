@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# A key with fewer rows than this never burdens a task, whatever its share.
+SMALL_KEY = 200_000
+
+
 def hot_keys(counts: DataFrame, on: Sequence[str], share: int) -> DataFrame | None:
     """Keys holding more than 1/share of all rows, with the number of slices to cut them into.
 
@@ -16,7 +20,7 @@ def hot_keys(counts: DataFrame, on: Sequence[str], share: int) -> DataFrame | No
     no key is that large.
     """
     total, largest = counts.agg(F.sum("n"), F.max("n")).first()
-    if not total or largest * share <= total:
+    if not total or largest <= SMALL_KEY or largest * share <= total:
         return None
     slices = F.ceil(F.col("n") * share / total).cast("int").alias("_slices")
     hot = counts.where(F.col("n") * share > total).select(*on, slices)
@@ -31,6 +35,7 @@ def skew_join(
     spread: Sequence[str] = (),
     counts: DataFrame | None = None,
     share: int = 200,
+    rows: int | None = None,
 ) -> DataFrame:
     """Join where single keys of `left` may hold a third of all rows.
 
@@ -42,6 +47,8 @@ def skew_join(
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type: {how}")
     on = list(on)
+    if rows is not None and rows <= SMALL_KEY:
+        return left.join(right, on, how)
     if counts is None:
         counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
     hot = hot_keys(counts, on, share)

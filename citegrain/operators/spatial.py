@@ -46,59 +46,55 @@ class Grid:
         self.coords = list(coords)
         self.units = [f"_u{i}" for i in range(len(self.coords))]
         self.cells = [f"_c{i}" for i in range(len(self.coords))]
-        lows = [F.min(c).cast("double") for c in self.coords]
-        highs = [F.max(c).cast("double") for c in self.coords]
-        row = [v if v is not None else 0.0 for v in points.agg(*lows, *highs).first()]
-        self.low, high = row[: len(self.coords)], row[len(self.coords) :]
+        self.keys = ["_level", *self.cells]
+        ends = [f"double({end}({c}))" for end in ("min", "max") for c in self.coords]
+        row = points.selectExpr("count(1)", *ends).first()
+        self.rows, ends = row[0], [v if v is not None else 0.0 for v in row[1:]]
+        self.low, high = ends[: len(self.coords)], ends[len(self.coords) :]
         self.span = max(h - v for v, h in zip(self.low, high)) or 1.0
 
-    def scale(self, value: Column, axis: int) -> Column:
-        return (value - self.low[axis]) / self.span
+    def scaled(self, value: str, axis: int) -> str:
+        return f"(({value} - {self.low[axis]!r}D) / {self.span!r}D)"
 
     def place(self, df: DataFrame) -> DataFrame:
         """Add scaled coordinates in [0, 1]."""
-        axes = enumerate(zip(self.coords, self.units))
-        return df.withColumns({u: self.scale(F.col(c), i) for i, (c, u) in axes})
+        units = [f"{self.scaled(c, i)} AS {u}" for i, (c, u) in enumerate(zip(self.coords, self.units))]
+        return df.selectExpr("*", *units)
 
     @staticmethod
-    def cell(unit: Column, level: Column) -> Column:
+    def cell(unit: str, level: str = "_level") -> str:
         """Cell number of a scaled coordinate; coarser cells are exact unions of finer ones."""
-        finest = F.floor(F.least(F.greatest(unit, F.lit(0.0)), F.lit(1.0)) * (1 << MAX_LEVEL))
-        finest = F.least(finest, F.lit((1 << MAX_LEVEL) - 1))
-        return F.floor(finest / F.pow(F.lit(2.0), F.lit(MAX_LEVEL) - level)).cast("int")
+        finest = f"int(least(floor(least(greatest({unit}, 0D), 1D) * {1 << MAX_LEVEL}), {(1 << MAX_LEVEL) - 1}))"
+        return f"shiftright({finest}, {MAX_LEVEL} - {level})"
 
-    def at_levels(self, df: DataFrame, levels: Column) -> DataFrame:
+    def at_levels(self, df: DataFrame, levels: str) -> DataFrame:
         """One row per point and level, with the cell it lies in."""
-        spread = df.withColumn("_level", F.explode(levels))
-        return spread.withColumns({c: self.cell(F.col(u), F.col("_level")) for u, c in zip(self.units, self.cells)})
-
-    def cover(self, df: DataFrame, reach: Column, level: Column) -> DataFrame:
-        """One row per cell of the level that a box of half-width `reach` around the point meets."""
-        covered = df.withColumn("_level", level)
-        for u, c in zip(self.units, self.cells):
-            first = self.cell(F.col(u) - reach, F.col("_level"))
-            last = self.cell(F.col(u) + reach, F.col("_level"))
-            covered = covered.withColumn(c, F.explode(F.sequence(first, last)))
-        return covered
-
-    def gap(self, a: str, b: str) -> Column:
-        """Squared distance in coordinate units between `a.` and `b.` coordinates."""
-        total = F.lit(0.0)
-        for c in self.coords:
-            total = total + (F.col(f"{b}{c}") - F.col(f"{a}{c}")) * (F.col(f"{b}{c}") - F.col(f"{a}{c}"))
-        return total
-
-
-def level_for(reach: Column) -> Column:
+        spread = df.selectExpr("*", f"explode({levels}) AS _level")
+        return spread.selectExpr("*", *[f"{self.cell(u)} AS {c}" for u, c in zip(self.units, self.cells)])
+
+    def cover(self, df: DataFrame, spans: Sequence[tuple[str, str]]) -> DataFrame:
+        """One row per cell of `_level` between the given ends, one pair of scaled ends per axis."""
+        for c, (first, last) in zip(self.cells, spans):
+            df = df.selectExpr("*", f"explode(sequence({self.cell(first)}, {self.cell(last)})) AS {c}")
+        return df
+
+    def around(self, reach: str) -> list[tuple[str, str]]:
+        return [(f"({u} - {reach})", f"({u} + {reach})") for u in self.units]
+
+    def gap2(self) -> str:
+        """Squared distance between a point's and its counterpart's coordinates."""
+        return " + ".join(f"(nbr_{c} - {c}) * (nbr_{c} - {c})" for c in self.coords)
+
+
+def level_for(reach: str) -> str:
     """Finest level whose cells are at least `reach` wide, so that a box meets few of them."""
-    exact = F.floor(-F.log2(F.greatest(reach, F.lit(2.0**-MAX_LEVEL))))
-    return F.least(F.greatest(exact, F.lit(0)), F.lit(MAX_LEVEL)).cast("int")
+    return f"int(least(greatest(floor(-log2(greatest({reach}, {2.0**-MAX_LEVEL!r}D))), 0), {MAX_LEVEL}))"
 
 
-def levels_in_use(df: DataFrame, level: Column) -> Column:
+def levels_in_use(df: DataFrame, level: str) -> str:
     """The levels that occur, as an array constant; there are at most MAX_LEVEL + 1."""
-    found = sorted(r[0] for r in df.select(level).distinct().collect())
-    return F.array(*[F.lit(v) for v in found]) if found else F.array().cast("array<int>")
+    found = sorted(r[0] for r in df.selectExpr(level).distinct().collect())
+    return f"array({', '.join(map(str, found))})" if found else "cast(array() AS array<int>)"
 
 
 def nearest_neighbours(
@@ -123,66 +119,57 @@ def nearest_neighbours(
     coords, carry = list(coords), list(carry)
     located = points.dropna(subset=[id_col, *coords])
     grid = Grid(located, coords)
-    by_place = Window.partitionBy(*coords).orderBy("nbr")
-    candidates = durable(grid.place(
-        located.select(F.col(id_col).alias("nbr"), *coords, *carry)
-        .withColumn("_n", F.row_number().over(by_place))
-        .where(F.col("_n") <= k + 1)
-    ))
+    at_place = Window.partitionBy(*coords).orderBy("nbr")
+    candidates = durable(
+        grid.place(
+            located.select(F.col(id_col).alias("nbr"), *coords, *carry)
+            .withColumn("_n", F.row_number().over(at_place))
+            .where(F.col("_n") <= k + 1)
+        )
+    )
     places = candidates.where("_n = 1").select(F.col("nbr").alias("_place"), *coords, *grid.units)
 
-    every_level = F.sequence(F.lit(0), F.lit(MAX_LEVEL))
-    keys = ["_level", *grid.cells]
+    every_level = f"sequence(0, {MAX_LEVEL})"
+    rows = grid.rows * (MAX_LEVEL + 1)
+    corners = [f"{end}({u}) AS {end}{u}" for u in grid.units for end in ("min", "max")]
     boxes = (
         grid.at_levels(candidates, every_level)
-        .groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.min(u).alias(f"_lo{u}") for u in grid.units],
-            *[F.max(u).alias(f"_hi{u}") for u in grid.units],
-        )
+        .groupBy(*grid.keys)
+        .agg(F.count(F.lit(1)).alias("n"), *map(F.expr, corners))
     )
     filled = boxes.where(F.col("n") > k).drop("n")
-    far = F.lit(0.0)
-    for u in grid.units:
-        side = F.greatest(F.col(u) - F.col(f"_lo{u}"), F.col(f"_hi{u}") - F.col(u))
-        far = far + side * side
-    found = skew_join(
-        grid.at_levels(places, every_level), filled, keys, "inner", ["_place"], boxes.select(*keys, "n")
-    ).groupBy("_place").agg(F.min(F.sqrt(far)).alias("_reach"))
+    far = " + ".join(f"pow(greatest({u} - min{u}, max{u} - {u}), 2)" for u in grid.units)
+    sizes = boxes.select(*grid.keys, "n")
+    found = (
+        skew_join(grid.at_levels(places, every_level), filled, grid.keys, "inner", ["_place"], sizes, rows=rows)
+        .groupBy("_place")
+        .agg(F.expr(f"sqrt(min({far})) AS _reach"))
+    )
     # widened a little so that rounding cannot lose a neighbour at the rim; a set of k points or
     # fewer has no filled cell and is searched whole
-    reach = F.coalesce(F.col("_reach") * (1 + 1e-9) + 1e-12, F.lit(2.0 * len(coords)))
+    widened = F.expr(f"coalesce(_reach * (1 + 1e-9D) + 1e-12D, {2.0 * len(coords)}D)")
     searches = durable(
         places.join(found, "_place", "left")
-        .withColumn("_reach", reach)
-        .withColumn("_at", level_for(F.col("_reach")))
+        .withColumn("_reach", widened)
+        .withColumn("_level", F.expr(level_for("_reach")))
     )
 
     wanted = [f"nbr_{c}" for c in (*coords, *carry)]
     targets = candidates.drop("_n").withColumnsRenamed({c: f"nbr_{c}" for c in (*coords, *carry)})
-    target_cells = grid.at_levels(targets, levels_in_use(searches, F.col("_at"))).drop(*grid.units)
-    search_cells = grid.cover(searches, F.col("_reach"), F.col("_at"))
-    met = skew_join(
-        target_cells, search_cells.drop("_at", *grid.units), keys, "inner", ["nbr"],
-        boxes.select(*keys, "n"),
-    )
-    near = met.withColumn("_gap2", grid.gap("", "nbr_")).where(
-        F.sqrt("_gap2") / grid.span <= F.col("_reach")
-    )
-    by_search = Window.partitionBy("_place").orderBy("_gap2", "nbr")
-    ranked = near.withColumn("_rank", F.row_number().over(by_search)).where(F.col("_rank") <= k + 1)
+    target_cells = grid.at_levels(targets, levels_in_use(searches, "_level")).drop(*grid.units)
+    search_cells = grid.cover(searches, grid.around("_reach")).drop(*grid.units)
+    met = skew_join(target_cells, search_cells, grid.keys, "inner", ["nbr"], sizes, rows=rows)
+    near = met.withColumn("_gap2", F.expr(grid.gap2())).where(f"sqrt(_gap2) / {grid.span!r}D <= _reach")
+    in_search = Window.partitionBy("_place").orderBy("_gap2", "nbr")
+    ranked = near.withColumn("_rank", F.row_number().over(in_search)).where(F.col("_rank") <= k + 1)
     entry = F.struct("_rank", "nbr", F.sqrt("_gap2").alias("gap"), *wanted)
-    lists = ranked.groupBy("_place").agg(F.array_sort(F.collect_list(entry)).alias("_near"))
-    lists = lists.join(places.select("_place", *coords), "_place").drop("_place")
+    lists = ranked.groupBy("_place", *coords).agg(F.array_sort(F.collect_list(entry)).alias("_near"))
 
-    owned = skew_join(located, lists, coords, "inner", [id_col])
+    owned = skew_join(located, lists.drop("_place"), coords, "inner", [id_col], rows=grid.rows)
     others = F.slice(F.filter("_near", lambda e: e["nbr"] != F.col(id_col)), 1, k)
     listed = owned.select(*points.columns, F.posexplode(others).alias("_pos", "_e"))
-    return listed.select(
-        *points.columns,
-        (F.col("_pos") + 1).alias("rank"),
-        *[F.col("_e")[c].alias(c) for c in ("nbr", "gap", *wanted)],
+    return listed.selectExpr(
+        *[f"`{c}`" for c in points.columns], "_pos + 1 AS rank", *[f"_e.{c}" for c in ("nbr", "gap", *wanted)]
     )
 
 
@@ -191,20 +178,16 @@ def band_neighbours(points: DataFrame, id_col: str, coords: Sequence[str], dista
     located = points.dropna(subset=[id_col, *coords])
     grid = Grid(located, coords)
     placed = grid.place(located.select(id_col, *coords))
-    reach = F.lit(distance / grid.span * (1 + 1e-9) + 1e-12)
+    reach = f"{distance / grid.span * (1 + 1e-9) + 1e-12!r}D"
     level = level_for(reach)
-    keys = ["_level", *grid.cells]
     targets = placed.withColumnsRenamed({id_col: "nbr", **{c: f"nbr_{c}" for c in coords}})
+    searches = grid.cover(placed.selectExpr("*", f"{level} AS _level"), grid.around(reach))
     met = skew_join(
-        grid.at_levels(targets, F.array(level)).drop(*grid.units),
-        grid.cover(placed, reach, level).drop(*grid.units),
-        keys, "inner", ["nbr"],
-    )
-    gap = F.sqrt(grid.gap("", "nbr_"))
-    return (
-        met.where((F.col(id_col) != F.col("nbr")) & (gap <= distance))
-        .select(id_col, "nbr", gap.alias("gap"))
+        grid.at_levels(targets, f"array({level})").drop(*grid.units), searches.drop(*grid.units),
+        grid.keys, "inner", ["nbr"], rows=grid.rows,
     )
+    near = met.where(F.col(id_col) != F.col("nbr")).selectExpr(id_col, "nbr", f"sqrt({grid.gap2()}) AS gap")
+    return near.where(F.col("gap") <= distance)
 
 
 def local_g(points: DataFrame, id_col: str, coords: Sequence[str], value: str, k: int) -> DataFrame:
@@ -255,17 +238,13 @@ def points_in_polygons(
     bounded = ringed.withColumns(sides).where(F.col("_x0").isNotNull())
     located = points.dropna(subset=[lon, lat])
     grid = Grid(located, [lon, lat])
-    half = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0")) / 2 / grid.span
+    half = f"(greatest(_x1 - _x0, _y1 - _y0) / 2 / {grid.span!r}D)"
     level = level_for(half)
-    keys = ["_level", *grid.cells]
-    covering = bounded.withColumn("_level", level)
-    for axis, (u, c, low, high) in enumerate(zip(grid.units, grid.cells, ("_x0", "_y0"), ("_x1", "_y1"))):
-        first = grid.cell(grid.scale(F.col(low), axis), F.col("_level"))
-        last = grid.cell(grid.scale(F.col(high), axis), F.col("_level"))
-        covering = covering.withColumn(c, F.explode(F.sequence(first, last)))
+    ends = [(grid.scaled("_x0", 0), grid.scaled("_x1", 0)), (grid.scaled("_y0", 1), grid.scaled("_y1", 1))]
+    covering = grid.cover(bounded.selectExpr("*", f"{level} AS _level"), ends)
     levels = levels_in_use(bounded, level)
     at_cells = grid.at_levels(grid.place(located), levels).drop(*grid.units)
-    met = skew_join(at_cells, covering, keys, "inner", points.columns)
+    met = skew_join(at_cells, covering, grid.keys, "inner", points.columns, rows=grid.rows * (MAX_LEVEL + 1))
     hit = (
         F.col(lon).between(F.col("_x0"), F.col("_x1"))
         & F.col(lat).between(F.col("_y0"), F.col("_y1"))
@@ -274,6 +253,7 @@ def points_in_polygons(
     matched = met.where(hit).select(*polygons.columns, *points.columns)
     if not keep_empty:
         return matched
+    matched = durable(matched)
     # empty polygons are added, not outer-joined, so a crowded polygon is never shuffled again
     empty = polygons.join(matched.select(polygon_id).distinct(), polygon_id, "left_anti")
     return matched.unionByName(empty, allowMissingColumns=True)

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from citegrain.operators.durable import durable
+from citegrain.operators.skew import skew_join
+
 
 def grouped_means(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Means and row count per key."""
@@ -47,23 +50,36 @@ def value_positions(
     Copies are merged before anything is ordered, so one value may hold any share of the rows.  The
     distinct values of a group are cut into buckets of about equal size at sketched quantiles; only
     the few bucket totals of a group are accumulated together, and each bucket is ordered by itself.
-    The cut points only balance the work: positions are exact wherever they fall.
+    The cut points only balance the work: positions are exact wherever they fall.  `buckets` is a
+    power of two.
     """
+    values = durable(value_copies(df, value, by))
+    return placed_values(values, value, by, buckets)
+
+
+def value_copies(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Distinct values per group with their number of copies `n`."""
+    present = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    return present.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+
+
+def placed_values(values: DataFrame, value: str, by: Sequence[str], buckets: int = 128) -> DataFrame:
+    """Running positions over distinct values that carry their number of copies `n`."""
     by = list(by)
-    values = (
-        df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-        .groupBy(*by, value)
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
     shares = [i / buckets for i in range(1, buckets)]
     cuts = values.groupBy(*by).agg(F.percentile_approx(value, shares, 10 * buckets).alias("_cuts"))
     if by:
         matched = values.join(cuts, by)
     else:
         matched = values.withColumn("_cuts", cuts.scalar())
-    cut = matched.withColumn(
-        "_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    ).drop("_cuts")
+    # binary search for the number of cuts below the value
+    steps = F.array(*[F.lit(buckets >> i) for i in range(1, buckets.bit_length())])
+
+    def step(found, width):
+        below = F.get("_cuts", found + width - 1) < F.col(value)
+        return found + F.when(below, width).otherwise(0)
+
+    cut = matched.withColumn("_bucket", F.aggregate(steps, F.lit(0), step)).drop("_cuts")
     totals = cut.groupBy(*by, "_bucket").agg(F.sum("n").alias("_rows"))
     in_group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     totals = totals.select(
@@ -85,6 +101,10 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact interpolated quantiles (position (n-1)p) per group without holding a group anywhere."""
     placed = value_positions(df, value, by)
+    return placed.groupBy(*by).agg(*quantile_columns(value, probabilities))
+
+
+def quantile_columns(value: str, probabilities: dict[str, float]) -> list:
     columns = []
     for name, p in probabilities.items():
         # six decimals keep whole positions whole: 0.1 * 10 must not become 0.9999
@@ -93,7 +113,7 @@ def exact_quantiles(
         low = F.max(F.when(holds(F.floor(own)), F.col(value)))
         high = F.max(F.when(holds(F.ceil(own)), F.col(value)))
         columns.append((low + (high - low) * (position - F.floor(position))).alias(name))
-    return placed.groupBy(*by).agg(*columns)
+    return columns
 
 
 def holds(position):
@@ -102,11 +122,13 @@ def holds(position):
 
 def six_numbers(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Minimum, quartiles, mean and maximum per group."""
-    plain = df.groupBy(*by).agg(
-        F.min(value).alias("min"), F.avg(value).alias("mean"), F.max(value).alias("max")
+    quartiles = quantile_columns(value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    return value_positions(df, value, by).groupBy(*by).agg(
+        F.min(value).alias("min"),
+        F.max(value).alias("max"),
+        (F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("mean"),
+        *quartiles,
     )
-    parts = exact_quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by)
-    return plain.join(parts, list(by))
 
 
 def rank_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -115,14 +137,15 @@ def rank_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     Rows with equal values are merged with a weight first; then each column's ranks are looked up.
     The rank means are known, so the sums are centred.
     """
-    from citegrain.operators.skew import skew_join
-
-    weighted = df.select(*columns).dropna().groupBy(*columns).agg(F.count(F.lit(1)).alias("_w"))
+    weighted = durable(df.select(*columns).dropna().groupBy(*columns).agg(F.count(F.lit(1)).alias("_w")))
     ranked = weighted
     for c in columns:
-        placed = value_positions(df.select(*columns).dropna(), c)
+        values = weighted.groupBy(c).agg(F.sum("_w").alias("n"), F.count(F.lit(1)).alias("_rows"))
+        placed = placed_values(values.drop("_rows"), c, [])
+        # merging copies leaves the row counts of `weighted`, so they tell the hot keys of every join
         ranks = placed.select(c, (F.col("before") + F.col("n") / 2 - F.col("total") / 2).alias(f"_r_{c}"))
-        ranked = skew_join(ranked, ranks, [c])
+        sizes = values.select(c, F.col("_rows").alias("n"))
+        ranked = skew_join(ranked, ranks, [c], counts=sizes)
 
     def products(a: str, b: str):
         return F.sum(F.col("_w") * F.col(f"_r_{a}") * F.col(f"_r_{b}"))

@@ -71,7 +71,7 @@ def vector_corr_spearman(spark, sf_dir):
 
 
 @query(" UNION ALL ".join(
-    f"SELECT CAST({i} AS INT) AS position, '{kind}' AS kind, round({mean}, 4) AS mean, count(*) AS count FROM lineitem"
+    f"SELECT CAST({i} AS INT) AS position, '{kind}' AS kind, round({mean}, 3) AS mean, count(*) AS count FROM lineitem"
     for i, c in enumerate(LINES)
     for kind, mean in (("plain", f"avg({c})"), ("weighted", f"sum({c} * l_quantity) / sum(l_quantity)"))
 ))
@@ -79,4 +79,4 @@ def vector_summary(spark, sf_dir):
     vectors = regression.as_vector(v.table(spark, sf_dir, "lineitem").select(*LINES), LINES)
     plain = regression.vector_summary(vectors).withColumn("kind", F.lit("plain"))
     weighted = regression.vector_summary(vectors, weight=F.col("l_quantity")).withColumn("kind", F.lit("weighted"))
-    return plain.unionByName(weighted).withColumn("mean", F.round("mean", 4))
+    return plain.unionByName(weighted).withColumn("mean", F.round("mean", 3))
