@@ -11,6 +11,10 @@ from citegrain.operators.durable import durable
 from citegrain.operators.skew import skew_join
 
 
+# Two numbers per row: a lookup table of this many rows stays near 2 MB.
+BROADCAST_ROWS = 100_000
+
+
 def grouped_means(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Means and row count per key."""
     return df.groupBy(*keys).agg(
@@ -65,7 +69,6 @@ def value_copies(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
 
 def placed_values(values: DataFrame, value: str, by: Sequence[str], buckets: int = 128) -> DataFrame:
     """Running positions over distinct values that carry their number of copies `n`."""
-    by = list(by)
     shares = [i / buckets for i in range(1, buckets)]
     cuts = values.groupBy(*by).agg(F.percentile_approx(value, shares, 10 * buckets).alias("_cuts"))
     if by:
@@ -81,7 +84,7 @@ def placed_values(values: DataFrame, value: str, by: Sequence[str], buckets: int
 
     cut = matched.withColumn("_bucket", F.aggregate(steps, F.lit(0), step)).drop("_cuts")
     totals = cut.groupBy(*by, "_bucket").agg(F.sum("n").alias("_rows"))
-    in_group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    in_group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # at most `buckets` rows each
     totals = totals.select(
         *by,
         "_bucket",
@@ -92,7 +95,7 @@ def placed_values(values: DataFrame, value: str, by: Sequence[str], buckets: int
     return (
         cut.join(totals, [*by, "_bucket"])
         .withColumn("before", F.col("_base") + F.sum("n").over(in_bucket) - F.col("n"))
-        .select(*by, value, "n", "before", "total")
+        .drop("_bucket", "_base")
     )
 
 
@@ -134,18 +137,31 @@ def six_numbers(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
 def rank_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Spearman correlation of every pair of columns, ties at their average rank.
 
-    Rows with equal values are merged with a weight first; then each column's ranks are looked up.
-    The rank means are known, so the sums are centred.
+    Rows with equal values are merged with a weight first.  The ranks of all columns come from one
+    pass over (column, value) rows and are looked up column by column: a column with few values has a
+    small table, whose size is checked before it is broadcast, and only columns with many values are
+    shuffled.  The rank means are known, so the sums are centred.
     """
-    weighted = durable(df.select(*columns).dropna().groupBy(*columns).agg(F.count(F.lit(1)).alias("_w")))
+    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
+    weighted = durable(numbers.groupBy(*columns).agg(F.count(F.lit(1)).alias("_w")))
+    values = (
+        weighted.unpivot("_w", list(columns), "column", "value")
+        .groupBy("column", "value")
+        .agg(F.sum("_w").alias("n"), F.count(F.lit(1)).alias("_rows"))
+    )
+    centred = F.col("before") + F.col("n") / 2 - F.col("total") / 2
+    placed = durable(
+        placed_values(durable(values), "value", ["column"]).select("column", "value", "_rows", centred.alias("_r"))
+    )
+    distinct = {r["column"]: r["n"] for r in placed.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
     ranked = weighted
     for c in columns:
-        values = weighted.groupBy(c).agg(F.sum("_w").alias("n"), F.count(F.lit(1)).alias("_rows"))
-        placed = placed_values(values.drop("_rows"), c, [])
-        # merging copies leaves the row counts of `weighted`, so they tell the hot keys of every join
-        ranks = placed.select(c, (F.col("before") + F.col("n") / 2 - F.col("total") / 2).alias(f"_r_{c}"))
-        sizes = values.select(c, F.col("_rows").alias("n"))
-        ranked = skew_join(ranked, ranks, [c], counts=sizes)
+        own = placed.where(F.col("column") == c).withColumnsRenamed({"value": c, "_r": f"_r_{c}", "_rows": "n"})
+        ranks = own.select(c, f"_r_{c}")
+        if distinct.get(c, 0) <= BROADCAST_ROWS:
+            ranked = ranked.join(F.broadcast(ranks), c)
+        else:
+            ranked = skew_join(ranked, ranks, [c], counts=own.select(c, "n"))
 
     def products(a: str, b: str):
         return F.sum(F.col("_w") * F.col(f"_r_{a}") * F.col(f"_r_{b}"))
