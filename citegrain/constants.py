@@ -28,9 +28,6 @@ UNUSED_PREFIXES = ("Footnote", "Performance", "Baseline", "cycle", "CYCLE")
 # Extract columns dropped at ingest.
 INGEST_DROPS = ("inspection_text", "IDR", "IIDR", "complaint", "standard")
 
-# Columns not needed by the facility-year measures.
-MEASURE_DROPS = ("infctrl", "facility_name", "address", "city")
-
 # Rating columns dropped before the category study.
 RATING_DROPS = tuple(
     name + suffix

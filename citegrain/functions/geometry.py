@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from citegrain.constants import FLORIDA_BOX
+
 EARTH_RADIUS_M = 6371008.8
 
 
@@ -32,6 +34,11 @@ def valid_position(lon: Column, lat: Column) -> Column:
     return lon.between(-180, 180) & lat.between(-90, 90)
 
 
+def in_box(lon: Column, lat: Column, box=FLORIDA_BOX) -> Column:
+    """Whether a position lies in a map window, edges included."""
+    return lon.between(*box["lon"]) & lat.between(*box["lat"])
+
+
 def wkt_point(wkt: Column) -> Column:
     """`POINT (x y)` to a struct; other text to null."""
     number = r"(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)"

@@ -7,17 +7,15 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citegrain.operators.measures import FACILITY_YEAR
-from citegrain.operators.skew import skew_join
+from citegrain.functions.values import substring_label
+from citegrain.operators.measures import FACILITY_YEAR, facility_year_measures
+from citegrain.operators.skew import lookup_join
 
 
 def label_tags(citations: DataFrame, labels: DataFrame, tag: str, number: str) -> DataFrame:
-    """Left join of a label table on the tag as a whole number.
-
-    The label table is one row per tag; Spark broadcasts it when its size allows.
-    """
+    """Left join of a label table on the tag as a whole number."""
     keyed = citations.withColumn("_tag", F.col(tag).try_cast("bigint"))
-    return keyed.join(labels, keyed["_tag"] == labels[number], "left").drop("_tag", number)
+    return lookup_join(keyed, labels.withColumnRenamed(number, "_tag"), ["_tag"]).drop("_tag")
 
 
 def with_coordinates(citations: DataFrame, coordinates: DataFrame) -> DataFrame:
@@ -25,15 +23,17 @@ def with_coordinates(citations: DataFrame, coordinates: DataFrame) -> DataFrame:
 
     Both sides are made distinct before the join, so its rows are distinct too.
     """
-    counts = citations.groupBy("facility_id").agg(F.count(F.lit(1)).alias("n"))
-    return skew_join(citations.distinct(), coordinates.distinct(), ["facility_id"], "left", counts=counts)
+    return lookup_join(citations.distinct(), coordinates.distinct(), ["facility_id"])
 
 
-def coordinate_extract(located: DataFrame) -> DataFrame:
-    """One row per facility, year and tag with its position."""
-    columns = ["state", "insp_year", "facility_id", "deficiency_tag"]
-    place = located.groupBy(*columns).agg(F.min(F.struct("lat", "lon")).alias("_p"))
-    return place.select("facility_id", "insp_year", "_p.lat", "_p.lon", "deficiency_tag")
+def coordinate_extract(citations: DataFrame, coordinates: DataFrame) -> DataFrame:
+    """One row per state, facility, year and tag with one position of the facility."""
+    tagged = citations.select("state", "insp_year", "facility_id", "deficiency_tag").distinct()
+    place = F.min(F.struct("lat", "lon")).alias("_p")
+    positions = coordinates.groupBy("facility_id").agg(place).select("facility_id", "_p.lat", "_p.lon")
+    return lookup_join(tagged, positions, ["facility_id"]).select(
+        "facility_id", "insp_year", "lat", "lon", "deficiency_tag"
+    )
 
 
 def inner_coordinates(measures: DataFrame, positions: DataFrame) -> DataFrame:
@@ -110,8 +110,6 @@ def population_by_group(
     otherwise: str = "non-white",
 ) -> DataFrame:
     """Estimate totals by area and race group; a group without any estimate totals 0."""
-    from citegrain.functions.values import substring_label
-
     return estimates.groupBy(geo, substring_label(F.col(variable), part, label, otherwise).alias("race")).agg(
         F.coalesce(F.sum(estimate), F.lit(0.0)).alias("poptot")
     )
@@ -122,8 +120,6 @@ def facility_year_quality(citations: DataFrame, **options) -> DataFrame:
 
     The state totals sum the measures, so both sides of the join read one shuffle.
     """
-    from citegrain.operators.measures import facility_year_measures
-
     measures = facility_year_measures(citations, **options)
     totals = measures.groupBy("state", "insp_year").agg(
         F.count(F.lit(1)).alias("count_nh_insp_st_yr"),

@@ -59,7 +59,8 @@ def skew_join(
         some_null = some_null | F.col(c).isNull()
     # rows with a null key match nothing; they are spread too so that they do not pile up
     slices = F.coalesce(F.col("_slices"), F.when(some_null, share).otherwise(1))
-    mark = F.xxhash64(*(spread or left.columns))
+    # the task number parts exact copies; a task that is run again has the same number and rows
+    mark = F.xxhash64(F.spark_partition_id(), *(spread or left.columns))
     spread_left = (
         left.join(F.broadcast(hot), on, "left")
         .withColumn("_slice", F.pmod(mark, slices).cast("int"))
@@ -70,3 +71,14 @@ def skew_join(
         right.join(F.broadcast(hot), on, "left").withColumn("_slice", F.explode(copies)).drop("_slices")
     )
     return spread_left.join(copied_right, [*on, "_slice"], how).drop("_slice")
+
+
+# Lookup tables up to this many narrow rows (some megabytes) are broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def lookup_join(left: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", **options) -> DataFrame:
+    """Join of a lookup table: broadcast once its counted size allows, else a skew-proof shuffle join."""
+    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(table), list(on), how)
+    return skew_join(left, table, on, how, **options)

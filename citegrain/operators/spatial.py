@@ -32,10 +32,10 @@ def valid_points(df: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame
     return df.where(valid_position(F.col(lon), F.col(lat)))
 
 
-def shift_repeats(df: DataFrame, id_col: str, coords: Sequence[str]) -> DataFrame:
-    """Move repeated positions apart by a small offset that depends on the id only."""
+def shift_repeats(df: DataFrame, id_col: str, coords: Sequence[str], by: str | None = None) -> DataFrame:
+    """Move repeated positions apart by a small offset that depends on a number (the id) only."""
     flagged = repeat_flag(df, coords, id_col)
-    offset = F.when(F.col("is_repeat"), (F.col(id_col) % 97) * 1e-6).otherwise(F.lit(0.0))
+    offset = F.when(F.col("is_repeat"), (F.col(by or id_col) % 97) * 1e-6).otherwise(F.lit(0.0))
     return flagged.withColumns({c: F.col(c) + offset for c in coords})
 
 
@@ -190,28 +190,35 @@ def band_neighbours(points: DataFrame, id_col: str, coords: Sequence[str], dista
     return near.where(F.col("gap") <= distance)
 
 
-def local_g(points: DataFrame, id_col: str, coords: Sequence[str], value: str, k: int) -> DataFrame:
-    """Local G z-score with equal weights on the k nearest others; null where the variance is 0.
+def local_g(points: DataFrame, id_col: str, coords: Sequence[str], values: Sequence[str], k: int) -> DataFrame:
+    """Local G z-score of each measure with equal weights on the k nearest others, and its class.
 
-    Values are taken about their mean, which keeps the variance of close values exact.
+    One neighbour search serves all measures.  Values are taken about their mean, which keeps the
+    variance of close values exact; without variance the score is null.
     """
-    usable = points.dropna(subset=[id_col, *coords, value])
-    n, centre, variance_all = usable.agg(F.count(value), F.avg(value), F.var_pop(value)).first()
-    centred = usable.withColumn("_v", F.col(value) - F.lit(centre))
-    squares = n * (variance_all or 0.0)
+    usable = points.dropna(subset=[id_col, *coords, *values])
+    totals = usable.agg(F.count(F.lit(1)), *[f(v) for v in values for f in (F.avg, F.var_pop)]).first()
+    n, moments = totals[0], totals[1:]
+    own = [f"_v{i}" for i in range(len(values))]
+    centred = usable.select(id_col, *coords, *values).withColumns(
+        {c: F.col(v) - F.lit(moments[2 * i]) for i, (c, v) in enumerate(zip(own, values))}
+    )
     lags = (
-        nearest_neighbours(centred, id_col, coords, k, carry=["_v"])
-        .groupBy(id_col, *coords, value, "_v")
-        .agg(F.avg("nbr__v").alias("_lag"), F.count(F.lit(1)).alias("_k"))
+        nearest_neighbours(centred, id_col, coords, k, carry=own)
+        .groupBy(id_col, *coords, *values, *own)
+        .agg(F.count(F.lit(1)).alias("_k"), *[F.avg(f"nbr_{c}").alias(f"_lag{c}") for c in own])
     )
-    mean = F.try_divide(-F.col("_v"), F.lit(float(n - 1)))
-    square = F.try_divide(squares - F.col("_v") * F.col("_v"), F.lit(float(n - 1)))
-    variance = square - mean * mean
     factor = F.try_divide((n - 1) / F.col("_k") - 1, F.lit(float(n - 2)))
-    spread = F.sqrt(F.when(variance * factor > 1e-12 * square, variance * factor))
-    return lags.select(
-        id_col, *coords, value, F.try_divide(F.col("_lag") - mean, spread).alias("z")
-    ).withColumn("spot", hot_cold(F.col("z")))
+    scores = {}
+    for i, (c, v) in enumerate(zip(own, values)):
+        others = F.lit(float(n - 1))
+        mean = F.try_divide(-F.col(c), others)
+        square = F.try_divide(n * (moments[2 * i + 1] or 0.0) - F.col(c) * F.col(c), others)
+        variance = (square - mean * mean) * factor
+        spread = F.sqrt(F.when(variance > 1e-12 * square, variance))
+        scores[f"z_{v}"] = F.try_divide(F.col(f"_lag{c}") - mean, spread)
+    scored = lags.withColumns(scores).select(id_col, *coords, *values, *scores)
+    return scored.withColumns({f"spot_{v}": hot_cold(F.col(f"z_{v}")) for v in values})
 
 
 def points_in_polygons(

@@ -8,11 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citegrain.operators.durable import durable
-from citegrain.operators.skew import skew_join
-
-
-# Two numbers per row: a lookup table of this many rows stays near 2 MB.
-BROADCAST_ROWS = 100_000
+from citegrain.operators.skew import BROADCAST_ROWS, skew_join
 
 
 def grouped_means(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

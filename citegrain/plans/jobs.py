@@ -12,7 +12,8 @@ from citegrain import constants as c
 from citegrain.functions.values import parse_date, yes_no
 from citegrain.operators import columns as cols
 from citegrain.operators import lookups, measures
-from citegrain.operators.spatial import points_in_polygons
+from citegrain.operators.regression import TagModel, cross_section, fit_tag_model
+from citegrain.operators.spatial import local_g, points_in_polygons, shift_repeats
 from citegrain.sources.files import LATIN_1, read_extracts, read_text_columns, write_table
 
 
@@ -108,3 +109,30 @@ def tract_health(
         .drop("_tract")
     )
     return points_in_polygons(described, facilities, "geoid", "wkt", "lon", "lat").drop("wkt")
+
+
+def senior_population(estimates: DataFrame, drop_states=c.NON_CONTIGUOUS_STATES) -> DataFrame:
+    """Population 65+ per tract and race group, contiguous states only."""
+    kept = estimates.where(
+        F.col("variable").isin(*c.SENIOR_VARIABLES) & ~F.substring("GEOID", 1, 2).isin(*drop_states)
+    )
+    return lookups.population_by_group(kept)
+
+
+def hot_spots(
+    facility_years: DataFrame, year: int, measures_: Sequence[str] = ("no_of_tags_peryear", "severe_tags_applied"), k: int = 20
+) -> DataFrame:
+    """Local hot and cold spots of one year; facilities sharing a position are moved apart first."""
+    columns = ["facility_id", "lat", "lon", *measures_]
+    rows = facility_years.where(F.col("insp_year") == year).select(*columns).dropna()
+    numbered = rows.withColumn("_n", F.abs(F.xxhash64("facility_id") % 1_000_003))
+    apart = shift_repeats(numbered, "facility_id", ["lat", "lon"], by="_n").drop("_n")
+    return local_g(apart, "facility_id", ["lat", "lon"], list(measures_), k)
+
+
+def tag_regression(facility_years: DataFrame, year: int = 2022) -> TagModel:
+    """Tag-count regression on the cross-section of one year."""
+    label = "no_of_tags_peryear"
+    columns = ["facility_id", "state", label, *c.REGRESSION_NUMERIC, *c.REGRESSION_CATEGORICAL]
+    section = cross_section(facility_years, year, columns)
+    return fit_tag_model(section, label, c.REGRESSION_NUMERIC, c.REGRESSION_CATEGORICAL, "state", ["facility_id"])

@@ -117,3 +117,34 @@ def test_typed_extract(spark):
         "facility_id": "045267", "zip": "00123", "filedate": datetime.date(2019, 5, 1), "ccrc_facil": False,
         "bedcert": 12.0, "deficiency_tag": 1.0,
     }
+
+
+def test_senior_population(spark):
+    df = spark.createDataFrame(
+        [("01001", "B01001A_014", 5.0), ("01001", "B01001G_031", 2.0), ("01001", "B01001A_003", 9.0),
+         ("02001", "B01001A_014", 7.0)],
+        "GEOID string, variable string, estimate double",
+    )
+    got = {(r.GEOID, r.race): r.poptot for r in jobs.senior_population(df).collect()}
+    assert got == {("01001", "white"): 5.0, ("01001", "non-white"): 2.0}
+
+
+def test_hot_spots_and_regression_jobs(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = []
+    for i in range(120):
+        corner = i < 30
+        lat, lon = (30.0, -85.0) if i in (40, 41) else (30 + rng.random() * (1 if corner else 9), -85 - rng.random() * 9)
+        tags = 30 + rng.random() if corner and lon > -88 else rng.random() * 5
+        rows.append((f"{i:05d}", 2022, rng.choice(["AL", "TX"]), lat, lon, tags, rng.random(), "Y" if i % 2 else "N",
+                     rng.choice(["a", "b"]), *[rng.random() for _ in c.REGRESSION_NUMERIC if _ != "severe_tags_applied"]))
+    names = ["facility_id", "insp_year", "state", "lat", "lon", "no_of_tags_peryear", "severe_tags_applied",
+             "resfamcouncil", "ownership", *[n for n in c.REGRESSION_NUMERIC if n != "severe_tags_applied"]]
+    table = spark.createDataFrame(rows, names)
+    spots = jobs.hot_spots(table, 2022, k=5).collect()
+    assert len(spots) == 120 and {"red"} <= {r.spot_no_of_tags_peryear for r in spots}
+    assert len({(r.lat, r.lon) for r in spots}) == 120
+    model = jobs.tag_regression(table)
+    assert model.coefficients().count() == 1 + len(c.REGRESSION_NUMERIC) + 2 + 1

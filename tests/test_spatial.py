@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citegrain.functions import geometry as g
+from citegrain.operators import skew
 from citegrain.operators import spatial as sp
 
 
@@ -45,7 +46,9 @@ def cloud(kind, seed=5):
 
 
 @pytest.mark.parametrize("kind", ["uniform", "crowded", "copies", "few", "same", "line"])
-def test_nearest_neighbours_match_brute_force(spark, kind):
+@pytest.mark.parametrize("small_key", [skew.SMALL_KEY, 0])
+def test_nearest_neighbours_match_brute_force(spark, monkeypatch, kind, small_key):
+    monkeypatch.setattr(skew, "SMALL_KEY", small_key)  # 0 splits every key above its share
     points = cloud(kind)
     df = spark.createDataFrame(points, "id int, lon double, lat double")
     rows = sp.nearest_neighbours(df, "id", ["lon", "lat"], 6).collect()
@@ -78,7 +81,7 @@ def test_local_g_matches_formula(spark):
     rng = np.random.default_rng(3)
     pts = [(i, float(x), float(y), float(v)) for i, (x, y, v) in enumerate(rng.normal(size=(60, 3)))]
     df = spark.createDataFrame(pts, "id int, lon double, lat double, v double")
-    got = {r["id"]: r["z"] for r in sp.local_g(df, "id", ["lon", "lat"], "v", 5).collect()}
+    got = {r["id"]: r["z_v"] for r in sp.local_g(df, "id", ["lon", "lat"], ["v"], 5).collect()}
     v = np.array([p[3] for p in pts])
     n = len(v)
     for i, nbrs in brute_knn([p[:3] for p in pts], 5).items():
@@ -90,11 +93,13 @@ def test_local_g_matches_formula(spark):
 
 def test_local_g_without_variance_is_null(spark):
     df = spark.createDataFrame([(i, float(i), 0.0, 4.0) for i in range(8)], "id int, lon double, lat double, v double")
-    rows = sp.local_g(df, "id", ["lon", "lat"], "v", 2).collect()
-    assert len(rows) == 8 and all(r["z"] is None and r["spot"] is None for r in rows)
+    rows = sp.local_g(df, "id", ["lon", "lat"], ["v"], 2).collect()
+    assert len(rows) == 8 and all(r["z_v"] is None and r["spot_v"] is None for r in rows)
 
 
-def test_points_in_polygons(spark):
+@pytest.mark.parametrize("small_key", [skew.SMALL_KEY, 0])
+def test_points_in_polygons(spark, monkeypatch, small_key):
+    monkeypatch.setattr(skew, "SMALL_KEY", small_key)
     polygons = spark.createDataFrame(
         [
             ("sq", "POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0))"),

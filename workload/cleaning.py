@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citegrain.functions import values as val
+from citegrain.functions.geometry import in_box
 from citegrain.operators import columns as cols
 from citegrain.operators import lookups, measures, rows, summaries
 from citegrain.operators.spatial import valid_points
@@ -51,8 +52,8 @@ def suspects(spark, sf_dir):
 @query(f"""WITH {COORDINATES} SELECT facility_id, round(lon, 6) AS lon, round(lat, 6) AS lat FROM geo
 WHERE lon BETWEEN -97.0 AND -90.0 AND lat BETWEEN 35.0 AND 39.5""")
 def bbox_points(spark, sf_dir):
-    box = F.col("lon").between(-97.0, -90.0) & F.col("lat").between(35.0, 39.5)
-    points = valid_points(v.coordinates(spark, sf_dir)).where(box)
+    box = {"lon": (-97.0, -90.0), "lat": (35.0, 39.5)}
+    points = valid_points(v.coordinates(spark, sf_dir)).where(in_box(F.col("lon"), F.col("lat"), box))
     return points.select("facility_id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
@@ -225,10 +226,7 @@ def geo_merge(spark, sf_dir):
 
 
 def positions(spark, sf_dir):
-    cited = v.citations(spark, sf_dir).drop("eventid", "scope_severity")
-    extract = lookups.coordinate_extract(
-        lookups.with_coordinates(cited, v.coordinates(spark, sf_dir).drop("x"))
-    )
+    extract = lookups.coordinate_extract(v.citations(spark, sf_dir), v.coordinates(spark, sf_dir))
     return extract.withColumns({c: F.round(c, 6) for c in ("lat", "lon")})
 
 

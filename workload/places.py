@@ -41,20 +41,20 @@ def knn(spark, sf_dir):
 
 @query(f"WITH {LOCAL_G} SELECT facility_id, x, round(z, 6) AS z FROM g")
 def local_g(spark, sf_dir):
-    scored = spatial.local_g(v.coordinates(spark, sf_dir), "facility_id", XY, "x", K)
-    return scored.select("facility_id", "x", F.round("z", 6).alias("z"))
+    scored = spatial.local_g(v.coordinates(spark, sf_dir), "facility_id", XY, ["x"], K)
+    return scored.select("facility_id", "x", F.round("z_x", 6).alias("z"))
 
 
 @query(f"WITH {LOCAL_G} SELECT {CLASS} AS spot, count(*) AS n FROM g GROUP BY ALL")
 def hotspot_class(spark, sf_dir):
-    scored = spatial.local_g(v.coordinates(spark, sf_dir), "facility_id", XY, "x", K)
-    return summaries.value_counts(scored, "spot")
+    scored = spatial.local_g(v.coordinates(spark, sf_dir), "facility_id", XY, ["x"], K)
+    return summaries.value_counts(scored.select(F.col("spot_x").alias("spot")), "spot")
 
 
 @query(f"WITH {LOCAL_G} SELECT round(corr(x, z), 6) AS correlation FROM g")
 def g_correlation(spark, sf_dir):
-    scored = spatial.local_g(v.coordinates(spark, sf_dir), "facility_id", XY, "x", K)
-    return scored.agg(F.round(F.corr("x", "z"), 6).alias("correlation"))
+    scored = spatial.local_g(v.coordinates(spark, sf_dir), "facility_id", XY, ["x"], K)
+    return scored.agg(F.round(F.corr("x", "z_x"), 6).alias("correlation"))
 
 
 @query(f"WITH {METRES} SELECT facility_id, CAST(rank AS INT) AS rank, round(metres, 3) AS metres FROM near")
