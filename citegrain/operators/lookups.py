@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citegrain.functions.values import substring_label
-from citegrain.operators.measures import FACILITY_YEAR, facility_year_measures
+from citegrain.operators.measures import facility_year_measures
 from citegrain.operators.skew import lookup_join
 
 
@@ -118,11 +118,13 @@ def population_by_group(
 def facility_year_quality(citations: DataFrame, **options) -> DataFrame:
     """Facility-year measures with the facility and inspection counts of their state and year.
 
-    The state totals sum the measures, so both sides of the join read one shuffle.
+    The state totals sum the measures, so both sides of the join read one shuffle.  They count an
+    unknown facility as one; its own row is left out by an aggregated mark, because a filter on the
+    key would sink into one side's scan and part the two.
     """
     measures = facility_year_measures(citations, **options)
     totals = measures.groupBy("state", "insp_year").agg(
         F.count(F.lit(1)).alias("count_nh_insp_st_yr"),
         F.sum("fac_times_inspected").alias("count_events_st_yr"),
     )
-    return measures.dropna(subset=list(FACILITY_YEAR)).join(totals, ["state", "insp_year"], "left")
+    return measures.where("known_facility").drop("known_facility").join(totals, ["state", "insp_year"])

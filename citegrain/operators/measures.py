@@ -52,6 +52,7 @@ def facility_year_measures(citations: DataFrame, severe=SEVERE_LETTERS) -> DataF
     severe_letter = F.when(is_severe(letter, severe), letter)
     pair = F.when(severe_letter.isNotNull(), F.concat_ws("-", tag, letter))
     return reduced.groupBy(*FACILITY_YEAR).agg(
+        F.bool_or(F.col("facility_id").isNotNull()).alias("known_facility"),
         F.count_if("is_event").alias("fac_times_inspected"),
         F.size(F.collect_set(F.when(~F.col("is_event"), F.struct(tag)))).cast("bigint").alias(
             "no_of_tags_peryear"

@@ -13,9 +13,10 @@ from citegrain.sources.schemas import all_text
 LATIN_1 = "ISO-8859-1"
 
 
-def read_table(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Parquet file or folder."""
-    return spark.read.parquet(*([path] if isinstance(path, str) else path))
+def read_table(spark: SparkSession, path: str | Sequence[str], schema: str | T.StructType | None = None) -> DataFrame:
+    """Parquet file or folder; a declared schema saves looking into the files first."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(*([path] if isinstance(path, str) else path))
 
 
 def read_text_columns(

@@ -48,13 +48,13 @@ def test_row_order_and_partitions_do_not_matter(spark, cited):
     assert sorted(map(str, lookups.facility_year_quality(other).collect())) == expected
 
 
-def test_state_totals_share_the_measure_shuffle(spark):
-    from workload import views
-
-    table = lookups.facility_year_quality(views.citations(spark, "/root/testdata/sf0.001"))
+def test_state_totals_share_the_measure_shuffle(spark, cited, tmp_path):
+    cited.write.parquet(str(tmp_path / "cited"))
+    table = lookups.facility_year_quality(spark.read.parquet(str(tmp_path / "cited")))
     table.collect()
-    plan = table._jdf.queryExecution().executedPlan().toString()
-    assert "ReusedExchange" in plan
+    plan = table._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    shared = [line for line in plan.splitlines() if "ReusedExchange" in line and "is_event" in line]
+    assert len(shared) == 1 and plan.count("FileScan") == 1
 
 
 def test_distinct_counts_keep_null_values(cited):

@@ -236,7 +236,7 @@ def coords_inner(spark, sf_dir):
     table = measures.facility_year_measures(v.citations(spark, sf_dir), v.SEVERE_TYPES)
     places = v.inspected_orders(spark, sf_dir, state=False).join(v.coordinates(spark, sf_dir), "facility_id")
     places = places.withColumn("insp_year", F.col("insp_year").cast("string"))
-    joined = lookups.inner_coordinates(table.drop("list_tags", "scope_list", "severe_pairs"), places)
+    joined = lookups.inner_coordinates(table.drop("known_facility", "list_tags", "scope_list", "severe_pairs"), places)
     return joined.withColumns({c: F.round(c, 6) for c in ("lat", "lon")})
 
 

@@ -264,7 +264,7 @@ def histogram(spark, sf_dir):
   round(avg(no_of_tags_peryear), 6) AS mean_no_of_tags_peryear,
   round(avg(severe_tags_applied), 6) AS mean_severe_tags_applied FROM fy GROUP BY state""")
 def numeric_means(spark, sf_dir):
-    return rounded(summaries.numeric_means(fy(spark, sf_dir).drop("facility_id"), ["state"]))
+    return rounded(summaries.numeric_means(fy(spark, sf_dir).drop("facility_id", "known_facility"), ["state"]))
 
 
 @query(f"WITH {MEASURES} SELECT insp_year = 2000 AS covid, count(*) AS n FROM fy GROUP BY ALL")
@@ -277,6 +277,6 @@ def period_flag_counts(spark, sf_dir):
   round(aidhrd, 6) AS aidhrd, round(rnhrd, 6) AS rnhrd FROM fy LEFT JOIN prov USING (facility_id, insp_year)""")
 def provider_merge(spark, sf_dir):
     merged = lookups.merge_providers(
-        fy(spark, sf_dir).drop("list_tags", "scope_list", "severe_pairs"), v.provider_info(spark, sf_dir)
+        fy(spark, sf_dir).drop("known_facility", "list_tags", "scope_list", "severe_pairs"), v.provider_info(spark, sf_dir)
     )
     return merged.withColumns({c: F.round(c, 6) for c in ("bedcert", "restot", "aidhrd", "rnhrd")})
