@@ -24,7 +24,11 @@ from citegrain.operators.durable import durable
 from citegrain.operators.rows import repeat_flag
 from citegrain.operators.skew import skew_join
 
-MAX_LEVEL = 16
+MAX_LEVEL = 24
+# Every second level is counted when looking for a place's smallest well-filled cell.
+COUNTED_LEVELS = f"sequence(0, {MAX_LEVEL}, 2)"
+# Up to this many points the diagonal of that cell is a good enough reach; beyond, it is refined.
+PLAIN_SEARCH_ROWS = 20_000
 
 
 def valid_points(df: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
@@ -110,11 +114,11 @@ def nearest_neighbours(
     `nbr_<c>` for the coordinates and every carried column.
 
     Points at one place share one search, and a place shows at most its k+1 smallest ids as
-    candidates, which no ranking can look past; so copies cost nothing.  The search reach of a place
-    comes from the smallest cell around it holding k+1 candidates: they all lie within the far corner
-    of their bounding box.  A place then meets the candidates of the cells its reach touches.  Only
-    places in thinly filled cells search coarse cells, so crowded cells are read by few searches, and
-    the join splits crowded cells.
+    candidates, which no ranking can look past; so copies cost nothing.  The smallest cell around a
+    place that holds k+1 candidates bounds its reach, first by the cell's diagonal, then by the k+1st
+    distance inside that cell.  The place then meets the candidates of the cells its reach touches.
+    Only places in thinly filled cells look at coarse cells, so crowded cells are read by few
+    searches, and the joins split crowded cells.
     """
     coords, carry = list(coords), list(carry)
     located = points.dropna(subset=[id_col, *coords])
@@ -128,40 +132,47 @@ def nearest_neighbours(
         )
     )
     places = candidates.where("_n = 1").select(F.col("nbr").alias("_place"), *coords, *grid.units)
-
-    every_level = f"sequence(0, {MAX_LEVEL})"
     rows = grid.rows * (MAX_LEVEL + 1)
-    corners = [f"{end}({u}) AS {end}{u}" for u in grid.units for end in ("min", "max")]
-    boxes = (
-        grid.at_levels(candidates, every_level)
-        .groupBy(*grid.keys)
-        .agg(F.count(F.lit(1)).alias("n"), *map(F.expr, corners))
+    counts = (
+        grid.at_levels(candidates, COUNTED_LEVELS).groupBy(*grid.keys).agg(F.count(F.lit(1)).alias("n"))
     )
-    filled = boxes.where(F.col("n") > k).drop("n")
-    far = " + ".join(f"pow(greatest({u} - min{u}, max{u} - {u}), 2)" for u in grid.units)
-    sizes = boxes.select(*grid.keys, "n")
-    found = (
-        skew_join(grid.at_levels(places, every_level), filled, grid.keys, "inner", ["_place"], sizes, rows=rows)
+    filled = counts.where(F.col("n") > k).drop("n")
+    smallest = (
+        skew_join(grid.at_levels(places, COUNTED_LEVELS), filled, grid.keys, "inner", ["_place"], counts, rows=rows)
         .groupBy("_place")
-        .agg(F.expr(f"sqrt(min({far})) AS _reach"))
+        .agg(F.max("_level").alias("_level"))
     )
-    # widened a little so that rounding cannot lose a neighbour at the rim; a set of k points or
-    # fewer has no filled cell and is searched whole
-    widened = F.expr(f"coalesce(_reach * (1 + 1e-9D) + 1e-12D, {2.0 * len(coords)}D)")
-    searches = durable(
-        places.join(found, "_place", "left")
-        .withColumn("_reach", widened)
-        .withColumn("_level", F.expr(level_for("_reach")))
+    # a set of k points or fewer has no filled cell and is searched whole
+    diagonal = F.expr(f"coalesce({len(coords) ** 0.5!r}D * pow(2D, -_level), {2.0 * len(coords)}D)")
+    homes = places.join(smallest, "_place", "left").select(
+        *places.columns, F.expr("coalesce(_level, 0) AS _level"), diagonal.alias("_reach")
     )
-
     wanted = [f"nbr_{c}" for c in (*coords, *carry)]
     targets = candidates.drop("_n").withColumnsRenamed({c: f"nbr_{c}" for c in (*coords, *carry)})
-    target_cells = grid.at_levels(targets, levels_in_use(searches, "_level")).drop(*grid.units)
-    search_cells = grid.cover(searches, grid.around("_reach")).drop(*grid.units)
-    met = skew_join(target_cells, search_cells, grid.keys, "inner", ["nbr"], sizes, rows=rows)
-    near = met.withColumn("_gap2", F.expr(grid.gap2())).where(f"sqrt(_gap2) / {grid.span!r}D <= _reach")
-    in_search = Window.partitionBy("_place").orderBy("_gap2", "nbr")
-    ranked = near.withColumn("_rank", F.row_number().over(in_search)).where(F.col("_rank") <= k + 1)
+
+    def meet(searching: DataFrame, spans: list[tuple[str, str]]) -> DataFrame:
+        """The k+1 best candidates of every place within its reach and its cells."""
+        target_cells = grid.at_levels(targets, levels_in_use(searching, "_level")).drop(*grid.units)
+        search_cells = grid.cover(searching, spans).drop(*grid.units)
+        met = skew_join(target_cells, search_cells, grid.keys, "inner", ["nbr"], rows=rows)
+        near = met.withColumn("_gap2", F.expr(grid.gap2())).where(f"sqrt(_gap2) / {grid.span!r}D <= _reach")
+        in_search = Window.partitionBy("_place").orderBy("_gap2", "nbr")
+        return near.withColumn("_rank", F.row_number().over(in_search)).where(F.col("_rank") <= k + 1)
+
+    homes = durable(homes)
+    if grid.rows > PLAIN_SEARCH_ROWS:
+        inside_home = meet(homes, [(u, u) for u in grid.units])
+        last = inside_home.where(F.col("_rank") == k + 1).select(
+            "_place", F.expr(f"sqrt(_gap2) / {grid.span!r}D AS _last")
+        )
+        homes = durable(
+            homes.join(last, "_place", "left").withColumn("_reach", F.expr("coalesce(_last, _reach)")).drop("_last")
+        )
+    # widened a little so that rounding cannot lose a neighbour at the rim
+    searches = homes.withColumn("_reach", F.expr("_reach * (1 + 1e-9D) + 1e-12D")).withColumn(
+        "_level", F.expr(level_for("_reach"))
+    )
+    ranked = meet(searches, grid.around("_reach"))
     entry = F.struct("_rank", "nbr", F.sqrt("_gap2").alias("gap"), *wanted)
     lists = ranked.groupBy("_place", *coords).agg(F.array_sort(F.collect_list(entry)).alias("_near"))
 

@@ -49,6 +49,7 @@ def cloud(kind, seed=5):
 @pytest.mark.parametrize("small_key", [skew.SMALL_KEY, 0])
 def test_nearest_neighbours_match_brute_force(spark, monkeypatch, kind, small_key):
     monkeypatch.setattr(skew, "SMALL_KEY", small_key)  # 0 splits every key above its share
+    monkeypatch.setattr(sp, "PLAIN_SEARCH_ROWS", small_key)  # 0 refines every reach
     points = cloud(kind)
     df = spark.createDataFrame(points, "id int, lon double, lat double")
     rows = sp.nearest_neighbours(df, "id", ["lon", "lat"], 6).collect()
