@@ -49,18 +49,17 @@ def facility_year_measures(citations: DataFrame, severe=SEVERE_LETTERS) -> DataF
     )
     reduced = citations.select(*FACILITY_YEAR, F.inline(kinds)).distinct()
     tag, letter = F.col("deficiency_tag"), F.col("scope_severity")
-    severe_letter = F.when(is_severe(letter, severe), letter)
-    pair = F.when(severe_letter.isNotNull(), F.concat_ws("-", tag, letter))
+    tags, letters = F.collect_set(tag), F.collect_set(letter)
+    unknown_tag = F.max(F.when(~F.col("is_event"), tag.isNull().cast("int")).otherwise(0))
+    severe_pair = F.when(is_severe(letter, severe) & tag.isNotNull(), F.concat_ws("-", tag, letter))
     return reduced.groupBy(*FACILITY_YEAR).agg(
         F.bool_or(F.col("facility_id").isNotNull()).alias("known_facility"),
         F.count_if("is_event").alias("fac_times_inspected"),
-        F.size(F.collect_set(F.when(~F.col("is_event"), F.struct(tag)))).cast("bigint").alias(
-            "no_of_tags_peryear"
-        ),
-        F.size(F.collect_set(severe_letter)).cast("bigint").alias("severe_tags_applied"),
-        F.array_sort(F.collect_set(tag)).alias("list_tags"),
-        F.array_sort(F.collect_set(letter)).alias("scope_list"),
-        F.array_sort(F.collect_set(F.when(tag.isNotNull(), pair))).alias("severe_pairs"),
+        (F.size(tags) + unknown_tag).cast("bigint").alias("no_of_tags_peryear"),
+        F.size(F.filter(letters, lambda s: is_severe(s, severe))).cast("bigint").alias("severe_tags_applied"),
+        F.array_sort(tags).alias("list_tags"),
+        F.array_sort(letters).alias("scope_list"),
+        F.array_sort(F.collect_set(severe_pair)).alias("severe_pairs"),
     )
 
 

@@ -77,8 +77,15 @@ def skew_join(
 BROADCAST_ROWS = 100_000
 
 
-def lookup_join(left: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", **options) -> DataFrame:
-    """Join of a lookup table: broadcast once its counted size allows, else a skew-proof shuffle join."""
-    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+def lookup_join(
+    left: DataFrame,
+    table: DataFrame,
+    on: Sequence[str],
+    how: str = "left",
+    most: int = BROADCAST_ROWS,
+    **options,
+) -> DataFrame:
+    """Join of a lookup table: broadcast if it counts `most` rows or fewer, else a skew-proof shuffle join."""
+    if table.limit(most + 1).count() <= most:
         return left.join(F.broadcast(table), list(on), how)
     return skew_join(left, table, on, how, **options)

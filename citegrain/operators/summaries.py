@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citegrain.operators.durable import durable
-from citegrain.operators.skew import BROADCAST_ROWS, skew_join
+from citegrain.operators.skew import BROADCAST_ROWS, lookup_join, skew_join
 
 
 def grouped_means(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -33,13 +33,16 @@ def value_counts(df: DataFrame, column: str, keep_null: bool = False) -> DataFra
 
 
 def histogram(df: DataFrame, value: str, by: Sequence[str] = (), bins: int = 20) -> DataFrame:
-    """Counts in equal-width bins over the overall range; the top edge belongs to the last bin."""
-    rows = df.where(F.col(value).isNotNull())
-    low, high = rows.agg(F.min(value)).scalar(), rows.agg(F.max(value)).scalar()
-    width = (high - low).cast("double") / bins
-    position = F.floor(F.try_divide(F.col(value) - low, width)) + 1
-    bin_ = F.least(F.coalesce(position, F.lit(1)), F.lit(bins)).cast("int")
-    return rows.groupBy(*by, bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    """Counts in equal-width bins over the overall range; the top edge belongs to the last bin.
+
+    Equal values are merged first, so the rows are read once for both the range and the counts.
+    """
+    values = durable(value_copies(df, value, by))
+    low, high = values.agg(F.min(value), F.max(value)).first()
+    width = ((high - low) / bins if low is not None else 0) or 1.0
+    position = F.floor((F.col(value) - F.lit(low)) / F.lit(float(width))) + 1
+    bin_ = F.least(position, F.lit(bins)).cast("int")
+    return values.groupBy(*by, bin_.alias("bin")).agg(F.sum("n").alias("n"))
 
 
 def value_positions(
@@ -68,7 +71,8 @@ def placed_values(values: DataFrame, value: str, by: Sequence[str], buckets: int
     shares = [i / buckets for i in range(1, buckets)]
     cuts = values.groupBy(*by).agg(F.percentile_approx(value, shares, 10 * buckets).alias("_cuts"))
     if by:
-        matched = values.join(cuts, by)
+        # a row of cuts is about a kilobyte wide; with few groups it must not be shuffled to
+        matched = lookup_join(values, cuts, by, "inner", most=5_000)
     else:
         matched = values.withColumn("_cuts", cuts.scalar())
     # binary search for the number of cuts below the value
