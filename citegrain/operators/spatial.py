@@ -51,7 +51,7 @@ class Grid:
         self.units = [f"_u{i}" for i in range(len(self.coords))]
         self.cells = [f"_c{i}" for i in range(len(self.coords))]
         self.keys = ["_level", *self.cells]
-        ends = [f"double({end}({c}))" for end in ("min", "max") for c in self.coords]
+        ends = [f"double({end}(`{c}`))" for end in ("min", "max") for c in self.coords]
         row = points.selectExpr("count(1)", *ends).first()
         self.rows, ends = row[0], [v if v is not None else 0.0 for v in row[1:]]
         self.low, high = ends[: len(self.coords)], ends[len(self.coords) :]
@@ -62,7 +62,7 @@ class Grid:
 
     def place(self, df: DataFrame) -> DataFrame:
         """Add scaled coordinates in [0, 1]."""
-        units = [f"{self.scaled(c, i)} AS {u}" for i, (c, u) in enumerate(zip(self.coords, self.units))]
+        units = [f"{self.scaled(f'`{c}`', i)} AS {u}" for i, (c, u) in enumerate(zip(self.coords, self.units))]
         return df.selectExpr("*", *units)
 
     @staticmethod
@@ -87,7 +87,7 @@ class Grid:
 
     def gap2(self) -> str:
         """Squared distance between a point's and its counterpart's coordinates."""
-        return " + ".join(f"(nbr_{c} - {c}) * (nbr_{c} - {c})" for c in self.coords)
+        return " + ".join(f"(`nbr_{c}` - `{c}`) * (`nbr_{c}` - `{c}`)" for c in self.coords)
 
 
 def level_for(reach: str) -> str:
@@ -180,7 +180,7 @@ def nearest_neighbours(
     others = F.slice(F.filter("_near", lambda e: e["nbr"] != F.col(id_col)), 1, k)
     listed = owned.select(*points.columns, F.posexplode(others).alias("_pos", "_e"))
     return listed.selectExpr(
-        *[f"`{c}`" for c in points.columns], "_pos + 1 AS rank", *[f"_e.{c}" for c in ("nbr", "gap", *wanted)]
+        *[f"`{c}`" for c in points.columns], "_pos + 1 AS rank", *[f"_e.`{c}`" for c in ("nbr", "gap", *wanted)]
     )
 
 
@@ -197,7 +197,7 @@ def band_neighbours(points: DataFrame, id_col: str, coords: Sequence[str], dista
         grid.at_levels(targets, f"array({level})").drop(*grid.units), searches.drop(*grid.units),
         grid.keys, "inner", ["nbr"], rows=grid.rows,
     )
-    near = met.where(F.col(id_col) != F.col("nbr")).selectExpr(id_col, "nbr", f"sqrt({grid.gap2()}) AS gap")
+    near = met.where(F.col(id_col) != F.col("nbr")).selectExpr(f"`{id_col}`", "nbr", f"sqrt({grid.gap2()}) AS gap")
     return near.where(F.col("gap") <= distance)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -27,14 +28,17 @@ def typed_inspections(raw: DataFrame) -> DataFrame:
     return dated.where(F.col("insp_year").between(*c.INGEST_YEARS)).distinct().drop(*c.INGEST_DROPS)
 
 
-def ingest(spark: SparkSession, source: str, target: str) -> None:
-    """CSV extract to parquet, one folder per year so that year filters skip the rest."""
-    write_table(typed_inspections(read_text_columns(spark, source, multi_line=True)), target, by=["insp_year"])
+def ingest(spark: SparkSession, source: str, target: str, multi_line: bool = False) -> None:
+    """CSV extract to parquet, one folder per year so that year filters skip the rest.
 
+    Only files with line breaks inside quotes need `multi_line`; they cannot be split over tasks.
+    """
+    raw = read_text_columns(spark, source, multi_line=multi_line)
+    write_table(typed_inspections(raw), target, by=["insp_year"])
 
-def provider_year(file: str) -> int | None:
-    import re
 
+def provider_year(file: str) -> int | None:
+    """Year in a provider file name, which tells the era of its column names."""
     found = re.search(r"[0-9]{2,4}", file.rsplit("/", 1)[-1])
     return int(found.group()) if found else None
 

@@ -73,7 +73,7 @@ def test_ingest(spark, tmp_path):
         "02,not a date,880,J,,,,,\n03,,1,B,,,,,\n04,01/01/2013,1,B,,,,,\n"
     )
     target = str(tmp_path / "out")
-    jobs.ingest(spark, str(source), target)
+    jobs.ingest(spark, str(source), target, multi_line=True)
     got = files.read_table(spark, target)
     assert {"IDR", "complaint", "inspection_text"}.isdisjoint(got.columns)
     assert [(r.facility_id, r.inspect_date, r.insp_year) for r in got.collect()] == [

@@ -59,6 +59,13 @@ def test_nearest_neighbours_match_brute_force(spark, monkeypatch, kind, small_ke
     assert got == brute_knn(points, 6)
 
 
+def test_unusual_column_names(spark):
+    df = spark.createDataFrame([(1, 0.0, 0.0), (2, 1.0, 0.0), (3, 5.0, 0.0)], ["my id", "lon deg", "lat deg"])
+    rows = sp.nearest_neighbours(df, "my id", ["lon deg", "lat deg"], 1).collect()
+    assert {r["my id"]: r["nbr"] for r in rows} == {1: 2, 2: 1, 3: 2}
+    assert sp.band_neighbours(df, "my id", ["lon deg", "lat deg"], 1.0).count() == 2
+
+
 def test_great_circle_neighbours_cross_the_date_line(spark):
     points = [(1, 179.9, 0.0), (2, -179.9, 0.0), (3, 170.0, 0.0), (4, 0.0, 89.9), (5, 180.0, 89.9)]
     df = spark.createDataFrame(points, "id int, lon double, lat double")
