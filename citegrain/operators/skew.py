@@ -36,6 +36,7 @@ def skew_join(
     counts: DataFrame | None = None,
     share: int = 200,
     rows: int | None = None,
+    many_matches: bool = False,
 ) -> DataFrame:
     """Join where single keys of `left` may hold a third of all rows.
 
@@ -47,13 +48,20 @@ def skew_join(
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type: {how}")
     on = list(on)
+
+    def joined(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+        if many_matches:
+            number = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            a, b = a.repartition(number, *keys), b.repartition(number, *keys)
+        return a.join(b, keys, how)
+
     if rows is not None and rows <= SMALL_KEY:
-        return left.join(right, on, how)
+        return joined(left, right, on)
     if counts is None:
         counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
     hot = hot_keys(counts, on, share)
     if hot is None:
-        return left.join(right, on, how)
+        return joined(left, right, on)
     some_null = F.lit(False)
     for c in on:
         some_null = some_null | F.col(c).isNull()
@@ -70,7 +78,7 @@ def skew_join(
     copied_right = (
         right.join(F.broadcast(hot), on, "left").withColumn("_slice", F.explode(copies)).drop("_slices")
     )
-    return spread_left.join(copied_right, [*on, "_slice"], how).drop("_slice")
+    return joined(spread_left, copied_right, [*on, "_slice"]).drop("_slice")
 
 
 # Lookup tables up to this many narrow rows (some megabytes) are broadcast.

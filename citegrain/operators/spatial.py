@@ -154,7 +154,7 @@ def nearest_neighbours(
         """The k+1 best candidates of every place within its reach and its cells."""
         target_cells = grid.at_levels(targets, levels_in_use(searching, "_level")).drop(*grid.units)
         search_cells = grid.cover(searching, spans).drop(*grid.units)
-        met = skew_join(target_cells, search_cells, grid.keys, "inner", ["nbr"], rows=rows)
+        met = skew_join(target_cells, search_cells, grid.keys, "inner", ["nbr"], rows=rows, many_matches=True)
         near = met.withColumn("_gap2", F.expr(grid.gap2())).where(f"sqrt(_gap2) / {grid.span!r}D <= _reach")
         in_search = Window.partitionBy("_place").orderBy("_gap2", "nbr")
         return near.withColumn("_rank", F.row_number().over(in_search)).where(F.col("_rank") <= k + 1)
@@ -195,7 +195,7 @@ def band_neighbours(points: DataFrame, id_col: str, coords: Sequence[str], dista
     searches = grid.cover(placed.selectExpr("*", f"{level} AS _level"), grid.around(reach))
     met = skew_join(
         grid.at_levels(targets, f"array({level})").drop(*grid.units), searches.drop(*grid.units),
-        grid.keys, "inner", ["nbr"], rows=grid.rows,
+        grid.keys, "inner", ["nbr"], rows=grid.rows, many_matches=True,
     )
     near = met.where(F.col(id_col) != F.col("nbr")).selectExpr(f"`{id_col}`", "nbr", f"sqrt({grid.gap2()}) AS gap")
     return near.where(F.col("gap") <= distance)
@@ -262,7 +262,9 @@ def points_in_polygons(
     covering = grid.cover(bounded.selectExpr("*", f"{level} AS _level"), ends)
     levels = levels_in_use(bounded, level)
     at_cells = grid.at_levels(grid.place(located), levels).drop(*grid.units)
-    met = skew_join(at_cells, covering, grid.keys, "inner", points.columns, rows=grid.rows * (MAX_LEVEL + 1))
+    met = skew_join(
+        at_cells, covering, grid.keys, "inner", points.columns, rows=grid.rows * (MAX_LEVEL + 1), many_matches=True
+    )
     hit = (
         F.col(lon).between(F.col("_x0"), F.col("_x1"))
         & F.col(lat).between(F.col("_y0"), F.col("_y1"))
