@@ -75,6 +75,7 @@ def backfill(
     in id order, one pass attempts; the rest stay for the passes after it.
     """
     batch = batch or {}
+    shared = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
     filled = rows.withColumns({
         "lon": F.lit(None).cast("double"),
         "lat": F.lit(None).cast("double"),
@@ -90,7 +91,7 @@ def backfill(
             turn = missing.orderBy(id_col).limit(batch[number]).withColumn("_turn", F.lit(True))
             filled = filled.join(turn, id_col, "left")
             tried = tried & F.coalesce(F.col("_turn"), F.lit(False))
-        joined = filled.join(lookup, list(on), "left")
+        joined = lookup_join(filled, lookup, on, spread=[id_col], counts=shared)
         hit = tried & F.col("_hit").isNotNull()
         filled = joined.withColumns({
             "lon": F.when(hit, F.col("_hit.lon")).otherwise(F.col("lon")),

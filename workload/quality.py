@@ -273,10 +273,11 @@ def period_flag_counts(spark, sf_dir):
     return summaries.value_counts(flagged, "covid")
 
 
-@query(f"""WITH {MEASURES}, {PROVIDERS} SELECT fy.*, round(bedcert, 6) AS bedcert, round(restot, 6) AS restot,
-  round(aidhrd, 6) AS aidhrd, round(rnhrd, 6) AS rnhrd FROM fy LEFT JOIN prov USING (facility_id, insp_year)""")
+@query(f"""WITH {MEASURES}, {PROVIDERS} SELECT fy.*, round(bedcert, 8) AS bedcert, round(restot, 8) AS restot,
+  round(aidhrd, 8) AS aidhrd, round(rnhrd, 8) AS rnhrd FROM fy LEFT JOIN prov USING (facility_id, insp_year)""")
 def provider_merge(spark, sf_dir):
     merged = lookups.merge_providers(
         fy(spark, sf_dir).drop("known_facility", "list_tags", "scope_list", "severe_pairs"), v.provider_info(spark, sf_dir)
     )
-    return merged.withColumns({c: F.round(c, 6) for c in ("bedcert", "restot", "aidhrd", "rnhrd")})
+    # averages of cents over 32 rows end in a 5 at the seventh digit, so six digits would round ties
+    return merged.withColumns({c: F.round(c, 8) for c in ("bedcert", "restot", "aidhrd", "rnhrd")})
