@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegrain.llm import crf
-from citegrain.llm.texts import documents, fold, labels
+from citegrain.llm import crf, line_dedup
+from citegrain.llm.texts import documents, fold, labels, whole_text
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +29,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.with_score(docs, chain).select(
         "doc_id", (fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
     )
+
+
+@query()
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the lines that stay and go, and a digest of the text that is left."""
+    result = line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return result.select("doc_id", "lines_kept", "lines_dropped", F.sha2(whole_text(), 256).alias("kept_sha256"))
