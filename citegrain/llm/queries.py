@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegrain.llm import crf, line_dedup
-from citegrain.llm.texts import documents, fold, labels, whole_text
+from citegrain.llm import crf, line_dedup, mixing
+from citegrain.llm.texts import documents, fold, labels, whole_text, word_count
+from citegrain.operators.durable import stored
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +37,14 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: the lines that stay and go, and a digest of the text that is left."""
     result = line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return result.select("doc_id", "lines_kept", "lines_dropped", F.sha2(whole_text(), 256).alias("kept_sha256"))
+
+
+@query()
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its size, its source's size and target, and the words that the mix takes of it."""
+    docs = documents(spark, sf_dir)
+    # texts are read once; what sampling needs of a document is four numbers
+    light = stored(docs.select("doc_id", "source", word_count().alias("size"), mixing.clean_share("text").alias("worth")))
+    mixed = mixing.mix(light, quality=F.col("worth"), size=F.col("size"))
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    return mixed.select("row.doc_id", "size", "source_size", "target", taken, "copies")
