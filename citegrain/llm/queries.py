@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegrain.llm import crf, line_dedup, mixing
+import public_tokenizers
+
+from citegrain.llm import crf, line_dedup, mixing, packing, shingle_join
 from citegrain.llm.texts import documents, fold, labels, whole_text, word_count
 from citegrain.operators.durable import stored
 
@@ -34,9 +36,13 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: the lines that stay and go, and a digest of the text that is left."""
-    result = line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
-    return result.select("doc_id", "lines_kept", "lines_dropped", F.sha2(whole_text(), 256).alias("kept_sha256"))
+    """Per document: its number of lines and the numbers of those that go."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    gone = line_dedup.doubled_lines(docs).groupBy("id").agg(F.sort_array(F.collect_list("pos")).alias("gone"))
+    lines = docs.select("doc_id", F.size(F.split(whole_text(), "\n")).cast("bigint").alias("n_lines"))
+    return lines.join(gone.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
+        "doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_dropped"), "gone"
+    )
 
 
 @query()
@@ -48,3 +54,16 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(light, quality=F.col("worth"), size=F.col("size"))
     taken = (F.col("copies") * F.col("size")).alias("taken")
     return mixed.select("row.doc_id", "size", "source_size", "target", taken, "copies")
+
+
+@query()
+def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per piece: its place in its document and in its sequence."""
+    docs = documents(spark, sf_dir)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).drop("tokens")
+
+
+@query()
+def op8_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the size of its set of five-word shingles and the smallest id it is linked with."""
+    return shingle_join.groups(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
