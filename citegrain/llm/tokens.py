@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
-CACHE_PIECES = 250_000
+CACHE_PIECES = 500_000
+MARKS = ".,!?;:"
+LOWER_AND_BLANK = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\n", b"abcdefghijklmnopqrstuvwxyz ")
 _ENCODERS: dict = {}
 
 
@@ -31,27 +34,48 @@ class Encoder:
         self.old: dict[str, bytes] = {}
 
     def _encode(self, pieces: list[str]) -> None:
-        if len(self.young) + len(pieces) > CACHE_PIECES:
-            self.old, self.young = self.young, {}
         encoded = self.tokenizer.encode_batch(pieces, add_special_tokens=False)
         for piece, e in zip(pieces, encoded):
-            self.young[piece] = b"".join([i.to_bytes(4, "little") for i in e.ids])
+            self.young[piece] = array("I", e.ids).tobytes()
 
-    def _joined(self, pieces: list[str]) -> bytes:
-        young, old = self.young, self.old
-        missing = [p for p in set(pieces) if p not in young]
-        found = {p: old[p] for p in missing if p in old}
-        young.update(found)
-        self._encode([p for p in missing if p not in found])
+    def _learn(self, missing: set[str]) -> None:
+        """Encode the pieces that are in neither cache; one mark after a letter is a token of its own."""
+        if len(self.young) + len(missing) > CACHE_PIECES:
+            self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        return b"".join([young[p] if p in young else old[p] for p in pieces])
+        new, ended = [], []
+        for piece in missing:
+            if piece in old:
+                young[piece] = old[piece]
+            elif len(piece) > 1 and piece[-1] in MARKS and piece[-2].isalpha():
+                ended.append(piece)
+            else:
+                new.append(piece)
+        stems = {p[:-1] for p in ended}.union(p[-1] for p in ended).difference(young, new)
+        for stem in [s for s in stems if s in old]:
+            young[stem] = old[stem]
+            stems.discard(stem)
+        self._encode([*new, *stems])
+        for piece in ended:
+            young[piece] = young[piece[:-1]] + young[piece[-1]]
+
+    def _joined(self, pieces: list[str]) -> bytes:
+        missing = set(pieces).difference(self.young)
+        if missing:
+            before = self.young
+            self._learn(missing)
+            if self.young is not before:  # the cache was turned over: bring back the pieces of this text
+                self._learn(set(pieces).difference(self.young))
+        return b"".join(map(self.young.__getitem__, pieces))
 
     def ids(self, text: str) -> bytes:
         """The ids of a text as little-endian 32-bit integers."""
         if not text:
             return b""
         if self.words:
-            return self._joined(text.replace("\n", " ").split(" "))
+            # the tokenizer lower-cases; doing so for A-Z before makes fewer pieces
+            plain = text.encode("utf-8", "surrogatepass").translate(LOWER_AND_BLANK).decode("utf-8", "surrogatepass")
+            return self._joined(plain.split(" "))
         if self._odd.search(text):
             # runs of white space: cut only before a blank between two other characters
             return self._joined(re.split(r"(?<=\S)(?= \S)", text))
