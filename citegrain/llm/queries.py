@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from citegrain.llm import crf, line_dedup, mixing, packing, shingle_join
+from citegrain.llm import crf, grammar_store, line_dedup, mixing, packing, shingle_join
 from citegrain.llm.texts import documents, fold, labels, whole_text, word_count
 from citegrain.operators.durable import stored
 
@@ -67,3 +67,10 @@ def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: the size of its set of five-word shingles and the smallest id it is linked with."""
     return shingle_join.groups(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op10_grammar_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document, from the compressed files: its place among all ids, its number of ids and their checksum."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return grammar_store.read(grammar_store.write(documents(spark, sf_dir), path, end_id=0, first_free=50257))
