@@ -45,22 +45,54 @@ def occurrences(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     ).withColumn("key", F.unhex(F.md5("norm")))
 
 
-def similar_lines(lines: DataFrame, similarity: float) -> DataFrame:
-    """Verified links between distinct lines (n, norm): (a, b)."""
-    hashes = lines.select("n", F.explode(shingles("norm")).alias("h"))
-    least = [F.min(F.xxhash64("h", F.lit(j))).alias(f"m{j}") for j in range(BANDS * ROWS)]
-    signed = hashes.groupBy("n").agg(*least)
+def signatures(found: DataFrame) -> DataFrame:
+    """One row per distinct line, with the first place it stands at, a number, and its bands' buckets.
+
+    Copies merge here: they have the same hashes, so that partial aggregates of a task hold one row each,
+    and no text is shuffled.
+    """
+    hashes = found.select("key", "place", F.explode(shingles("norm")).alias("h"))
+    least = [F.min(F.shiftrightunsigned(F.xxhash64("h", F.lit(j)), 32)).alias(f"m{j}") for j in range(BANDS * ROWS)]
+    signed = hashes.groupBy("key").agg(F.min("place").alias("place"), *least)
     keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    banded = signed.select("n", F.explode(F.array(*keys)).alias("bucket"))
+    return signed.select(F.monotonically_increasing_id().alias("n"), "key", "place", F.array(*keys).alias("buckets"))
+
+
+def candidates(lines: DataFrame) -> DataFrame:
+    """Pairs (a, b) of line numbers: each member of a bucket with its smallest and its largest member."""
+    banded = lines.select("n", F.explode("buckets").alias("bucket"))
     ends = banded.groupBy("bucket").agg(F.min("n").alias("low"), F.max("n").alias("high")).where("low < high")
     met = banded.join(ends, "bucket").select("n", F.explode(F.array("low", "high")).alias("other"))
     pairs = met.where("n != other").select(F.least("n", "other").alias("a"), F.greatest("n", "other").alias("b"))
-    pairs = pairs.distinct()
-    both = pairs.join(lines.select(F.col("n").alias("a"), F.col("norm").alias("na")), "a").join(
-        lines.select(F.col("n").alias("b"), F.col("norm").alias("nb")), "b"
+    return pairs.distinct()
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """(n, s): the shingle sets of the lines of `wanted` (n, key, place), taken from the documents."""
+    pos = F.pmod("place", F.lit(LINE_BITS).cast("decimal(11,0)"))
+    where = wanted.select("n", "key", pos.cast("int").alias("pos"), "place").withColumn(
+        "id", ((F.col("place") - F.col("pos")) / F.lit(LINE_BITS).cast("decimal(11,0)")).cast("bigint")
+    )
+    lists = where.groupBy("id").agg(F.collect_list(F.struct("n", "key", "pos")).alias("wanted"))
+    texts = docs.select(F.coalesce(doc_id, F.lit(LAST_ID)).alias("id"), F.split(whole_text(text), "\n").alias("pieces"))
+
+    def line(w: Column) -> Column:
+        return F.trim(F.lower(F.get("pieces", w["pos"])))
+
+    found = texts.join(lists, "id").select(
+        F.explode(F.transform("wanted", lambda w: F.struct(w["n"].alias("n"), w["key"].alias("key"), line(w).alias("norm"))))
+        .alias("w")
+    )
+    # where an id repeats, the row that holds the line itself counts
+    found = found.select("w.*").where(F.unhex(F.md5("norm")) == F.col("key"))
+    return found.select("n", F.array_distinct(shingles("norm")).alias("s"))
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sets have at least the Jaccard similarity."""
+    both = pairs.join(sets.select(F.col("n").alias("a"), F.col("s").alias("sa")), "a").join(
+        sets.select(F.col("n").alias("b"), F.col("s").alias("sb")), "b"
     )
-    sets = [F.array_distinct(shingles(c)).alias(s) for c, s in (("na", "sa"), ("nb", "sb"))]
-    both = both.select("a", "b", *sets)
     shared = F.size(F.array_intersect("sa", "sb"))
     enough = shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)
     return both.where(enough).select("a", "b")
@@ -69,16 +101,16 @@ def similar_lines(lines: DataFrame, similarity: float) -> DataFrame:
 def doubled_lines(docs: DataFrame, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Lines that go: (id, pos, kept_place), one row each."""
     found = occurrences(docs, text, doc_id)
-    merged = found.groupBy("key").agg(F.min("place").alias("place"), F.max("norm").alias("norm"))
-    lines = stored(merged.withColumn("n", F.monotonically_increasing_id()))
-    roots = components(similar_lines(lines.select("n", "norm"), similarity))
+    lines = stored(signatures(found))
+    pairs = stored(candidates(lines))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct()
+    wanted = wanted.join(lines.select("n", "key", "place"), "n")
+    sets = stored(shingle_sets(docs, wanted, text, doc_id))
+    roots = components(similar_pairs(pairs, sets, similarity))
     grouped = lines.select("n", "key", "place").join(roots.withColumnRenamed("node", "n"), "n", "left")
     grouped = grouped.withColumn("root", F.coalesce("root", "n"))
-    first = grouped.where("root != n").groupBy("root").agg(F.min("place").alias("least"))
-    first = grouped.join(first.withColumnRenamed("root", "r"), F.col("n") == F.col("r")).select(
-        F.col("n").alias("root"), F.least("place", "least").alias("first")
-    )
-    kept = grouped.join(first, "root", "left").select("key", F.coalesce("first", "place").alias("kept_place"))
+    first = grouped.groupBy("root").agg(F.min("place").alias("kept_place"))
+    kept = grouped.join(first, "root").select("key", "kept_place")
     return found.select("key", "id", "pos", "place").join(kept, "key").where("place != kept_place").select(
         "id", "pos", "kept_place"
     )
