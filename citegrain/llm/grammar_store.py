@@ -40,16 +40,16 @@ FILES = "part bigint, shard bigint, part_ids bigint, payload binary"
 READ = "doc_id bigint, part bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
-def repair(ids: np.ndarray, last: np.ndarray, first_free: int, rounds: int = 12, least: int = 32, most: int = 4096):
+def repair(ids: np.ndarray, last: np.ndarray, first_free: int, least: int = 32, most: int = 4096, gain: float = 0.01):
     """(symbols, rules): in each round the pairs that occur `least` times or more, up to `most` of them, the
-    most frequent first, become new symbols; of overlapping pairs the more frequent wins, then the left one."""
-    symbols, rules = ids.astype(np.int64), []
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
+    most frequent first, become new symbols; of overlapping pairs the more frequent wins, then the left one.
+    Rounds go on while one takes away at least a share `gain` of the symbols."""
+    symbols, rules, before = ids.astype(np.int64), [], len(ids) * 2
+    while 1 < len(symbols) <= before * (1 - gain):
+        before = len(symbols)
         codes = symbols[:-1] << 32 | symbols[1:]
         codes[last[:-1]] = -1
-        order = np.argsort(codes, kind="stable")
+        order = np.argsort(codes)
         ranked = codes[order]
         begins = np.flatnonzero(np.diff(ranked, prepend=ranked[0] - 1))
         counts = np.diff(np.append(begins, len(ranked)))
