@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from citegrain.llm import crf, grammar_store, line_dedup, mixing, packing, shingle_join
+from citegrain.llm import crf, exact_dedup, grammar_store, line_dedup, mixing, packing, shingle_join
 from citegrain.llm.texts import documents, fold, labels, whole_text, word_count
 from citegrain.operators.durable import stored
 
@@ -74,3 +74,17 @@ def op10_grammar_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document, from the compressed files: its place among all ids, its number of ids and their checksum."""
     path = public_tokenizers.path("byte_bpe_50k.json")
     return grammar_store.read(grammar_store.write(documents(spark, sf_dir), path, end_id=0, first_free=50257))
+
+
+@query(
+    r"""
+WITH texts AS (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
+groups AS (
+  SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM texts GROUP BY text_sha256)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM texts JOIN groups USING (text_sha256)
+"""
+)
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the copy that stays, the number of copies and a digest of the compared text."""
+    return exact_dedup.duplicates(documents(spark, sf_dir))
