@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from citegrain.llm import crf, exact_dedup, grammar_store, line_dedup, mixing, packing, shingle_join
+from citegrain.llm import crf, exact_dedup, grammar_store, line_dedup, mixing, packing, quality_rules, shingle_join
 from citegrain.llm.texts import documents, fold, labels, whole_text, word_count
 from citegrain.operators.durable import stored
 
@@ -88,3 +88,14 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: the copy that stays, the number of copies and a digest of the compared text."""
     return exact_dedup.duplicates(documents(spark, sf_dir))
+
+
+@query()
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the base counts, whether it fails by them alone, and the voters' verdict."""
+    counts = stored(quality_rules.base_counts(documents(spark, sf_dir)))
+    failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
+    return quality_rules.judged(counts).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+        (~failed & F.col("good")).alias("kept"), "posterior",
+    )
