@@ -65,14 +65,19 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mixed((sums[ends] - sums[starts]) * powers(INVERSE, len(sums))[starts] + (ends - starts).astype(np.uint64))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of some texts, A-Z lower-cased, and the number of words of each text."""
+def word_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes of some texts, where their words start and end, and the number of words of each text."""
     data = LOWER[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
     inside = ~BLANK[data]
     edges = np.diff(inside, prepend=False, append=False).nonzero()[0]
     starts, ends = edges[::2], edges[1::2]
     bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
-    counts = np.diff(np.searchsorted(starts, bounds))
+    return data, starts, ends, np.diff(np.searchsorted(starts, bounds))
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of some texts, A-Z lower-cased, and the number of words of each text."""
+    data, starts, ends, counts = word_spans(texts)
     return span_hashes(prefix_hashes(data), starts, ends), counts
 
 
@@ -98,8 +103,16 @@ def report(block: int, hashes: np.ndarray, counts: np.ndarray, parts: int, top:
     })
 
 
-def answers(reports: DataFrame, finish: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """(block, part, totals): for each hash sent, in the order sent, `finish` of its total over all blocks."""
+def answers(
+    reports: DataFrame,
+    finish: Callable[[np.ndarray], np.ndarray],
+    summary: Callable[[np.ndarray, np.ndarray], bytes] | None = None,
+) -> DataFrame:
+    """(block, part, totals): for each hash sent, in the order sent, `finish` of its total over all blocks.
+
+    With `summary`, each part adds a row of block -1 that holds what `summary` makes of its distinct hashes and
+    their totals.
+    """
 
     def add_up(table: pa.Table) -> pa.Table:
         sent = [np.frombuffer(b, "<u8") for b in table.column("hashes").to_pylist()]
@@ -112,9 +125,14 @@ def answers(reports: DataFrame, finish: Callable[[np.ndarray], np.ndarray]) -> D
         back[order] = totals[np.cumsum(first) - 1]
         done = finish(back)
         at = np.cumsum([0] + [len(s) for s in sent])
+        told = [done[at[i]:at[i + 1]].tobytes() for i in range(len(sent))]
+        blocks, parts = table.column("block").to_pylist(), table.column("part").to_pylist()
+        if summary:
+            blocks, parts = [*blocks, -1], [*parts, parts[0]]
+            told.append(summary(every[order][first], totals))
         return pa.table({
-            "block": table.column("block"), "part": table.column("part"),
-            "totals": pa.array([done[at[i]:at[i + 1]].tobytes() for i in range(len(sent))], pa.binary()),
+            "block": pa.array(blocks, pa.int64()), "part": pa.array(parts, pa.int32()),
+            "totals": pa.array(told, pa.binary()),
         })
 
     return reports.groupBy("part").applyInArrow(add_up, "block bigint, part int, totals binary")
