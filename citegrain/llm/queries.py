@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from citegrain.llm import crf, exact_dedup, grammar_store, line_dedup, mixing, packing, quality_rules, shingle_join
+from citegrain.llm import (
+    class_lm, crf, exact_dedup, grammar_store, line_dedup, mixing, packing, quality_rules, shingle_join, suffix_dedup,
+)
 from citegrain.llm.texts import documents, fold, labels, whole_text, word_count
 from citegrain.operators.durable import stored
 
@@ -99,3 +101,16 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         (~failed & F.col("good")).alias("kept"), "posterior",
     )
+
+
+@query()
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the bytes that an earlier document has in runs of 50 or more, and a digest of the rest."""
+    return suffix_dedup.dedup(documents(spark, sf_dir)).drop("kept")
+
+
+@query()
+def op9_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: token counts, the unigram base score and the class model's score."""
+    scores = class_lm.scores(documents(spark, sf_dir))
+    return scores.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
