@@ -1,0 +1,254 @@
+"""Classifier, rules, language model, mixing, packing and the token store, edge cases included."""
+
+import itertools
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from citegrain.llm import class_lm, crf, grammar_store, mixing, packing, quality_rules
+from citegrain.llm.queries import op7_quality_classifier, op9_class_lm
+from citegrain.llm.texts import labels
+from citegrain.llm.tokens import Encoder
+
+WORD = r"[^\x20\x09-\x0D]+"
+WORDS_FILE, BYTES_FILE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
+SF_DIR = "/root/testdata/sf0.01"
+
+
+def test_marginals_equal_enumeration():
+    rng = np.random.default_rng(4)
+    chain = crf.Chain(rng.normal(size=3), rng.normal(size=(2, 2)))
+    counts = np.array([3, 1, 5])
+    x = rng.normal(size=(9, 3))
+    at, want = 0, []
+    for n in counts:
+        total = np.zeros((n, 2))
+        for path in itertools.product((0, 1), repeat=int(n)):
+            score = sum(float(x[at + t] @ chain.theta) for t in range(n) if path[t])
+            score += sum(chain.moves[a, b] for a, b in zip(path, path[1:]))
+            for t in range(n):
+                total[t, path[t]] += math.exp(score)
+        want += (total[:, 1] / total.sum(axis=1)).tolist()
+        at += n
+    assert np.allclose(chain.marginals(x, counts), want)
+
+
+def test_classifier_on_held_out_documents(spark):
+    scored = op7_quality_classifier(spark, SF_DIR).join(labels(spark, SF_DIR), "doc_id").toPandas()
+    held = scored[scored.held_out]
+    assert len(held) > 50 and (held.predicted == held.quality).mean() > 0.95
+    assert scored.score.between(0, 1).all()
+
+
+def test_classifier_edges(spark, cases, nothing):
+    docs, rows = cases
+    marks = spark.createDataFrame([(r[0], int(i % 3 > 0)) for i, r in enumerate(rows)] + [(None, 1)], "doc_id bigint, quality int")
+    chain = crf.fit(docs, marks)
+    scored = crf.with_score(docs, chain, "q").collect()
+    assert len(scored) == len(rows) and all(0 <= r.q <= 1 for r in scored)
+    by_text = defaultdict(set)
+    for r in scored:
+        by_text[r.text or ""].add(r.q)
+    assert all(len(v) == 1 for v in by_text.values())
+    kept = crf.keep_good(docs, chain)
+    assert kept.columns == docs.columns
+    blank = crf.fit(nothing, marks)
+    assert crf.with_score(nothing, blank, "q").collect() == []
+    assert {r.q for r in crf.with_score(docs, blank, "q").collect()} == {0.5}
+
+
+def base_counts(text):
+    text = text or ""
+    words = re.findall(WORD, text)
+    windows = Counter(tuple(words[i:i + 3]) for i in range(len(words) - 2))
+    cover = {j for i in range(len(words) - 2) if windows[tuple(words[i:i + 3])] > 1 for j in (i, i + 1, i + 2)}
+    lines = [line for line in text.split("\n") if re.search(WORD, line)]
+    return (len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(cover))
+
+
+def test_rules(cases, nothing):
+    docs, rows = cases
+    judged = quality_rules.judged(quality_rules.base_counts(docs)).collect()
+    got = [tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) for r in judged]
+    assert sorted(got) == sorted(base_counts(r[1]) for r in rows)
+    names = [c for c in judged[0].asDict() if c.startswith("vote_")]
+    voters = quality_rules.estimate(Counter(tuple(r[n] for n in names) for r in judged))
+    for r in judged:
+        assert math.isclose(r.posterior, voters.posterior(tuple(r[n] for n in names)), rel_tol=1e-9)
+        assert r.good == (r.posterior >= 0.5)
+    assert quality_rules.judged(quality_rules.base_counts(nothing)).collect() == []
+
+
+def test_em_finds_the_accurate_rules():
+    rng = random.Random(8)
+    right, patterns = (0.98, 0.9, 0.9, 0.86), Counter()
+    for _ in range(20_000):
+        truth = 1 if rng.random() < 0.8 else -1
+        patterns[tuple(0 if rng.random() < 0.3 else truth if rng.random() < a else -truth for a in right)] += 1
+    found = quality_rules.estimate(patterns).accuracy
+    assert all(abs(a - b) < 0.03 for a, b in zip(found, right))
+
+
+def test_language_model_base_and_held_out(spark):
+    scored = op9_class_lm(spark, SF_DIR)
+    texts = {r.doc_id: re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "")) + ["\n"]
+             for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()}
+    check_base(scored.collect(), texts)
+    held = scored.where("held_out").toPandas()
+    assert held.score.sum() > held.base_score.sum()
+
+
+def check_base(scored, texts):
+    held = {i: zlib.crc32(str(i if i is not None else "").encode()) % 5 == 1 for i in texts}
+    counts = Counter(w for i, words in texts.items() if not held[i] for w in words)
+    n, v = sum(counts.values()), len(counts)
+    for r in scored:
+        words = texts[r.doc_id]
+        base = sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in words)
+        assert (r.held_out, r.n_tokens, r.train_tokens) == (held[r.doc_id], len(words), n)
+        assert r.n_known == sum(counts[w] > 0 for w in words) and math.isclose(r.base_score, base, rel_tol=1e-9)
+
+
+def test_language_model_edges(spark, cases, nothing):
+    docs, rows = cases
+    first = {r[0]: r for r in reversed(rows)}
+    unique = spark.createDataFrame(list(first.values()), docs.schema)
+    texts = {i: re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), r[1] or "")) + ["\n"] for i, r in first.items()}
+    check_base(class_lm.scores(unique, vocabulary=50, classes=4).collect(), texts)
+    every = class_lm.scores(docs, vocabulary=50, classes=4).collect()
+    assert len(every) == len(rows) and all(math.isfinite(r.score) and r.score < 0 for r in every)
+    assert class_lm.scores(nothing).collect() == []
+    alone = [r.doc_id for r in every if r.held_out]
+    untrained = class_lm.scores(docs.where(docs.doc_id.isin(alone)), vocabulary=5, classes=2).collect()
+    assert untrained and all(r.n_known == 0 and math.isfinite(r.score) for r in untrained)
+
+
+def test_exchange_raises_mutual_information():
+    rng = np.random.default_rng(2)
+    kinds = np.arange(24) // 6
+    pairs = np.zeros((25, 25))
+    for a in range(24):
+        for b in range(24):
+            pairs[a, b] = rng.poisson(30 if (kinds[a] + 1) % 4 == kinds[b] else 1)
+    pairs[24, :24] = 5
+    pairs[:24, 24] = 5
+
+    def information(of):
+        member = np.eye(of.max() + 1)[of]
+        joint = member.T @ pairs @ member
+        joint = joint / joint.sum()
+        return (joint * np.log(np.maximum(joint, 1e-300) / np.outer(joint.sum(1), joint.sum(0)).clip(1e-300))).sum()
+
+    of = class_lm.exchange(pairs, 24, 4, sweeps=8)
+    start = np.append(np.arange(24) % 4, 4)
+    assert information(of) > information(start)
+    assert all(len(set(of[:24][kinds == k])) == 1 for k in range(4))
+    joint = np.eye(5)[of].T @ pairs @ np.eye(5)[of]
+    assert np.allclose((10 ** class_lm.smoothed(joint)).sum(axis=1), 1)
+
+
+def level(sizes, weights, most=3.0):
+    goals, rest, active = {}, float(sum(sizes.values())), set(sizes)
+    while True:
+        total = sum(weights[s] for s in active)
+        over = [s for s in active if rest * weights[s] / total > most * sizes[s]]
+        if not over:
+            return goals | {s: rest * weights[s] / total for s in active}
+        for s in over:
+            goals[s] = most * sizes[s]
+            rest -= goals[s]
+            active.discard(s)
+
+
+def test_mixing(cases, nothing):
+    docs, rows = cases
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r[3]] += len(re.findall(WORD, r[1] or ""))
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    goals = level(sizes, {s: i % 3 + 1 for i, s in enumerate(order)})
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows)
+    taken, largest = defaultdict(int), defaultdict(int)
+    for r in got:
+        assert r.size == len(re.findall(WORD, r.row.text or "")) and r.source_size == sizes[r.row.source]
+        assert math.isclose(r.target, goals[r.row.source], rel_tol=1e-9) and 0 <= r.copies <= 3
+        taken[r.row.source] += r.copies * r.size
+        largest[r.row.source] = max(largest[r.row.source], r.size)
+    assert all(abs(taken[s] - goals[s]) <= largest[s] / 2 + 1 for s in goals)
+    again = mixing.mix(docs.repartition(5)).collect()
+    assert Counter((r.row.doc_id, r.row.text, r.copies) for r in again) == Counter((r.row.doc_id, r.row.text, r.copies) for r in got)
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in got)
+    assert mixing.mix(nothing).collect() == []
+
+
+@pytest.mark.parametrize("path, words", [(WORDS_FILE, True), (BYTES_FILE, False)])
+def test_encoder_equals_whole_text(cases, path, words):
+    tokenizer = Tokenizer.from_file(path)
+    odd = ["", " ", "  a", "a ", "a  b", "a\n\nb", "a \n b", "a\tb", "it's  don't\x1cq", "\x85x y", "x 　y", "\na", "a\r\nb", "a.,b c.", "ok!? x's."]
+    encoder = Encoder(path, words)
+    for text in [*odd, *[r[1] or "" for r in cases[1]]]:
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == want
+
+
+def test_packing(cases, nothing):
+    docs, rows = cases
+    tokenizer = Tokenizer.from_file(WORDS_FILE)
+    pieces = packing.pack(docs, WORDS_FILE, capacity=256, classes=8).toPandas()
+    assert pieces.length.sum() == sum(len(tokenizer.encode(r[1] or "", add_special_tokens=False).ids) + 1 for r in rows)
+    for _, seq in pieces.sort_values("offset").groupby("sequence_id"):
+        assert seq.offset.tolist() == (seq.length.cumsum() - seq.length).tolist() and seq.length.sum() <= 256
+        full = int(seq.length.sum())
+        assert seq.padding.iloc[0] == (0 if full & (full - 1) == 0 else 256 - full)
+    for p in pieces.itertuples():
+        assert zlib.crc32(p.tokens) == p.ids_crc32 and len(p.tokens) == 4 * p.length
+    texts = Counter(r[0] for r in rows)
+    for r in rows:
+        if texts[r[0]] == 1 and r[0] is not None:
+            own = pieces[pieces.doc_id == r[0]].sort_values("start")
+            ids = np.frombuffer(b"".join(own.tokens), "<u4").tolist()
+            assert ids == [*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 2]
+            assert (own.doc_tokens == len(ids)).all() and own.start.tolist() == (own.length.cumsum() - own.length).tolist()
+    padding = pieces.groupby("sequence_id").padding.first().sum()
+    assert padding < 0.02 * pieces.length.sum()
+    assert packing.pack(nothing, WORDS_FILE).collect() == []
+
+
+def test_repair_round_trip():
+    rng = np.random.default_rng(6)
+    for k in range(8):
+        counts = rng.integers(1, 90, 60).tolist()
+        ids = rng.choice(5 if k % 2 else 2, sum(counts)).astype("<u4")
+        if k == 3:
+            ids[:] = 5
+        payload = grammar_store.to_file([None, *range(59)], counts, ids, 50, 7)
+        shard = grammar_store.Shard(payload)
+        assert shard.keys == [None, *range(59)] and shard.earlier == 7 and shard.ids == len(ids)
+        at = 0
+        for i, n in enumerate(counts):
+            assert shard.document(i).tolist() == ids[at:at + n].tolist()
+            at += n
+        assert len(shard.rules) and len(shard.symbols) < len(ids)
+
+
+def test_store(cases, nothing):
+    docs, rows = cases
+    tokenizer = Tokenizer.from_file(BYTES_FILE)
+    files = grammar_store.write(docs, BYTES_FILE, 0, 50257)
+    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in grammar_store.read(files).collect())
+    at, want = 0, []
+    for r in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
+        ids = np.array([*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 0], "<u4")
+        want.append((at, r[0], len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert got == want
+    assert grammar_store.read(grammar_store.write(nothing, BYTES_FILE, 0, 50257)).collect() == []
