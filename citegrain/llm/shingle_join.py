@@ -6,9 +6,10 @@ the rest, n-grams are put in a global order, rare ones first, and the order is c
 that share an n-gram within their prefixes are candidates.  A pair's overlap is counted fragment by fragment
 and the counts are summed.
 
-Buckets are not expanded into all pairs at once.  First each class is compared with the ends of its buckets;
-what proves similar becomes one component.  Then only pairs between different components remain, and these
-are all compared, so that no link that joins components is missed.
+Buckets are not expanded into all pairs at once.  Some times over, each class is compared with one class of
+its bucket, and what proves similar becomes one component.  Then only pairs between different components
+remain, and those that the places of their first common n-gram leave possible are all compared, so that no
+link that joins components is missed.
 
 n-grams are compared by 64-bit hashes.  Defined results: a null text is empty; a text without words has no
 n-grams and is linked with nothing; a text of fewer than n words is one n-gram; rows that repeat an id with
@@ -22,7 +23,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +36,7 @@ from citegrain.operators.durable import stored
 LAST_ID = (1 << 63) - 1
 CENSUS_SHARE = 0.4
 FRAGMENTS = 4
+STARS = 3
 FACTORS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 UPPER = bytes(range(65, 91))
 TO_LOWER = bytes.maketrans(UPPER, UPPER.lower())
@@ -164,33 +166,44 @@ def linked_classes(sets: DataFrame, percent: int) -> DataFrame:
     segments = lists.select("key", "size", F.explode("tokens").alias("t")).groupBy(
         "key", "size", fragment.alias("fragment")
     ).agg(F.collect_list("t.h").alias("hs"))
-    prefixes = lists.select("key", "size", F.posexplode(F.slice("tokens", 1, F.col("prefix").cast("int")))).select(
-        "key", "size", F.col("col.h").alias("h"), F.col("pos").alias("pos")
+    # `rest` bounds the overlap of two sets whose first common n-gram this is
+    prefixes = lists.select(
+        "key", "size", F.size("tokens").alias("shared"), F.posexplode(F.slice("tokens", 1, F.col("prefix").cast("int")))
+    ).select(
+        "key", "size", F.col("col.h").alias("h"), (F.col("shared") - F.col("pos")).alias("rest"),
+        (F.col("size") - F.col("shared")).alias("alone"),
     )
-    best, least = F.max(F.struct("size", "key")).alias("high"), F.min(F.struct("size", "key")).alias("low")
-    ends = prefixes.groupBy("h").agg(best, least).where("low != high")
-    near = prefixes.join(ends, "h").select("key", "size", F.explode(F.array("low", "high")).alias("other"))
-    near = near.where(
-        (F.col("key") != F.col("other.key"))
-        & (F.least(size, F.col("other.size")) * 100 >= percent * F.greatest(size, F.col("other.size")))
-    )
-    pairs = near.select(F.least("key", "other.key").alias("a"), F.greatest("key", "other.key").alias("b")).distinct()
-    links = stored(partial_overlaps(pairs, segments, percent))
-    roots = stored(components(links))
-    # what is left: pairs between components, which all have to be looked at
-    known = prefixes.join(roots.withColumnRenamed("node", "key"), "key", "left")
-    known = known.withColumn("root", F.coalesce("root", "key"))
-    split = known.groupBy("h").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("h")
-    open_ = stored(known.join(split, "h", "left_semi"))
-    # sizes within the similarity differ by less than one step of this scale
+
+    def possible(size_a: str, rest_a: str, size_b: str, rest_b: str) -> Column:
+        return F.expr(f"least({rest_a}, {rest_b}) * {100 + percent} >= ({size_a} + {size_b}) * {percent}")
+
+    roots = prefixes.select(F.col("key").alias("node"), F.col("key").alias("root")).limit(0)
+    open_ = prefixes.withColumn("root", F.col("key"))
+    for turn in range(STARS):
+        # in each bucket all are compared with one: in turns one with the fewest n-grams of its own, as the
+        # original of edited copies has, and any one
+        first = [F.col("alone")] if turn % 2 == 0 else []
+        order = F.struct(*first, F.xxhash64("key", F.lit(turn)).alias("mark"), "key", "root", "size", "rest")
+        hub = open_.groupBy("h").agg(F.min(order).alias("hub"))
+        near = open_.join(hub, "h").where(
+            (F.col("root") != F.col("hub.root")) & possible("size", "rest", "hub.size", "hub.rest")
+        )
+        pairs = near.select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b")).distinct()
+        links = partial_overlaps(pairs, segments, percent)
+        tree = roots.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = stored(components(tree.union(links)))
+        known = prefixes.join(roots.withColumnRenamed("node", "key"), "key", "left")
+        known = known.withColumn("root", F.coalesce("root", "key"))
+        split = known.groupBy("h").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2")
+        open_ = stored(known.join(split.select("h"), "h", "left_semi"))
+    # what is left: pairs between components, which all have to be looked at.  Sizes within the similarity
+    # differ by less than one step of this scale
     step = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
-    a = open_.select("h", "key", "size", "root", step.alias("step"))
-    b = open_.select("h", F.col("key").alias("k2"), F.col("size").alias("s2"), F.col("root").alias("r2"),
-                     F.explode(F.array(step - 1, step, step + 1)).alias("step"))
-    rest = a.join(b, ["h", "step"]).where(
-        "key < k2 and root != r2 and least(size, s2) * 100 >= greatest(size, s2) * " + str(percent)
-    )
-    rest = rest.select(F.col("key").alias("a"), F.col("k2").alias("b")).distinct()
+    a = open_.select("h", "key", "size", "rest", "root", step.alias("step"))
+    b = open_.select("h", F.col("key").alias("k2"), F.col("size").alias("s2"), F.col("rest").alias("t2"),
+                     F.col("root").alias("r2"), F.explode(F.array(step - 1, step, step + 1)).alias("step"))
+    met = (F.col("key") < F.col("k2")) & (F.col("root") != F.col("r2")) & possible("size", "rest", "s2", "t2")
+    rest = a.join(b, ["h", "step"]).where(met).select(F.col("key").alias("a"), F.col("k2").alias("b")).distinct()
     more = partial_overlaps(rest, segments, percent)
     tree = roots.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     return components(tree.union(more))
