@@ -29,6 +29,7 @@ INDEX = (
 )
 CHAINS = "entry bigint, keep_id bigint, keep_entry bigint, group_size bigint"
 BUCKET_BYTES = 16 << 20
+MOST_BUCKETS = 1 << 14
 LAST = 1 << 63
 SPACES = b" \t\n\r\x0b\x0c"
 
@@ -79,14 +80,16 @@ def index_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hash
     return docs.select(doc_id, text).mapInArrow(run, INDEX)
 
 
-def directory(heads: DataFrame, capacity: int = BUCKET_BYTES, bits: int | None = None) -> tuple[DataFrame, int]:
+def directory(heads: DataFrame, capacity: int | None = None, bits: int | None = None) -> tuple[DataFrame, int]:
     """(prefix, bucket) for the leading `bits` of a hash, and how many bits those are.
 
-    A bucket has the fewest leading bits with which it holds at most `capacity` bytes.  The depth is bounded by
-    the total: four bits more than an even spread needs; a bucket that is still overfull then is one hash's.
+    A bucket has the fewest leading bits with which it holds at most `capacity` bytes; by default 16 MB, or
+    what cuts the total into `MOST_BUCKETS`.  The depth is four bits more than an even spread needs, so that
+    the directory has 2 ** 19 rows at most; a bucket that is still overfull then is one hash's.
     """
+    total = heads.agg(F.sum("n_bytes")).first()[0] or 0
+    capacity = capacity or max(BUCKET_BYTES, -(-total // MOST_BUCKETS))
     if bits is None:
-        total = heads.agg(F.sum("n_bytes")).first()[0] or 0
         bits = max(1, (total // capacity).bit_length() + 4)
     prefix = F.shiftrightunsigned("hash", 64 - bits).alias("prefix")
     filled = heads.groupBy(prefix).agg(F.sum("n_bytes").alias("n_bytes"))
@@ -102,12 +105,12 @@ def directory(heads: DataFrame, capacity: int = BUCKET_BYTES, bits: int | None =
     return leaf.select("prefix", number.alias("bucket")), bits
 
 
-def chains(heads: DataFrame, capacity: int = BUCKET_BYTES, bits: int | None = None) -> DataFrame:
+def chains(heads: DataFrame, capacity: int | None = None, bits: int | None = None) -> DataFrame:
     """For every entry of the index: the group that its bytes belong to."""
     buckets, bits = directory(heads, capacity, bits)
     placed = heads.select(
         F.shiftrightunsigned("hash", 64 - bits).alias("prefix"), "hash", "entry", "least_id", "rows", "body"
-    ).join(buckets, "prefix")
+    ).join(F.broadcast(buckets), "prefix")  # at most 2 ** 19 rows of two longs by construction
     owned = placed.select("bucket", "hash", "entry", "least_id", "rows", "body").repartition("bucket")
 
     def run(batches):
@@ -142,8 +145,8 @@ def chains(heads: DataFrame, capacity: int = BUCKET_BYTES, bits: int | None = No
 
 
 def duplicates(
-    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = BUCKET_BYTES, bits: int | None = None,
-    hashed=hash64,
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int | None = None,
+    bits: int | None = None, hashed=hash64,
 ) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), one row per row of `docs`."""
     index = stored(index_rows(docs, text, doc_id, hashed))
