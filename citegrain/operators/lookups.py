@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citegrain.functions.values import substring_label
 from citegrain.operators.measures import facility_year_measures
-from citegrain.operators.skew import lookup_join
 
 
 def label_tags(citations: DataFrame, labels: DataFrame, tag: str, number: str) -> DataFrame:
     """Left join of a label table on the tag as a whole number."""
     keyed = citations.withColumn("_tag", F.col(tag).try_cast("bigint"))
-    return lookup_join(keyed, labels.withColumnRenamed(number, "_tag"), ["_tag"]).drop("_tag")
+    return keyed.join(labels.withColumnRenamed(number, "_tag"), "_tag", "left").drop("_tag")
 
 
 def with_coordinates(citations: DataFrame, coordinates: DataFrame) -> DataFrame:
@@ -23,15 +23,16 @@ def with_coordinates(citations: DataFrame, coordinates: DataFrame) -> DataFrame:
 
     Both sides are made distinct before the join, so its rows are distinct too.
     """
-    return lookup_join(citations.distinct(), coordinates.distinct(), ["facility_id"])
+    return citations.distinct().join(coordinates.distinct(), "facility_id", "left")
 
 
 def coordinate_extract(citations: DataFrame, coordinates: DataFrame) -> DataFrame:
-    """One row per state, facility, year and tag with one position of the facility."""
+    """One row per state, facility, year and tag with one whole position of the facility, if it has any."""
     tagged = citations.select("state", "insp_year", "facility_id", "deficiency_tag").distinct()
     place = F.min(F.struct("lat", "lon")).alias("_p")
-    positions = coordinates.groupBy("facility_id").agg(place).select("facility_id", "_p.lat", "_p.lon")
-    return lookup_join(tagged, positions, ["facility_id"]).select(
+    known = coordinates.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    positions = known.groupBy("facility_id").agg(place).select("facility_id", "_p.lat", "_p.lon")
+    return tagged.join(positions, "facility_id", "left").select(
         "facility_id", "insp_year", "lat", "lon", "deficiency_tag"
     )
 
@@ -62,43 +63,26 @@ def unmatched(rows: DataFrame, known: DataFrame, on: Sequence[str]) -> DataFrame
     return rows.join(known.select(*on).distinct(), list(on), "left_anti")
 
 
-def backfill(
-    rows: DataFrame,
-    id_col: str,
-    on: Sequence[str],
-    passes: Sequence[DataFrame],
-    batch: Mapping[int, int] | None = None,
-) -> DataFrame:
+def backfill(rows: DataFrame, on: Sequence[str], passes: Sequence[DataFrame]) -> DataFrame:
     """Fill `lon`/`lat` from a series of lookup tables, each used for rows still missing.
 
-    Adds `source_pass` (1-based, null when never found) and `found`.  `batch` may cap how many rows,
-    in id order, one pass attempts; the rest stay for the passes after it.
+    Adds `source_pass` (1-based, null when never found) and `found`.  The tables are merged into one lookup
+    with the first pass that knows a key, so that the rows are read and joined once, however many passes
+    there are.
     """
-    batch = batch or {}
-    shared = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
-    filled = rows.withColumns({
-        "lon": F.lit(None).cast("double"),
-        "lat": F.lit(None).cast("double"),
-        "source_pass": F.lit(None).cast("int"),
-    })
-    for number, table in enumerate(passes, start=1):
-        lookup = table.where(F.col("lon").isNotNull() & F.col("lat").isNotNull()).groupBy(*on).agg(
-            F.min(F.struct("lon", "lat")).alias("_hit")
-        )
-        tried = F.col("source_pass").isNull()
-        if number in batch:
-            missing = filled.where("source_pass IS NULL").select(id_col)
-            turn = missing.orderBy(id_col).limit(batch[number]).withColumn("_turn", F.lit(True))
-            filled = filled.join(turn, id_col, "left")
-            tried = tried & F.coalesce(F.col("_turn"), F.lit(False))
-        joined = lookup_join(filled, lookup, on, spread=[id_col], counts=shared)
-        hit = tried & F.col("_hit").isNotNull()
-        filled = joined.withColumns({
-            "lon": F.when(hit, F.col("_hit.lon")).otherwise(F.col("lon")),
-            "lat": F.when(hit, F.col("_hit.lat")).otherwise(F.col("lat")),
-            "source_pass": F.when(hit, F.lit(number)).otherwise(F.col("source_pass")),
-        }).drop("_hit", "_turn")
-    return filled.withColumn("found", F.col("source_pass").isNotNull())
+    known = [
+        table.where(F.col("lon").isNotNull() & F.col("lat").isNotNull())
+        .select(*on, F.struct(F.lit(number).alias("source_pass"), "lon", "lat").alias("_hit"))
+        for number, table in enumerate(passes, start=1)
+    ]
+    if not known:
+        none = {"lon": "double", "lat": "double", "source_pass": "int"}
+        return rows.withColumns({c: F.lit(None).cast(t) for c, t in none.items()}).withColumn("found", F.lit(False))
+    lookup = reduce(DataFrame.unionByName, known).groupBy(*on).agg(F.min("_hit").alias("_hit"))
+    filled = rows.join(lookup, list(on), "left")
+    return filled.withColumns({c: F.col(f"_hit.{c}") for c in ("lon", "lat", "source_pass")}).withColumn(
+        "found", F.col("source_pass").isNotNull()
+    ).drop("_hit")
 
 
 def population_by_group(
@@ -128,4 +112,5 @@ def facility_year_quality(citations: DataFrame, **options) -> DataFrame:
         F.count(F.lit(1)).alias("count_nh_insp_st_yr"),
         F.sum("fac_times_inspected").alias("count_events_st_yr"),
     )
-    return measures.where("known_facility").drop("known_facility").join(totals, ["state", "insp_year"])
+    # one row per state and year: some thousands at most
+    return measures.where("known_facility").drop("known_facility").join(F.broadcast(totals), ["state", "insp_year"])

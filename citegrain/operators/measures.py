@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from citegrain.constants import SEVERE_LETTERS
 from citegrain.functions.values import is_severe, presence, row_sum
-from citegrain.operators.skew import skew_join
 
 FACILITY_YEAR = ("state", "insp_year", "facility_id")
 
@@ -112,20 +111,13 @@ def yearly_change(counts: DataFrame, by: str, year: str, count: str, base: str =
     )
 
 
-def attach_distinct_count(
-    df: DataFrame, keys: Sequence[str], column: str, name: str, spread: Sequence[str] = ()
-) -> DataFrame:
+def attach_distinct_count(df: DataFrame, keys: Sequence[str], column: str, name: str) -> DataFrame:
     """Put the distinct count of a column within its key on every row.
 
-    Aggregate and join back: a window would gather each key's rows in one task.
+    Aggregate and join back: a window would gather each key's rows in one task, while a join's crowded
+    partitions are split by adaptive execution.
     """
-    per_key = df.groupBy(*keys).agg(
-        distinct_values(column).alias(name), F.count(F.lit(1)).alias("n")
-    )
-    return skew_join(
-        df, per_key.drop("n"), keys, "left", spread,
-        counts=per_key.select(*keys, "n").dropna(subset=list(keys)),
-    )
+    return df.join(df.groupBy(*keys).agg(distinct_values(column).alias(name)), list(keys), "left")
 
 
 def year_pivot(df: DataFrame, row: str, year: str, value: str, years: Sequence[int]) -> DataFrame:

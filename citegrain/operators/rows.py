@@ -19,13 +19,7 @@ def repeat_flag(df: DataFrame, keys: Sequence[str], id_col: str, name: str = "is
 
     A running minimum would gather a hot key in one task, so the smallest id is aggregated first.
     """
-    from citegrain.operators.skew import skew_join
-
-    first = df.groupBy(*keys).agg(F.min(id_col).alias("_first"), F.count(F.lit(1)).alias("n"))
-    joined = skew_join(
-        df, first.select(*keys, "_first"), keys, "left", [id_col],
-        counts=first.select(*keys, "n").dropna(subset=list(keys)),
-    )
+    joined = df.join(df.groupBy(*keys).agg(F.min(id_col).alias("_first")), list(keys), "left")
     return joined.withColumn(name, F.coalesce(F.col(id_col) != F.col("_first"), F.lit(False))).drop("_first")
 
 

@@ -22,13 +22,13 @@ from citegrain.functions.geometry import (
 from citegrain.functions.values import hot_cold
 from citegrain.operators.durable import durable
 from citegrain.operators.rows import repeat_flag
-from citegrain.operators.skew import skew_join
 
-MAX_LEVEL = 24
-# Every second level is counted when looking for a place's smallest well-filled cell.
-COUNTED_LEVELS = f"sequence(0, {MAX_LEVEL}, 2)"
-# Up to this many points the diagonal of that cell is a good enough reach; beyond, it is refined.
-PLAIN_SEARCH_ROWS = 20_000
+# Cells of the finest level are 2 ** -48 of the span wide, so that a far outlier leaves the others apart.
+MAX_LEVEL = 48
+# Every third level is counted when looking for a place's smallest well-filled cell.
+COUNTED_LEVELS = f"sequence(0, {MAX_LEVEL}, 3)"
+# A prime for offsets of repeated positions, and the smallest offset in degrees.
+OFFSET_PRIME, OFFSET_STEP = 1_000_003, 1e-10
 
 
 def valid_points(df: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
@@ -36,11 +36,25 @@ def valid_points(df: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame
     return df.where(valid_position(F.col(lon), F.col(lat)))
 
 
+def finite(df: DataFrame, id_col: str, coords: Sequence[str]) -> DataFrame:
+    """Rows with an id and finite coordinates."""
+    bounded = df.dropna(subset=[id_col, *coords])
+    for c in coords:
+        bounded = bounded.where(F.abs(F.col(c)) < float("inf"))
+    return bounded
+
+
 def shift_repeats(df: DataFrame, id_col: str, coords: Sequence[str], by: str | None = None) -> DataFrame:
-    """Move repeated positions apart by a small offset that depends on a number (the id) only."""
+    """Move repeated positions apart by a small offset that depends on a number (the id) only.
+
+    The offset is never zero and differs from axis to axis; numbers meet only a million apart.
+    """
     flagged = repeat_flag(df, coords, id_col)
-    offset = F.when(F.col("is_repeat"), (F.col(by or id_col) % 97) * 1e-6).otherwise(F.lit(0.0))
-    return flagged.withColumns({c: F.col(c) + offset for c in coords})
+    number = F.col(by or id_col).cast("bigint")
+    steps = {c: F.pmod(number * (7919 * i + 1), F.lit(OFFSET_PRIME)) + 1 for i, c in enumerate(coords)}
+    return flagged.withColumns({
+        c: F.col(c) + F.when(F.col("is_repeat"), n * OFFSET_STEP).otherwise(F.lit(0.0)) for c, n in steps.items()
+    })
 
 
 class Grid:
@@ -52,10 +66,9 @@ class Grid:
         self.cells = [f"_c{i}" for i in range(len(self.coords))]
         self.keys = ["_level", *self.cells]
         ends = [f"double({end}(`{c}`))" for end in ("min", "max") for c in self.coords]
-        row = points.selectExpr("count(1)", *ends).first()
-        self.rows, ends = row[0], [v if v is not None else 0.0 for v in row[1:]]
-        self.low, high = ends[: len(self.coords)], ends[len(self.coords) :]
-        self.span = max(h - v for v, h in zip(self.low, high)) or 1.0
+        ends = [v if v is not None else 0.0 for v in points.selectExpr(*ends).first()]
+        self.low, self.high = ends[: len(self.coords)], ends[len(self.coords) :]
+        self.span = max(h - v for v, h in zip(self.low, self.high)) or 1.0
 
     def scaled(self, value: str, axis: int) -> str:
         return f"(({value} - {self.low[axis]!r}D) / {self.span!r}D)"
@@ -68,7 +81,7 @@ class Grid:
     @staticmethod
     def cell(unit: str, level: str = "_level") -> str:
         """Cell number of a scaled coordinate; coarser cells are exact unions of finer ones."""
-        finest = f"int(least(floor(least(greatest({unit}, 0D), 1D) * {1 << MAX_LEVEL}), {(1 << MAX_LEVEL) - 1}))"
+        finest = f"bigint(least(floor(least(greatest({unit}, 0D), 1D) * {1 << MAX_LEVEL}), {(1 << MAX_LEVEL) - 1}))"
         return f"shiftright({finest}, {MAX_LEVEL} - {level})"
 
     def at_levels(self, df: DataFrame, levels: str) -> DataFrame:
@@ -118,10 +131,10 @@ def nearest_neighbours(
     place that holds k+1 candidates bounds its reach, first by the cell's diagonal, then by the k+1st
     distance inside that cell.  The place then meets the candidates of the cells its reach touches.
     Only places in thinly filled cells look at coarse cells, so crowded cells are read by few
-    searches, and the joins split crowded cells.
+    searches; adaptive execution splits crowded cells.  Positions that are not finite are left out.
     """
     coords, carry = list(coords), list(carry)
-    located = points.dropna(subset=[id_col, *coords])
+    located = finite(points, id_col, coords)
     grid = Grid(located, coords)
     at_place = Window.partitionBy(*coords).orderBy("nbr")
     candidates = durable(
@@ -132,13 +145,12 @@ def nearest_neighbours(
         )
     )
     places = candidates.where("_n = 1").select(F.col("nbr").alias("_place"), *coords, *grid.units)
-    rows = grid.rows * (MAX_LEVEL + 1)
     counts = (
         grid.at_levels(candidates, COUNTED_LEVELS).groupBy(*grid.keys).agg(F.count(F.lit(1)).alias("n"))
     )
     filled = counts.where(F.col("n") > k).drop("n")
     smallest = (
-        skew_join(grid.at_levels(places, COUNTED_LEVELS), filled, grid.keys, "inner", ["_place"], counts, rows=rows)
+        grid.at_levels(places, COUNTED_LEVELS).join(filled, grid.keys)
         .groupBy("_place")
         .agg(F.max("_level").alias("_level"))
     )
@@ -152,22 +164,23 @@ def nearest_neighbours(
 
     def meet(searching: DataFrame, spans: list[tuple[str, str]]) -> DataFrame:
         """The k+1 best candidates of every place within its reach and its cells."""
-        target_cells = grid.at_levels(targets, levels_in_use(searching, "_level")).drop(*grid.units)
         search_cells = grid.cover(searching, spans).drop(*grid.units)
-        met = skew_join(target_cells, search_cells, grid.keys, "inner", ["nbr"], rows=rows, many_matches=True)
+        target_cells = grid.at_levels(targets, levels_in_use(searching, "_level")).drop(*grid.units)
+        # candidates in cells that no place searches are not shuffled to the pairs
+        target_cells = target_cells.join(search_cells.select(*grid.keys).distinct(), grid.keys, "left_semi")
+        met = target_cells.join(search_cells, grid.keys)
         near = met.withColumn("_gap2", F.expr(grid.gap2())).where(f"sqrt(_gap2) / {grid.span!r}D <= _reach")
         in_search = Window.partitionBy("_place").orderBy("_gap2", "nbr")
         return near.withColumn("_rank", F.row_number().over(in_search)).where(F.col("_rank") <= k + 1)
 
     homes = durable(homes)
-    if grid.rows > PLAIN_SEARCH_ROWS:
-        inside_home = meet(homes, [(u, u) for u in grid.units])
-        last = inside_home.where(F.col("_rank") == k + 1).select(
-            "_place", F.expr(f"sqrt(_gap2) / {grid.span!r}D AS _last")
-        )
-        homes = durable(
-            homes.join(last, "_place", "left").withColumn("_reach", F.expr("coalesce(_last, _reach)")).drop("_last")
-        )
+    inside_home = meet(homes, [(u, u) for u in grid.units])
+    last = inside_home.where(F.col("_rank") == k + 1).select(
+        "_place", F.expr(f"sqrt(_gap2) / {grid.span!r}D AS _last")
+    )
+    homes = durable(
+        homes.join(last, "_place", "left").withColumn("_reach", F.expr("coalesce(_last, _reach)")).drop("_last")
+    )
     # widened a little so that rounding cannot lose a neighbour at the rim
     searches = homes.withColumn("_reach", F.expr("_reach * (1 + 1e-9D) + 1e-12D")).withColumn(
         "_level", F.expr(level_for("_reach"))
@@ -176,7 +189,7 @@ def nearest_neighbours(
     entry = F.struct("_rank", "nbr", F.sqrt("_gap2").alias("gap"), *wanted)
     lists = ranked.groupBy("_place", *coords).agg(F.array_sort(F.collect_list(entry)).alias("_near"))
 
-    owned = skew_join(located, lists.drop("_place"), coords, "inner", [id_col], rows=grid.rows)
+    owned = located.join(lists.drop("_place"), coords)
     others = F.slice(F.filter("_near", lambda e: e["nbr"] != F.col(id_col)), 1, k)
     listed = owned.select(*points.columns, F.posexplode(others).alias("_pos", "_e"))
     return listed.selectExpr(
@@ -185,18 +198,15 @@ def nearest_neighbours(
 
 
 def band_neighbours(points: DataFrame, id_col: str, coords: Sequence[str], distance: float) -> DataFrame:
-    """Ordered pairs of different points at most `distance` apart."""
-    located = points.dropna(subset=[id_col, *coords])
+    """Ordered pairs of different points at most `distance` apart; positions that are not finite are left out."""
+    located = finite(points, id_col, coords)
     grid = Grid(located, coords)
     placed = grid.place(located.select(id_col, *coords))
     reach = f"{distance / grid.span * (1 + 1e-9) + 1e-12!r}D"
     level = level_for(reach)
     targets = placed.withColumnsRenamed({id_col: "nbr", **{c: f"nbr_{c}" for c in coords}})
     searches = grid.cover(placed.selectExpr("*", f"{level} AS _level"), grid.around(reach))
-    met = skew_join(
-        grid.at_levels(targets, f"array({level})").drop(*grid.units), searches.drop(*grid.units),
-        grid.keys, "inner", ["nbr"], rows=grid.rows, many_matches=True,
-    )
+    met = grid.at_levels(targets, f"array({level})").drop(*grid.units).join(searches.drop(*grid.units), grid.keys)
     near = met.where(F.col(id_col) != F.col("nbr")).selectExpr(f"`{id_col}`", "nbr", f"sqrt({grid.gap2()}) AS gap")
     return near.where(F.col("gap") <= distance)
 
@@ -207,7 +217,7 @@ def local_g(points: DataFrame, id_col: str, coords: Sequence[str], values: Seque
     One neighbour search serves all measures.  Values are taken about their mean, which keeps the
     variance of close values exact; without variance the score is null.
     """
-    usable = points.dropna(subset=[id_col, *coords, *values])
+    usable = finite(points, id_col, coords).dropna(subset=list(values))
     totals = usable.agg(F.count(F.lit(1)), *[f(v) for v in values for f in (F.avg, F.var_pop)]).first()
     n, moments = totals[0], totals[1:]
     own = [f"_v{i}" for i in range(len(values))]
@@ -244,39 +254,36 @@ def points_in_polygons(
     """Polygon rows joined to the points they contain; empty polygons stay with null point columns.
 
     A polygon is listed in the few cells its bounding box meets at the level matching its size, and
-    points are looked up at the levels in use only.
+    points are looked up at the levels in use only.  Polygons whose box misses the points' extent are not
+    listed.  Only ids, positions and edges travel to the match; a polygon's other columns join afterwards.
     """
-    ringed = polygons.withColumn("_edges", ring_edges(wkt_rings(F.col(wkt))))
+    ringed = polygons.select(polygon_id, ring_edges(wkt_rings(F.col(wkt))).alias("_edges"))
     sides = {
         "_x0": F.array_min(F.transform("_edges", lambda e: e["a"]["x"])),
         "_x1": F.array_max(F.transform("_edges", lambda e: e["a"]["x"])),
         "_y0": F.array_min(F.transform("_edges", lambda e: e["a"]["y"])),
         "_y1": F.array_max(F.transform("_edges", lambda e: e["a"]["y"])),
     }
-    bounded = ringed.withColumns(sides).where(F.col("_x0").isNotNull())
-    located = points.dropna(subset=[lon, lat])
+    located = finite(points, lon, [lon, lat])
     grid = Grid(located, [lon, lat])
+    bounded = ringed.withColumns(sides).where(
+        (F.col("_x1") >= grid.low[0]) & (F.col("_x0") <= grid.high[0])
+        & (F.col("_y1") >= grid.low[1]) & (F.col("_y0") <= grid.high[1])
+    )
     half = f"(greatest(_x1 - _x0, _y1 - _y0) / 2 / {grid.span!r}D)"
     level = level_for(half)
     ends = [(grid.scaled("_x0", 0), grid.scaled("_x1", 0)), (grid.scaled("_y0", 1), grid.scaled("_y1", 1))]
     covering = grid.cover(bounded.selectExpr("*", f"{level} AS _level"), ends)
     levels = levels_in_use(bounded, level)
     at_cells = grid.at_levels(grid.place(located), levels).drop(*grid.units)
-    met = skew_join(
-        at_cells, covering, grid.keys, "inner", points.columns, rows=grid.rows * (MAX_LEVEL + 1), many_matches=True
-    )
+    met = at_cells.join(covering, grid.keys)
     hit = (
         F.col(lon).between(F.col("_x0"), F.col("_x1"))
         & F.col(lat).between(F.col("_y0"), F.col("_y1"))
         & inside(F.col(lon), F.col(lat), F.col("_edges"))
     )
-    matched = met.where(hit).select(*polygons.columns, *points.columns)
-    if not keep_empty:
-        return matched
-    matched = durable(matched)
-    # empty polygons are added, not outer-joined, so a crowded polygon is never shuffled again
-    empty = polygons.join(matched.select(polygon_id).distinct(), polygon_id, "left_anti")
-    return matched.unionByName(empty, allowMissingColumns=True)
+    matched = met.where(hit).select(polygon_id, *points.columns)
+    return polygons.join(matched, polygon_id, "left" if keep_empty else "inner")
 
 
 def great_circle_neighbours(

@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citegrain.operators.durable import durable
-from citegrain.operators.skew import BROADCAST_ROWS, lookup_join, skew_join
+from citegrain.operators.durable import durable, stored
 
 
 def grouped_means(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -35,9 +34,9 @@ def value_counts(df: DataFrame, column: str, keep_null: bool = False) -> DataFra
 def histogram(df: DataFrame, value: str, by: Sequence[str] = (), bins: int = 20) -> DataFrame:
     """Counts in equal-width bins over the overall range; the top edge belongs to the last bin.
 
-    Equal values are merged first, so the rows are read once for both the range and the counts.
+    Equal values are merged first; the range and the counts each read the rows once.
     """
-    values = durable(value_copies(df, value, by))
+    values = value_copies(df, value, by)
     low, high = values.agg(F.min(value), F.max(value)).first()
     width = ((high - low) / bins if low is not None else 0) or 1.0
     position = F.floor((F.col(value) - F.lit(low)) / F.lit(float(width))) + 1
@@ -45,19 +44,12 @@ def histogram(df: DataFrame, value: str, by: Sequence[str] = (), bins: int = 20)
     return values.groupBy(*by, bin_.alias("bin")).agg(F.sum("n").alias("n"))
 
 
-def value_positions(
-    df: DataFrame, value: str, by: Sequence[str] = (), buckets: int = 128
-) -> DataFrame:
+def value_positions(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """One row per group and distinct value: `n` copies, `before` smaller rows, `total` rows.
 
-    Copies are merged before anything is ordered, so one value may hold any share of the rows.  The
-    distinct values of a group are cut into buckets of about equal size at sketched quantiles; only
-    the few bucket totals of a group are accumulated together, and each bucket is ordered by itself.
-    The cut points only balance the work: positions are exact wherever they fall.  `buckets` is a
-    power of two.
+    Copies are merged before anything is ordered, so one value may hold any share of the rows.
     """
-    values = durable(value_copies(df, value, by))
-    return placed_values(values, value, by, buckets)
+    return placed_values(value_copies(df, value, by), value, by)
 
 
 def value_copies(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -66,25 +58,16 @@ def value_copies(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
     return present.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
 
 
-def placed_values(values: DataFrame, value: str, by: Sequence[str], buckets: int = 128) -> DataFrame:
-    """Running positions over distinct values that carry their number of copies `n`."""
-    shares = [i / buckets for i in range(1, buckets)]
-    cuts = values.groupBy(*by).agg(F.percentile_approx(value, shares, 10 * buckets).alias("_cuts"))
-    if by:
-        # a row of cuts is about a kilobyte wide; with few groups it must not be shuffled to
-        matched = lookup_join(values, cuts, by, "inner", most=5_000)
-    else:
-        matched = values.withColumn("_cuts", cuts.scalar())
-    # binary search for the number of cuts below the value
-    steps = F.array(*[F.lit(buckets >> i) for i in range(1, buckets.bit_length())])
-
-    def step(found, width):
-        below = F.get("_cuts", found + width - 1) < F.col(value)
-        return found + F.when(below, width).otherwise(0)
+def placed_values(values: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """Running positions over distinct values that carry their number of copies `n`.
 
-    cut = matched.withColumn("_bucket", F.aggregate(steps, F.lit(0), step)).drop("_cuts")
+    The values are range-partitioned, so their partitions are buckets whose number and size follow the data
+    and the session's settings; the bucket of each row is frozen by writing it.  Only bucket totals are
+    accumulated together, and each bucket is ordered by itself.
+    """
+    cut = durable(values.repartitionByRange(*by, value).withColumn("_bucket", F.spark_partition_id()))
     totals = cut.groupBy(*by, "_bucket").agg(F.sum("n").alias("_rows"))
-    in_group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # at most `buckets` rows each
+    in_group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # a row per partition at most
     totals = totals.select(
         *by,
         "_bucket",
@@ -137,31 +120,20 @@ def six_numbers(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
 def rank_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Spearman correlation of every pair of columns, ties at their average rank.
 
-    Rows with equal values are merged with a weight first.  The ranks of all columns come from one
-    pass over (column, value) rows and are looked up column by column: a column with few values has a
-    small table, whose size is checked before it is broadcast, and only columns with many values are
-    shuffled.  The rank means are known, so the sums are centred.
+    The ranks of all columns come from one pass over (column, value) rows.  They are looked up by one join of
+    the unpivoted rows, which are put together again by the row's number; the rank means are known, so the
+    sums are centred.
     """
     numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
-    weighted = durable(numbers.groupBy(*columns).agg(F.count(F.lit(1)).alias("_w")))
-    values = (
-        weighted.unpivot("_w", list(columns), "column", "value")
-        .groupBy("column", "value")
-        .agg(F.sum("_w").alias("n"), F.count(F.lit(1)).alias("_rows"))
+    weighted = stored(
+        numbers.groupBy(*columns).agg(F.count(F.lit(1)).alias("_w")).withColumn("_row", F.monotonically_increasing_id())
     )
+    cells = weighted.unpivot(["_row", "_w"], list(columns), "column", "value")
+    values = cells.groupBy("column", "value").agg(F.sum("_w").alias("n"))
     centred = F.col("before") + F.col("n") / 2 - F.col("total") / 2
-    placed = durable(
-        placed_values(durable(values), "value", ["column"]).select("column", "value", "_rows", centred.alias("_r"))
-    )
-    distinct = {r["column"]: r["n"] for r in placed.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-    ranked = weighted
-    for c in columns:
-        own = placed.where(F.col("column") == c).withColumnsRenamed({"value": c, "_r": f"_r_{c}", "_rows": "n"})
-        ranks = own.select(c, f"_r_{c}")
-        if distinct.get(c, 0) <= BROADCAST_ROWS:
-            ranked = ranked.join(F.broadcast(ranks), c)
-        else:
-            ranked = skew_join(ranked, ranks, [c], counts=own.select(c, "n"))
+    ranks = placed_values(values, "value", ["column"]).select("column", "value", centred.alias("_r"))
+    own = [F.max(F.when(F.col("column") == c, F.col("_r"))).alias(f"_r_{c}") for c in columns]
+    ranked = cells.join(ranks, ["column", "value"]).groupBy("_row").agg(F.first("_w").alias("_w"), *own)
 
     def products(a: str, b: str):
         return F.sum(F.col("_w") * F.col(f"_r_{a}") * F.col(f"_r_{b}"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citegrain.operators import columns as cols
-from citegrain.operators import lookups, measures, rows, skew, summaries
+from citegrain.operators import lookups, measures, rows, summaries
 
 SCHEMA = "state string, insp_year int, facility_id string, eventid string, deficiency_tag string, scope_severity string"
 CITED = [
@@ -109,17 +109,22 @@ def test_provider_merge_keeps_unmatched_years(spark):
     assert {r.insp_year: r.bedcert for r in lookups.merge_providers(left, right).collect()} == {2018: None, 2019: 90.0}
 
 
-def test_backfill_passes_and_batches(spark):
+def test_backfill_passes(spark):
     homes = spark.createDataFrame([(i, f"a{i}") for i in range(1, 7)], "id int, address string")
     first = spark.createDataFrame([("a1", 1.0, 1.0), ("a2", None, None)], "address string, lon double, lat double")
     second = spark.createDataFrame([(f"a{i}", 2.0, 2.0) for i in (1, 2, 5)], "address string, lon double, lat double")
     got = {r.id: (r.lon, r.source_pass, r.found)
-           for r in lookups.backfill(homes, "id", ["address"], [first, second]).collect()}
+           for r in lookups.backfill(homes, ["address"], [first, second]).collect()}
     assert got[1] == (1.0, 1, True) and got[2] == (2.0, 2, True) and got[5] == (2.0, 2, True)
     assert got[3] == (None, None, False)
-    capped = lookups.backfill(homes, "id", ["address"], [first, second, second], {2: 1})
-    got = {r.id: r.source_pass for r in capped.collect()}
-    assert got == {1: 1, 2: 2, 3: None, 4: None, 5: 3, 6: None}
+    assert not any(r.found for r in lookups.backfill(homes, ["address"], []).collect())
+
+
+def test_a_null_position_gives_way_to_a_whole_one(spark):
+    cited = spark.createDataFrame([("AL", 2020, "1", "880"), ("AL", 2020, "2", "880")], "state string, insp_year int, facility_id string, deficiency_tag string")
+    places = spark.createDataFrame([("1", None, None), ("1", 32.0, -86.0), ("1", 40.0, None), ("2", None, None)], "facility_id string, lat double, lon double")
+    got = {r.facility_id: (r.lat, r.lon) for r in lookups.coordinate_extract(cited, places).collect()}
+    assert got == {"1": (32.0, -86.0), "2": (None, None)}
 
 
 def test_population_totals_without_estimates_are_zero(spark):
@@ -138,19 +143,6 @@ def test_first_rows_and_slices(spark):
     assert sorted(i for i, repeat in flagged.items() if not repeat) == [0, 1, 2]
 
 
-@pytest.mark.parametrize("how", ["inner", "left"])
-def test_skew_join_equals_plain_join(spark, monkeypatch, how):
-    monkeypatch.setattr(skew, "SMALL_KEY", 0)
-    left = spark.createDataFrame(
-        [(i, None if i % 10 == 0 else "hot" if i % 3 == 0 else f"k{i}") for i in range(300)], "id int, k string"
-    )
-    right = spark.createDataFrame([("hot", 1), ("hot", 2), ("k1", 3), (None, 4)], "k string, v int")
-    counts = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    assert skew.hot_keys(counts, ["k"], 20).count() == 2
-    got = skew.skew_join(left, right, ["k"], how, share=20)
-    assert sorted(map(str, got.collect())) == sorted(map(str, left.join(right, "k", how).collect()))
-
-
 def test_column_helpers(spark):
     df = spark.createDataFrame([(1, 2, 3)], ["Footnote a", "Cycle B", "cycle c"])
     kept = cols.drop_prefixed(df, ("Footnote", "cycle"))
@@ -195,7 +187,7 @@ def test_value_counts_and_nulls(spark):
     assert summaries.value_counts(df, "x", keep_null=True).count() == 2
 
 
-def test_rank_correlation(spark, monkeypatch):
+def test_rank_correlation(spark):
     import pandas as pd
 
     rng = random.Random(2)
@@ -203,7 +195,5 @@ def test_rank_correlation(spark, monkeypatch):
     data += [(1.0, 0.5, 2.0)] * 200
     expected = pd.DataFrame(data, columns=["a", "b", "c"]).rank().corr()
     df = spark.createDataFrame(data, "a double, b double, c double")
-    for limit in (100_000, 0):
-        monkeypatch.setattr(summaries, "BROADCAST_ROWS", limit)
-        for r in summaries.rank_correlations(df, ["a", "b", "c"]).collect():
-            assert r.correlation == pytest.approx(expected.loc[r.column_a, r.column_b])
+    for r in summaries.rank_correlations(df, ["a", "b", "c"]).collect():
+        assert r.correlation == pytest.approx(expected.loc[r.column_a, r.column_b])

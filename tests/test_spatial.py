@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from citegrain.functions import geometry as g
-from citegrain.operators import skew
 from citegrain.operators import spatial as sp
 
 
@@ -40,16 +39,15 @@ def cloud(kind, seed=5):
         return [(i, float(i), 0.0) for i in range(4)]
     if kind == "same":
         return [(i, 1.0, 2.0) for i in range(12)]
+    if kind == "outlier":
+        return [*cloud("uniform"), (300, 1e12, 3.0)]
     if kind == "line":
         return [(i, float(i), 7.0) for i in range(60)]
     raise ValueError(kind)
 
 
-@pytest.mark.parametrize("kind", ["uniform", "crowded", "copies", "few", "same", "line"])
-@pytest.mark.parametrize("small_key", [skew.SMALL_KEY, 0])
-def test_nearest_neighbours_match_brute_force(spark, monkeypatch, kind, small_key):
-    monkeypatch.setattr(skew, "SMALL_KEY", small_key)  # 0 splits every key above its share
-    monkeypatch.setattr(sp, "PLAIN_SEARCH_ROWS", small_key)  # 0 refines every reach
+@pytest.mark.parametrize("kind", ["uniform", "crowded", "copies", "few", "same", "line", "outlier"])
+def test_nearest_neighbours_match_brute_force(spark, kind):
     points = cloud(kind)
     df = spark.createDataFrame(points, "id int, lon double, lat double")
     rows = sp.nearest_neighbours(df, "id", ["lon", "lat"], 6).collect()
@@ -105,9 +103,42 @@ def test_local_g_without_variance_is_null(spark):
     assert len(rows) == 8 and all(r["z_v"] is None and r["spot_v"] is None for r in rows)
 
 
-@pytest.mark.parametrize("small_key", [skew.SMALL_KEY, 0])
-def test_points_in_polygons(spark, monkeypatch, small_key):
-    monkeypatch.setattr(skew, "SMALL_KEY", small_key)
+def candidate_pairs(df):
+    """Rows that the joins of a plan made, after it has run."""
+    df.collect()
+    total, stack = 0, [df._jdf.queryExecution().executedPlan()]
+    while stack:
+        node = stack.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            stack.append(node.executedPlan())
+            continue
+        if "QueryStage" in name:
+            stack.append(node.plan())
+        if "Join" in name:
+            total += node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        stack += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+def test_polygons_away_from_the_points_meet_none(spark):
+    far = [(f"p{i}", f"POLYGON (({50 + i} 0, {51 + i} 0, {51 + i} 1, {50 + i} 0))") for i in range(50)]
+    polygons = spark.createDataFrame(far, "geoid string, wkt string")
+    points = spark.createDataFrame([(i, i / 100, i / 200) for i in range(200)], "id int, lon double, lat double")
+    found = sp.points_in_polygons(polygons, points, "geoid", "wkt", "lon", "lat", keep_empty=False)
+    assert candidate_pairs(found) == 0 and found.count() == 0
+    assert sp.points_in_polygons(polygons, points, "geoid", "wkt", "lon", "lat").count() == 50
+
+
+def test_positions_that_are_not_finite_are_left_out(spark):
+    points = [(i, float(i), 0.0) for i in range(6)] + [(6, math.inf, 0.0), (7, 1.0, -math.inf), (8, math.nan, 1.0)]
+    df = spark.createDataFrame(points, "id int, lon double, lat double")
+    assert {r["id"] for r in sp.nearest_neighbours(df, "id", ["lon", "lat"], 2).collect()} == set(range(6))
+    assert sp.band_neighbours(df, "id", ["lon", "lat"], 1.0).count() == 10
+
+
+def test_points_in_polygons(spark):
     polygons = spark.createDataFrame(
         [
             ("sq", "POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0))"),
@@ -133,6 +164,10 @@ def test_shift_repeats_separates_copies(spark):
     rows = {r["id"]: (r["lon"], r["lat"]) for r in sp.shift_repeats(df, "id", ["lon", "lat"]).collect()}
     assert rows[1] == (1.0, 2.0) and rows[9] == (3.0, 4.0)
     assert len(set(rows.values())) == 6
+    many = spark.range(300).selectExpr("id", "1D AS lon", "2D AS lat")
+    moved = sp.shift_repeats(many, "id", ["lon", "lat"])
+    assert moved.select("lon", "lat").distinct().count() == 300
+    assert moved.select("lon").distinct().count() == 300 and moved.where("lon = 1").count() == 1
 
 
 def test_wkt_points(spark):

@@ -91,11 +91,11 @@ def coarse(spark, sf_dir):
 
 @query(f"""WITH {ROUNDED}, f AS (SELECT *, facility_id <> min(facility_id) OVER (PARTITION BY lon, lat) AS is_repeat FROM r)
 SELECT facility_id, is_repeat,
-  round(lon + CASE WHEN is_repeat THEN (facility_id % 97) * 1e-6 ELSE 0 END, 7) AS lon,
-  round(lat + CASE WHEN is_repeat THEN (facility_id % 97) * 1e-6 ELSE 0 END, 7) AS lat FROM f""")
+  round(lon + CASE WHEN is_repeat THEN (facility_id % 1000003 + 1) * 1e-10 ELSE 0 END, 11) AS lon,
+  round(lat + CASE WHEN is_repeat THEN (facility_id * 7920 % 1000003 + 1) * 1e-10 ELSE 0 END, 11) AS lat FROM f""")
 def dedup_coords(spark, sf_dir):
     moved = spatial.shift_repeats(coarse(spark, sf_dir), "facility_id", XY)
-    return moved.select("facility_id", "is_repeat", F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"))
+    return moved.select("facility_id", "is_repeat", F.round("lon", 11).alias("lon"), F.round("lat", 11).alias("lat"))
 
 
 @query(f"WITH {ROUNDED} SELECT count(DISTINCT (lon, lat)) AS places FROM r")
@@ -123,7 +123,7 @@ def tract_points(spark, sf_dir):
     )
 
 
-@query(f"""WITH {TRACTS} SELECT geoid, facility_id, CASE WHEN s_suppkey % 4 <> 0 THEN s_acctbal END AS health
+@query(f"""WITH {TRACTS} SELECT geoid, facility_id, s_acctbal AS health
 FROM tr LEFT JOIN hits USING (s_suppkey) JOIN supplier USING (s_suppkey)
 WHERE statefp NOT IN ('02', '15', '78', '74', '72', '69', '66', '60')""")
 def tract_health(spark, sf_dir):
