@@ -28,19 +28,14 @@ UNUSED_PREFIXES = ("Footnote", "Performance", "Baseline", "cycle", "CYCLE")
 # Extract columns dropped at ingest.
 INGEST_DROPS = ("inspection_text", "IDR", "IIDR", "complaint", "standard")
 
+# Descriptive columns dropped from the combined extract.
+EXTRACT_DROPS = ("address", "facility_name", "phone", "inspection_text")
+
 # Rating columns dropped before the category study.
-RATING_DROPS = tuple(
-    name + suffix
-    for name in (
-        "overall_rating",
-        "survey_rating",
-        "quality_rating",
-        "ls_quality_rating",
-        "ss_quality_rating",
-        "staffing_rating",
-        "rn_staffing_rating",
-    )
-    for suffix in ("", "_fn")
+RATING_DROPS = (
+    "overall_rating", "overall_rating_fn", "survey_rating", "survey_rating_fn", "quality_rating", "quality_rating_fn",
+    "ls_quality_rating", "ls_quality_rating_fn", "ss_quality_rating", "ss_quality_rating_fn", "staffing_rating",
+    "staffing_rating_fn", "rn_staffing_rating", "rn_staffing_rating_fn",
 )
 
 # Extract columns that must be numeric.

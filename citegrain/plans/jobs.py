@@ -21,11 +21,19 @@ from citegrain.sources.files import LATIN_1, read_extracts, read_text_columns, w
 def typed_inspections(raw: DataFrame) -> DataFrame:
     """Raw citations to dated, distinct citations of the study years.
 
-    The year test drops rows without a readable date as well.
+    The year test drops rows without a readable date as well.  A saved index column would keep copies apart,
+    so it goes first; the report text is compared by its hash and not shuffled.
     """
-    dated = raw.withColumn("inspect_date", parse_date(F.col("inspection_date")))
+    dated = raw.drop(*SAVED_INDEX).withColumn("inspect_date", parse_date(F.col("inspection_date")))
     dated = dated.withColumn("insp_year", F.year("inspect_date"))
-    return dated.where(F.col("insp_year").between(*c.INGEST_YEARS)).distinct().drop(*c.INGEST_DROPS)
+    dated = dated.where(F.col("insp_year").between(*c.INGEST_YEARS))
+    if "inspection_text" in dated.columns:
+        dated = dated.withColumn("inspection_text", F.sha2("inspection_text", 256))
+    return dated.distinct().drop(*c.INGEST_DROPS)
+
+
+# How readers name a first column without a heading.
+SAVED_INDEX = ("_c0", "Unnamed: 0")
 
 
 def ingest(spark: SparkSession, source: str, target: str, multi_line: bool = False) -> None:
@@ -34,7 +42,9 @@ def ingest(spark: SparkSession, source: str, target: str, multi_line: bool = Fal
     Only files with line breaks inside quotes need `multi_line`; they cannot be split over tasks.
     """
     raw = read_text_columns(spark, source, multi_line=multi_line)
-    write_table(typed_inspections(raw), target, by=["insp_year"])
+    # a year's rows meet in some tasks each, so that a folder gets few files
+    spread = typed_inspections(raw).hint("rebalance", "insp_year")
+    write_table(spread, target, by=["insp_year"])
 
 
 def provider_year(file: str) -> int | None:
@@ -74,13 +84,19 @@ def facility_table(citations: DataFrame, providers: DataFrame) -> DataFrame:
 
 
 def typed_extract(raw: DataFrame) -> DataFrame:
-    """Combined extract: rating columns out, names lower-case, dates, flags and numbers typed."""
-    kept = cols.lower_names(cols.drop_prefixed(raw, c.UNUSED_PREFIXES)).drop(*c.RATING_DROPS)
+    """Combined extract: text and rating columns out, names lower-case, dates, flags and numbers typed.
+
+    The named columns must be numbers; text columns at the positions 32 to 40 become numbers where they can.
+    """
+    kept = cols.lower_names(cols.drop_prefixed(raw, c.UNUSED_PREFIXES)).drop(*c.EXTRACT_DROPS, *c.RATING_DROPS)
     dates = [d for d in ("filedate", "inspection_date", "participation_date") if d in kept.columns]
     kept = kept.withColumns({d: parse_date(F.col(d), "yyyy-MM-dd", "MM/dd/yyyy") for d in dates})
     if "ccrc_facil" in kept.columns:
         kept = kept.withColumn("ccrc_facil", yes_no(F.col("ccrc_facil")))
-    return cols.cast_numbers(kept, c.NUMERIC_COLUMNS)
+    kept = cols.cast_numbers(kept, c.NUMERIC_COLUMNS)
+    # fixed values: the positions of further columns that are cast leniently
+    lenient = [n for n in kept.columns[32:41] if kept.schema[n].dataType.simpleString() == "string"]
+    return cols.cast_numbers(kept, lenient, strict=False)
 
 
 def combined_extract(spark: SparkSession, folder: str) -> DataFrame:
@@ -126,9 +142,9 @@ def senior_population(estimates: DataFrame, drop_states=c.NON_CONTIGUOUS_STATES)
 def hot_spots(
     facility_years: DataFrame, year: int, measures_: Sequence[str] = ("no_of_tags_peryear", "severe_tags_applied"), k: int = 20
 ) -> DataFrame:
-    """Local hot and cold spots of one year; facilities sharing a position are moved apart first."""
+    """Local hot and cold spots of one year's complete rows; facilities sharing a position are moved apart first."""
     columns = ["facility_id", "lat", "lon", *measures_]
-    rows = facility_years.where(F.col("insp_year") == year).select(*columns).dropna()
+    rows = facility_years.where(F.col("insp_year") == year).dropna().select(*columns)
     numbered = rows.withColumn("_n", F.abs(F.xxhash64("facility_id") % 1_000_003))
     apart = shift_repeats(numbered, "facility_id", ["lat", "lon"], by="_n").drop("_n")
     return local_g(apart, "facility_id", ["lat", "lon"], list(measures_), k)

@@ -6,13 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import types as T
 
-INSPECTION_COLUMNS = (
-    "facility_id", "facility_name", "address", "city", "state", "zip", "eventid", "inspection_date",
-    "deficiency_tag", "scope_severity", "complaint", "standard", "idr", "iidr", "infctrl", "inspection_text",
-)
-GEOCODE_COLUMNS = ("facility_id", "facility_name", "address", "city", "state", "zip", "lat", "lon")
-COORDINATE_COLUMNS = ("facility_id", "insp_year", "lat", "lon", "def_tags")
-
 ESTIMATES = T.StructType([
     T.StructField("GEOID", T.StringType()),
     T.StructField("variable", T.StringType()),

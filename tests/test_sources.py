@@ -119,6 +119,31 @@ def test_typed_extract(spark):
     }
 
 
+def test_extract_drops_text_and_casts_late_columns_leniently(spark):
+    names = [f"n{i:02d}" for i in range(45)]
+    raw = spark.createDataFrame([["bad"] * 45 + ["1 Main St", "Home", "555", "long text"]], [*names, "address", "facility_name", "phone", "inspection_text"])
+    row = jobs.typed_extract(raw).first().asDict()
+    assert list(row) == names
+    assert [n for n in names if row[n] is None] == names[32:41] and row["n31"] == row["n41"] == "bad"
+
+
+def test_a_saved_index_does_not_keep_copies_apart(spark, tmp_path):
+    rows = [",facility_id,inspection_date,deficiency_tag,inspection_text", '0,"01",05/01/2019,880,same text', '1,"01",05/01/2019,880,same text',
+            '2,"01",05/01/2019,880,other text']
+    (tmp_path / "in.csv").write_text("\n".join(rows))
+    jobs.ingest(spark, str(tmp_path / "in.csv"), str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert "_c0" not in got.columns and got.count() == 2
+
+
+def test_tract_table_is_read_with_its_schema(spark, tmp_path):
+    from citegrain.sources import schemas
+
+    (tmp_path / "tracts.csv").write_text('geoid,statefp,wkt\n01001,01,"POLYGON ((0 0, 1 0, 1 1, 0 0))"\n')
+    read = files.read_typed(spark, str(tmp_path / "tracts.csv"), schemas.TRACTS)
+    assert read.schema == schemas.TRACTS and read.first().geoid == "01001"
+
+
 def test_senior_population(spark):
     df = spark.createDataFrame(
         [("01001", "B01001A_014", 5.0), ("01001", "B01001G_031", 2.0), ("01001", "B01001A_003", 9.0),
