@@ -18,18 +18,17 @@ ORDER_ROWS = """ord AS (SELECT o_orderkey AS eventid, o_custkey AS facility_id,
 
 @query(f"WITH {ORDER_ROWS} SELECT * FROM ord WHERE insp_year > 1996 AND insp_year <= 1999")
 def range_filter(spark, sf_dir):
-    year = F.col("insp_year")
-    return v.inspected_orders(spark, sf_dir, state=False).where((year > 1996) & (year <= 1999))
+    return v.inspected_orders(spark, sf_dir, state=False, years=(1997, 1999))
 
 
 @query(f"WITH {ORDER_ROWS} SELECT * FROM ord WHERE insp_year BETWEEN 1996 AND 1999")
 def closed_range(spark, sf_dir):
-    return v.inspected_orders(spark, sf_dir, state=False).where(F.col("insp_year").between(1996, 1999))
+    return v.inspected_orders(spark, sf_dir, state=False, years=(1996, 1999))
 
 
 @query(f"WITH {ORDER_ROWS} SELECT * FROM ord WHERE insp_year = 2000")
 def equals_year(spark, sf_dir):
-    return v.inspected_orders(spark, sf_dir, state=False).where("insp_year = 2000")
+    return v.inspected_orders(spark, sf_dir, state=False, years=(2000, 2000))
 
 
 @query("""SELECT n_nationkey, n_name AS state FROM nation
@@ -103,8 +102,8 @@ def in_severe(spark, sf_dir):
 @query(f"""WITH {CITATIONS} SELECT count(DISTINCT facility_id) AS facilities FROM cit
 WHERE deficiency_tag = 'Brand#7' AND insp_year = 1998""")
 def conjunct_distinct_count(spark, sf_dir):
-    cited = v.citations(spark, sf_dir, state=False)
-    chosen = cited.where((F.col("deficiency_tag") == "Brand#7") & (F.col("insp_year") == 1998))
+    cited = v.citations(spark, sf_dir, state=False, years=(1998, 1998))
+    chosen = cited.where(F.col("deficiency_tag") == "Brand#7")
     return chosen.agg(F.count_distinct("facility_id").alias("facilities"))
 
 
@@ -198,20 +197,23 @@ def header_promote(spark, sf_dir):
 
 
 @query("""SELECT o_custkey AS facility_id, o_totalprice AS fine_tot, CAST(year(o_orderdate) AS INT) AS file_year
-FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1998""")
+FROM orders""")
 def era_union(spark, sf_dir):
     name = F.concat(F.lit("ProviderInfo_Nov"), F.year("o_orderdate").cast("string"), F.lit(".csv"))
-    orders = v.table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice", val.file_year(name).alias("file_year"))
+    orders = v.table(spark, sf_dir, "orders")
     eras = {
-        1996: ({"o_custkey": "PROVNUM", "o_totalprice": "FINE_TOT"},
+        (1900, 1996): ({"o_custkey": "PROVNUM", "o_totalprice": "FINE_TOT"},
                {"PROVNUM": "Federal Provider Number", "FINE_TOT": "Total Fines"}),
-        1997: ({"o_custkey": "Federal Provider Number", "o_totalprice": "Total Fines"}, {}),
-        1998: ({"o_custkey": "CCN", "o_totalprice": "Total Fines"}, {"CCN": "Federal Provider Number"}),
+        (1997, 1998): ({"o_custkey": "Federal Provider Number", "o_totalprice": "Total Fines"}, {}),
+        (1999, 2099): ({"o_custkey": "CCN", "o_totalprice": "Total Fines"}, {"CCN": "Federal Provider Number"}),
     }
-    parts = [
-        (orders.where(F.col("file_year") == year).withColumnsRenamed(given), renames)
-        for year, (given, renames) in eras.items()
-    ]
+
+    def era(first: int, last: int):
+        dates = [F.lit(f"{y}-01-01 00:00:00").cast("timestamp_ntz") for y in (first, last + 1)]
+        rows_ = orders.where((F.col("o_orderdate") >= dates[0]) & (F.col("o_orderdate") < dates[1]))
+        return rows_.select("o_custkey", "o_totalprice", val.file_year(name).alias("file_year"))
+
+    parts = [(era(*years).withColumnsRenamed(given), renames) for years, (given, renames) in eras.items()]
     combined = cols.union_eras(parts, ["Federal Provider Number", "Total Fines", "file_year"])
     long_names = {"FACILITY_ID": "Federal Provider Number", "FINE_TOT": "Total Fines"}
     return combined.withColumnsRenamed(cols.short_names(long_names))
@@ -287,7 +289,7 @@ def geocode_backfill(spark, sf_dir):
     all_homes = homes(spark, sf_dir)
     answers = all_homes.join(v.coordinates(spark, sf_dir).drop("x"), "facility_id")
     passes = [answers.where("facility_id % 3 = 0"), answers.where("facility_id % 3 IN (0, 1)")]
-    filled = lookups.backfill(all_homes, "facility_id", ADDRESS, passes)
+    filled = lookups.backfill(all_homes, ADDRESS, passes)
     return filled.withColumns({c: F.round(c, 6) for c in ("lon", "lat")})
 
 

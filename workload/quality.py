@@ -107,7 +107,7 @@ def yoy_change(spark, sf_dir):
 
 @query(f"WITH {EVENTS_BY_STATE} SELECT state, n_events FROM ev WHERE insp_year = 2000")
 def fewest_in_year(spark, sf_dir):
-    cited = v.citations(spark, sf_dir, tags=False).where("insp_year = 2000")
+    cited = v.citations(spark, sf_dir, tags=False, years=(2000, 2000))
     return measures.state_year_events(cited).select("state", "n_events").orderBy("n_events", "state")
 
 
@@ -118,7 +118,7 @@ FROM cit JOIN k USING (facility_id, insp_year)""")
 def events_per_facility_broadcast(spark, sf_dir):
     cited = v.citations(spark, sf_dir, state=False).select("facility_id", "insp_year", "eventid", "deficiency_tag")
     return measures.attach_distinct_count(
-        cited, ["facility_id", "insp_year"], "eventid", "inspections_per_year", ["eventid", "deficiency_tag"]
+        cited, ["facility_id", "insp_year"], "eventid", "inspections_per_year"
     )
 
 
@@ -129,8 +129,7 @@ FROM cit JOIN k USING (facility_id, insp_year, eventid)""")
 def tags_per_event_broadcast(spark, sf_dir):
     cited = v.citations(spark, sf_dir, state=False).select("facility_id", "insp_year", "eventid", "deficiency_tag")
     return measures.attach_distinct_count(
-        cited, ["facility_id", "insp_year", "eventid"], "deficiency_tag", "tags_per_inspection",
-        ["deficiency_tag"],
+        cited, ["facility_id", "insp_year", "eventid"], "deficiency_tag", "tags_per_inspection"
     )
 
 
@@ -269,8 +268,8 @@ def numeric_means(spark, sf_dir):
 
 @query(f"WITH {MEASURES} SELECT insp_year = 2000 AS covid, count(*) AS n FROM fy GROUP BY ALL")
 def period_flag_counts(spark, sf_dir):
-    flagged = fy(spark, sf_dir).select((F.col("insp_year") == 2000).alias("covid"))
-    return summaries.value_counts(flagged, "covid")
+    visits = v.citations(spark, sf_dir, tags=False).select(*measures.FACILITY_YEAR).distinct()
+    return summaries.value_counts(visits.select((F.col("insp_year") == 2000).alias("covid")), "covid")
 
 
 @query(f"""WITH {MEASURES}, {PROVIDERS} SELECT fy.*, round(bedcert, 8) AS bedcert, round(restot, 8) AS restot,

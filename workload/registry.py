@@ -20,7 +20,7 @@ MEASURES = f"""{CITATIONS}, fy AS (
 PROVIDERS = """prov AS (
   SELECT facility_id, insp_year, avg(l_quantity) AS bedcert, avg(l_extendedprice) AS restot,
          avg(l_discount) AS aidhrd, avg(l_tax) AS rnhrd
-  FROM cit WHERE insp_year > 1995 GROUP BY ALL)"""
+  FROM cit GROUP BY ALL)"""
 COORDINATES = """geo AS (
   SELECT vec_id AS facility_id, CAST(embedding[1] AS DOUBLE) * 50 - 95 AS lon,
          CAST(embedding[2] AS DOUBLE) * 20 + 38 AS lat, CAST(label AS DOUBLE) AS x
@@ -29,7 +29,7 @@ LABELLED = f"""{CITATIONS}, lab AS (
   SELECT DISTINCT CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS BIGINT) AS tag_number FROM part),
 lab2 AS (
   SELECT tag_number, ['Resident Rights', 'Quality of Life and Care', 'Nursing', 'Pharmacy',
-         'Environment'][tag_number % 5 + 1] AS category FROM lab WHERE tag_number <= 20),
+         'Environment'][tag_number % 5 + 1] AS category FROM lab),
 lc AS (
   SELECT category, insp_year, state, facility_id, l_quantity AS bedcert FROM cit
   LEFT JOIN lab2 ON CAST(regexp_extract(deficiency_tag, '([0-9]+)', 1) AS BIGINT) = tag_number),
