@@ -27,22 +27,37 @@ def cross_section(df: DataFrame, year: int, columns: Sequence[str]) -> DataFrame
     return df.where(F.col("insp_year") == year).distinct().dropna("any").select(*columns)
 
 
-def split(df: DataFrame, key: Sequence[str], percent: int = TRAIN_PERCENT, seed: int = SEED):
-    """Train and test rows by a hash of the key: the same rows whatever the partitioning."""
-    side = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(100))
+def split(
+    df: DataFrame, key: Sequence[str], percent: int = TRAIN_PERCENT, seed: int = SEED, side: Column | None = None
+):
+    """Train and test rows by a hash of the key, or by a number from 0 to 99: the same rows whatever the partitioning."""
+    side = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(100)) if side is None else side
     return df.where(side < percent), df.where(side >= percent)
 
 
-def feature_stages(numeric: Sequence[str], indexed: Sequence[str], one_hot: str) -> list:
-    codes = [f"{c}_index" for c in (*indexed, one_hot)]
+def feature_stages(numeric: Sequence[str], indexed: Sequence[str], one_hot: str | None) -> list:
+    coded = [*indexed, *([one_hot] if one_hot else [])]
+    inputs, stages = [*numeric, *[f"{c}_index" for c in indexed]], []
+    if coded:
+        stages.append(StringIndexer(inputCols=coded, outputCols=[f"{c}_index" for c in coded]))
+    if one_hot:
+        stages.append(OneHotEncoder(inputCols=[f"{one_hot}_index"], outputCols=[f"{one_hot}_vec"]))
+        inputs.append(f"{one_hot}_vec")
     return [
-        StringIndexer(inputCols=[*indexed, one_hot], outputCols=codes),
-        OneHotEncoder(inputCols=[f"{one_hot}_index"], outputCols=[f"{one_hot}_vec"]),
-        VectorAssembler(inputCols=[*numeric, *codes[:-1], f"{one_hot}_vec"], outputCol="features"),
+        *stages,
+        VectorAssembler(inputCols=inputs, outputCol="features"),
         StandardScaler(inputCol="features", outputCol="features_scaled"),
     ]
 
 
+def encoded_features(df: DataFrame, numeric: Sequence[str], indexed: Sequence[str], one_hot: str) -> DataFrame:
+    """Rows with their codes, the position of their level in the one-hot vector (null for the last level) and the
+    scaled features as an array."""
+    made = Pipeline(stages=feature_stages(numeric, indexed, one_hot)).fit(df).transform(df)
+    position = F.array_position(vector_to_array(f"{one_hot}_vec"), F.lit(1.0)) - 1
+    return made.withColumn("level", F.when(position >= 0, position)).withColumn("scaled", vector_to_array("features_scaled"))
+
+
 @dataclass
 class TagModel:
     features: PipelineModel
@@ -80,8 +95,9 @@ def fit_tag_model(
     label: str,
     numeric: Sequence[str],
     indexed: Sequence[str],
-    one_hot: str,
+    one_hot: str | None,
     key: Sequence[str],
+    side: Column | None = None,
 ) -> TagModel:
     """Index, encode, assemble and scale on all rows, then fit on the training side.
 
@@ -91,11 +107,11 @@ def fit_tag_model(
     stages = feature_stages(numeric, indexed, one_hot)
     features = Pipeline(stages=stages).fit(complete)
     scaled = features.transform(complete)
-    train, test = split(scaled, key)
+    train, test = split(scaled, key, side=side)
     line = LinearRegression(
         featuresCol="features_scaled", labelCol=label, predictionCol=f"pr_{label}", **SETTINGS
     ).fit(train)
-    levels = level_names(scaled, f"{one_hot}_vec")
+    levels = level_names(scaled, f"{one_hot}_vec") if one_hot else []
     names = [*numeric, *[f"{c}_index" for c in indexed], *levels]
     return TagModel(features, line, label, names, train, test)
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from citegrain.operators import lookups, regression, summaries
+from citegrain.operators import lookups, measures, regression, summaries
 from workload import views as v
-from workload.registry import query
+from workload.registry import MEASURES, query
 
 NUMERIC = [
     "severe_tags_applied", "fac_times_inspected", "count_nh_insp_st_yr", "bedcert", "restot", "aidhrd", "rnhrd",
@@ -45,6 +45,63 @@ def regression_metrics(spark, sf_dir):
     return tag_model(spark, sf_dir).metrics()
 
 
+# One predictor and the model's settings (0.3, 0.8) leave a soft-thresholded slope in closed form.
+LINE_SQL = f"""{MEASURES}, sec AS (
+  SELECT facility_id, no_of_tags_peryear AS y, fac_times_inspected AS x FROM fy WHERE insp_year = 2000),
+sc AS (SELECT facility_id, y, x / (SELECT stddev_samp(x) FROM sec) AS x, facility_id * 37 % 100 AS side FROM sec),
+fit AS (SELECT covar_pop(x, y) AS c, var_pop(x) AS v, stddev_samp(y) AS s, avg(x) AS mx, avg(y) AS my
+  FROM sc WHERE side < 80),
+line AS (SELECT my - b * mx AS a, b FROM (
+  SELECT *, sign(c) * greatest(abs(c) - 0.3 * 0.8, 0) / (v + 0.3 * 0.2 / s) AS b FROM fit)),
+pred AS (SELECT facility_id, y, side, a + b * x AS p FROM sc, line)"""
+
+
+def tag_line(spark, sf_dir):
+    fy = measures.facility_year_measures(v.citations(spark, sf_dir, years=(2000, 2000)), v.SEVERE_TYPES)
+    columns = ["facility_id", "no_of_tags_peryear", "fac_times_inspected"]
+    section = regression.cross_section(fy.select("insp_year", *columns), 2000, columns)
+    side = F.pmod(F.col("facility_id") * 37, F.lit(100))
+    return regression.fit_tag_model(
+        section, "no_of_tags_peryear", ["fac_times_inspected"], [], None, ["facility_id"], side
+    )
+
+
+@query(f"""WITH {LINE_SQL} SELECT CAST(0 AS INT) AS position, 'intercept' AS feature, round(a, 4) AS coefficient FROM line
+UNION ALL SELECT CAST(1 AS INT), 'fac_times_inspected', round(b, 4) FROM line""")
+def regression_line_coefficients(spark, sf_dir):
+    return tag_line(spark, sf_dir).coefficients().withColumn("coefficient", F.round("coefficient", 4))
+
+
+@query(f"WITH {LINE_SQL} SELECT facility_id, y AS no_of_tags_peryear, round(p, 2) AS predicted FROM pred WHERE side >= 80")
+def regression_line_predictions(spark, sf_dir):
+    return tag_line(spark, sf_dir).predictions().select(
+        "facility_id", "no_of_tags_peryear", F.round("pr_no_of_tags_peryear", 2).alias("predicted")
+    )
+
+
+@query(f"""WITH {LINE_SQL}, tr AS (SELECT * FROM pred WHERE side < 80)
+SELECT 'train_rmse' AS metric, round(sqrt(avg((y - p) ** 2)), 4) AS value FROM tr
+UNION ALL SELECT 'train_mae', round(avg(abs(y - p)), 4) FROM tr
+UNION ALL SELECT 'train_r2', round(1 - sum((y - p) ** 2) / (var_pop(y) * count(*)), 4) FROM tr
+UNION ALL SELECT 'test_rmse', round(sqrt(avg((y - p) ** 2)), 4) FROM pred WHERE side >= 80""")
+def regression_line_metrics(spark, sf_dir):
+    return tag_line(spark, sf_dir).metrics().withColumn("value", F.round("value", 4))
+
+
+@query(f"""WITH {MEASURES}, sec AS (SELECT facility_id, state, fac_times_inspected AS x FROM fy WHERE insp_year = 2000),
+codes AS (SELECT state, row_number() OVER (ORDER BY count(*) DESC, state) - 1 AS code FROM sec GROUP BY state)
+SELECT facility_id, state, CAST(code AS DOUBLE) AS state_index,
+  CASE WHEN code < (SELECT max(code) FROM codes) THEN code END AS level,
+  round(x / (SELECT stddev_samp(x) FROM sec), 9) AS scaled FROM sec JOIN codes USING (state)""")
+def regression_features(spark, sf_dir):
+    fy = measures.facility_year_measures(v.citations(spark, sf_dir, years=(2000, 2000)), v.SEVERE_TYPES)
+    section = fy.select("facility_id", "state", "fac_times_inspected")
+    made = regression.encoded_features(section, ["fac_times_inspected"], [], "state")
+    return made.select(
+        "facility_id", "state", "state_index", "level", F.round(F.get("scaled", F.lit(0)), 9).alias("scaled")
+    )
+
+
 def pair_sql(source: str, prefix: str = "") -> str:
     pairs = [(a, b) for i, a in enumerate(LINES) for b in LINES[i:]]
     return " UNION ALL ".join(
