@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citegrain import constants as c
-from citegrain.functions.values import parse_date, yes_no
+from citegrain.functions.values import first_match, parse_date, yes_no
 from citegrain.operators import columns as cols
 from citegrain.operators import lookups, measures
 from citegrain.operators.regression import TagModel, cross_section, fit_tag_model
 from citegrain.operators.spatial import local_g, points_in_polygons, shift_repeats
-from citegrain.sources.files import LATIN_1, read_extracts, read_text_columns, write_table
+from citegrain.sources.files import LATIN_1, read_extracts, read_text_columns, write_csv, write_table
 
 
 def typed_inspections(raw: DataFrame) -> DataFrame:
@@ -117,6 +117,25 @@ def category_growth(citations: DataFrame, years: Sequence[int]) -> DataFrame:
     return table
 
 
+def geocoded(facilities: DataFrame, replies: Sequence[DataFrame], on: Sequence[str], body: str = "body") -> DataFrame:
+    """Facilities with the position of their address: unique addresses, stored replies pass by pass, joined back.
+
+    A reply table has the address columns and the service's answer as JSON text; answers without a match or
+    that are no JSON count as missing, and the next pass is asked.
+    """
+    passes = [
+        r.select(*on, first_match(F.col(body)).alias("_p")).select(*on, F.col("_p.x").alias("lon"), F.col("_p.y").alias("lat"))
+        for r in replies
+    ]
+    found = lookups.backfill(facilities.select(*on).distinct(), on, passes)
+    return facilities.join(found, list(on), "left")
+
+
+def write_tracts(table: DataFrame, target: str) -> None:
+    """The tract table, geometry left out, as CSV for other tools."""
+    write_csv(table, target, header=True)
+
+
 def tract_health(
     tracts: DataFrame, facilities: DataFrame, health: DataFrame, drop_states=c.NON_CONTIGUOUS_STATES
 ) -> DataFrame:

@@ -144,6 +144,11 @@ def test_tract_table_is_read_with_its_schema(spark, tmp_path):
     assert read.schema == schemas.TRACTS and read.first().geoid == "01001"
 
 
+def test_tract_table_is_written(spark, tmp_path):
+    jobs.write_tracts(spark.createDataFrame([("01001", 5.0)], "geoid string, health double"), str(tmp_path / "t"))
+    assert files.read_text_columns(spark, str(tmp_path / "t")).first().asDict() == {"geoid": "01001", "health": "5.0"}
+
+
 def test_senior_population(spark):
     df = spark.createDataFrame(
         [("01001", "B01001A_014", 5.0), ("01001", "B01001G_031", 2.0), ("01001", "B01001A_003", 9.0),
