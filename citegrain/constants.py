@@ -7,10 +7,14 @@ SEVERE_LETTERS = ("J", "K", "H", "I", "F", "L")
 NON_CONTIGUOUS_STATES = ("02", "15", "78", "74", "72", "69", "66", "60")
 
 # Population 65+ variables, race groups A-G, men 014-016, women 029-031.
-SENIOR_VARIABLES = tuple(
-    f"B01001{race}_{code}"
-    for race in "ABCDEFG"
-    for code in ("014", "015", "016", "029", "030", "031")
+SENIOR_VARIABLES = (
+    "B01001A_014", "B01001A_015", "B01001A_016", "B01001A_029", "B01001A_030", "B01001A_031",
+    "B01001B_014", "B01001B_015", "B01001B_016", "B01001B_029", "B01001B_030", "B01001B_031",
+    "B01001C_014", "B01001C_015", "B01001C_016", "B01001C_029", "B01001C_030", "B01001C_031",
+    "B01001D_014", "B01001D_015", "B01001D_016", "B01001D_029", "B01001D_030", "B01001D_031",
+    "B01001E_014", "B01001E_015", "B01001E_016", "B01001E_029", "B01001E_030", "B01001E_031",
+    "B01001F_014", "B01001F_015", "B01001F_016", "B01001F_029", "B01001F_030", "B01001F_031",
+    "B01001G_014", "B01001G_015", "B01001G_016", "B01001G_029", "B01001G_030", "B01001G_031",
 )
 
 # lon/lat window of the Florida map.

@@ -50,15 +50,3 @@ def sentences(text: Column) -> Column:
         lambda s: F.regexp_replace(s, rf"^[{BLANK}]+|[{BLANK}]+$", ""),
     )
     return F.filter(pieces, lambda s: s != "")
-
-
-def unordered_pairs(items: Column) -> Column:
-    """All pairs a < b of a sorted array without repeats."""
-    return F.flatten(
-        F.transform(
-            items,
-            lambda a: F.transform(
-                F.filter(items, lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b"))
-            ),
-        )
-    )

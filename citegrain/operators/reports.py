@@ -10,6 +10,7 @@ from citegrain.functions import text as t
 
 def text_table(citations: DataFrame) -> DataFrame:
     """The side table of report texts."""
+    # fixed values: its five columns
     return citations.select("facility_id", "eventid", "inspection_text", "deficiency_tag", "scope_severity")
 
 
@@ -26,15 +27,17 @@ def actor_rows(docs: DataFrame, doc: str, text: str) -> DataFrame:
 def co_mentions(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """Undirected actor pairs sharing a sentence, with the number of such sentences.
 
-    Pairs are formed inside the sentence row, without a self-join.  A sentence starts with a blank
-    added for matching, as the actor pattern wants one in front of each mention.
+    Each name meets the later ones of its sentence, a row at a time, without a self-join and without holding a
+    sentence's pairs together.  A sentence starts with a blank added for matching, as the actor pattern wants
+    one in front of each mention.
     """
     marked = docs.where(F.contains(F.col(text), F.lit("#")))
     spoken = sentence_rows(marked.select(doc, t.normalise(F.col(text)).alias("_t")), doc, "_t")
     named = spoken.select(doc, t.actors(F.concat(F.lit(" "), F.col("sentence"))).alias("_names"))
     return (
         named.where(F.size("_names") > 1)
-        .select(doc, F.inline(t.unordered_pairs(F.col("_names"))))
+        .select(doc, "_names", F.posexplode("_names").alias("_i", "a"))
+        .select(doc, "a", F.explode(F.slice("_names", F.col("_i") + 2, F.size("_names"))).alias("b"))
         .groupBy(doc, "a", "b")
         .agg(F.count(F.lit(1)).alias("n"))
     )

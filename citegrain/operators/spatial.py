@@ -211,6 +211,24 @@ def band_neighbours(points: DataFrame, id_col: str, coords: Sequence[str], dista
     return near.where(F.col("gap") <= distance)
 
 
+def band_counts(points: DataFrame, id_col: str, coords: Sequence[str], distance: float) -> DataFrame:
+    """Every point with `others`, the number of other points at most `distance` apart.
+
+    Places are paired, not points: copies count through their number, however many there are.
+    """
+    located = finite(points, id_col, coords)
+    places = located.groupBy(*coords).agg(F.count(F.lit(1)).alias("_n"))
+    grid = Grid(places, coords)
+    placed = grid.place(places)
+    reach = f"{distance / grid.span * (1 + 1e-9) + 1e-12!r}D"
+    level = level_for(reach)
+    targets = placed.withColumnsRenamed({"_n": "_m", **{c: f"nbr_{c}" for c in coords}})
+    searches = grid.cover(placed.selectExpr("*", f"{level} AS _level"), grid.around(reach))
+    met = grid.at_levels(targets, f"array({level})").drop(*grid.units).join(searches.drop(*grid.units), grid.keys)
+    near = met.where(f"sqrt({grid.gap2()}) <= {float(distance)!r}D").groupBy(*coords).agg((F.sum("_m") - 1).alias("others"))
+    return located.join(near, list(coords))
+
+
 def local_g(points: DataFrame, id_col: str, coords: Sequence[str], values: Sequence[str], k: int) -> DataFrame:
     """Local G z-score of each measure with equal weights on the k nearest others, and its class.
 

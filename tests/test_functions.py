@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from citegrain import constants as c
 from citegrain.functions import text as t
 from citegrain.functions import values as v
+from citegrain.operators import reports
 
 
 def column(spark, values, kind, expression):
@@ -80,8 +81,9 @@ def test_tokens(spark):
     ]
     assert column(spark, [text], "string", lambda x: t.tokens(x, t.PERSON_PATTERN))[0] == ["R#227", "LPN#3"]
     assert column(spark, ["One. Two!  Three?? "], "string", t.sentences)[0] == ["One.", "Two!", "Three??"]
-    pairs = column(spark, [["a", "b", "c"]], "array<string>", t.unordered_pairs)[0]
-    assert [tuple(p) for p in pairs] == [("a", "b"), ("a", "c"), ("b", "c")]
+    docs = spark.createDataFrame([(1, "R#1 told LPN#3 and RN#2. RN#2 left.")], "id int, text string")
+    pairs = {(r.a, r.b): r.n for r in reports.co_mentions(docs, "id", "text").collect()}
+    assert pairs == {("lpn#3", "r#1"): 1, ("lpn#3", "rn#2"): 1, ("r#1", "rn#2"): 1}
 
 
 def test_fixed_values():

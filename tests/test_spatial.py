@@ -83,6 +83,14 @@ def test_band_matches_brute_force(spark, kind):
     }
 
 
+@pytest.mark.parametrize("kind", ["crowded", "copies", "same", "outlier"])
+def test_band_counts_match_brute_force(spark, kind):
+    points = cloud(kind)
+    df = spark.createDataFrame(points, "id int, lon double, lat double")
+    got = {r["id"]: r["others"] for r in sp.band_counts(df, "id", ["lon", "lat"], 1.5).collect()}
+    assert got == {i: sum(i != j and math.dist(p, q) <= 1.5 for j, *q in points) for i, *p in points}
+
+
 def test_local_g_matches_formula(spark):
     rng = np.random.default_rng(3)
     pts = [(i, float(x), float(y), float(v)) for i, (x, y, v) in enumerate(rng.normal(size=(60, 3)))]

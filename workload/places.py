@@ -80,6 +80,12 @@ def band_neighbours(spark, sf_dir):
     return found.select("facility_id", "nbr", F.round("gap", 6).alias("gap"))
 
 
+@query(f"""WITH {NEIGHBOURS} SELECT geo.facility_id, count(nbr) AS others FROM geo
+LEFT JOIN pairs ON pairs.facility_id = geo.facility_id AND gap <= 1.0 GROUP BY ALL""")
+def band_counts(spark, sf_dir):
+    return spatial.band_counts(v.coordinates(spark, sf_dir), "facility_id", XY, 1.0).select("facility_id", "others")
+
+
 ROUNDED = f"""{COORDINATES}, r AS (SELECT facility_id, round(lon, 1) AS lon, round(lat, 1) AS lat FROM geo)"""
 
 
