@@ -35,10 +35,10 @@ from citegrain.operators.durable import stored
 
 LAST_ID = (1 << 63) - 1
 ANCHOR = 20
-BLOCK_BYTES = (8 << 20, 64 << 20)
+BLOCK_BYTES = (2 << 20, 64 << 20)
 PART_BYTES = (12 << 20, 256 << 20)
-SHARD_BYTES = (4 << 20, 64 << 20)
-SLICE_BYTES = 2 << 20
+SHARD_BYTES = (1 << 20, 8 << 20)
+SLICE_BYTES = 1 << 20
 QUEUE_BYTES = 256 << 20
 SENT = "block bigint, shard bigint, payload binary"
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
@@ -127,13 +127,14 @@ def suffix_order(text: np.ndarray, symbols: int, depth: int, most: int = QUEUE_B
     if n < 2:
         return np.arange(n)
     text = text.astype(np.uint16)
-    step = np.sign(np.diff(text.astype(np.int32)))
+    step = np.sign(np.diff(text.astype(np.int32))).astype(np.int8)
     # S-type: the next different symbol is larger; the end counts as smaller than everything
     marks = np.where(step != 0, np.arange(n - 1), n - 1)
     following = np.minimum.accumulate(marks[::-1])[::-1]
     rising = np.zeros(n, bool)
     inside = following < n - 1
     rising[:-1][inside] = step[following[inside]] > 0
+    del step, marks, following, inside
     lms = np.flatnonzero(rising[1:] & ~rising[:-1]) + 1
     if len(lms):
         first = _induce(text, rising, lms[np.argsort(text[lms], kind="stable")], symbols, most)
@@ -159,6 +160,7 @@ def suffix_order(text: np.ndarray, symbols: int, depth: int, most: int = QUEUE_B
             rank[order] = np.cumsum(new)
             span *= 2
         lms = lms[np.argsort(rank, kind="stable")]
+        del first, is_lms, ranked, ends, sums, marks, names, rank
     return _induce(text, rising, lms, symbols, most)
 
 
