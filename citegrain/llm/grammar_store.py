@@ -49,22 +49,28 @@ def repair(ids: np.ndarray, last: np.ndarray, first_free: int, least: int = 32,
         before = len(symbols)
         codes = symbols[:-1] << 32 | symbols[1:]
         codes[last[:-1]] = -1
-        order = np.argsort(codes)
-        ranked = codes[order]
-        begins = np.flatnonzero(np.diff(ranked, prepend=ranked[0] - 1))
+        ranked = np.sort(codes)
+        begins = np.flatnonzero(ranked[1:] != ranked[:-1]) + 1
+        begins = np.concatenate(([0], begins))
         counts = np.diff(np.append(begins, len(ranked)))
-        pairs = ranked[begins]
-        often = np.flatnonzero((counts >= least) & (pairs >= 0))
+        often = np.flatnonzero((counts >= least) & (ranked[begins] >= 0))
         if not len(often):
             break
-        often = often[np.lexsort((pairs[often], -counts[often]))][:most]
-        rank = np.full(len(symbols), len(often), np.int64)
-        for r, i in enumerate(often):
-            rank[order[begins[i]: begins[i] + counts[i]]] = r
+        pairs = ranked[begins[often]]
+        pairs = pairs[np.lexsort((pairs, -counts[often]))][:most]
+        rank = np.full(len(symbols), len(pairs), np.int32)
+        # most places fail one of two small tables, which spares them the search
+        left, right = np.zeros(first_free + len(rules), bool), np.zeros(first_free + len(rules), bool)
+        left[pairs >> 32], right[pairs & 0xFFFFFFFF] = True, True
+        places = np.flatnonzero(left[symbols[:-1]] & right[symbols[1:]])
+        by_code = np.argsort(pairs)
+        found = np.minimum(np.searchsorted(pairs[by_code], codes[places]), len(pairs) - 1)
+        same = pairs[by_code][found] == codes[places]
+        rank[places[same]] = by_code[found[same]]
         # a place is taken if neither neighbour's pair has a better rank; runs of one pair take every other place
-        taken = _spread(rank, len(often))
+        taken = _spread(rank, len(pairs))
         fresh = first_free + len(rules)
-        rules.extend(zip((pairs[often] >> 32).tolist(), (pairs[often] & 0xFFFFFFFF).tolist()))
+        rules.extend(zip((pairs >> 32).tolist(), (pairs & 0xFFFFFFFF).tolist()))
         symbols[taken] = fresh + rank[taken]
         last[taken] = last[taken + 1]
         stay = np.ones(len(symbols), bool)
@@ -143,6 +149,10 @@ class Shard:
             out[places[made]], out[places[made] + 1] = sides[:, 0], sides[:, 1]
             symbols = out
 
+    def documents(self) -> list[np.ndarray]:
+        """The ids of all documents, in order."""
+        return np.split(self.expand(self.symbols), self.starts[1:])
+
     def document(self, i: int) -> np.ndarray:
         """The ids of the i-th document, from the symbols that cover it."""
         a = np.searchsorted(self.ends, self.starts[i], side="right")
@@ -186,7 +196,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, first_free: int, text:
 
 
 def read(files: DataFrame) -> DataFrame:
-    """Every document of the files: (doc_id, start, n_tokens, ids_crc32), each decoded by itself.
+    """Every document of the files: (doc_id, start, n_tokens, ids_crc32), decoded shard by shard.
 
     `start` counts the ids of all documents before.  Partitions are few next to documents; only their totals
     are summed in one place.
@@ -196,7 +206,7 @@ def read(files: DataFrame) -> DataFrame:
         for batch in batches:
             for part, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 shard = Shard(payload)
-                crcs = [zlib.crc32(shard.document(i).astype("<u4").tobytes()) for i in range(len(shard.keys))]
+                crcs = [zlib.crc32(ids.astype("<u4").tobytes()) for ids in shard.documents()]
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": pa.array(shard.keys, pa.int64()), "part": pa.array([part] * len(crcs), pa.int64()),
                     "start": pa.array(shard.starts + shard.earlier, pa.int64()),

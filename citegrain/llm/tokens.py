@@ -11,7 +11,7 @@ import os
 import re
 from array import array
 
-CACHE_PIECES = 500_000
+CACHE_PIECES = 400_000
 MARKS = ".,!?;:"
 LOWER_AND_BLANK = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\n", b"abcdefghijklmnopqrstuvwxyz ")
 _ENCODERS: dict = {}

@@ -237,6 +237,7 @@ def test_repair_round_trip():
         for i, n in enumerate(counts):
             assert shard.document(i).tolist() == ids[at:at + n].tolist()
             at += n
+        assert [d.tolist() for d in shard.documents()] == [shard.document(i).tolist() for i in range(60)]
         assert len(shard.rules) and len(shard.symbols) < len(ids)
 
 
