@@ -29,7 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citegrain.llm.census import REPORT, answered, answers, cut, prefix_hashes, report, span_hashes, total_bytes
+from citegrain.llm.census import (
+    REPORT, answered, answers, cut, mixed, prefix_hashes, report, span_hashes, total_bytes,
+)
 from citegrain.llm.texts import slices
 from citegrain.operators.durable import stored
 
@@ -213,7 +215,8 @@ def anchors(texts: list[bytes], length: int):
     ends[:-1] &= (at[1:] != at[:-1]) | ~valid[1:]
     first, last = np.flatnonzero(new), np.flatnonzero(ends)
     owner = np.searchsorted(begin, first, side="right") - 1
-    return owner, first - begin[owner], last - first + 1, hashes[at[first]]
+    # the smallest of many hashes is small: mixed once more, anchors spread evenly over parts and shards
+    return owner, first - begin[owner], last - first + 1, mixed(hashes[at[first]])
 
 
 def _rows(table: pa.Table) -> tuple[list[int], list[bytes]]:
