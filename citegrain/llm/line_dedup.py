@@ -3,10 +3,12 @@
 A line is a `\\n`-separated piece of a text, trimmed and lower-cased for comparison; blank lines are never
 duplicates.  Its shingles are the stretches of up to `SHINGLE` characters that begin at each word (at each
 character of scripts written without spaces, and every `SHINGLE` characters inside longer words).  Exact
-copies merge first.  Bands of MinHash values bring the distinct lines together; every member of a band's
-bucket is compared with the bucket's smallest and largest member, so that the pairs grow with the lines and
-not with the square of a bucket.  Pairs whose Jaccard similarity is at least `similarity` are linked, and of
-each connected component only its earliest line, by document id and line number, stays.
+copies merge first.  Bands of MinHash values bring the distinct lines together.  Some times over, every
+member of a band's bucket is compared with two members of it, and what proves similar becomes one component.
+Then all remaining pairs of a bucket's members in different components are compared, except those that their
+sizes or the bits of their shingles (`marks`) rule out.  Pairs whose Jaccard similarity is at least
+`similarity` are linked, and of each connected component only its earliest line, by document id and line
+number, stays.
 
 Everything is DataFrame operations.  Defined results: a null text is empty; an empty table gives an empty
 result; null ids come last in the order and count as one id; rows that repeat an id keep or lose equal
@@ -15,6 +17,8 @@ lines at equal places together; all other columns pass through, and working name
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +28,8 @@ from citegrain.operators.durable import stored
 
 SHINGLE = 12
 BANDS, ROWS = 6, 2
+STARS = 2
+MARKS = 2
 LAST_ID = (1 << 63) - 1
 LINE_BITS = 1 << 32
 
@@ -46,25 +52,27 @@ def occurrences(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 
 def signatures(found: DataFrame) -> DataFrame:
-    """One row per distinct line, with the first place it stands at, a number, and its bands' buckets.
+    """One row per distinct line: the first place it stands at, a number, its bands' buckets, marks of its shingles.
 
     Copies merge here: they have the same hashes, so that partial aggregates of a task hold one row each,
     and no text is shuffled.
     """
     hashes = found.select("key", "place", F.explode(shingles("norm")).alias("h"))
     least = [F.min(F.shiftrightunsigned(F.xxhash64("h", F.lit(j)), 32)).alias(f"m{j}") for j in range(BANDS * ROWS)]
-    signed = hashes.groupBy("key").agg(F.min("place").alias("place"), *least)
+    bit, none = F.expr("shiftleft(1L, cast(h & 63 as int))"), F.lit(0).cast("bigint")
+    word = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(MARKS - 1))
+    marks = [F.bit_or(F.when(word == i, bit).otherwise(none)).alias(f"marks{i}") for i in range(MARKS)]
+    signed = hashes.groupBy("key").agg(F.min("place").alias("place"), *least, *marks)
     keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    return signed.select(F.monotonically_increasing_id().alias("n"), "key", "place", F.array(*keys).alias("buckets"))
+    return signed.select(F.monotonically_increasing_id().alias("n"), "key", "place", F.array(*keys).alias("buckets"),
+                         *[f"marks{i}" for i in range(MARKS)])
 
 
-def candidates(lines: DataFrame) -> DataFrame:
-    """Pairs (a, b) of line numbers: each member of a bucket with its smallest and its largest member."""
+def bucketed(lines: DataFrame) -> DataFrame:
+    """(n, bucket) of all buckets that hold two lines or more."""
     banded = lines.select("n", F.explode("buckets").alias("bucket"))
-    ends = banded.groupBy("bucket").agg(F.min("n").alias("low"), F.max("n").alias("high")).where("low < high")
-    met = banded.join(ends, "bucket").select("n", F.explode(F.array("low", "high")).alias("other"))
-    pairs = met.where("n != other").select(F.least("n", "other").alias("a"), F.greatest("n", "other").alias("b"))
-    return pairs.distinct()
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    return banded.join(shared.select("bucket"), "bucket", "left_semi").select("n", "bucket")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -98,15 +106,49 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return both.where(enough).select("a", "b")
 
 
+def linked_lines(lines: DataFrame, met: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, root) for the lines that are linked with another of a bucket they share, all pairs counted."""
+    open_ = met.select("n", "bucket", F.col("n").alias("root"))
+    tree = None
+    for turn in range(STARS):
+        mark = F.struct(F.xxhash64("n", F.lit(turn)).alias("mark"), "n", "root")
+        hubs = open_.groupBy("bucket").agg(F.min(mark).alias("low"), F.max(mark).alias("high"))
+        near = open_.join(hubs, "bucket").select("n", "root", F.explode(F.array("low", "high")).alias("hub"))
+        near = near.where(F.col("root") != F.col("hub.root"))
+        pairs = near.select(F.least("n", "hub.n").alias("a"), F.greatest("n", "hub.n").alias("b")).distinct()
+        links = similar_pairs(pairs, sets, similarity)
+        roots = stored(components(links if tree is None else tree.union(links)))
+        tree = roots.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        known = open_.drop("root").join(roots.withColumnRenamed("node", "n"), "n", "left")
+        known = known.select("n", "bucket", F.coalesce("root", "n").alias("root"))
+        split = known.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2")
+        open_ = stored(known.join(split.select("bucket"), "bucket", "left_semi"))
+    # what is left: pairs between components, which all have to be looked at.  Sizes within the similarity
+    # differ by less than one step of this scale; where more marks differ than two such sets have elements
+    # outside each other, the pair is not similar, and its sets need not meet
+    scale = F.lit(-math.log(min(similarity, 0.99)))
+    step = F.floor(F.log(F.col("size").cast("double")) / scale + F.lit(1e-9)).cast("int")
+    marks = [f"marks{i}" for i in range(MARKS)]
+    rest = open_.join(lines.select("n", *marks), "n").join(sets.select("n", F.size("s").alias("size")), "n")
+    rest = stored(rest.withColumn("step", step))
+    around = F.explode(F.array(*[F.col("step") + d for d in (-1, 0, 1)]))
+    one, other = rest.alias("l"), rest.withColumn("step", around).alias("r")
+    apart = sum((F.bit_count(F.col(f"l.{m}").bitwiseXOR(F.col(f"r.{m}"))) for m in marks), F.lit(0))
+    most = (F.col("l.size") + F.col("r.size")) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6)
+    same = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.step") == F.col("r.step"))
+    left = one.join(other, same & (F.col("l.n") < F.col("r.n")) & (F.col("l.root") != F.col("r.root")) & (apart <= most))
+    pairs = left.select(F.col("l.n").alias("a"), F.col("r.n").alias("b")).distinct()
+    return components(tree.union(similar_pairs(pairs, sets, similarity)))
+
+
 def doubled_lines(docs: DataFrame, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Lines that go: (id, pos, kept_place), one row each."""
     found = occurrences(docs, text, doc_id)
     lines = stored(signatures(found))
-    pairs = stored(candidates(lines))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct()
-    wanted = wanted.join(lines.select("n", "key", "place"), "n")
+    met = stored(bucketed(lines))
+    wanted = lines.select("n", "key", "place").join(met.select("n").distinct(), "n")
     sets = stored(shingle_sets(docs, wanted, text, doc_id))
-    roots = components(similar_pairs(pairs, sets, similarity))
+    roots = linked_lines(lines, met, sets, similarity)
     grouped = lines.select("n", "key", "place").join(roots.withColumnRenamed("node", "n"), "n", "left")
     grouped = grouped.withColumn("root", F.coalesce("root", "n"))
     first = grouped.groupBy("root").agg(F.min("place").alias("kept_place"))

@@ -131,6 +131,23 @@ def test_line_dedup(cases):
     assert kept.columns == docs.columns and 0 < kept.count() < len(rows)
 
 
+def test_line_dedup_of_templates(spark):
+    """Families that share most of their shingles fill the same buckets; each has a near copy of its own."""
+    rng = random.Random(4)
+    template = [f"t{i}" for i in range(60)]
+    rows = []
+    for family in range(60):
+        own = [f"f{family}n{i}" for i in range(10)]
+        for copy in range(2):
+            words = template + own
+            words[5 + rng.randrange(50)] = f"e{family}c{copy}"
+            rows.append((len(rows), " ".join(words)))
+    of = clusters({i: line_set(t) for i, t in rows}, 80)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = sorted(r.id for r in line_dedup.doubled_lines(docs).collect())
+    assert got == [i for i, first in sorted(of.items()) if i != first] and len(got) == 60
+
+
 def test_line_dedup_empty(nothing):
     assert line_dedup.dedup_lines(nothing).collect() == []
 
