@@ -42,7 +42,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     gone = line_dedup.doubled_lines(docs).groupBy("id").agg(F.sort_array(F.collect_list("pos")).alias("gone"))
     lines = docs.select("doc_id", F.size(F.split(whole_text(), "\n")).cast("bigint").alias("n_lines"))
-    return lines.join(gone.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
+    return lines.join(gone, F.coalesce("doc_id", F.lit(line_dedup.LAST_ID)) == F.col("id"), "left").select(
         "doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_dropped"), "gone"
     )
 

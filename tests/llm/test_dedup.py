@@ -8,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from citegrain.llm import exact_dedup, line_dedup, shingle_join, suffix_dedup
+from citegrain.llm import exact_dedup, line_dedup, queries, shingle_join, suffix_dedup
 
 LAST = (1 << 63) - 1
 WORD = r"[^\x20\x09-\x0D]+"
@@ -148,6 +148,15 @@ def test_line_dedup_of_templates(spark):
     assert got == [i for i, first in sorted(of.items()) if i != first] and len(got) == 60
 
 
+def test_line_dedup_query_of_null_ids(spark, tmp_path):
+    """A null id is the last in the order: its copies are reported like all others."""
+    rows = [(1, "one line\nanother line", "en", "s", 1), (None, "of its own\nanother line\none line", "en", "s", 1)]
+    columns = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    spark.createDataFrame(rows, columns).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.gone) for r in queries.op4_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (2, 0, None), None: (3, 2, [1, 2])}
+
+
 def test_line_dedup_empty(nothing):
     assert line_dedup.dedup_lines(nothing).collect() == []
 
