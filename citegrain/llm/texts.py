@@ -10,6 +10,8 @@ SPACE = r"[\x20\x09-\x0D]"
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 LABELS = "doc_id bigint, quality int, toxic int"
+BENCHMARK = "item_id bigint, text string"
+EMBEDDINGS = "vec_id bigint, embedding array<float>, label int"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +22,14 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(LABELS).parquet(f"{sf_dir}/labels.parquet")
 
 
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.schema(BENCHMARK).parquet(f"{sf_dir}/benchmark.parquet")
+
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.schema(EMBEDDINGS).parquet(f"{sf_dir}/embeddings.parquet")
+
+
 def whole_text(column: str = "text") -> Column:
     """The text, a null one being empty."""
     return F.coalesce(F.col(column), F.lit(""))
