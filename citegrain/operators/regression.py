@@ -98,10 +98,12 @@ def fit_tag_model(
     one_hot: str | None,
     key: Sequence[str],
     side: Column | None = None,
+    tolerance: float = 1e-6,
 ) -> TagModel:
     """Index, encode, assemble and scale on all rows, then fit on the training side.
 
-    Every fit and metric reads the rows once more, so they are kept first.
+    Every fit and metric reads the rows once more, so they are kept first.  The solver stops at the settings'
+    number of steps or where a step gains less than `tolerance`, relative to the loss.
     """
     complete = durable(df.dropna("any"))
     stages = feature_stages(numeric, indexed, one_hot)
@@ -109,7 +111,7 @@ def fit_tag_model(
     scaled = features.transform(complete)
     train, test = split(scaled, key, side=side)
     line = LinearRegression(
-        featuresCol="features_scaled", labelCol=label, predictionCol=f"pr_{label}", **SETTINGS
+        featuresCol="features_scaled", labelCol=label, predictionCol=f"pr_{label}", tol=tolerance, **SETTINGS
     ).fit(train)
     levels = level_names(scaled, f"{one_hot}_vec") if one_hot else []
     names = [*numeric, *[f"{c}_index" for c in indexed], *levels]
