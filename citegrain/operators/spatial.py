@@ -1,7 +1,8 @@
 """Nearest neighbours, distance bands, local hot spots and points in polygons.
 
 Candidates meet through cells of a square grid hierarchy: level 0 is one cell over all points and
-every level halves the cell side.  No operator pairs points without a shared cell.
+every level halves the cell side.  Neighbour searches list points in the leaves of an adaptive quadtree over it.
+No operator pairs points without near cells.
 """
 
 from __future__ import annotations
@@ -21,12 +22,11 @@ from citegrain.functions.geometry import (
 )
 from citegrain.functions.values import hot_cold
 from citegrain.operators.durable import durable
+from citegrain.operators.quadtree import Grid, leaf_pairs, leaves, level_for, spread
 from citegrain.operators.rows import repeat_flag
 
-# Cells of the finest level are 2 ** -48 of the span wide, so that a far outlier leaves the others apart.
-MAX_LEVEL = 48
-# Every third level is counted when looking for a place's smallest well-filled cell.
-COUNTED_LEVELS = f"sequence(0, {MAX_LEVEL}, 3)"
+# A leaf holds so many times the candidates that a search wants.
+LEAF_FILL = 4
 # A prime for offsets of repeated positions, and the smallest offset in degrees.
 OFFSET_PRIME, OFFSET_STEP = 1_000_003, 1e-10
 
@@ -57,57 +57,6 @@ def shift_repeats(df: DataFrame, id_col: str, coords: Sequence[str], by: str | N
     })
 
 
-class Grid:
-    """Scaled coordinates and cell numbers of a point set."""
-
-    def __init__(self, points: DataFrame, coords: Sequence[str]):
-        self.coords = list(coords)
-        self.units = [f"_u{i}" for i in range(len(self.coords))]
-        self.cells = [f"_c{i}" for i in range(len(self.coords))]
-        self.keys = ["_level", *self.cells]
-        ends = [f"double({end}(`{c}`))" for end in ("min", "max") for c in self.coords]
-        ends = [v if v is not None else 0.0 for v in points.selectExpr(*ends).first()]
-        self.low, self.high = ends[: len(self.coords)], ends[len(self.coords) :]
-        self.span = max(h - v for v, h in zip(self.low, self.high)) or 1.0
-
-    def scaled(self, value: str, axis: int) -> str:
-        return f"(({value} - {self.low[axis]!r}D) / {self.span!r}D)"
-
-    def place(self, df: DataFrame) -> DataFrame:
-        """Add scaled coordinates in [0, 1]."""
-        units = [f"{self.scaled(f'`{c}`', i)} AS {u}" for i, (c, u) in enumerate(zip(self.coords, self.units))]
-        return df.selectExpr("*", *units)
-
-    @staticmethod
-    def cell(unit: str, level: str = "_level") -> str:
-        """Cell number of a scaled coordinate; coarser cells are exact unions of finer ones."""
-        finest = f"bigint(least(floor(least(greatest({unit}, 0D), 1D) * {1 << MAX_LEVEL}), {(1 << MAX_LEVEL) - 1}))"
-        return f"shiftright({finest}, {MAX_LEVEL} - {level})"
-
-    def at_levels(self, df: DataFrame, levels: str) -> DataFrame:
-        """One row per point and level, with the cell it lies in."""
-        spread = df.selectExpr("*", f"explode({levels}) AS _level")
-        return spread.selectExpr("*", *[f"{self.cell(u)} AS {c}" for u, c in zip(self.units, self.cells)])
-
-    def cover(self, df: DataFrame, spans: Sequence[tuple[str, str]]) -> DataFrame:
-        """One row per cell of `_level` between the given ends, one pair of scaled ends per axis."""
-        for c, (first, last) in zip(self.cells, spans):
-            df = df.selectExpr("*", f"explode(sequence({self.cell(first)}, {self.cell(last)})) AS {c}")
-        return df
-
-    def around(self, reach: str) -> list[tuple[str, str]]:
-        return [(f"({u} - {reach})", f"({u} + {reach})") for u in self.units]
-
-    def gap2(self) -> str:
-        """Squared distance between a point's and its counterpart's coordinates."""
-        return " + ".join(f"(`nbr_{c}` - `{c}`) * (`nbr_{c}` - `{c}`)" for c in self.coords)
-
-
-def level_for(reach: str) -> str:
-    """Finest level whose cells are at least `reach` wide, so that a box meets few of them."""
-    return f"int(least(greatest(floor(-log2(greatest({reach}, {2.0**-MAX_LEVEL!r}D))), 0), {MAX_LEVEL}))"
-
-
 def levels_in_use(df: DataFrame, level: str) -> str:
     """The levels that occur, as an array constant; there are at most MAX_LEVEL + 1."""
     found = sorted(r[0] for r in df.selectExpr(level).distinct().collect())
@@ -126,16 +75,15 @@ def nearest_neighbours(
     Output: the point's columns plus `rank`, `nbr`, `gap` (straight-line distance over `coords`) and
     `nbr_<c>` for the coordinates and every carried column.
 
-    Points at one place share one search, and a place shows at most its k+1 smallest ids as
-    candidates, which no ranking can look past; so copies cost nothing.  The smallest cell around a
-    place that holds k+1 candidates bounds its reach, first by the cell's diagonal, then by the k+1st
-    distance inside that cell.  The place then meets the candidates of the cells its reach touches.
-    Only places in thinly filled cells look at coarse cells, so crowded cells are read by few
-    searches; adaptive execution splits crowded cells.  Positions that are not finite are left out.
+    Points at one place share one search, and a place shows at most its k+1 smallest ids as candidates, which no
+    ranking can look past; so copies cost nothing.  Candidates lie in the leaves of an adaptive quadtree, each
+    once.  A place's reach is its k+1st distance within its leaf, or the diagonal of the crowded cell above a
+    leaf that holds fewer.  Leaves meet the leaves within their places' reach, and then places meet candidates.
+    Adaptive execution splits crowded joins.  Positions that are not finite are left out.
     """
     coords, carry = list(coords), list(carry)
     located = finite(points, id_col, coords)
-    grid = Grid(located, coords)
+    grid, axes = Grid(located, coords), range(len(coords))
     at_place = Window.partitionBy(*coords).orderBy("nbr")
     candidates = durable(
         grid.place(
@@ -144,48 +92,33 @@ def nearest_neighbours(
             .where(F.col("_n") <= k + 1)
         )
     )
-    places = candidates.where("_n = 1").select(F.col("nbr").alias("_place"), *coords, *grid.units)
-    counts = (
-        grid.at_levels(candidates, COUNTED_LEVELS).groupBy(*grid.keys).agg(F.count(F.lit(1)).alias("n"))
-    )
-    filled = counts.where(F.col("n") > k).drop("n")
-    smallest = (
-        grid.at_levels(places, COUNTED_LEVELS).join(filled, grid.keys)
-        .groupBy("_place")
-        .agg(F.max("_level").alias("_level"))
+    entry = F.struct("nbr", "_n", *grid.units, *coords, *carry)
+    held, deepest = leaves(candidates, grid, LEAF_FILL * (k + 1), entry)
+    gap2 = " + ".join(f"(p.`{c}` - q.`{c}`) * (p.`{c}` - q.`{c}`)" for c in coords)
+    last = f"element_at(array_sort(transform(_rows, q -> sqrt({gap2}) / {grid.span!r}D)), {k + 1})"
+    # the cell above holds k+1 candidates; a set that fits one leaf is searched whole
+    above = f"if(_level = 0, {2.0 * len(coords)}D, {2 * len(coords) ** 0.5!r}D * pow(2D, -_level))"
+    # widened a little so that rounding cannot lose a neighbour at the rim
+    reach = f"(if(size(_rows) > {k}, {last}, {above}) * (1 + 1e-9D) + 1e-12D)"
+    places = f"transform(filter(_rows, p -> p._n = 1), p -> struct(p AS p, {reach} AS reach))"
+    held = durable(
+        spread(held, "_leaf").withColumn("_places", F.expr(places)).withColumn("_reach", F.expr("array_max(transform(_places, p -> p.reach))"))
+        .withColumn("_reach", F.expr("coalesce(_reach, 0D)"))
     )
-    # a set of k points or fewer has no filled cell and is searched whole
-    diagonal = F.expr(f"coalesce({len(coords) ** 0.5!r}D * pow(2D, -_level), {2.0 * len(coords)}D)")
-    homes = places.join(smallest, "_place", "left").select(
-        *places.columns, F.expr("coalesce(_level, 0) AS _level"), diagonal.alias("_reach")
+    pairs = leaf_pairs(held.where("size(_places) > 0"), held, grid, deepest)
+    targets = held.select(F.col("_leaf").alias("_other"), "_rows", *[F.col(f"_{e}{i}") for i in axes for e in ("lo", "hi")])
+    met = spread(pairs, "_leaf", "_other").join(held.select("_leaf", "_places"), "_leaf").join(targets, "_other")
+    away = " + ".join(f"pow(greatest(_lo{i} - _s.p._u{i}, _s.p._u{i} - _hi{i}, 0D), 2)" for i in axes)
+    searching = met.selectExpr("_rows", *[f"_{e}{i}" for i in axes for e in ("lo", "hi")], "explode(_places) AS _s")
+    searching = searching.where(f"sqrt({away}) <= _s.reach").selectExpr(
+        "_s.p.nbr AS _place", *[f"_s.p.`{c}`" for c in coords], "_s.reach AS _reach", "explode(_rows) AS _q"
     )
     wanted = [f"nbr_{c}" for c in (*coords, *carry)]
-    targets = candidates.drop("_n").withColumnsRenamed({c: f"nbr_{c}" for c in (*coords, *carry)})
-
-    def meet(searching: DataFrame, spans: list[tuple[str, str]]) -> DataFrame:
-        """The k+1 best candidates of every place within its reach and its cells."""
-        search_cells = grid.cover(searching, spans).drop(*grid.units)
-        target_cells = grid.at_levels(targets, levels_in_use(searching, "_level")).drop(*grid.units)
-        # candidates in cells that no place searches are not shuffled to the pairs
-        target_cells = target_cells.join(search_cells.select(*grid.keys).distinct(), grid.keys, "left_semi")
-        met = target_cells.join(search_cells, grid.keys)
-        near = met.withColumn("_gap2", F.expr(grid.gap2())).where(f"sqrt(_gap2) / {grid.span!r}D <= _reach")
-        in_search = Window.partitionBy("_place").orderBy("_gap2", "nbr")
-        return near.withColumn("_rank", F.row_number().over(in_search)).where(F.col("_rank") <= k + 1)
-
-    homes = durable(homes)
-    inside_home = meet(homes, [(u, u) for u in grid.units])
-    last = inside_home.where(F.col("_rank") == k + 1).select(
-        "_place", F.expr(f"sqrt(_gap2) / {grid.span!r}D AS _last")
-    )
-    homes = durable(
-        homes.join(last, "_place", "left").withColumn("_reach", F.expr("coalesce(_last, _reach)")).drop("_last")
-    )
-    # widened a little so that rounding cannot lose a neighbour at the rim
-    searches = homes.withColumn("_reach", F.expr("_reach * (1 + 1e-9D) + 1e-12D")).withColumn(
-        "_level", F.expr(level_for("_reach"))
-    )
-    ranked = meet(searches, grid.around("_reach"))
+    near = searching.selectExpr(
+        "_place", *[f"`{c}`" for c in coords], "_reach", "_q.nbr AS nbr", *[f"_q.`{c}` AS `nbr_{c}`" for c in (*coords, *carry)]
+    ).withColumn("_gap2", F.expr(grid.gap2())).where(f"sqrt(_gap2) / {grid.span!r}D <= _reach")
+    in_search = Window.partitionBy("_place").orderBy("_gap2", "nbr")
+    ranked = near.withColumn("_rank", F.row_number().over(in_search)).where(F.col("_rank") <= k + 1)
     entry = F.struct("_rank", "nbr", F.sqrt("_gap2").alias("gap"), *wanted)
     lists = ranked.groupBy("_place", *coords).agg(F.array_sort(F.collect_list(entry)).alias("_near"))
 
