@@ -63,36 +63,10 @@ def wkt_rings(wkt: Column) -> Column:
 
 
 def ring_edges(rings: Column) -> Column:
-    """Consecutive vertex pairs of every ring: array<struct<a, b>>."""
+    """Consecutive vertex pairs of every ring, the last with the first: array<struct<a, b>>."""
 
     def edges(ring: Column) -> Column:
-        return F.arrays_zip(
-            F.slice(ring, F.lit(1), F.size(ring) - 1).alias("a"),
-            F.slice(ring, F.lit(2), F.size(ring) - 1).alias("b"),
-        )
+        following = F.concat(F.slice(ring, F.lit(2), F.size(ring) - 1), F.slice(ring, F.lit(1), F.lit(1)))
+        return F.arrays_zip(ring.alias("a"), following.alias("b"))
 
     return F.flatten(F.transform(rings, edges))
-
-
-def inside(x: Column, y: Column, edges: Column) -> Column:
-    """Even-odd rule over all edges, so holes and parts work; the boundary is outside."""
-
-    def side(e: Column) -> Column:
-        return (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) - (e["b"]["y"] - e["a"]["y"]) * (
-            x - e["a"]["x"]
-        )
-
-    def touches(e: Column) -> Column:
-        return (
-            (side(e) == 0)
-            & x.between(F.least(e["a"]["x"], e["b"]["x"]), F.greatest(e["a"]["x"], e["b"]["x"]))
-            & y.between(F.least(e["a"]["y"], e["b"]["y"]), F.greatest(e["a"]["y"], e["b"]["y"]))
-        )
-
-    def crosses(e: Column) -> Column:
-        up = e["b"]["y"] > e["a"]["y"]
-        spans = (e["a"]["y"] > y) != (e["b"]["y"] > y)
-        return spans & F.when(up, side(e) > 0).otherwise(side(e) < 0)
-
-    odd = F.size(F.filter(edges, crosses)) % 2 == 1
-    return odd & ~F.exists(edges, touches)

@@ -20,6 +20,14 @@ MAX_LEVEL = 48
 STEP = 6
 
 
+def finite(df: DataFrame, id_col: str, coords: Sequence[str]) -> DataFrame:
+    """Rows with an id and finite coordinates."""
+    bounded = df.dropna(subset=[id_col, *coords])
+    for c in coords:
+        bounded = bounded.where(F.abs(F.col(c)) < float("inf"))
+    return bounded
+
+
 class Grid:
     """Scaled coordinates and cell numbers of a point set; `rows` is its number of points."""
 

@@ -1,4 +1,4 @@
-"""Nearest neighbours, distance bands, local hot spots and points in polygons.
+"""Nearest neighbours, distance bands and local hot spots.
 
 Candidates meet through cells of a square grid hierarchy: level 0 is one cell over all points and
 every level halves the cell side.  Neighbour searches list points in the leaves of an adaptive quadtree over it.
@@ -8,27 +8,22 @@ No operator pairs points without near cells.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citegrain.functions.geometry import (
-    haversine,
-    inside,
-    ring_edges,
-    unit_vector,
-    valid_position,
-    wkt_rings,
-)
+from citegrain.functions.geometry import haversine, unit_vector, valid_position
 from citegrain.functions.values import hot_cold
 from citegrain.operators.durable import durable
-from citegrain.operators.quadtree import Grid, leaf_pairs, leaves, level_for, spread
+from citegrain.operators.quadtree import Grid, finite, leaf_pairs, leaves, level_for, spread
 from citegrain.operators.rows import repeat_flag
+from citegrain.operators.summaries import placed_values
 
 # A leaf holds so many times the candidates that a search wants.
 LEAF_FILL = 4
-# A prime for offsets of repeated positions, and the smallest offset in degrees.
-OFFSET_PRIME, OFFSET_STEP = 1_000_003, 1e-10
+# Repeated positions move by multiples of so many degrees.
+OFFSET_STEP = 1e-10
 
 
 def valid_points(df: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
@@ -36,31 +31,18 @@ def valid_points(df: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame
     return df.where(valid_position(F.col(lon), F.col(lat)))
 
 
-def finite(df: DataFrame, id_col: str, coords: Sequence[str]) -> DataFrame:
-    """Rows with an id and finite coordinates."""
-    bounded = df.dropna(subset=[id_col, *coords])
-    for c in coords:
-        bounded = bounded.where(F.abs(F.col(c)) < float("inf"))
-    return bounded
+def shift_repeats(df: DataFrame, id_col: str, coords: Sequence[str]) -> DataFrame:
+    """Move rows that repeat a position apart by small offsets, other ones on each axis; the smallest id stays.
 
-
-def shift_repeats(df: DataFrame, id_col: str, coords: Sequence[str], by: str | None = None) -> DataFrame:
-    """Move repeated positions apart by a small offset that depends on a number (the id) only.
-
-    The offset is never zero and differs from axis to axis; numbers meet only a million apart.
+    The offset counts the ids at the place, so copies never meet; rows that share id and position stay together.
+    Ids are counted by ordered buckets, so that a place may hold any share of the rows.
     """
     flagged = repeat_flag(df, coords, id_col)
-    number = F.col(by or id_col).cast("bigint")
-    steps = {c: F.pmod(number * (7919 * i + 1), F.lit(OFFSET_PRIME)) + 1 for i, c in enumerate(coords)}
-    return flagged.withColumns({
-        c: F.col(c) + F.when(F.col("is_repeat"), n * OFFSET_STEP).otherwise(F.lit(0.0)) for c, n in steps.items()
-    })
-
-
-def levels_in_use(df: DataFrame, level: str) -> str:
-    """The levels that occur, as an array constant; there are at most MAX_LEVEL + 1."""
-    found = sorted(r[0] for r in df.selectExpr(level).distinct().collect())
-    return f"array({', '.join(map(str, found))})" if found else "cast(array() AS array<int>)"
+    repeats = flagged.where("is_repeat").groupBy(*coords, id_col).agg(F.lit(1).cast("bigint").alias("n"))
+    number = placed_values(repeats, id_col, list(coords)).select(*coords, id_col, (F.col("before") + 1).alias("_number"))
+    numbered = flagged.join(number, [*coords, id_col], "left")
+    moved = {c: F.col(c) + F.coalesce(F.col("_number") * ((i + 1) * OFFSET_STEP), F.lit(0.0)) for i, c in enumerate(coords)}
+    return numbered.withColumns(moved).select(*flagged.columns)
 
 
 def nearest_neighbours(
@@ -130,18 +112,44 @@ def nearest_neighbours(
     )
 
 
-def band_neighbours(points: DataFrame, id_col: str, coords: Sequence[str], distance: float) -> DataFrame:
-    """Ordered pairs of different points at most `distance` apart; positions that are not finite are left out."""
-    located = finite(points, id_col, coords)
-    grid = Grid(located, coords)
-    placed = grid.place(located.select(id_col, *coords))
+def place_pairs(located: DataFrame, coords: Sequence[str], distance: float) -> tuple[DataFrame, DataFrame]:
+    """(places, pairs): distinct positions with their number of rows, and each pair at most `distance` apart, once.
+
+    A place looks into its own cell, for places of larger number, and into the half of the cells around it that
+    come after; cells are as wide as the distance.
+    """
+    places = durable(
+        located.groupBy(*coords).agg(F.count(F.lit(1)).alias("_n")).withColumn("_place", F.monotonically_increasing_id())
+    )
+    grid = Grid(places, coords)
     reach = f"{distance / grid.span * (1 + 1e-9) + 1e-12!r}D"
-    level = level_for(reach)
-    targets = placed.withColumnsRenamed({id_col: "nbr", **{c: f"nbr_{c}" for c in coords}})
-    searches = grid.cover(placed.selectExpr("*", f"{level} AS _level"), grid.around(reach))
-    met = grid.at_levels(targets, f"array({level})").drop(*grid.units).join(searches.drop(*grid.units), grid.keys)
-    near = met.where(F.col(id_col) != F.col("nbr")).selectExpr(f"`{id_col}`", "nbr", f"sqrt({grid.gap2()}) AS gap")
-    return near.where(F.col("gap") <= distance)
+    placed = grid.at_levels(grid.place(places), f"array({level_for(reach)})").drop(*grid.units, "_n")
+    later = [o for o in product((-1, 0, 1), repeat=len(grid.cells)) if o >= (0,) * len(grid.cells)]
+    steps = "array(" + ", ".join("struct(" + ", ".join(f"{d} AS d{i}" for i, d in enumerate(o)) + ")" for o in later) + ")"
+    searches = placed.selectExpr("*", f"explode({steps}) AS _o").withColumn("_same", F.expr(
+        " AND ".join(f"_o.d{i} = 0" for i in range(len(grid.cells)))
+    ))
+    searches = searches.withColumns({c: F.expr(f"{c} + _o.d{i}") for i, c in enumerate(grid.cells)}).drop("_o")
+    targets = placed.withColumnsRenamed({"_place": "_other", **{c: f"nbr_{c}" for c in coords}})
+    met = searches.join(targets, grid.keys).where("not _same or _place < _other")
+    gap = F.expr(f"sqrt({grid.gap2()})").alias("gap")
+    return places, met.select("_place", "_other", gap).where(F.col("gap") <= distance)
+
+
+def band_neighbours(points: DataFrame, id_col: str, coords: Sequence[str], distance: float) -> DataFrame:
+    """Ordered pairs of different points at most `distance` apart; positions that are not finite are left out.
+
+    Places are paired, each pair once; both orders and the copies at a place are written out at the end.
+    """
+    located = finite(points, id_col, coords).select(id_col, *coords)
+    places, pairs = place_pairs(located, coords, distance)
+    alone = places.where("_n > 1").select("_place", F.col("_place").alias("_other"), F.lit(0.0).alias("gap"))
+    both = F.array(F.struct(F.col("_place").alias("p"), F.col("_other").alias("o")), F.struct(F.col("_other").alias("p"), F.col("_place").alias("o")))
+    ordered = pairs.select("gap", F.inline(both)).unionByName(alone.selectExpr("gap", "_place AS p", "_other AS o"))
+    members = located.join(places.drop("_n"), list(coords)).select(F.col(id_col), "_place")
+    nbrs = members.select(F.col(id_col).alias("nbr"), F.col("_place").alias("o"))
+    found = ordered.join(members.withColumnRenamed("_place", "p"), "p").join(nbrs, "o")
+    return found.where(F.col(id_col) != F.col("nbr")).select(id_col, "nbr", "gap")
 
 
 def band_counts(points: DataFrame, id_col: str, coords: Sequence[str], distance: float) -> DataFrame:
@@ -150,16 +158,13 @@ def band_counts(points: DataFrame, id_col: str, coords: Sequence[str], distance:
     Places are paired, not points: copies count through their number, however many there are.
     """
     located = finite(points, id_col, coords)
-    places = located.groupBy(*coords).agg(F.count(F.lit(1)).alias("_n"))
-    grid = Grid(places, coords)
-    placed = grid.place(places)
-    reach = f"{distance / grid.span * (1 + 1e-9) + 1e-12!r}D"
-    level = level_for(reach)
-    targets = placed.withColumnsRenamed({"_n": "_m", **{c: f"nbr_{c}" for c in coords}})
-    searches = grid.cover(placed.selectExpr("*", f"{level} AS _level"), grid.around(reach))
-    met = grid.at_levels(targets, f"array({level})").drop(*grid.units).join(searches.drop(*grid.units), grid.keys)
-    near = met.where(f"sqrt({grid.gap2()}) <= {float(distance)!r}D").groupBy(*coords).agg((F.sum("_m") - 1).alias("others"))
-    return located.join(near, list(coords))
+    places, pairs = place_pairs(located, coords, distance)
+    size = places.select("_place", "_n")
+    second = pairs.join(size, "_place").select(F.col("_other").alias("_place"), "_n")
+    first = pairs.join(size.withColumnRenamed("_place", "_other"), "_other").select("_place", "_n")
+    own = size.select("_place", (F.col("_n") - 1).alias("_n"))
+    others = own.unionByName(first).unionByName(second).groupBy("_place").agg(F.sum("_n").alias("others"))
+    return located.join(places.join(others, "_place").drop("_place", "_n"), list(coords))
 
 
 def local_g(points: DataFrame, id_col: str, coords: Sequence[str], values: Sequence[str], k: int) -> DataFrame:
@@ -193,50 +198,6 @@ def local_g(points: DataFrame, id_col: str, coords: Sequence[str], values: Seque
     return scored.withColumns({f"spot_{v}": hot_cold(F.col(f"z_{v}")) for v in values})
 
 
-def points_in_polygons(
-    polygons: DataFrame,
-    points: DataFrame,
-    polygon_id: str,
-    wkt: str,
-    lon: str,
-    lat: str,
-    keep_empty: bool = True,
-) -> DataFrame:
-    """Polygon rows joined to the points they contain; empty polygons stay with null point columns.
-
-    A polygon is listed in the few cells its bounding box meets at the level matching its size, and
-    points are looked up at the levels in use only.  Polygons whose box misses the points' extent are not
-    listed.  Only ids, positions and edges travel to the match; a polygon's other columns join afterwards.
-    """
-    ringed = polygons.select(polygon_id, ring_edges(wkt_rings(F.col(wkt))).alias("_edges"))
-    sides = {
-        "_x0": F.array_min(F.transform("_edges", lambda e: e["a"]["x"])),
-        "_x1": F.array_max(F.transform("_edges", lambda e: e["a"]["x"])),
-        "_y0": F.array_min(F.transform("_edges", lambda e: e["a"]["y"])),
-        "_y1": F.array_max(F.transform("_edges", lambda e: e["a"]["y"])),
-    }
-    located = finite(points, lon, [lon, lat])
-    grid = Grid(located, [lon, lat])
-    bounded = ringed.withColumns(sides).where(
-        (F.col("_x1") >= grid.low[0]) & (F.col("_x0") <= grid.high[0])
-        & (F.col("_y1") >= grid.low[1]) & (F.col("_y0") <= grid.high[1])
-    )
-    half = f"(greatest(_x1 - _x0, _y1 - _y0) / 2 / {grid.span!r}D)"
-    level = level_for(half)
-    ends = [(grid.scaled("_x0", 0), grid.scaled("_x1", 0)), (grid.scaled("_y0", 1), grid.scaled("_y1", 1))]
-    covering = grid.cover(bounded.selectExpr("*", f"{level} AS _level"), ends)
-    levels = levels_in_use(bounded, level)
-    at_cells = grid.at_levels(grid.place(located), levels).drop(*grid.units)
-    met = at_cells.join(covering, grid.keys)
-    hit = (
-        F.col(lon).between(F.col("_x0"), F.col("_x1"))
-        & F.col(lat).between(F.col("_y0"), F.col("_y1"))
-        & inside(F.col(lon), F.col(lat), F.col("_edges"))
-    )
-    matched = met.where(hit).select(polygon_id, *points.columns)
-    return polygons.join(matched, polygon_id, "left" if keep_empty else "inner")
-
-
 def great_circle_neighbours(
     points: DataFrame, id_col: str, lon: str, lat: str, k: int, carry: Sequence[str] = ()
 ) -> DataFrame:

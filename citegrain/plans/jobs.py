@@ -14,7 +14,8 @@ from citegrain.functions.values import first_match, parse_date, yes_no
 from citegrain.operators import columns as cols
 from citegrain.operators import lookups, measures
 from citegrain.operators.regression import TagModel, cross_section, fit_tag_model
-from citegrain.operators.spatial import local_g, points_in_polygons, shift_repeats
+from citegrain.operators.polygons import points_in_polygons
+from citegrain.operators.spatial import local_g, shift_repeats
 from citegrain.sources.files import LATIN_1, read_extracts, read_text_columns, write_csv, write_table
 
 
@@ -164,8 +165,7 @@ def hot_spots(
     """Local hot and cold spots of one year's complete rows; facilities sharing a position are moved apart first."""
     columns = ["facility_id", "lat", "lon", *measures_]
     rows = facility_years.where(F.col("insp_year") == year).dropna().select(*columns)
-    numbered = rows.withColumn("_n", F.abs(F.xxhash64("facility_id") % 1_000_003))
-    apart = shift_repeats(numbered, "facility_id", ["lat", "lon"], by="_n").drop("_n")
+    apart = shift_repeats(rows, "facility_id", ["lat", "lon"])
     return local_g(apart, "facility_id", ["lat", "lon"], list(measures_), k)
 
 

@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from citegrain.functions import geometry as g
+from citegrain.operators import polygons, quadtree
 from citegrain.operators import spatial as sp
+from citegrain.plans import jobs
 
 
 def brute_knn(points, k):
@@ -132,11 +134,11 @@ def candidate_pairs(df):
 
 def test_polygons_away_from_the_points_meet_none(spark):
     far = [(f"p{i}", f"POLYGON (({50 + i} 0, {51 + i} 0, {51 + i} 1, {50 + i} 0))") for i in range(50)]
-    polygons = spark.createDataFrame(far, "geoid string, wkt string")
+    areas = spark.createDataFrame(far, "geoid string, wkt string")
     points = spark.createDataFrame([(i, i / 100, i / 200) for i in range(200)], "id int, lon double, lat double")
-    found = sp.points_in_polygons(polygons, points, "geoid", "wkt", "lon", "lat", keep_empty=False)
+    found = polygons.points_in_polygons(areas, points, "geoid", "wkt", "lon", "lat", keep_empty=False)
     assert candidate_pairs(found) == 0 and found.count() == 0
-    assert sp.points_in_polygons(polygons, points, "geoid", "wkt", "lon", "lat").count() == 50
+    assert polygons.points_in_polygons(areas, points, "geoid", "wkt", "lon", "lat").count() == 50
 
 
 def test_positions_that_are_not_finite_are_left_out(spark):
@@ -147,7 +149,7 @@ def test_positions_that_are_not_finite_are_left_out(spark):
 
 
 def test_points_in_polygons(spark):
-    polygons = spark.createDataFrame(
+    areas = spark.createDataFrame(
         [
             ("sq", "POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0))"),
             ("hole", "POLYGON ((10 0, 16 0, 16 6, 10 6, 10 0), (12 2, 14 2, 14 4, 12 4, 12 2))"),
@@ -161,7 +163,7 @@ def test_points_in_polygons(spark):
         8: (21.9, 1.9), 9: (100, -40), 10: (3.999, 0.001),
     }
     points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in spots.items()], "id int, lon double, lat double")
-    rows = sp.points_in_polygons(polygons, points, "geoid", "wkt", "lon", "lat").collect()
+    rows = polygons.points_in_polygons(areas, points, "geoid", "wkt", "lon", "lat").collect()
     assert sorted(((r["geoid"], r["id"]) for r in rows), key=str) == sorted(
         [("sq", 1), ("sq", 10), ("hole", 5), ("multi", 6), ("multi", 7), ("empty", None)], key=str
     )
@@ -182,3 +184,89 @@ def test_wkt_points(spark):
     df = spark.createDataFrame([("POINT (-86.5 32.25)",), ("point(1e1 -2)",), ("POINT EMPTY",), (None,)], "w string")
     got = [r["p"] for r in df.select(g.wkt_point(F.col("w")).alias("p")).collect()]
     assert [tuple(p) if p else None for p in got] == [(-86.5, 32.25), (10.0, -2.0), None, None]
+
+
+def ring_text(ring):
+    return "(" + ", ".join(f"{x!r} {y!r}" for x, y in [*ring, ring[0]]) + ")"
+
+
+def brute_inside(rings, x, y):
+    odd = False
+    for ring in rings:
+        for (ax, ay), (bx, by) in zip(ring, [*ring[1:], ring[0]]):
+            side = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
+            if side == 0 and min(ax, bx) <= x <= max(ax, bx) and min(ay, by) <= y <= max(ay, by):
+                return False
+            if (ay > y) != (by > y) and (side > 0 if by > ay else side < 0):
+                odd = not odd
+    return odd
+
+
+def polygon_hits(spark, shapes, spots):
+    areas = spark.createDataFrame(
+        [(k, "POLYGON (" + ", ".join(map(ring_text, rings)) + ")") for k, rings in shapes.items()], "geoid string, wkt string"
+    )
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(spots)], "id int, lon double, lat double")
+    found = polygons.points_in_polygons(areas, points, "geoid", "wkt", "lon", "lat", keep_empty=False)
+    rows = found.select("geoid", "id").collect()
+    return sorted((r["geoid"], r["id"]) for r in rows)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_polygons_on_a_lattice(spark, seed):
+    """Vertices, borders and points share coordinates with cells and each other; polygons may cross themselves."""
+    rng = random.Random(seed)
+    size = 8
+    shapes = {
+        f"p{n}": [[(rng.randrange(size + 1), rng.randrange(size + 1)) for _ in range(rng.randrange(3, 40))] for _ in range(rng.randrange(1, 3))]
+        for n in range(12)
+    }
+    shapes["wide"] = [[(-50, -50), (50, -50), (50, 50), (-50, 50)], [(2, 2), (6, 2), (6, 6), (2, 6)]]
+    spots = [(x / 2, y / 2) for x in range(2 * size + 1) for y in range(2 * size + 1)]
+    expected = sorted((k, i) for k, rings in shapes.items() for i, (x, y) in enumerate(spots) if brute_inside(rings, x, y))
+    assert polygon_hits(spark, shapes, spots) == expected
+
+
+def test_polygon_of_many_vertices(spark):
+    rng = random.Random(2)
+    n = 100_000
+    ring = []
+    for i in range(n):
+        r = 10 + math.sin(40 * math.pi * i / n) + rng.uniform(0, 0.01)
+        ring.append((r * math.cos(2 * math.pi * i / n), r * math.sin(2 * math.pi * i / n)))
+    spots = [(rng.uniform(-14, 14), rng.uniform(-14, 14)) for _ in range(1500)]
+    ax, ay = np.array(ring).T
+    bx, by = np.roll(ax, -1), np.roll(ay, -1)
+    expected = []
+    for i, (x, y) in enumerate(spots):
+        side = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
+        if ((((ay > y) != (by > y)) & np.where(by > ay, side > 0, side < 0)).sum()) % 2:
+            expected.append(("big", i))
+    assert polygon_hits(spark, {"big": [ring]}, spots) == expected
+    # a point meets the edges of its own cell
+    areas = spark.createDataFrame([("big", f"POLYGON ({ring_text(ring)})")], "geoid string, wkt string")
+    points = spark.createDataFrame(spots, "lon double, lat double")
+    grid = quadtree.Grid(points, ["lon", "lat"])
+    index = polygons.cell_index(polygons.near_polygons(areas, "geoid", "wkt", grid), grid)
+    most, whole = index.agg(F.max(F.size("_edges")), F.count(F.when(F.col("_edges").isNull(), 1))).first()
+    assert most < n / 100 and whole > 1000
+
+
+def test_each_candidate_is_in_one_leaf(spark):
+    for kind in ("uniform", "crowded", "outlier"):
+        df = spark.createDataFrame(cloud(kind), "id int, lon double, lat double")
+        grid = quadtree.Grid(df, ["lon", "lat"])
+        held, deepest = quadtree.leaves(grid.place(df), grid, 10, F.col("id"))
+        rows = held.collect()
+        assert sorted(i for r in rows for i in r["_rows"]) == sorted(p[0] for p in cloud(kind))
+        assert max(r["_level"] for r in rows) <= deepest
+        assert all(len(r["_rows"]) <= 10 for r in rows if r["_level"] < quadtree.MAX_LEVEL)
+        places = {(r["_level"], r["_c0"], r["_c1"]) for r in rows}
+        assert not any((level - up, x >> up, y >> up) in places for level, x, y in places for up in range(1, level + 1))
+
+
+def test_copies_of_a_position_never_meet(spark):
+    rows = [(f"F{i}", 2022, 30.0, -90.0, 1.0 * (i % 7)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "facility_id string, insp_year int, lat double, lon double, v double")
+    spots = jobs.hot_spots(df, 2022, ["v"], k=3)
+    assert spots.select("lat", "lon").distinct().count() == 3000

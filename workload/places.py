@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from citegrain.operators import spatial, summaries
+from citegrain.operators import polygons, spatial, summaries
 from citegrain.plans import jobs
 from workload import views as v
 from workload.registry import COORDINATES, query
@@ -95,10 +95,8 @@ def coarse(spark, sf_dir):
     )
 
 
-@query(f"""WITH {ROUNDED}, f AS (SELECT *, facility_id <> min(facility_id) OVER (PARTITION BY lon, lat) AS is_repeat FROM r)
-SELECT facility_id, is_repeat,
-  round(lon + CASE WHEN is_repeat THEN (facility_id % 1000003 + 1) * 1e-10 ELSE 0 END, 11) AS lon,
-  round(lat + CASE WHEN is_repeat THEN (facility_id * 7920 % 1000003 + 1) * 1e-10 ELSE 0 END, 11) AS lat FROM f""")
+@query(f"""WITH {ROUNDED}, f AS (SELECT *, row_number() OVER (PARTITION BY lon, lat ORDER BY facility_id) - 1 AS n FROM r)
+SELECT facility_id, n > 0 AS is_repeat, round(lon + n * 1e-10, 11) AS lon, round(lat + n * 2e-10, 11) AS lat FROM f""")
 def dedup_coords(spark, sf_dir):
     moved = spatial.shift_repeats(coarse(spark, sf_dir), "facility_id", XY)
     return moved.select("facility_id", "is_repeat", F.round("lon", 11).alias("lon"), F.round("lat", 11).alias("lat"))
@@ -121,7 +119,7 @@ hits AS (SELECT s_suppkey, facility_id, lon, lat FROM tr JOIN geo ON lon > x0 AN
 @query(f"""WITH {TRACTS} SELECT geoid, statefp, facility_id, round(lon, 6) AS lon, round(lat, 6) AS lat
 FROM tr LEFT JOIN hits USING (s_suppkey)""")
 def tract_points(spark, sf_dir):
-    placed = spatial.points_in_polygons(
+    placed = polygons.points_in_polygons(
         v.tracts(spark, sf_dir), v.coordinates(spark, sf_dir).drop("x"), "geoid", "wkt", "lon", "lat"
     )
     return placed.select(
