@@ -34,9 +34,9 @@ def value_counts(df: DataFrame, column: str, keep_null: bool = False) -> DataFra
 def histogram(df: DataFrame, value: str, by: Sequence[str] = (), bins: int = 20) -> DataFrame:
     """Counts in equal-width bins over the overall range; the top edge belongs to the last bin.
 
-    Equal values are merged first; the range and the counts each read the rows once.
+    Equal values are merged first and kept; the range and the counts come from them, so rows are read once.
     """
-    values = value_copies(df, value, by)
+    values = durable(value_copies(df, value, by))
     low, high = values.agg(F.min(value), F.max(value)).first()
     width = ((high - low) / bins if low is not None else 0) or 1.0
     position = F.floor((F.col(value) - F.lit(low)) / F.lit(float(width))) + 1

@@ -16,7 +16,8 @@ from citegrain.operators import lookups, measures
 from citegrain.operators.regression import TagModel, cross_section, fit_tag_model
 from citegrain.operators.polygons import points_in_polygons
 from citegrain.operators.spatial import local_g, shift_repeats
-from citegrain.sources.files import LATIN_1, read_extracts, read_text_columns, write_csv, write_table
+from citegrain.sources.files import LATIN_1, read_text_columns, write_csv, write_table
+from citegrain.sources.headed import read_extracts
 
 
 def typed_inspections(raw: DataFrame) -> DataFrame:

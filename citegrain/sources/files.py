@@ -49,31 +49,6 @@ def read_text_columns(
     return reader.csv(path if isinstance(path, str) else list(path))
 
 
-def read_extracts(spark: SparkSession, folder: str, part: str = "text", **options) -> DataFrame:
-    """All CSV extracts whose file name holds `part`, without their saved index column.
-
-    Files are grouped by their header, so extracts of different layouts are joined by column name.
-    """
-    names = (
-        spark.read.format("binaryFile").option("pathGlobFilter", f"*{part}*").load(folder)
-        .select("path").collect()
-    )
-    layouts: dict[tuple[str, ...], list[str]] = {}
-    for (path,) in names:
-        columns = tuple(read_text_columns(spark, path, **options).columns)
-        layouts.setdefault(columns, []).append(path)
-    if not layouts:
-        raise FileNotFoundError(f"no extract named *{part}* in {folder}")
-    combined = None
-    for columns, paths in layouts.items():
-        first, rest = columns[0], columns[1:]
-        index = first in ("_c0", "") or first.startswith("Unnamed")
-        frame = read_text_columns(spark, paths, columns, **options)
-        frame = frame.select(*[F.col(f"`{c}`") for c in (rest if index else columns)])
-        combined = frame if combined is None else combined.unionByName(frame, allowMissingColumns=True)
-    return combined
-
-
 def read_typed(spark: SparkSession, path: str | Sequence[str], schema: T.StructType, **options) -> DataFrame:
     """Text source cast to a declared schema in one projection; unreadable values become null."""
     text = read_text_columns(spark, path, schema.names, **options)

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from citegrain import constants as c
 from citegrain.plans import jobs
-from citegrain.sources import files, schemas
+from citegrain.sources import files, headed, schemas
 
 
 def test_parquet_round_trip(spark, tmp_path):
@@ -43,13 +43,13 @@ def test_extracts_by_name(spark, tmp_path):
     (tmp_path / "text_a.csv").write_text(",facility_id,x\n0,01,a\n1,02,\"two\nlines\"\n")
     (tmp_path / "text_b.csv").write_text(",facility_id,y\n0,03,b\n")
     (tmp_path / "other.csv").write_text(",facility_id,x\n0,99,z\n")
-    got = files.read_extracts(spark, str(tmp_path), multi_line=True)
+    got = headed.read_extracts(spark, str(tmp_path), multi_line=True)
     assert got.columns == ["facility_id", "x", "y"]
     assert sorted(map(tuple, got.collect()), key=str) == [
         ("01", "a", None), ("02", "two\nlines", None), ("03", None, "b")
     ]
     with pytest.raises(FileNotFoundError):
-        files.read_extracts(spark, str(tmp_path), part="absent")
+        headed.read_extracts(spark, str(tmp_path), part="absent")
 
 
 def test_typed_source_and_local_rows(spark, tmp_path):
@@ -178,3 +178,40 @@ def test_hot_spots_and_regression_jobs(spark):
     assert len({(r.lat, r.lon) for r in spots}) == 120
     model = jobs.tag_regression(table)
     assert model.coefficients().count() == 1 + len(c.REGRESSION_NUMERIC) + 2 + 1
+
+
+def test_headers_of_many_files(spark, tmp_path):
+    """Two hundred files of three layouts; headers come from the files, and the files are read by one job."""
+    layouts = [["id", "name", "n"], ["", "n", "id"], ["id", "", "name", "name"]]
+    expected = []
+    for i in range(200):
+        layout = layouts[i % 3]
+        rows = [{"id": f"{i:03d}", "name": f"a,{j}", "n": str(j)} for j in range(i % 4)]
+        lines = [",".join(layout)] + [",".join(f'"{r.get(c, "x")}"' for c in layout) for r in rows]
+        if rows and i % 3 == 0:
+            lines.append(lines[0])  # a row like the header, further down
+            rows.append({"id": "id", "name": "name", "n": "n"})
+        (tmp_path / f"text_{i:03d}.csv").write_text("\n".join(lines) + "\n")
+        expected += [
+            (r["id"], r["name"] if "name" in layout else None, r["n"] if "n" in layout else None,
+             "x" if i % 3 == 2 else None, r["name"] if i % 3 == 2 else None)
+            for r in rows
+        ]
+    tracker, group = spark.sparkContext.statusTracker(), "headed"
+    spark.sparkContext.setJobGroup(group, group)
+    got = headed.read_headed(spark, str(tmp_path), saved_index=True)
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert got.columns == ["id", "name", "n", "_c1", "name3"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(expected, key=str)
+    assert len(tracker.getJobIdsForGroup(group)) < 20  # far fewer than files
+    assert "csv" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_headers_of_odd_files(spark, tmp_path):
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "alone.csv").write_text("a,b\n")
+    got = headed.read_headed(spark, str(tmp_path))
+    assert got.columns == ["a", "b"] and got.count() == 0
+    (tmp_path / "wide.csv").write_text(",".join("abcde") + "\n1,2,3,4,5\n")
+    with pytest.raises(ValueError, match="more than 4 fields"):
+        headed.read_headed(spark, str(tmp_path), most_columns=4)
