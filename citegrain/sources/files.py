@@ -68,6 +68,6 @@ def write_table(df: DataFrame, path: str, overwrite: bool = False, by: Sequence[
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
-def write_csv(df: DataFrame, path: str, header: bool = False) -> None:
+def write_csv(df: DataFrame, path: str, header: bool = False, encoding: str = "UTF-8") -> None:
     """CSV, replacing what is there."""
-    df.write.mode("overwrite").option("header", header).csv(path)
+    df.write.mode("overwrite").option("header", header).option("encoding", encoding).csv(path)

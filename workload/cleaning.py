@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from citegrain.functions import values as val
 from citegrain.functions.geometry import in_box
 from citegrain.operators import columns as cols
-from citegrain.operators import lookups, measures, rows, summaries
+from citegrain.operators import dates, lookups, measures, rows, summaries
+from citegrain.operators.durable import shared_folder
 from citegrain.operators.spatial import valid_points
+from citegrain.plans import jobs
+from citegrain.sources import files, headed
 from workload import views as v
 from workload.registry import CITATIONS, COORDINATES, MEASURES, SEVERE, query
 
@@ -185,15 +190,97 @@ def positional_rename(spark, sf_dir):
     return cols.rename_positions(v.table(spark, sf_dir, "nation"), ["facility_id", "state", "zone"])
 
 
+def as_text(df, header: bool = True, encoding: str = "UTF-8") -> str:
+    """A table as CSV files in the session's shared folder."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/files-{uuid.uuid4().hex}"
+    files.write_csv(df, path, header=header, encoding=encoding)
+    return path
+
+
 @query("""SELECT CAST(c_custkey AS VARCHAR) AS facility_id, c_name AS facility_name, c_mktsegment AS segment
 FROM customer""")
 def header_promote(spark, sf_dir):
-    names = ["facility_id", "facility_name", "segment"]
-    text = v.table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").cast("string"), "c_name", "c_mktsegment"
-    ).toDF("_c0", "_c1", "_c2")
-    header = spark.createDataFrame([tuple(names)], text.schema)
-    return cols.promote_header(text.union(header), names)
+    """The header comes from the files: text without a stated schema, its first record naming the columns."""
+    customers = v.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("facility_id"), F.col("c_name").alias("facility_name"), F.col("c_mktsegment").alias("segment")
+    )
+    return headed.read_headed(spark, as_text(customers))
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS eventid, CASE WHEN year(o_orderdate) >= 1997 THEN CAST(o_custkey AS VARCHAR) END AS
+  facility_id, o_orderstatus AS status, CASE WHEN year(o_orderdate) < 1999 THEN o_orderpriority END AS priority FROM orders""")
+def extracts_of_layouts(spark, sf_dir):
+    """Extracts of three layouts, two of them with a saved index, read in one scan and joined by column name."""
+    orders = v.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("eventid"), F.col("o_custkey").alias("facility_id"), F.col("o_orderstatus").alias("status"),
+        F.col("o_orderpriority").alias("priority"), F.year("o_orderdate").alias("y"), F.lit(0).alias("Unnamed: 0"),
+    )
+    folders = [
+        as_text(orders.where("y < 1997").select("Unnamed: 0", "eventid", "status", "priority")),
+        as_text(orders.where("y BETWEEN 1997 AND 1998").select("Unnamed: 0", "priority", "facility_id", "eventid", "status")),
+        as_text(orders.where("y >= 1999").select("status", "eventid", "facility_id")),
+    ]
+    return headed.read_extracts(spark, folders, part="part").select("eventid", "facility_id", "status", "priority")
+
+
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS id, 'Señor ' || s_name AS name, s_acctbal AS estimate FROM supplier""")
+def csv_round_trip(spark, sf_dir):
+    """Latin-1 text with and without a header, typed on reading, written to parquet and read again."""
+    suppliers = v.table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").cast("string").alias("id"), F.concat(F.lit("Señor "), "s_name").alias("name"), F.col("s_acctbal").alias("estimate")
+    )
+    schema = suppliers.schema
+    bare = files.read_text_columns(spark, as_text(suppliers, header=False, encoding=files.LATIN_1), schema.names, header=False, encoding=files.LATIN_1)
+    typed = files.read_typed(spark, as_text(bare, encoding=files.LATIN_1), schema, encoding=files.LATIN_1)
+    target = f"{shared_folder(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+    files.write_table(typed, target)
+    return files.read_table(spark, target, schema)
+
+
+@query("""SELECT o_orderkey, CAST(o_orderdate AS DATE) AS iso, CAST(o_orderdate AS DATE) AS month_first,
+  CAST(o_orderdate AS DATE) AS day_first, CASE WHEN o_orderkey % 5 > 0 THEN CAST(o_orderdate AS DATE) END AS mixed FROM orders""")
+def recognised_dates(spark, sf_dir):
+    """No format is stated: each column's are found in its rows."""
+    day = F.col("o_orderdate")
+    mixed = F.when(F.col("o_orderkey") % 5 == 0, "unknown").when(
+        F.col("o_orderkey") % 2 == 0, F.date_format(day, "yyyyMMdd")
+    ).otherwise(F.date_format(day, "MMMM d, yyyy"))
+    raw = v.table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.date_format(day, "yyyy-MM-dd").alias("iso"), F.date_format(day, "MM/dd/yyyy").alias("month_first"),
+        F.date_format(day, "d/M/yyyy").alias("day_first"), mixed.alias("mixed"),
+    )
+    return dates.recognise_dates(raw, ["iso", "month_first", "day_first", "mixed"])
+
+
+WIDE = 41
+
+
+@query(f"""SELECT o_orderkey AS id, {", ".join(
+    f"CASE WHEN o_orderkey % {i % 7 + 2} > 0 THEN CAST(o_custkey + {i} AS DOUBLE) END AS p{i}" for i in range(32, WIDE))},
+  lower(o_orderstatus) = 'o' AS ccrc_facil FROM orders WHERE o_orderstatus <> 'P'
+UNION ALL SELECT o_orderkey, {", ".join(
+    f"CASE WHEN o_orderkey % {i % 7 + 2} > 0 THEN CAST(o_custkey + {i} AS DOUBLE) END" for i in range(32, WIDE))}, NULL
+  FROM orders WHERE o_orderstatus = 'P'""")
+def extract_by_position(spark, sf_dir):
+    """The combined extract's cast of the columns 32 to 40 by their place."""
+    orders = v.table(spark, sf_dir, "orders")
+    places = {f"p{i}": F.when(F.col("o_orderkey") % (i % 7 + 2) > 0, (F.col("o_custkey") + i).cast("string")).otherwise("none") for i in range(2, WIDE)}
+    flag = F.when(F.col("o_orderstatus") == "O", "Y").when(F.col("o_orderstatus") == "F", "N")
+    raw = orders.select(F.col("o_orderkey").alias("ID"), flag.alias("ccrc_facil"), *[c.alias(n) for n, c in places.items()])
+    typed = jobs.typed_extract(raw)
+    return typed.select("id", *[f"p{i}" for i in range(32, WIDE)], "ccrc_facil")
+
+
+@query("""SELECT c_custkey AS facility_id, c_name AS facility_name, CASE WHEN c_acctbal < 0 THEN NULL ELSE c_acctbal END AS balance
+FROM customer WHERE c_acctbal >= 0 ORDER BY c_custkey LIMIT 500""")
+def capped_batch(spark, sf_dir):
+    """The first work items of a batch, blanks in names closed up, NaN counted as missing."""
+    customers = v.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("Facility ID"), F.col("c_name").alias("Facility Name"),
+        F.when(F.col("c_acctbal") < 0, F.lit(float("nan"))).otherwise(F.col("c_acctbal")).alias("Balance"),
+    )
+    named = cols.lower_names(customers, underscore=True).withColumn("balance", val.null_if_nan(F.col("balance")))
+    return rows.top(named.where(F.col("balance").isNotNull()), ["facility_id"], 500)
 
 
 @query("""SELECT o_custkey AS facility_id, o_totalprice AS fine_tot, CAST(year(o_orderdate) AS INT) AS file_year

@@ -17,6 +17,12 @@ def fy(spark, sf_dir):
     return measures.facility_year_measures(v.citations(spark, sf_dir), v.SEVERE_TYPES)
 
 
+def tag_counts(spark, sf_dir):
+    """Of the facility-year measures the number of tags alone."""
+    cited = v.citations(spark, sf_dir, state=False)
+    return measures.distinct_counts(cited, ["insp_year", "facility_id"], ["deficiency_tag"], "no_of_tags_peryear")
+
+
 @query(f"""WITH {CITATIONS}, fy AS (
   SELECT state, insp_year, facility_id, count(DISTINCT eventid) AS fac_times_inspected,
          count(DISTINCT deficiency_tag) AS no_of_tags_peryear,
@@ -202,7 +208,7 @@ def category_growth(spark, sf_dir):
   count(*) AS n FROM fy GROUP BY insp_year""")
 def year_summary(spark, sf_dir):
     # percentile keeps one counter per distinct tag count, which the tag list bounds
-    return fy(spark, sf_dir).groupBy("insp_year").agg(
+    return tag_counts(spark, sf_dir).groupBy("insp_year").agg(
         F.round(F.avg("no_of_tags_peryear"), 6).alias("mean_tags"),
         F.round(F.percentile("no_of_tags_peryear", 0.99), 6).alias("q99_tags"),
         F.max("no_of_tags_peryear").alias("max_tags"),
@@ -255,7 +261,7 @@ def tagcount_period_means(spark, sf_dir):
 SELECT insp_year, CAST(least(floor((no_of_tags_peryear - lo) / (CAST(hi - lo AS DOUBLE) / 20)) + 1, 20) AS INT)
   AS bin, count(*) AS n FROM fy, lim GROUP BY ALL""")
 def histogram(spark, sf_dir):
-    return summaries.histogram(fy(spark, sf_dir), "no_of_tags_peryear", ["insp_year"])
+    return summaries.histogram(tag_counts(spark, sf_dir), "no_of_tags_peryear", ["insp_year"])
 
 
 @query(f"""WITH {MEASURES} SELECT state, round(avg(insp_year), 6) AS mean_insp_year,

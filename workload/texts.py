@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citegrain.functions import text as t
-from citegrain.operators import reports
+from citegrain.operators import boundaries, reports
 from workload import views as v
 from workload.registry import query
 
@@ -74,3 +74,21 @@ def actor_edges(spark, sf_dir):
 @query("SELECT CAST(year(l_shipdate) AS INT) AS inspection_year, count(*) AS n FROM lineitem GROUP BY ALL")
 def reports_by_year(spark, sf_dir):
     return reports.reports_by_year(v.table(spark, sf_dir, "lineitem"), "l_shipdate")
+
+
+# A sentence end is judged by how often words stand with a stop; the share of stops is that of the corpus.
+STOPS = rf"""tok AS (SELECT regexp_replace(unnest(regexp_extract_all(text, '[^{BLANK}]+[{BLANK}]*')), '[{BLANK}]+$', '') AS bare FROM documents),
+seen AS (SELECT regexp_extract(bare, '{boundaries.WORD.replace("'", "''")}', 1) AS seen,
+  regexp_extract(bare, '{boundaries.WORD.replace("'", "''")}', 2) AS stop FROM tok),
+cnt AS (SELECT lower(seen) AS word, count(*) FILTER (WHERE stop = '.') AS with_stop, count(*) FILTER (WHERE stop = '') AS without_stop,
+  count(*) FILTER (WHERE lower(seen[1]) = seen[1] AND upper(seen[1]) <> seen[1]) AS small
+  FROM seen WHERE regexp_matches(seen, '\p{{L}}') GROUP BY ALL),
+par AS (SELECT sum(with_stop) / sum(with_stop + without_stop)::DOUBLE AS p FROM cnt),
+lik AS (SELECT *, length(replace(word, '.', '')) AS len,
+  -2 * (with_stop * ln(p) + without_stop * ln(1 - p) - with_stop * ln(0.99) - without_stop * ln(1 - 0.99)) AS ratio FROM cnt, par)"""
+
+
+@query(f"""WITH {STOPS} SELECT word, with_stop, without_stop, small,
+  round(ratio * exp(-len) * (length(word) - len + 1) * pow(len::DOUBLE, -without_stop), 6) AS score FROM lik""")
+def stop_statistics(spark, sf_dir):
+    return boundaries.stop_statistics(docs(spark, sf_dir), "text").withColumn("score", F.round("score", 6))
