@@ -167,6 +167,43 @@ def band_counts(points: DataFrame, id_col: str, coords: Sequence[str], distance:
     return located.join(places.join(others, "_place").drop("_place", "_n"), list(coords))
 
 
+def neighbour_table(points: DataFrame, id_col: str, coords: Sequence[str], k: int, name: str) -> DataFrame:
+    """The k nearest others of each point, kept as the table `name`: (point, nbr, rank, gap).
+
+    The table is bucketed by `nbr` over the session's shuffle partitions, so that measures of any number join it
+    without a shuffle of its rows and without a second search.
+    """
+    found = nearest_neighbours(points.select(id_col, *coords), id_col, coords, k)
+    buckets = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    table = found.select(F.col(id_col).alias("point"), "nbr", "rank", "gap").repartition(buckets, "nbr")
+    table.write.mode("overwrite").bucketBy(buckets, "nbr").sortBy("nbr").saveAsTable(name)
+    return points.sparkSession.table(name)
+
+
+def _moments(usable: DataFrame, values: Sequence[str]) -> tuple[int, list]:
+    totals = usable.agg(F.count(F.lit(1)), *[f(v) for v in values for f in (F.avg, F.var_pop)]).first()
+    return totals[0], list(totals[1:])
+
+
+def _scored(lags: DataFrame, n: int, moments: list, values: Sequence[str]) -> DataFrame:
+    """z-scores and classes from centred values _v<i>, their neighbours' means _lag_v<i> and numbers _k."""
+    factor = F.try_divide((n - 1) / F.col("_k") - 1, F.lit(float(n - 2)))
+    scores = {}
+    for i, v in enumerate(values):
+        c, others = f"_v{i}", F.lit(float(n - 1))
+        mean = F.try_divide(-F.col(c), others)
+        square = F.try_divide(n * (moments[2 * i + 1] or 0.0) - F.col(c) * F.col(c), others)
+        variance = (square - mean * mean) * factor
+        spread = F.sqrt(F.when(variance > 1e-12 * square, variance))
+        scores[f"z_{v}"] = F.try_divide(F.col(f"_lag{c}") - mean, spread)
+    scored = lags.withColumns(scores)
+    return scored.withColumns({f"spot_{v}": hot_cold(F.col(f"z_{v}")) for v in values})
+
+
+def _centred(values: Sequence[str], moments: list) -> dict:
+    return {f"_v{i}": F.col(v) - F.lit(moments[2 * i]) for i, v in enumerate(values)}
+
+
 def local_g(points: DataFrame, id_col: str, coords: Sequence[str], values: Sequence[str], k: int) -> DataFrame:
     """Local G z-score of each measure with equal weights on the k nearest others, and its class.
 
@@ -174,28 +211,33 @@ def local_g(points: DataFrame, id_col: str, coords: Sequence[str], values: Seque
     variance of close values exact; without variance the score is null.
     """
     usable = finite(points, id_col, coords).dropna(subset=list(values))
-    totals = usable.agg(F.count(F.lit(1)), *[f(v) for v in values for f in (F.avg, F.var_pop)]).first()
-    n, moments = totals[0], totals[1:]
+    n, moments = _moments(usable, values)
     own = [f"_v{i}" for i in range(len(values))]
-    centred = usable.select(id_col, *coords, *values).withColumns(
-        {c: F.col(v) - F.lit(moments[2 * i]) for i, (c, v) in enumerate(zip(own, values))}
-    )
+    centred = usable.select(id_col, *coords, *values).withColumns(_centred(values, moments))
     lags = (
         nearest_neighbours(centred, id_col, coords, k, carry=own)
         .groupBy(id_col, *coords, *values, *own)
         .agg(F.count(F.lit(1)).alias("_k"), *[F.avg(f"nbr_{c}").alias(f"_lag{c}") for c in own])
     )
-    factor = F.try_divide((n - 1) / F.col("_k") - 1, F.lit(float(n - 2)))
-    scores = {}
-    for i, (c, v) in enumerate(zip(own, values)):
-        others = F.lit(float(n - 1))
-        mean = F.try_divide(-F.col(c), others)
-        square = F.try_divide(n * (moments[2 * i + 1] or 0.0) - F.col(c) * F.col(c), others)
-        variance = (square - mean * mean) * factor
-        spread = F.sqrt(F.when(variance > 1e-12 * square, variance))
-        scores[f"z_{v}"] = F.try_divide(F.col(f"_lag{c}") - mean, spread)
-    scored = lags.withColumns(scores).select(id_col, *coords, *values, *scores)
-    return scored.withColumns({f"spot_{v}": hot_cold(F.col(f"z_{v}")) for v in values})
+    scores = [f"{kind}_{v}" for kind in ("z", "spot") for v in values]
+    return _scored(lags, n, moments, values).select(id_col, *coords, *values, *scores)
+
+
+def local_g_of(table: DataFrame, measures: DataFrame, id_col: str, values: Sequence[str]) -> DataFrame:
+    """Local G of measures over a kept neighbour table; points without a value take no part.
+
+    `table` comes from `neighbour_table` over the same points; a neighbour without a value is left out of the mean.
+    """
+    usable = measures.select(id_col, *values).dropna(subset=[id_col, *values])
+    n, moments = _moments(usable, values)
+    centred = usable.withColumns(_centred(values, moments))
+    of_nbr = centred.select(F.col(id_col).alias("nbr"), *[F.col(f"_v{i}").alias(f"nbr_v{i}") for i in range(len(values))])
+    lags = table.join(of_nbr, "nbr").groupBy("point").agg(
+        F.count(F.lit(1)).alias("_k"), *[F.avg(f"nbr_v{i}").alias(f"_lag_v{i}") for i in range(len(values))]
+    )
+    joined = centred.join(lags.withColumnRenamed("point", id_col), id_col)
+    scores = [f"{kind}_{v}" for kind in ("z", "spot") for v in values]
+    return _scored(joined, n, moments, values).select(id_col, *values, *scores)
 
 
 def great_circle_neighbours(

@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citegrain.operators.durable import durable, stored
+from citegrain.operators.durable import durable
+
+# Rank tables of at most so many values (3 MB) are broadcast.
+SENT_VALUES = 200_000
 
 
 def grouped_means(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -120,23 +123,21 @@ def six_numbers(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
 def rank_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Spearman correlation of every pair of columns, ties at their average rank.
 
-    The ranks of all columns come from one pass over (column, value) rows.  They are looked up by one join of
-    the unpivoted rows, which are put together again by the row's number; the rank means are known, so the
-    sums are centred.
+    The ranks of all columns come from one pass over (column, value) rows, whose copies are merged.  The rows,
+    read again, look up one column after the other: rank tables of few values are sent to all tasks, so that
+    only columns of many values shuffle rows.  The rank means are known, so the sums are centred.
     """
-    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
-    weighted = stored(
-        numbers.groupBy(*columns).agg(F.count(F.lit(1)).alias("_w")).withColumn("_row", F.monotonically_increasing_id())
-    )
-    cells = weighted.unpivot(["_row", "_w"], list(columns), "column", "value")
-    values = cells.groupBy("column", "value").agg(F.sum("_w").alias("n"))
+    ranked = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
+    values = ranked.unpivot([], list(columns), "column", "value").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     centred = F.col("before") + F.col("n") / 2 - F.col("total") / 2
-    ranks = placed_values(values, "value", ["column"]).select("column", "value", centred.alias("_r"))
-    own = [F.max(F.when(F.col("column") == c, F.col("_r"))).alias(f"_r_{c}") for c in columns]
-    ranked = cells.join(ranks, ["column", "value"]).groupBy("_row").agg(F.first("_w").alias("_w"), *own)
+    ranks = durable(placed_values(values, "value", ["column"]).select("column", "value", centred.alias("_r")))
+    sizes = dict(ranks.groupBy("column").count().collect())
+    for c in columns:
+        own = ranks.where(F.col("column") == c).select(F.col("value").alias(c), F.col("_r").alias(f"_r_{c}"))
+        ranked = ranked.join(F.broadcast(own) if sizes.get(c, 0) <= SENT_VALUES else own, c)
 
     def products(a: str, b: str):
-        return F.sum(F.col("_w") * F.col(f"_r_{a}") * F.col(f"_r_{b}"))
+        return F.sum(F.col(f"_r_{a}") * F.col(f"_r_{b}"))
 
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     sums = ranked.agg(*[products(a, b).alias(f"_{a}_{b}") for a, b in pairs])

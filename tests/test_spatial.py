@@ -270,3 +270,27 @@ def test_copies_of_a_position_never_meet(spark):
     df = spark.createDataFrame(rows, "facility_id string, insp_year int, lat double, lon double, v double")
     spots = jobs.hot_spots(df, 2022, ["v"], k=3)
     assert spots.select("lat", "lon").distinct().count() == 3000
+
+
+def test_measures_share_a_neighbour_table(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, float(x), float(y), float(v), float(w)) for i, (x, y, v, w) in enumerate(rng.normal(size=(80, 4)))]
+    df = spark.createDataFrame(rows, "id int, lon double, lat double, v double, w double")
+    table = sp.neighbour_table(df, "id", ["lon", "lat"], 5, "weights_of_test")
+    shared = sp.local_g_of(table, df, "id", ["v", "w"])
+    direct = {r["id"]: (r["z_v"], r["z_w"], r["spot_v"]) for r in sp.local_g(df, "id", ["lon", "lat"], ["v", "w"], 5).collect()}
+    got = {r["id"]: (r["z_v"], r["z_w"], r["spot_v"]) for r in shared.collect()}
+    assert got.keys() == direct.keys()
+    for i, (v, w, spot) in got.items():
+        assert (v, w) == pytest.approx(direct[i][:2], rel=1e-9) and spot == direct[i][2]
+    # the kept table meets measures without a shuffle: between its scan and the join there is no exchange
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = table.join(df.withColumnRenamed("id", "nbr"), "nbr")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    above_scan = plan.split("Bucketed: true")[0].splitlines()
+    assert "Bucketed: true" in plan and plan.count("Exchange") == 1 and "Exchange" not in "".join(above_scan[-3:])
+    spark.sql("DROP TABLE weights_of_test")

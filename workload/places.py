@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from citegrain.operators import polygons, spatial, summaries
@@ -57,6 +59,17 @@ def g_correlation(spark, sf_dir):
     return scored.agg(F.round(F.corr("x", "z_x"), 6).alias("correlation"))
 
 
+@query(f"""WITH {LOCAL_G.replace('geo AS (', 'geo0 AS (', 1).replace('), pairs AS', f"""), geo AS (
+  SELECT * EXCLUDE (x), lat AS x FROM geo0), pairs AS""", 1)}, zl AS (SELECT facility_id, round(z, 6) AS z_lat FROM g)
+SELECT * FROM zl""")
+def shared_weights(spark, sf_dir):
+    """Measures scored over one kept neighbour table."""
+    points = v.coordinates(spark, sf_dir)
+    table = spatial.neighbour_table(points, "facility_id", XY, K, f"weights_{uuid.uuid4().hex}")
+    scored = spatial.local_g_of(table, points, "facility_id", ["x", "lat"])
+    return scored.select("facility_id", F.round("z_lat", 6).alias("z_lat"))
+
+
 @query(f"WITH {METRES} SELECT facility_id, CAST(rank AS INT) AS rank, round(metres, 3) AS metres FROM near")
 def nn_distances(spark, sf_dir):
     found = spatial.great_circle_neighbours(v.coordinates(spark, sf_dir), "facility_id", "lon", "lat", K)

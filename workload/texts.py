@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from citegrain.functions import text as t
 from citegrain.operators import boundaries, reports
+from citegrain.operators.durable import stored
 from workload import views as v
 from workload.registry import query
 
@@ -92,3 +93,14 @@ lik AS (SELECT *, length(replace(word, '.', '')) AS len,
   round(ratio * exp(-len) * (length(word) - len + 1) * pow(len::DOUBLE, -without_stop), 6) AS score FROM lik""")
 def stop_statistics(spark, sf_dir):
     return boundaries.stop_statistics(docs(spark, sf_dir), "text").withColumn("score", F.round("score", 6))
+
+
+@query("""SELECT o_custkey AS facility_id, o_orderkey AS eventid, o_orderpriority AS inspection_text, o_orderstatus AS deficiency_tag,
+  CAST(year(o_orderdate) AS VARCHAR) AS scope_severity FROM orders""")
+def text_side_table(spark, sf_dir):
+    """The side table of texts, written and read again."""
+    orders = v.table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("facility_id"), F.col("o_orderkey").alias("eventid"), F.col("o_orderpriority").alias("inspection_text"),
+        F.col("o_orderstatus").alias("deficiency_tag"), F.year("o_orderdate").cast("string").alias("scope_severity"), "o_totalprice",
+    )
+    return stored(reports.text_table(orders))
