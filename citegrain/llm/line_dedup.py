@@ -1,14 +1,14 @@
 """Fuzzy duplicate lines over all documents: MinHash, banding, exact Jaccard, distributed union-find.
 
-A line is a `\\n`-separated piece of a text, trimmed and lower-cased for comparison; blank lines are never
-duplicates.  Its shingles are the stretches of up to `SHINGLE` characters that begin at each word (at each
-character of scripts written without spaces, and every `SHINGLE` characters inside longer words).  Exact
-copies merge first.  Bands of MinHash values bring the distinct lines together.  Some times over, every
-member of a band's bucket is compared with two members of it, and what proves similar becomes one component.
-Then all remaining pairs of a bucket's members in different components are compared, except those that their
-sizes or the bits of their shingles (`marks`) rule out.  Pairs whose Jaccard similarity is at least
-`similarity` are linked, and of each connected component only its earliest line, by document id and line
-number, stays.
+A line is a `\\n`-separated piece of a text, lower-cased and without outer white space (six characters) for
+comparison; blank lines are never duplicates.  Its shingles are all stretches of `SHINGLE` characters (UTF-16
+units); a shorter line is one shingle.  Exact copies merge first.  Bands of MinHash values bring the distinct
+lines together.  Some times over, every member of a band's bucket is compared with two members of it, and what
+proves similar becomes one component.  The lines of buckets that still hold several components then meet by
+prefixes: with the shingles in one order, rare ones first, two similar lines share one among the first of the
+shorter's ninth and the longer's fifth, and lines of one component do not meet again.  Pairs whose Jaccard
+similarity is at least `similarity` are linked, and of each connected component only its earliest line, by
+document id and line number, stays.
 
 Everything is DataFrame operations.  Defined results: a null text is empty; an empty table gives an empty
 result; null ids come last in the order and count as one id; rows that repeat an id keep or lose equal
@@ -17,34 +17,45 @@ lines at equal places together; all other columns pass through, and working name
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citegrain.llm.graph import components
-from citegrain.llm.texts import whole_text
+from citegrain.llm.texts import free_name, whole_text
 from citegrain.operators.durable import stored
 
-SHINGLE = 12
-BANDS, ROWS = 6, 2
+SHINGLE = 5
+BANDS, ROWS = 7, 3
 STARS = 2
-MARKS = 2
+# Places of a long line are listed by so many at a time.
+STRETCH = 65536
 LAST_ID = (1 << 63) - 1
 LINE_BITS = 1 << 32
+BLANKS = " \t\n\x0b\f\r"
+
+
+def _hash(units: str, place: str) -> str:
+    """The hash of the shingle at a place of a line's UTF-16 units."""
+    return f"xxhash64(substring({units}, 2 * {place} + 1, {2 * SHINGLE}))"
+
+
+LAST_PLACE = f"greatest(int(octet_length({{}}) / 2) - {SHINGLE}, 0)"
+
+
+def shingle_set(line: str) -> Column:
+    """The distinct hashes of a line's shingles."""
+    last = LAST_PLACE.format(f"encode({line}, 'UTF-16BE')")
+    return F.expr(f"array_distinct(transform(sequence(0, {last}), i -> {_hash(f"encode({line}, 'UTF-16BE')", 'i')}))")
 
 
-def shingles(line: str) -> Column:
-    """Hashes of a line's shingles, repeats included."""
-    wide = r"⺀-￿"
-    step = rf"(?s)(?=(.{{1,{SHINGLE}}}))(?:[{wide}]|[^\s{wide}]{{1,{SHINGLE}}})\s*"
-    return F.transform(F.regexp_extract_all(F.col(line), F.lit(step), F.lit(1)), lambda s: F.xxhash64(s))
+def trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(BLANKS))
 
 
 def occurrences(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per line that is not blank: its place in the order, its key (128 bits) and its compared form."""
     lines = docs.select(F.coalesce(doc_id, F.lit(LAST_ID)).alias("id"), F.posexplode(F.split(whole_text(text), "\n")))
-    norm = F.trim(F.lower("col"))
+    norm = trimmed(F.lower("col"))
     place = F.col("id").cast("decimal(20,0)") * F.lit(LINE_BITS).cast("decimal(11,0)") + F.col("pos")
     return lines.select(place.cast("decimal(32,0)").alias("place"), "id", "pos", norm.alias("norm")).where(
         "norm != ''"
@@ -52,20 +63,20 @@ def occurrences(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 
 def signatures(found: DataFrame) -> DataFrame:
-    """One row per distinct line: the first place it stands at, a number, its bands' buckets, marks of its shingles.
+    """One row per distinct line: the first place it stands at, a number, its bands' buckets.
 
     Copies merge here: they have the same hashes, so that partial aggregates of a task hold one row each,
-    and no text is shuffled.
+    and no text is shuffled.  A shingle is hashed once; each MinHash value orders the hashes under a mask.
     """
-    hashes = found.select("key", "place", F.explode(shingles("norm")).alias("h"))
-    least = [F.min(F.shiftrightunsigned(F.xxhash64("h", F.lit(j)), 32)).alias(f"m{j}") for j in range(BANDS * ROWS)]
-    bit, none = F.expr("shiftleft(1L, cast(h & 63 as int))"), F.lit(0).cast("bigint")
-    word = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(MARKS - 1))
-    marks = [F.bit_or(F.when(word == i, bit).otherwise(none)).alias(f"marks{i}") for i in range(MARKS)]
-    signed = hashes.groupBy("key").agg(F.min("place").alias("place"), *least, *marks)
+    units = found.select("key", "place", F.encode("norm", "UTF-16BE").alias("u"))
+    runs = units.selectExpr("*", f"{LAST_PLACE.format('u')} AS last").selectExpr("*", f"explode(sequence(0, last, {STRETCH})) AS run")
+    places = runs.selectExpr("key", "place", "u", f"explode(sequence(run, least(run + {STRETCH - 1}, last))) AS i")
+    hashes = places.selectExpr("key", "place", f"{_hash('u', 'i')} AS h")
+    masks = [F.xxhash64(F.lit(j)) for j in range(BANDS * ROWS)]
+    least = [F.min(F.col("h").bitwiseXOR(m)).alias(f"m{j}") for j, m in enumerate(masks)]
+    signed = hashes.groupBy("key").agg(F.min("place").alias("place"), *least)
     keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    return signed.select(F.monotonically_increasing_id().alias("n"), "key", "place", F.array(*keys).alias("buckets"),
-                         *[f"marks{i}" for i in range(MARKS)])
+    return signed.select(F.monotonically_increasing_id().alias("n"), "key", "place", F.array(*keys).alias("buckets"))
 
 
 def bucketed(lines: DataFrame) -> DataFrame:
@@ -85,7 +96,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str) ->
     texts = docs.select(F.coalesce(doc_id, F.lit(LAST_ID)).alias("id"), F.split(whole_text(text), "\n").alias("pieces"))
 
     def line(w: Column) -> Column:
-        return F.trim(F.lower(F.get("pieces", w["pos"])))
+        return trimmed(F.lower(F.get("pieces", w["pos"])))
 
     found = texts.join(lists, "id").select(
         F.explode(F.transform("wanted", lambda w: F.struct(w["n"].alias("n"), w["key"].alias("key"), line(w).alias("norm"))))
@@ -93,7 +104,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str) ->
     )
     # where an id repeats, the row that holds the line itself counts
     found = found.select("w.*").where(F.unhex(F.md5("norm")) == F.col("key"))
-    return found.select("n", F.array_distinct(shingles("norm")).alias("s"))
+    return found.select("n", shingle_set("norm").alias("s"))
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -106,7 +117,41 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return both.where(enough).select("a", "b")
 
 
-def linked_lines(lines: DataFrame, met: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def rest_pairs(open_: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the pairs of lines in different components that may still be similar.
+
+    Shingles that lie in one component only join nothing; they come first in the order and use up a prefix.
+    Of two similar sets the first common shingle leaves enough of both: of the shorter one, 2 t / (1 + t) of its
+    size, of the longer one t.  Components meet before lines do, so that a large one is not paired with itself.
+    """
+    lines = open_.select("n", "root").distinct().join(sets, "n")
+    tokens = lines.select("n", "root", F.size("s").alias("size"), F.explode("s").alias("h"))
+    owners = tokens.groupBy("h").agg(
+        F.count(F.lit(1)).alias("owners"), F.min("root").alias("r1"), F.max("root").alias("r2")
+    ).where("r1 != r2")
+    entry = F.struct("owners", "h")
+    lists = tokens.join(owners.select("h", "owners"), "h").groupBy("n", "root", "size").agg(
+        F.sort_array(F.collect_list(entry)).alias("shared")
+    )
+    lists = stored(lists)
+
+    def prefix(part: float) -> DataFrame:
+        need = F.ceil(F.lit(part) * F.col("size") - F.lit(1e-9)).cast("int")
+        held = lists.withColumn("upto", F.size("shared") - need + 1).where("upto > 0")
+        first = held.select("n", "root", "size", F.size("shared").alias("all"), F.posexplode(F.slice("shared", F.lit(1), F.col("upto"))))
+        return first.select(F.col("col.h").alias("h"), "root", "n", "size", (F.col("all") - F.col("pos")).alias("rest"))
+
+    short, long = prefix(2 * similarity / (1 + similarity)), prefix(similarity)
+    short, long = short.toDF("h", "root_a", "a", "size_a", "rest_a"), long.toDF("h", "root_b", "b", "size_b", "rest_b")
+    roots = short.select("h", "root_a").distinct().join(long.select("h", "root_b").distinct(), "h").where("root_a != root_b")
+    met = short.join(roots, ["h", "root_a"]).join(long, ["h", "root_b"])
+    need = F.lit(similarity / (1 + similarity)) * (F.col("size_a") + F.col("size_b")) - F.lit(1e-9)
+    sized = (F.col("size_a") <= F.col("size_b")) & (F.col("size_a") >= F.lit(similarity) * F.col("size_b") - F.lit(1e-9))
+    near = met.where(sized & (F.least("rest_a", "rest_b") >= need))
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def linked_lines(met: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(node, root) for the lines that are linked with another of a bucket they share, all pairs counted."""
     open_ = met.select("n", "bucket", F.col("n").alias("root"))
     tree = None
@@ -123,22 +168,7 @@ def linked_lines(lines: DataFrame, met: DataFrame, sets: DataFrame, similarity:
         known = known.select("n", "bucket", F.coalesce("root", "n").alias("root"))
         split = known.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2")
         open_ = stored(known.join(split.select("bucket"), "bucket", "left_semi"))
-    # what is left: pairs between components, which all have to be looked at.  Sizes within the similarity
-    # differ by less than one step of this scale; where more marks differ than two such sets have elements
-    # outside each other, the pair is not similar, and its sets need not meet
-    scale = F.lit(-math.log(min(similarity, 0.99)))
-    step = F.floor(F.log(F.col("size").cast("double")) / scale + F.lit(1e-9)).cast("int")
-    marks = [f"marks{i}" for i in range(MARKS)]
-    rest = open_.join(lines.select("n", *marks), "n").join(sets.select("n", F.size("s").alias("size")), "n")
-    rest = stored(rest.withColumn("step", step))
-    around = F.explode(F.array(*[F.col("step") + d for d in (-1, 0, 1)]))
-    one, other = rest.alias("l"), rest.withColumn("step", around).alias("r")
-    apart = sum((F.bit_count(F.col(f"l.{m}").bitwiseXOR(F.col(f"r.{m}"))) for m in marks), F.lit(0))
-    most = (F.col("l.size") + F.col("r.size")) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6)
-    same = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.step") == F.col("r.step"))
-    left = one.join(other, same & (F.col("l.n") < F.col("r.n")) & (F.col("l.root") != F.col("r.root")) & (apart <= most))
-    pairs = left.select(F.col("l.n").alias("a"), F.col("r.n").alias("b")).distinct()
-    return components(tree.union(similar_pairs(pairs, sets, similarity)))
+    return components(tree.union(similar_pairs(rest_pairs(open_, sets, similarity), sets, similarity)))
 
 
 def doubled_lines(docs: DataFrame, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -148,7 +178,7 @@ def doubled_lines(docs: DataFrame, similarity: float = 0.8, text: str = "text",
     met = stored(bucketed(lines))
     wanted = lines.select("n", "key", "place").join(met.select("n").distinct(), "n")
     sets = stored(shingle_sets(docs, wanted, text, doc_id))
-    roots = linked_lines(lines, met, sets, similarity)
+    roots = linked_lines(met, sets, similarity)
     grouped = lines.select("n", "key", "place").join(roots.withColumnRenamed("node", "n"), "n", "left")
     grouped = grouped.withColumn("root", F.coalesce("root", "n"))
     first = grouped.groupBy("root").agg(F.min("place").alias("kept_place"))
@@ -161,8 +191,8 @@ def doubled_lines(docs: DataFrame, similarity: float = 0.8, text: str = "text",
 def dedup_lines(docs: DataFrame, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """All documents with their remaining lines, the dropped numbers and the count of both.
 
-    Adds `lines_kept` and `lines_dropped` (names ending in `_` where taken) to the columns of `docs`; `text`
-    holds the lines that stay, blank ones included.
+    Adds `lines_kept`, `lines_dropped` and `any_left` (with `_` added where taken) to the columns of `docs`;
+    `text` holds the lines that stay, blank ones included.
     """
     gone = doubled_lines(docs, similarity, text, doc_id)
     gone = gone.groupBy("id").agg(F.collect_set("pos").alias("_gone")).withColumnRenamed("id", "_gone_id")
@@ -179,11 +209,10 @@ def dedup_lines(docs: DataFrame, similarity: float = 0.8, text: str = "text", do
         F.when(none, F.col("_row").getField(text)).otherwise(F.concat_ws("\n", left)).alias("_text"),
         F.when(none, 0).otherwise(dropped).cast("bigint").alias("_dropped"),
         F.size(pieces).cast("bigint").alias("_all"),
-        F.when(none, True).otherwise(F.exists(left, lambda line: F.trim(line) != "")).alias("_any"),
+        F.when(none, True).otherwise(F.exists(left, lambda line: trimmed(line) != "")).alias("_any"),
     )
     names = [F.col("_text").alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in docs.columns]
-    taken = {c.lower() for c in docs.columns}
-    spare = [c + "_" * (c in taken) for c in ("lines_kept", "lines_dropped", "any_left")]
+    spare = [free_name(docs, c) for c in ("lines_kept", "lines_dropped", "any_left")]
     return result.select(
         *names, (F.col("_all") - F.col("_dropped")).alias(spare[0]), F.col("_dropped").alias(spare[1]),
         F.col("_any").alias(spare[2]),

@@ -31,6 +31,7 @@ from citegrain.llm.census import (
     BLOCK_BYTES, PART_BYTES, REPORT, answered, answers, cut, mixed, report, total_bytes, word_hashes,
 )
 from citegrain.llm.graph import components
+from citegrain.llm.texts import free_name
 from citegrain.operators.durable import stored
 
 LAST_ID = (1 << 63) - 1
@@ -228,5 +229,6 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", d
 
 def one_per_group(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The documents with the smallest id of their group, with all their columns; copies of such a row stay too."""
-    stay = groups(docs, n, percent).where("id = component_id").select(F.col("id").alias("_stays")).distinct()
-    return docs.join(stay, F.coalesce(F.col("doc_id"), F.lit(LAST_ID)) == F.col("_stays"), "left_semi")
+    name = free_name(docs, "stays")
+    stay = groups(docs, n, percent).where("id = component_id").select(F.col("id").alias(name)).distinct()
+    return docs.join(stay, F.coalesce(F.col("doc_id"), F.lit(LAST_ID)) == F.col(name), "left_semi")
