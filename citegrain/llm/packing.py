@@ -116,7 +116,8 @@ def pack(
             return pa.RecordBatch.from_arrays(arrays, names)
 
         for batch in batches:
-            for key, whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for i in range(batch.num_rows):  # one text at a time becomes a string
+                key, whole = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 for piece in packer.add(key, encode.ids(whole or "") + end):
                     held.append(piece)
                     weight += 200 + len(piece[-1])

@@ -1,8 +1,9 @@
 """Token ids of whole texts with the public tokenizers, in bounded memory.
 
 A text is cut where no token can cross, each distinct piece is encoded once by the tokenizers library, and
-the ids of pieces are kept as bytes (little-endian, 32 bits) in a cache of bounded size, one per Python
-worker.  The ids are those of encoding the whole text at once; tests compare them.
+the ids of pieces are kept as bytes (little-endian, 32 bits) in a cache of at most about 2 * CACHE_BYTES, one
+per Python worker.  The ids are those of encoding the whole text at once; tests compare them.  The strings of
+special tokens are ordinary text, as the vocabularies' description has it.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ import os
 import re
 from array import array
 
-CACHE_PIECES = 400_000
+CACHE_BYTES = 24 << 20
+ENTRY_BYTES = 200
 MARKS = ".,!?;:"
 LOWER_AND_BLANK = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\n", b"abcdefghijklmnopqrstuvwxyz ")
 _ENCODERS: dict = {}
@@ -32,40 +34,43 @@ class Encoder:
         self.words = words
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.held = 0
 
     def _encode(self, pieces: list[str]) -> None:
         encoded = self.tokenizer.encode_batch(pieces, add_special_tokens=False)
         for piece, e in zip(pieces, encoded):
-            self.young[piece] = array("I", e.ids).tobytes()
+            self._keep(piece, array("I", e.ids).tobytes())
+
+    def _keep(self, piece: str, ids: bytes) -> None:
+        self.young[piece] = ids
+        self.held += ENTRY_BYTES + len(piece) + len(ids)
 
     def _learn(self, missing: set[str]) -> None:
         """Encode the pieces that are in neither cache; one mark after a letter is a token of its own."""
-        if len(self.young) + len(missing) > CACHE_PIECES:
-            self.old, self.young = self.young, {}
         young, old = self.young, self.old
         new, ended = [], []
         for piece in missing:
             if piece in old:
-                young[piece] = old[piece]
+                self._keep(piece, old[piece])
             elif len(piece) > 1 and piece[-1] in MARKS and piece[-2].isalpha():
                 ended.append(piece)
             else:
                 new.append(piece)
         stems = {p[:-1] for p in ended}.union(p[-1] for p in ended).difference(young, new)
         for stem in [s for s in stems if s in old]:
-            young[stem] = old[stem]
+            self._keep(stem, old[stem])
             stems.discard(stem)
         self._encode([*new, *stems])
         for piece in ended:
-            young[piece] = young[piece[:-1]] + young[piece[-1]]
+            self._keep(piece, young[piece[:-1]] + young[piece[-1]])
 
     def _joined(self, pieces: list[str]) -> bytes:
         missing = set(pieces).difference(self.young)
+        if missing and self.held > CACHE_BYTES:  # turned over between texts only: a text needs all its pieces at once
+            self.old, self.young, self.held = self.young, {}, 0
+            missing = set(pieces)
         if missing:
-            before = self.young
             self._learn(missing)
-            if self.young is not before:  # the cache was turned over: bring back the pieces of this text
-                self._learn(set(pieces).difference(self.young))
         return b"".join(map(self.young.__getitem__, pieces))
 
     def ids(self, text: str) -> bytes:

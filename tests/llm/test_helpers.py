@@ -5,9 +5,11 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
-from citegrain.llm import census, graph
+from citegrain.llm import census, graph, tokens
 from citegrain.llm.texts import SPACE, fold, slices, word_count
 
 
@@ -82,3 +84,17 @@ def test_word_count_and_fold(spark):
 def test_slices():
     assert list(slices([3, 3, 9, 1, 1], 6)) == [(0, 2), (2, 3), (3, 5)]
     assert list(slices([], 6)) == []
+
+
+@pytest.mark.parametrize("name, words", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_encoder_of_a_small_cache(monkeypatch, name, words):
+    """Ids do not depend on what the cache holds; it stays near its bound."""
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 3000)
+    path = public_tokenizers.path(name)
+    whole, own = Tokenizer.from_file(path), tokens.Encoder(path, words)
+    whole.encode_special_tokens = True
+    rng = random.Random(5)
+    for _ in range(60):
+        text = " ".join(f"{rng.choice('abcd')}{rng.randrange(90)}ing." for _ in range(rng.randrange(1, 60))) + " <|endoftext|>"
+        assert np.frombuffer(own.ids(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+        assert own.held < 3000 + 120 * 300
