@@ -2,13 +2,18 @@
 
 A line is a `\\n`-separated piece of a text, lower-cased and without outer white space (six characters) for
 comparison; blank lines are never duplicates.  Its shingles are all stretches of `SHINGLE` characters (UTF-16
-units); a shorter line is one shingle.  Exact copies merge first.  Bands of MinHash values bring the distinct
-lines together.  Some times over, every member of a band's bucket is compared with two members of it, and what
-proves similar becomes one component.  The lines of buckets that still hold several components then meet by
+units); a shorter line is one shingle.  Exact copies merge first.
+
+MinHash values are taken over all shingles of short lines and over a fourth of those of long lines, chosen by
+their hash; lines near the border have both.  Bands are sets of the values that overlap, so that few values give
+many bands, and bring the distinct lines together.  Every member of a band's bucket is compared with two members
+of it, which settles buckets of up to three lines; in larger ones that is done once more, and what proves
+similar becomes one component.  The lines of larger buckets that still hold several components then meet by
 prefixes: with the shingles in one order, rare ones first, two similar lines share one among the first of the
-shorter's ninth and the longer's fifth, and lines of one component do not meet again.  Pairs whose Jaccard
-similarity is at least `similarity` are linked, and of each connected component only its earliest line, by
-document id and line number, stays.
+shorter's ninth and the longer's fifth, and lines of one component do not meet again.  Pairs most of whose
+values differ are not similar; the others are compared by all their shingles.  Those whose Jaccard similarity is
+at least `similarity` are linked, and of each connected component only its earliest line, by document id and
+line number, stays.
 
 Everything is DataFrame operations.  Defined results: a null text is empty; an empty table gives an empty
 result; null ids come last in the order and count as one id; rows that repeat an id keep or lose equal
@@ -17,6 +22,8 @@ lines at equal places together; all other columns pass through, and working name
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +32,12 @@ from citegrain.llm.texts import free_name, whole_text
 from citegrain.operators.durable import stored
 
 SHINGLE = 5
-BANDS, ROWS = 7, 3
-STARS = 2
+# MinHash values, and bands of some of them each.
+VALUES, BANDS, ROWS = 24, 10, 5
+# Lines of up to so many places use all shingles, those of more than the first number (also) one in SAMPLED.
+LONG, SHORT, SAMPLED = 128, 160, 4
+# Pairs that agree in fewer values are not compared: of similar ones fewer than 1 in 1,000 do.
+AGREED = 12
 # Places of a long line are listed by so many at a time.
 STRETCH = 65536
 LAST_ID = (1 << 63) - 1
@@ -43,9 +54,15 @@ LAST_PLACE = f"greatest(int(octet_length({{}}) / 2) - {SHINGLE}, 0)"
 
 
 def shingle_set(line: str) -> Column:
-    """The distinct hashes of a line's shingles."""
-    last = LAST_PLACE.format(f"encode({line}, 'UTF-16BE')")
-    return F.expr(f"array_distinct(transform(sequence(0, {last}), i -> {_hash(f"encode({line}, 'UTF-16BE')", 'i')}))")
+    """The distinct hashes of a line's shingles; the line is encoded once."""
+    places = f"sequence(0, {LAST_PLACE.format('u')})"
+    of_units = f"u -> array_distinct(transform({places}, i -> {_hash('u', 'i')}))"
+    return F.expr(f"element_at(transform(array(encode({line}, 'UTF-16BE')), {of_units}), 1)")
+
+
+def bands() -> list[list[int]]:
+    """For each band the values that it joins: sets drawn at random, the same ones everywhere."""
+    return [sorted(random.Random(b).sample(range(VALUES), ROWS)) for b in range(BANDS)]
 
 
 def trimmed(line: Column) -> Column:
@@ -63,27 +80,49 @@ def occurrences(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 
 def signatures(found: DataFrame) -> DataFrame:
-    """One row per distinct line: the first place it stands at, a number, its bands' buckets.
+    """(n, key, place, kind, twin, values, buckets): distinct lines by kind of signature, numbered.
 
-    Copies merge here: they have the same hashes, so that partial aggregates of a task hold one row each,
-    and no text is shuffled.  A shingle is hashed once; each MinHash value orders the hashes under a mask.
+    `kind` is 0 over all shingles, 1 over a share of them; lines with both are twins.  Copies merge here: they have
+    the same hashes, so that partial aggregates of a task hold one row each, and no text is shuffled.  A shingle is
+    hashed once; each value orders the hashes under a mask.  The first shingle is always in.
     """
     units = found.select("key", "place", F.encode("norm", "UTF-16BE").alias("u"))
-    runs = units.selectExpr("*", f"{LAST_PLACE.format('u')} AS last").selectExpr("*", f"explode(sequence(0, last, {STRETCH})) AS run")
-    places = runs.selectExpr("key", "place", "u", f"explode(sequence(run, least(run + {STRETCH - 1}, last))) AS i")
-    hashes = places.selectExpr("key", "place", f"{_hash('u', 'i')} AS h")
-    masks = [F.xxhash64(F.lit(j)) for j in range(BANDS * ROWS)]
-    least = [F.min(F.col("h").bitwiseXOR(m)).alias(f"m{j}") for j, m in enumerate(masks)]
-    signed = hashes.groupBy("key").agg(F.min("place").alias("place"), *least)
-    keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    return signed.select(F.monotonically_increasing_id().alias("n"), "key", "place", F.array(*keys).alias("buckets"))
+    kinds = f"CASE WHEN last < {LONG} THEN array(0) WHEN last < {SHORT} THEN array(0, 1) ELSE array(1) END"
+    kinds = units.selectExpr("*", f"{LAST_PLACE.format('u')} AS last").selectExpr("*", f"explode({kinds}) AS kind")
+    runs = kinds.selectExpr("*", f"explode(sequence(0, last, {STRETCH})) AS run")
+    places = runs.selectExpr("key", "place", "kind", "last", "u", f"explode(sequence(run, least(run + {STRETCH - 1}, last))) AS i")
+    hashes = places.selectExpr("key", "place", "kind", "last", "i", f"{_hash('u', 'i')} AS h")
+    chosen = hashes.where(f"kind = 0 OR i = 0 OR (h & {SAMPLED - 1}) = 0")
+    masks = [F.xxhash64(F.lit(j)) for j in range(VALUES)]
+    least = [F.min(F.shiftright(F.col("h").bitwiseXOR(m), 32).cast("int")).alias(f"m{j}") for j, m in enumerate(masks)]
+    twin = F.max(F.col("last").between(LONG, SHORT - 1)).alias("twin")
+    signed = chosen.groupBy("key", "kind").agg(F.min("place").alias("place"), twin, *least)
+    keys = [F.xxhash64("kind", F.lit(b), *[F.col(f"m{j}") for j in of]) for b, of in enumerate(bands())]
+    return signed.select(
+        F.monotonically_increasing_id().alias("n"), "key", "place", "kind", "twin",
+        F.array(*[f"m{j}" for j in range(VALUES)]).alias("values"), F.array(*keys).alias("buckets"),
+    )
 
 
 def bucketed(lines: DataFrame) -> DataFrame:
-    """(n, bucket) of all buckets that hold two lines or more."""
+    """(n, bucket, held) of all buckets that hold two lines or more."""
     banded = lines.select("n", F.explode("buckets").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    return banded.join(shared.select("bucket"), "bucket", "left_semi").select("n", "bucket")
+    return banded.join(shared, "bucket")
+
+
+def with_hubs(open_: DataFrame, lines: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each line of a bucket with two lines of it, where most of their values agree."""
+    mark = F.struct(F.xxhash64("n", F.lit(turn)).alias("mark"), "n", "root")
+    hubs = open_.groupBy("bucket").agg(F.min(mark).alias("low"), F.max(mark).alias("high"))
+    near = open_.join(hubs, "bucket").select("n", "root", F.explode(F.array("low", "high")).alias("hub"))
+    near = near.where(F.col("root") != F.col("hub.root"))
+    pairs = near.select(F.least("n", "hub.n").alias("a"), F.greatest("n", "hub.n").alias("b")).distinct()
+    both = pairs.join(lines.select(F.col("n").alias("a"), F.col("values").alias("va")), "a").join(
+        lines.select(F.col("n").alias("b"), F.col("values").alias("vb")), "b"
+    )
+    agreed = F.expr("aggregate(arrays_zip(va, vb), 0, (n, v) -> n + int(v.va = v.vb))")
+    return both.where(agreed >= AGREED).select("a", "b")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -151,23 +190,21 @@ def rest_pairs(open_: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def linked_lines(met: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(node, root) for the lines that are linked with another of a bucket they share, all pairs counted."""
-    open_ = met.select("n", "bucket", F.col("n").alias("root"))
-    tree = None
-    for turn in range(STARS):
-        mark = F.struct(F.xxhash64("n", F.lit(turn)).alias("mark"), "n", "root")
-        hubs = open_.groupBy("bucket").agg(F.min(mark).alias("low"), F.max(mark).alias("high"))
-        near = open_.join(hubs, "bucket").select("n", "root", F.explode(F.array("low", "high")).alias("hub"))
-        near = near.where(F.col("root") != F.col("hub.root"))
-        pairs = near.select(F.least("n", "hub.n").alias("a"), F.greatest("n", "hub.n").alias("b")).distinct()
+def linked_lines(met: DataFrame, lines: DataFrame, pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, root) for the lines that are linked with another; `pairs` have met their buckets' hubs."""
+    twins = lines.where("twin").groupBy("key").agg(F.min("n").alias("a"), F.max("n").alias("b")).select("a", "b")
+    tree = twins.where("a != b")
+    for turn in range(2):
         links = similar_pairs(pairs, sets, similarity)
-        roots = stored(components(links if tree is None else tree.union(links)))
+        roots = stored(components(tree.union(links)))
         tree = roots.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-        known = open_.drop("root").join(roots.withColumnRenamed("node", "n"), "n", "left")
+        # buckets of up to three lines are settled: all their pairs have met
+        known = met.where("held > 3").join(roots.withColumnRenamed("node", "n"), "n", "left")
         known = known.select("n", "bucket", F.coalesce("root", "n").alias("root"))
         split = known.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2")
         open_ = stored(known.join(split.select("bucket"), "bucket", "left_semi"))
+        if turn == 0:
+            pairs = with_hubs(open_, lines, 1)
     return components(tree.union(similar_pairs(rest_pairs(open_, sets, similarity), sets, similarity)))
 
 
@@ -176,11 +213,12 @@ def doubled_lines(docs: DataFrame, similarity: float = 0.8, text: str = "text",
     found = occurrences(docs, text, doc_id)
     lines = stored(signatures(found))
     met = stored(bucketed(lines))
-    wanted = lines.select("n", "key", "place").join(met.select("n").distinct(), "n")
-    sets = stored(shingle_sets(docs, wanted, text, doc_id))
-    roots = linked_lines(met, sets, similarity)
-    grouped = lines.select("n", "key", "place").join(roots.withColumnRenamed("node", "n"), "n", "left")
-    grouped = grouped.withColumn("root", F.coalesce("root", "n"))
+    pairs = stored(with_hubs(met.withColumn("root", F.col("n")), lines, 0))
+    wanted = pairs.select(F.col("a").alias("n")).union(pairs.select("b")).union(met.where("held > 3").select("n")).distinct()
+    sets = stored(shingle_sets(docs, lines.select("n", "key", "place").join(wanted, "n"), text, doc_id))
+    roots = linked_lines(met, lines, pairs, sets, similarity)
+    once = lines.where("not twin or kind = 0").select("n", "key", "place")
+    grouped = once.join(roots.withColumnRenamed("node", "n"), "n", "left").withColumn("root", F.coalesce("root", "n"))
     first = grouped.groupBy("root").agg(F.min("place").alias("kept_place"))
     kept = grouped.join(first, "root").select("key", "kept_place")
     return found.select("key", "id", "pos", "place").join(kept, "key").where("place != kept_place").select(
