@@ -163,15 +163,15 @@ def rest_pairs(open_: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     Of two similar sets the first common shingle leaves enough of both: of the shorter one, 2 t / (1 + t) of its
     size, of the longer one t.  Components meet before lines do, so that a large one is not paired with itself.
     """
-    lines = open_.select("n", "root").distinct().join(sets, "n")
-    tokens = lines.select("n", "root", F.size("s").alias("size"), F.explode("s").alias("h"))
-    owners = tokens.groupBy("h").agg(
+    lines = stored(open_.select("n", "root").distinct().join(sets, "n"))
+    tokens = lines.select("n", F.explode("s").alias("h"))
+    owners = lines.select("root", F.explode("s").alias("h")).groupBy("h").agg(
         F.count(F.lit(1)).alias("owners"), F.min("root").alias("r1"), F.max("root").alias("r2")
     ).where("r1 != r2")
-    entry = F.struct("owners", "h")
-    lists = tokens.join(owners.select("h", "owners"), "h").groupBy("n", "root", "size").agg(
-        F.sort_array(F.collect_list(entry)).alias("shared")
+    lists = tokens.join(owners.select("h", "owners"), "h").groupBy("n").agg(
+        F.sort_array(F.collect_list(F.struct("owners", "h"))).alias("shared")
     )
+    lists = lists.join(lines.select("n", "root", F.size("s").alias("size")), "n")
     lists = stored(lists)
 
     def prefix(part: float) -> DataFrame:
