@@ -112,7 +112,7 @@ def bucketed(lines: DataFrame) -> DataFrame:
 
 
 def with_hubs(open_: DataFrame, lines: DataFrame, turn: int) -> DataFrame:
-    """(a, b): each line of a bucket with two lines of it, where most of their values agree."""
+    """(a, b, agreed): each line of a bucket with two lines of it, and how many of their values agree, if most do."""
     mark = F.struct(F.xxhash64("n", F.lit(turn)).alias("mark"), "n", "root")
     hubs = open_.groupBy("bucket").agg(F.min(mark).alias("low"), F.max(mark).alias("high"))
     near = open_.join(hubs, "bucket").select("n", "root", F.explode(F.array("low", "high")).alias("hub"))
@@ -122,7 +122,7 @@ def with_hubs(open_: DataFrame, lines: DataFrame, turn: int) -> DataFrame:
         lines.select(F.col("n").alias("b"), F.col("values").alias("vb")), "b"
     )
     agreed = F.expr("aggregate(arrays_zip(va, vb), 0, (n, v) -> n + int(v.va = v.vb))")
-    return both.where(agreed >= AGREED).select("a", "b")
+    return both.select("a", "b", agreed.alias("agreed")).where(F.col("agreed") >= AGREED)
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -190,21 +190,40 @@ def rest_pairs(open_: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def linked(tree: DataFrame, pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, root) after linking the similar ones of `pairs`.
+
+    Each line is first compared with its likeliest partner; then the pairs are left that components keep apart.
+    """
+    ends = pairs.select("a", "b", "agreed", F.explode(F.array("a", "b")).alias("n"))
+    best = ends.groupBy("n").agg(F.max(F.struct("agreed", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+    roots = stored(components(tree.union(similar_pairs(best, sets, similarity))))
+    apart = pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
+    for c in "ab":
+        apart = apart.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left")
+    apart = apart.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    more = similar_pairs(apart, sets, similarity)
+    return stored(components(forest(roots).union(more)))
+
+
+def forest(roots: DataFrame) -> DataFrame:
+    return roots.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
 def linked_lines(met: DataFrame, lines: DataFrame, pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(node, root) for the lines that are linked with another; `pairs` have met their buckets' hubs."""
     twins = lines.where("twin").groupBy("key").agg(F.min("n").alias("a"), F.max("n").alias("b")).select("a", "b")
     tree = twins.where("a != b")
     for turn in range(2):
-        links = similar_pairs(pairs, sets, similarity)
-        roots = stored(components(tree.union(links)))
-        tree = roots.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = linked(tree, pairs, sets, similarity)
+        tree = forest(roots)
         # buckets of up to three lines are settled: all their pairs have met
         known = met.where("held > 3").join(roots.withColumnRenamed("node", "n"), "n", "left")
         known = known.select("n", "bucket", F.coalesce("root", "n").alias("root"))
         split = known.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2")
         open_ = stored(known.join(split.select("bucket"), "bucket", "left_semi"))
         if turn == 0:
-            pairs = with_hubs(open_, lines, 1)
+            pairs = stored(with_hubs(open_, lines, 1))
     return components(tree.union(similar_pairs(rest_pairs(open_, sets, similarity), sets, similarity)))
 
 
