@@ -23,13 +23,14 @@ lines at equal places together; all other columns pass through, and working name
 from __future__ import annotations
 
 import random
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citegrain.llm.graph import components
 from citegrain.llm.texts import free_name, whole_text
-from citegrain.operators.durable import stored
+from citegrain.operators.durable import shared_folder, stored
 
 SHINGLE = 5
 # MinHash values, and bands of some of them each.
@@ -146,6 +147,15 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str) ->
     return found.select("n", shingle_set("norm").alias("s"))
 
 
+def by_number(sets: DataFrame) -> DataFrame:
+    """The sets as a table bucketed by line, in the shared folder: joins leave them where they are."""
+    spark, name = sets.sparkSession, f"line_sets_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = sets.repartition(parts, "n").write.bucketBy(parts, "n").sortBy("n")
+    writer.option("path", f"{shared_folder(spark).rstrip('/')}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose sets have at least the Jaccard similarity."""
     both = pairs.join(sets.select(F.col("n").alias("a"), F.col("s").alias("sa")), "a").join(
@@ -234,7 +244,7 @@ def doubled_lines(docs: DataFrame, similarity: float = 0.8, text: str = "text",
     met = stored(bucketed(lines))
     pairs = stored(with_hubs(met.withColumn("root", F.col("n")), lines, 0))
     wanted = pairs.select(F.col("a").alias("n")).union(pairs.select("b")).union(met.where("held > 3").select("n")).distinct()
-    sets = stored(shingle_sets(docs, lines.select("n", "key", "place").join(wanted, "n"), text, doc_id))
+    sets = by_number(shingle_sets(docs, lines.select("n", "key", "place").join(wanted, "n"), text, doc_id))
     roots = linked_lines(met, lines, pairs, sets, similarity)
     once = lines.where("not twin or kind = 0").select("n", "key", "place")
     grouped = once.join(roots.withColumnRenamed("node", "n"), "n", "left").withColumn("root", F.coalesce("root", "n"))
