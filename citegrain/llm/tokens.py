@@ -12,7 +12,7 @@ import os
 import re
 from array import array
 
-CACHE_BYTES = 24 << 20
+CACHE_BYTES = 56 << 20
 ENTRY_BYTES = 200
 MARKS = ".,!?;:"
 LOWER_AND_BLANK = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\n", b"abcdefghijklmnopqrstuvwxyz ")
