@@ -56,7 +56,7 @@ STAGES = [
     ("sequence_packing", sequence_packing),
 ]
 
-# The fitted chain, the MinHash bands and the tokenizer have no SQL; tests compare a brute-force version.
+# The fitted chain, the MinHash bands and the tokenizer have no SQL; tests check counts, columns and ids of each stage.
 ORACLE_SQL = None
 
 
