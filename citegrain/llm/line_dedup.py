@@ -8,10 +8,9 @@ MinHash values are taken over all shingles of short lines and over a fourth of t
 their hash; lines near the border have both.  Bands are sets of the values that overlap, so that few values give
 many bands, and bring the distinct lines together.  Every member of a band's bucket is compared with two members
 of it, which settles buckets of up to three lines; in larger ones that is done once more, and what proves
-similar becomes one component.  The lines of larger buckets that still hold several components then meet by
-prefixes: with the shingles in one order, rare ones first, two similar lines share one among the first of the
-shorter's ninth and the longer's fifth, and lines of one component do not meet again.  Pairs most of whose
-values differ are not similar; the others are compared by all their shingles.  Those whose Jaccard similarity is
+similar becomes one component.  The lines of buckets that still hold several components get further bands, and in
+all such buckets every line outside the largest component is compared with all lines of other components.  Pairs most of whose values differ are not similar; the others are
+compared by all their shingles, taken from the lines' text as the pair is read.  Those whose Jaccard similarity is
 at least `similarity` are linked, and of each connected component only its earliest line, by document id and
 line number, stays.
 
@@ -35,6 +34,8 @@ from citegrain.operators.durable import shared_folder, stored
 SHINGLE = 5
 # MinHash values, and bands of some of them each.
 VALUES, BANDS, ROWS = 24, 10, 5
+# Further bands, for the lines of buckets that the first ones leave open.
+MORE_BANDS, MORE_ROWS = 32, 6
 # Lines of up to so many places use all shingles, those of more than the first number (also) one in SAMPLED.
 LONG, SHORT, SAMPLED = 128, 160, 4
 # Pairs that agree in fewer values are not compared: of similar ones fewer than 1 in 1,000 do.
@@ -61,9 +62,9 @@ def shingle_set(line: str) -> Column:
     return F.expr(f"element_at(transform(array(encode({line}, 'UTF-16BE')), {of_units}), 1)")
 
 
-def bands() -> list[list[int]]:
+def bands(count: int = BANDS, rows: int = ROWS) -> list[list[int]]:
     """For each band the values that it joins: sets drawn at random, the same ones everywhere."""
-    return [sorted(random.Random(b).sample(range(VALUES), ROWS)) for b in range(BANDS)]
+    return [sorted(random.Random(rows * 1000 + b).sample(range(VALUES), rows)) for b in range(count)]
 
 
 def trimmed(line: Column) -> Column:
@@ -81,26 +82,27 @@ def occurrences(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 
 def signatures(found: DataFrame) -> DataFrame:
-    """(n, key, place, kind, twin, values, buckets): distinct lines by kind of signature, numbered.
+    """(n, key, kind, twin, values, buckets): distinct lines by kind of signature, numbered.
 
     `kind` is 0 over all shingles, 1 over a share of them; lines with both are twins.  Copies merge here: they have
     the same hashes, so that partial aggregates of a task hold one row each, and no text is shuffled.  A shingle is
     hashed once; each value orders the hashes under a mask.  The first shingle is always in.
     """
-    units = found.select("key", "place", F.encode("norm", "UTF-16BE").alias("u"))
-    kinds = f"CASE WHEN last < {LONG} THEN array(0) WHEN last < {SHORT} THEN array(0, 1) ELSE array(1) END"
+    units = found.select("key", F.encode("norm", "UTF-16BE").alias("u"))
+    # 2 and 3 are the two kinds of a twin
+    kinds = f"CASE WHEN last < {LONG} THEN array(0) WHEN last < {SHORT} THEN array(2, 3) ELSE array(1) END"
     kinds = units.selectExpr("*", f"{LAST_PLACE.format('u')} AS last").selectExpr("*", f"explode({kinds}) AS kind")
     runs = kinds.selectExpr("*", f"explode(sequence(0, last, {STRETCH})) AS run")
-    places = runs.selectExpr("key", "place", "kind", "last", "u", f"explode(sequence(run, least(run + {STRETCH - 1}, last))) AS i")
-    hashes = places.selectExpr("key", "place", "kind", "last", "i", f"{_hash('u', 'i')} AS h")
-    chosen = hashes.where(f"kind = 0 OR i = 0 OR (h & {SAMPLED - 1}) = 0")
+    places = runs.selectExpr("key", "kind", "u", f"explode(sequence(run, least(run + {STRETCH - 1}, last))) AS i")
+    hashes = places.selectExpr("key", "kind", "i", f"{_hash('u', 'i')} AS h")
+    chosen = hashes.where(f"(kind & 1) = 0 OR i = 0 OR (h & {SAMPLED - 1}) = 0")
     masks = [F.xxhash64(F.lit(j)) for j in range(VALUES)]
     least = [F.min(F.shiftright(F.col("h").bitwiseXOR(m), 32).cast("int")).alias(f"m{j}") for j, m in enumerate(masks)]
-    twin = F.max(F.col("last").between(LONG, SHORT - 1)).alias("twin")
-    signed = chosen.groupBy("key", "kind").agg(F.min("place").alias("place"), twin, *least)
-    keys = [F.xxhash64("kind", F.lit(b), *[F.col(f"m{j}") for j in of]) for b, of in enumerate(bands())]
+    signed = chosen.groupBy("key", "kind").agg(*least)
+    kind = F.col("kind").bitwiseAND(1)
+    keys = [F.xxhash64(kind, F.lit(b), *[F.col(f"m{j}") for j in of]) for b, of in enumerate(bands())]
     return signed.select(
-        F.monotonically_increasing_id().alias("n"), "key", "place", "kind", "twin",
+        F.monotonically_increasing_id().alias("n"), "key", kind.alias("kind"), (F.col("kind") > 1).alias("twin"),
         F.array(*[f"m{j}" for j in range(VALUES)]).alias("values"), F.array(*keys).alias("buckets"),
     )
 
@@ -112,22 +114,55 @@ def bucketed(lines: DataFrame) -> DataFrame:
     return banded.join(shared, "bucket")
 
 
-def with_hubs(open_: DataFrame, lines: DataFrame, turn: int) -> DataFrame:
+def agreement(a: str, b: str) -> Column:
+    """In how many of their values two lines agree."""
+    return sum((F.get(a, F.lit(j)) == F.get(b, F.lit(j))).cast("int") for j in range(VALUES))
+
+
+def with_hubs(open_: DataFrame, values: DataFrame, turn: int) -> DataFrame:
     """(a, b, agreed): each line of a bucket with two lines of it, and how many of their values agree, if most do."""
     mark = F.struct(F.xxhash64("n", F.lit(turn)).alias("mark"), "n", "root")
     hubs = open_.groupBy("bucket").agg(F.min(mark).alias("low"), F.max(mark).alias("high"))
     near = open_.join(hubs, "bucket").select("n", "root", F.explode(F.array("low", "high")).alias("hub"))
     near = near.where(F.col("root") != F.col("hub.root"))
     pairs = near.select(F.least("n", "hub.n").alias("a"), F.greatest("n", "hub.n").alias("b")).distinct()
-    both = pairs.join(lines.select(F.col("n").alias("a"), F.col("values").alias("va")), "a").join(
-        lines.select(F.col("n").alias("b"), F.col("values").alias("vb")), "b"
-    )
-    agreed = F.expr("aggregate(arrays_zip(va, vb), 0, (n, v) -> n + int(v.va = v.vb))")
-    return both.select("a", "b", agreed.alias("agreed")).where(F.col("agreed") >= AGREED)
+    both = pairs.join(values.toDF("a", "va"), "a").join(values.toDF("b", "vb"), "b")
+    return both.select("a", "b", agreement("va", "vb").alias("agreed")).where(F.col("agreed") >= AGREED)
+
+
+def split_only(known: DataFrame) -> DataFrame:
+    """The rows of `known` (n, bucket, root) whose bucket holds several components."""
+    split = known.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2")
+    return known.join(split.select("bucket"), "bucket", "left_semi")
+
+
+def more_buckets(open_: DataFrame, values: DataFrame) -> DataFrame:
+    """`open_` and the further buckets of its lines, as far as they hold several components."""
+    lines = open_.select("n", "root").distinct().join(values, "n")
+    keys = [F.xxhash64(F.lit(BANDS + b), *[F.get("values", F.lit(j)) for j in of]) for b, of in enumerate(bands(MORE_BANDS, MORE_ROWS))]
+    return open_.select("n", "bucket", "root").union(split_only(lines.select("n", F.explode(F.array(*keys)).alias("bucket"), "root")))
+
 
+def rest_pairs(open_: DataFrame, values: DataFrame) -> DataFrame:
+    """(a, b): the pairs of lines of one bucket, but of different components, most of whose values agree.
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(n, s): the shingle sets of the lines of `wanted` (n, key, place), taken from the documents."""
+    One of the two lies outside the bucket's largest component, so that this one is never paired with itself.
+    """
+    sizes = open_.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("held"))
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("held", "root")).alias("top")).select("bucket", "top.root")
+    known = open_.join(largest.withColumnRenamed("root", "top"), "bucket").join(values, "n")
+    inside = F.col("root") == F.col("top")
+    sides = known.select("bucket", "n", "root", "values", inside.alias("inside"))
+    some = sides.where("not inside").select("bucket", F.col("n").alias("a"), F.col("root").alias("ra"), F.col("values").alias("va"))
+    every = sides.toDF("bucket", "b", "rb", "vb", "inside")
+    once = F.col("inside") | (F.col("a") < F.col("b"))
+    apart = (F.col("bucket") == F.col("other")) & (F.col("ra") != F.col("rb")) & once
+    met = some.join(every.withColumnRenamed("bucket", "other"), apart & (agreement("va", "vb") >= AGREED))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def line_texts(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """(n, norm): the compared form of the lines of `wanted` (n, key, place), taken from the documents."""
     pos = F.pmod("place", F.lit(LINE_BITS).cast("decimal(11,0)"))
     where = wanted.select("n", "key", pos.cast("int").alias("pos"), "place").withColumn(
         "id", ((F.col("place") - F.col("pos")) / F.lit(LINE_BITS).cast("decimal(11,0)")).cast("bigint")
@@ -143,76 +178,46 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str) ->
         .alias("w")
     )
     # where an id repeats, the row that holds the line itself counts
-    found = found.select("w.*").where(F.unhex(F.md5("norm")) == F.col("key"))
-    return found.select("n", shingle_set("norm").alias("s"))
+    return found.select("w.*").where(F.unhex(F.md5("norm")) == F.col("key")).select("n", "norm")
 
 
-def by_number(sets: DataFrame) -> DataFrame:
-    """The sets as a table bucketed by line, in the shared folder: joins leave them where they are."""
-    spark, name = sets.sparkSession, f"line_sets_{uuid.uuid4().hex}"
+def by_number(rows: DataFrame) -> DataFrame:
+    """Rows of lines as a table bucketed by line, in the shared folder: joins leave them where they are."""
+    spark, name = rows.sparkSession, f"line_rows_{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    writer = sets.repartition(parts, "n").write.bucketBy(parts, "n").sortBy("n")
+    writer = rows.repartition(parts, "n").write.bucketBy(parts, "n").sortBy("n")
     writer.option("path", f"{shared_folder(spark).rstrip('/')}/{name}").saveAsTable(name)
     return spark.table(name)
 
 
-def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose sets have at least the Jaccard similarity."""
-    both = pairs.join(sets.select(F.col("n").alias("a"), F.col("s").alias("sa")), "a").join(
-        sets.select(F.col("n").alias("b"), F.col("s").alias("sb")), "b"
-    )
-    shared = F.size(F.array_intersect("sa", "sb"))
-    enough = shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)
-    return both.where(enough).select("a", "b")
+def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets have at least the Jaccard similarity."""
+    both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
 
+    def enough(p: Column) -> Column:
+        of_sizes = F.struct(
+            (F.size(p["sa"]) + F.size(p["sb"])).alias("sum"), F.size(F.array_intersect(p["sa"], p["sb"])).alias("shared")
+        )
+        return F.forall(F.array(of_sizes), lambda z: z["shared"] >= F.lit(similarity) * (z["sum"] - z["shared"]))
 
-def rest_pairs(open_: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): the pairs of lines in different components that may still be similar.
+    # bound by functions of one element, so that no set is worked out twice
+    sets = F.array(F.struct(shingle_set("ta").alias("sa"), shingle_set("tb").alias("sb")))
+    return both.where(F.forall(sets, enough)).select("a", "b")
 
-    Shingles that lie in one component only join nothing; they come first in the order and use up a prefix.
-    Of two similar sets the first common shingle leaves enough of both: of the shorter one, 2 t / (1 + t) of its
-    size, of the longer one t.  Components meet before lines do, so that a large one is not paired with itself.
-    """
-    lines = stored(open_.select("n", "root").distinct().join(sets, "n"))
-    tokens = lines.select("n", F.explode("s").alias("h"))
-    owners = lines.select("root", F.explode("s").alias("h")).groupBy("h").agg(
-        F.count(F.lit(1)).alias("owners"), F.min("root").alias("r1"), F.max("root").alias("r2")
-    ).where("r1 != r2")
-    lists = tokens.join(owners.select("h", "owners"), "h").groupBy("n").agg(
-        F.sort_array(F.collect_list(F.struct("owners", "h"))).alias("shared")
-    )
-    lists = lists.join(lines.select("n", "root", F.size("s").alias("size")), "n")
-    lists = stored(lists)
-
-    def prefix(part: float) -> DataFrame:
-        need = F.ceil(F.lit(part) * F.col("size") - F.lit(1e-9)).cast("int")
-        held = lists.withColumn("upto", F.size("shared") - need + 1).where("upto > 0")
-        first = held.select("n", "root", "size", F.size("shared").alias("all"), F.posexplode(F.slice("shared", F.lit(1), F.col("upto"))))
-        return first.select(F.col("col.h").alias("h"), "root", "n", "size", (F.col("all") - F.col("pos")).alias("rest"))
-
-    short, long = prefix(2 * similarity / (1 + similarity)), prefix(similarity)
-    short, long = short.toDF("h", "root_a", "a", "size_a", "rest_a"), long.toDF("h", "root_b", "b", "size_b", "rest_b")
-    roots = short.select("h", "root_a").distinct().join(long.select("h", "root_b").distinct(), "h").where("root_a != root_b")
-    met = short.join(roots, ["h", "root_a"]).join(long, ["h", "root_b"])
-    need = F.lit(similarity / (1 + similarity)) * (F.col("size_a") + F.col("size_b")) - F.lit(1e-9)
-    sized = (F.col("size_a") <= F.col("size_b")) & (F.col("size_a") >= F.lit(similarity) * F.col("size_b") - F.lit(1e-9))
-    near = met.where(sized & (F.least("rest_a", "rest_b") >= need))
-    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def linked(tree: DataFrame, pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+
+def linked(tree: DataFrame, pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """(node, root) after linking the similar ones of `pairs`.
 
     Each line is first compared with its likeliest partner; then the pairs are left that components keep apart.
     """
     ends = pairs.select("a", "b", "agreed", F.explode(F.array("a", "b")).alias("n"))
     best = ends.groupBy("n").agg(F.max(F.struct("agreed", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    roots = stored(components(tree.union(similar_pairs(best, sets, similarity))))
+    roots = stored(components(tree.union(similar_pairs(best, texts, similarity))))
     apart = pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
     for c in "ab":
         apart = apart.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left")
     apart = apart.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    more = similar_pairs(apart, sets, similarity)
+    more = similar_pairs(apart, texts, similarity)
     return stored(components(forest(roots).union(more)))
 
 
@@ -220,37 +225,45 @@ def forest(roots: DataFrame) -> DataFrame:
     return roots.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
-def linked_lines(met: DataFrame, lines: DataFrame, pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def linked_lines(
+    met: DataFrame, twins: DataFrame, values: DataFrame, pairs: DataFrame, texts: DataFrame, similarity: float
+) -> DataFrame:
     """(node, root) for the lines that are linked with another; `pairs` have met their buckets' hubs."""
-    twins = lines.where("twin").groupBy("key").agg(F.min("n").alias("a"), F.max("n").alias("b")).select("a", "b")
-    tree = twins.where("a != b")
+    tree = twins
     for turn in range(2):
-        roots = linked(tree, pairs, sets, similarity)
+        roots = linked(tree, pairs, texts, similarity)
         tree = forest(roots)
         # buckets of up to three lines are settled: all their pairs have met
         known = met.where("held > 3").join(roots.withColumnRenamed("node", "n"), "n", "left")
         known = known.select("n", "bucket", F.coalesce("root", "n").alias("root"))
-        split = known.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2")
-        open_ = stored(known.join(split.select("bucket"), "bucket", "left_semi"))
+        open_ = stored(split_only(known))
         if turn == 0:
-            pairs = stored(with_hubs(open_, lines, 1))
-    return components(tree.union(similar_pairs(rest_pairs(open_, sets, similarity), sets, similarity)))
+            pairs = stored(with_hubs(open_, values, 1))
+    return components(tree.union(similar_pairs(rest_pairs(stored(more_buckets(open_, values)), values), texts, similarity)))
 
 
 def doubled_lines(docs: DataFrame, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Lines that go: (id, pos, kept_place), one row each."""
     found = occurrences(docs, text, doc_id)
     lines = stored(signatures(found))
+    marks = stored(found.select("key", "id", "pos", "place"))
+    firsts = stored(marks.groupBy("key").agg(F.min("place").alias("place")))
     met = stored(bucketed(lines))
-    pairs = stored(with_hubs(met.withColumn("root", F.col("n")), lines, 0))
+    some = met.select("n").distinct()
+    values = by_number(lines.select("n", "values").join(some, "n"))
+    pairs = stored(with_hubs(met.withColumn("root", F.col("n")), values, 0))
     wanted = pairs.select(F.col("a").alias("n")).union(pairs.select("b")).union(met.where("held > 3").select("n")).distinct()
-    sets = by_number(shingle_sets(docs, lines.select("n", "key", "place").join(wanted, "n"), text, doc_id))
-    roots = linked_lines(met, lines, pairs, sets, similarity)
-    once = lines.where("not twin or kind = 0").select("n", "key", "place")
-    grouped = once.join(roots.withColumnRenamed("node", "n"), "n", "left").withColumn("root", F.coalesce("root", "n"))
+    places = lines.select("n", "key").join(wanted, "n").join(firsts, "key")
+    texts = by_number(line_texts(docs, places, text, doc_id))
+    twins = lines.where("twin").groupBy("key").agg(F.min("n").alias("a"), F.max("n").alias("b")).select("a", "b")
+    roots = linked_lines(met, twins, values, pairs, texts, similarity)
+    # both numbers of a twin have one root
+    linked_keys = lines.select("n", "key").join(roots.withColumnRenamed("node", "n"), "n").select("key", "root").distinct()
+    grouped = linked_keys.join(firsts, "key")
     first = grouped.groupBy("root").agg(F.min("place").alias("kept_place"))
-    kept = grouped.join(first, "root").select("key", "kept_place")
-    return found.select("key", "id", "pos", "place").join(kept, "key").where("place != kept_place").select(
+    linked_places = grouped.join(first, "root").select("key", "kept_place")
+    kept = firsts.join(linked_places, "key", "left").select("key", F.coalesce("kept_place", "place").alias("kept_place"))
+    return marks.join(kept, "key").where("place != kept_place").select(
         "id", "pos", "kept_place"
     )
 
