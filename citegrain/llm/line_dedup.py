@@ -72,17 +72,20 @@ def trimmed(line: Column) -> Column:
 
 
 def occurrences(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per line that is not blank: its place in the order, its key (128 bits) and its compared form."""
+    """One row per line that is not blank: its document and number, its key (128 bits) and its compared form."""
     lines = docs.select(F.coalesce(doc_id, F.lit(LAST_ID)).alias("id"), F.posexplode(F.split(whole_text(text), "\n")))
     norm = trimmed(F.lower("col"))
+    return lines.select("id", "pos", norm.alias("norm")).where("norm != ''").withColumn("key", F.unhex(F.md5("norm")))
+
+
+def with_place(marks: DataFrame) -> DataFrame:
+    """`marks` with each line's place in the order of documents and their lines."""
     place = F.col("id").cast("decimal(20,0)") * F.lit(LINE_BITS).cast("decimal(11,0)") + F.col("pos")
-    return lines.select(place.cast("decimal(32,0)").alias("place"), "id", "pos", norm.alias("norm")).where(
-        "norm != ''"
-    ).withColumn("key", F.unhex(F.md5("norm")))
+    return marks.withColumn("place", place.cast("decimal(32,0)"))
 
 
 def signatures(found: DataFrame) -> DataFrame:
-    """(n, key, kind, twin, values, buckets): distinct lines by kind of signature, numbered.
+    """(n, key, kind, twin, values): distinct lines by kind of signature, numbered.
 
     `kind` is 0 over all shingles, 1 over a share of them; lines with both are twins.  Copies merge here: they have
     the same hashes, so that partial aggregates of a task hold one row each, and no text is shuffled.  A shingle is
@@ -99,17 +102,30 @@ def signatures(found: DataFrame) -> DataFrame:
     masks = [F.xxhash64(F.lit(j)) for j in range(VALUES)]
     least = [F.min(F.shiftright(F.col("h").bitwiseXOR(m), 32).cast("int")).alias(f"m{j}") for j, m in enumerate(masks)]
     signed = chosen.groupBy("key", "kind").agg(*least)
-    kind = F.col("kind").bitwiseAND(1)
-    keys = [F.xxhash64(kind, F.lit(b), *[F.col(f"m{j}") for j in of]) for b, of in enumerate(bands())]
     return signed.select(
-        F.monotonically_increasing_id().alias("n"), "key", kind.alias("kind"), (F.col("kind") > 1).alias("twin"),
-        F.array(*[f"m{j}" for j in range(VALUES)]).alias("values"), F.array(*keys).alias("buckets"),
+        F.monotonically_increasing_id().alias("n"), "key", F.col("kind").bitwiseAND(1).alias("kind"),
+        (F.col("kind") > 1).alias("twin"), F.array(*[f"m{j}" for j in range(VALUES)]).alias("values"),
     )
 
 
+def freed(table: DataFrame) -> DataFrame:
+    """The written table; the shuffle files of the step that wrote it go now, not when the driver's heap is full.
+
+    Spark removes them once the driver has collected the step's plan, which a large heap puts off for many steps.
+    """
+    table.sparkSession.sparkContext._jvm.System.gc()
+    return table
+
+
+def kept_rows(rows: DataFrame) -> DataFrame:
+    """The rows as a written table."""
+    return freed(stored(rows))
+
+
 def bucketed(lines: DataFrame) -> DataFrame:
     """(n, bucket, held) of all buckets that hold two lines or more."""
-    banded = lines.select("n", F.explode("buckets").alias("bucket"))
+    keys = [F.xxhash64("kind", F.lit(b), *[F.get("values", F.lit(j)) for j in of]) for b, of in enumerate(bands())]
+    banded = lines.select("n", F.explode(F.array(*keys)).alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     return banded.join(shared, "bucket")
 
@@ -187,7 +203,7 @@ def by_number(rows: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     writer = rows.repartition(parts, "n").write.bucketBy(parts, "n").sortBy("n")
     writer.option("path", f"{shared_folder(spark).rstrip('/')}/{name}").saveAsTable(name)
-    return spark.table(name)
+    return freed(spark.table(name))
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -212,13 +228,13 @@ def linked(tree: DataFrame, pairs: DataFrame, texts: DataFrame, similarity: floa
     """
     ends = pairs.select("a", "b", "agreed", F.explode(F.array("a", "b")).alias("n"))
     best = ends.groupBy("n").agg(F.max(F.struct("agreed", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    roots = stored(components(tree.union(similar_pairs(best, texts, similarity))))
+    roots = kept_rows(components(tree.union(similar_pairs(best, texts, similarity))))
     apart = pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
     for c in "ab":
         apart = apart.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left")
     apart = apart.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
     more = similar_pairs(apart, texts, similarity)
-    return stored(components(forest(roots).union(more)))
+    return kept_rows(components(forest(roots).union(more)))
 
 
 def forest(roots: DataFrame) -> DataFrame:
@@ -236,22 +252,22 @@ def linked_lines(
         # buckets of up to three lines are settled: all their pairs have met
         known = met.where("held > 3").join(roots.withColumnRenamed("node", "n"), "n", "left")
         known = known.select("n", "bucket", F.coalesce("root", "n").alias("root"))
-        open_ = stored(split_only(known))
+        open_ = kept_rows(split_only(known))
         if turn == 0:
-            pairs = stored(with_hubs(open_, values, 1))
-    return components(tree.union(similar_pairs(rest_pairs(stored(more_buckets(open_, values)), values), texts, similarity)))
+            pairs = kept_rows(with_hubs(open_, values, 1))
+    return components(tree.union(similar_pairs(rest_pairs(kept_rows(more_buckets(open_, values)), values), texts, similarity)))
 
 
 def doubled_lines(docs: DataFrame, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Lines that go: (id, pos, kept_place), one row each."""
     found = occurrences(docs, text, doc_id)
-    lines = stored(signatures(found))
-    marks = stored(found.select("key", "id", "pos", "place"))
-    firsts = stored(marks.groupBy("key").agg(F.min("place").alias("place")))
-    met = stored(bucketed(lines))
+    lines = kept_rows(signatures(found))
+    marks = with_place(kept_rows(found.select("key", "id", "pos")))
+    firsts = kept_rows(marks.groupBy("key").agg(F.min("place").alias("place")))
+    met = kept_rows(bucketed(lines))
     some = met.select("n").distinct()
     values = by_number(lines.select("n", "values").join(some, "n"))
-    pairs = stored(with_hubs(met.withColumn("root", F.col("n")), values, 0))
+    pairs = kept_rows(with_hubs(met.withColumn("root", F.col("n")), values, 0))
     wanted = pairs.select(F.col("a").alias("n")).union(pairs.select("b")).union(met.where("held > 3").select("n")).distinct()
     places = lines.select("n", "key").join(wanted, "n").join(firsts, "key")
     texts = by_number(line_texts(docs, places, text, doc_id))
