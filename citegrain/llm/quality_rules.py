@@ -22,6 +22,8 @@ from citegrain.llm.texts import SPACE, whole_text
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 3
+# What a rule can say: bad, nothing, good.
+SAYS = (-1, 0, 1)
 
 
 def _words(text: Column) -> Column:
@@ -99,47 +101,61 @@ def votes() -> dict[str, Column]:
         "copied_lines": bad(copies * 3 > lines),
         "odd_words": bad((mean < 2) | (mean > 14)),
         "plain": F.when(even, 1).when(symbols * 5 > chars, -1).otherwise(0),
-        "varied": F.when(even & (repeats * 5 <= words) & (copies * 5 <= lines), 1).otherwise(0),
+        "varied": F.when(even & (repeats * 5 <= words), 1).otherwise(0),
+        "own_lines": F.when(even & (copies * 5 <= lines), 1).otherwise(0),
     }
 
 
 @dataclass(frozen=True)
 class Voters:
-    """Share of good documents (given), and how often each rule is right when it speaks (estimated)."""
+    """Share of good documents, and for each rule how often it says each of `SAYS` of bad and of good documents."""
 
     prior: float
-    accuracy: tuple[float, ...]
+    rates: tuple[tuple[tuple[float, ...], tuple[float, ...]], ...]
 
-    def weight(self, rule: int) -> float:
-        return math.log(self.accuracy[rule]) - math.log(1 - self.accuracy[rule])
+    def weight(self, rule: int, vote: int) -> float:
+        bad, good = self.rates[rule]
+        return math.log(good[SAYS.index(vote)]) - math.log(bad[SAYS.index(vote)])
 
     def posterior(self, pattern: tuple[int, ...]) -> float:
         odds = math.log(self.prior) - math.log(1 - self.prior)
-        odds += sum(vote * self.weight(r) for r, vote in enumerate(pattern))
+        odds += sum(self.weight(r, vote) for r, vote in enumerate(pattern))
         return 1 / (1 + math.exp(min(700.0, max(-700.0, -odds))))
 
+    def accuracy(self, rule: int) -> tuple[float, float]:
+        """How often the rule is right of bad and of good documents, where it speaks."""
+        bad, good = self.rates[rule]
+        return bad[0] / (bad[0] + bad[2]), good[2] / (good[0] + good[2])
+
 
 def estimate(
-    patterns: dict[tuple[int, ...], int], rounds: int = 50, accuracy: float = 0.9, prior: float = 0.8,
-    weight: float = 0.01, bounds: tuple[float, float] = (0.85, 0.995),
+    patterns: dict[tuple[int, ...], int], rounds: int = 1000, start: float = 0.9, close: float = 1e-9
 ) -> Voters:
-    """EM on pattern counts.
+    """EM on pattern counts, until no posterior moves by more than `close`.
 
-    A rule is right with one chance whatever the class, and whether it speaks tells nothing.  What is expected
-    before any document is seen counts as a share `weight` of the documents.  The share of good documents is a
-    parameter and accuracies stay within `bounds`, so that good and bad cannot change places and a rule that
-    often speaks alone is not taken to be always wrong.
+    The share of good documents and every rate are estimated, silence included: a rule that says nothing of a
+    document tells something too.  Only the start knows good from bad: there each vote is right with chance
+    `start`.  Every count begins at one, so that no rate is zero.
     """
     rules, total = len(next(iter(patterns), ())), sum(patterns.values())
-    voters, firm = Voters(prior, (accuracy,) * rules), total * weight + 1
+    weight = math.log(start) - math.log(1 - start)
+    good = {p: 1 / (1 + math.exp(-weight * sum(p))) for p in sorted(patterns)}
+    voters = Voters(0.5, (((1 / 3,) * 3,) * 2,) * rules)
     for _ in range(rounds if total else 0):
-        good = {p: voters.posterior(p) for p in sorted(patterns)}
-        found = []
-        for r in range(rules):
-            right = sum(patterns[p] * (g if p[r] > 0 else 1 - g) for p, g in good.items() if p[r])
-            spoken = sum(patterns[p] for p in good if p[r])
-            found.append(min(max((right + firm * accuracy) / (spoken + firm), bounds[0]), bounds[1]))
-        voters = Voters(prior, tuple(found))
+        held = [(p, n * (1 - good[p]), n * good[p]) for p, n in sorted(patterns.items())]
+        sums = [sum(h[1] for h in held), sum(h[2] for h in held)]
+        rates = [
+            tuple(
+                tuple((1 + sum(h[c + 1] for h in held if h[0][r] == vote)) / (len(SAYS) + sums[c]) for vote in SAYS)
+                for c in (0, 1)
+            )
+            for r in range(rules)
+        ]
+        voters = Voters((1 + sums[1]) / (2 + total), tuple(rates))
+        after = {p: voters.posterior(p) for p in good}
+        moved, good = max(abs(after[p] - good[p]) for p in good), after
+        if moved <= close:
+            break
     return voters
 
 
@@ -152,7 +168,8 @@ def judged(counts: DataFrame, threshold: float = 0.5) -> DataFrame:
     patterns = {tuple(row[n] for n in names): row["n"] for row in found}
     voters = estimate(patterns)
     logit = F.lit(math.log(voters.prior) - math.log(1 - voters.prior))
-    for r, name in enumerate(names):
-        logit = logit + F.col(name) * F.lit(voters.weight(r) if voters.accuracy else 0.0)
+    for r, name in enumerate(names if patterns else []):
+        weights = [F.lit(voters.weight(r, vote)) for vote in SAYS]
+        logit = logit + F.when(F.col(name) < 0, weights[0]).when(F.col(name) > 0, weights[2]).otherwise(weights[1])
     voted = voted.withColumn("posterior", 1 / (1 + F.exp(-logit)))
     return voted.withColumn("good", F.col("posterior") >= threshold)

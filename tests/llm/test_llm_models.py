@@ -73,27 +73,61 @@ def base_counts(text):
     return (len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(cover))
 
 
+def plain_em(votes, rounds=1000):
+    """Posteriors of rows of votes: two classes, each rule's three answers counted for each class, row by row."""
+    said = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
+    good = 1 / (1 + np.exp(-math.log(9) * votes.sum(axis=1)))
+    for _ in range(rounds):
+        before, logs = good, 0
+        for sign, share in ((1, good), (-1, 1 - good)):
+            rates = (1 + np.einsum("i,irv->rv", share, said)) / (3 + share.sum())
+            logs = logs + sign * (np.einsum("irv,rv->i", said, np.log(rates)) + math.log(1 + share.sum()))
+        good = 1 / (1 + np.exp(-np.clip(logs, -700, 700)))
+        if np.abs(good - before).max() <= 1e-9:
+            break
+    return good
+
+
+def votes_of(judged):
+    names = [c for c in judged[0].asDict() if c.startswith("vote_")]
+    return np.array([[r[n] for n in names] for r in judged])
+
+
 def test_rules(cases, nothing):
     docs, rows = cases
     judged = quality_rules.judged(quality_rules.base_counts(docs)).collect()
     got = [tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) for r in judged]
     assert sorted(got) == sorted(base_counts(r[1]) for r in rows)
-    names = [c for c in judged[0].asDict() if c.startswith("vote_")]
-    voters = quality_rules.estimate(Counter(tuple(r[n] for n in names) for r in judged))
-    for r in judged:
-        assert math.isclose(r.posterior, voters.posterior(tuple(r[n] for n in names)), rel_tol=1e-9)
+    for r, p in zip(judged, plain_em(votes_of(judged))):
+        assert math.isclose(r.posterior, p, rel_tol=1e-6, abs_tol=1e-9)
         assert r.good == (r.posterior >= 0.5)
     assert quality_rules.judged(quality_rules.base_counts(nothing)).collect() == []
 
 
-def test_em_finds_the_accurate_rules():
+def test_verdicts_equal_plain_em_and_labels(spark):
+    """Of labelled documents that the base rules pass, the bad ones go and the good ones stay."""
+    docs, marks = (spark.read.parquet(f"{SF_DIR}/{t}.parquet") for t in ("documents", "labels"))
+    judged = quality_rules.judged(quality_rules.base_counts(docs)).collect()
+    assert [r.good for r in judged] == list(plain_em(votes_of(judged)) >= 0.5)
+    quality = {r.doc_id: r.quality for r in marks.collect()}
+    passed = [r for r in judged if r.n_words >= 50 and 2 * r.n_repeat_words <= r.n_words]
+    good = [r.good for r in passed if quality.get(r.doc_id) == 1]
+    bad = [r.good for r in passed if quality.get(r.doc_id) == 0]
+    assert good and bad and sum(good) >= 0.99 * len(good) and sum(bad) <= 0.02 * len(bad)
+
+
+def test_em_finds_share_and_rates_of_each_class():
     rng = random.Random(8)
-    right, patterns = (0.98, 0.9, 0.9, 0.86), Counter()
-    for _ in range(20_000):
-        truth = 1 if rng.random() < 0.8 else -1
-        patterns[tuple(0 if rng.random() < 0.3 else truth if rng.random() < a else -truth for a in right)] += 1
-    found = quality_rules.estimate(patterns).accuracy
-    assert all(abs(a - b) < 0.03 for a, b in zip(found, right))
+    right = ((0.98, 0.9), (0.9, 0.95), (0.8, 0.9), (0.86, 0.7))  # of bad, of good documents
+    patterns = Counter()
+    for _ in range(40_000):
+        good = rng.random() < 0.7
+        truth = 1 if good else -1
+        patterns[tuple(0 if rng.random() < 0.3 else truth if rng.random() < a[good] else -truth for a in right)] += 1
+    found = quality_rules.estimate(patterns)
+    assert abs(found.prior - 0.7) < 0.02
+    for r, chances in enumerate(right):
+        assert all(abs(a - b) < 0.03 for a, b in zip(found.accuracy(r), chances))
 
 
 def test_language_model_base_and_held_out(spark):
