@@ -139,6 +139,87 @@ def test_language_model_base_and_held_out(spark):
     assert held.score.sum() > held.base_score.sum()
 
 
+def plain_class_scores(texts, held, vocabulary, classes):
+    """log10 probabilities of the texts, with counts and the parallel sweep written out."""
+    counts = Counter(w for i, words in texts.items() if not held[i] for w in words)
+    key = {w: int(class_lm.word_keys([w.encode()])[0][0]) for words in texts.values() for w in words[:-1]}
+    chosen = sorted((w for w in counts if w in key and counts[w] > 1), key=lambda w: (-counts[w], key[w]))[:vocabulary]
+    end, total = classes + 4, classes + 5
+
+    def shape(w):
+        return 2 * (w[-1] in ".,;:!?|*&%$#") + (len(w.encode()) > 6)
+
+    def pairs_of(name):
+        found = Counter()
+        for i, words in texts.items():
+            if not held[i]:
+                found.update((name(a), name(b)) for a, b in zip(["\n", *words], words))
+        return found
+
+    slot = {w: r for r, w in enumerate(chosen)} | {"\n": len(chosen) + 4}
+    pairs = np.zeros((len(chosen) + 5,) * 2)
+    for (a, b), n in pairs_of(lambda w: slot.get(w, len(chosen) + shape(w))).items():
+        pairs[a, b] = n
+    of = class_lm.exchange(pairs, len(chosen), classes)
+    known = {w: int(of[r]) for w, r in slot.items()}
+    first = lambda w: known.get(w, classes + shape(w))
+    joint = pairs_of(first)
+    row, column = Counter(), Counter()
+    for (a, b), n in joint.items():
+        row[a] += n
+        column[b] += n
+
+    def grown(x, n):
+        return (x + n) * math.log(x + n) - (x * math.log(x) if x else 0)
+
+    near = defaultdict(Counter)
+    for i, words in texts.items():
+        line = ["\n", *words]
+        for a, w, b in zip(line, line[1:], line[2:]) if not held[i] else ():
+            near[w][0, first(a)] += 1
+            near[w][1, first(b)] += 1
+    full = dict(known)
+    for w, n in counts.items():
+        if n > 1 and w not in known:
+            gains = [
+                sum(grown(joint[(x, c) if side == 0 else (c, x)], k) for (side, x), k in near[w].items())
+                - grown(row[c], n) - grown(column[c], n) for c in range(classes)
+            ]
+            full[w] = max(range(classes), key=lambda c: (round(gains[c], 9), -c))
+    kind = lambda w: full.get(w, classes + shape(w))
+    moves = pairs_of(kind)
+    matrix = np.zeros((total, total))
+    for (a, b), n in moves.items():
+        matrix[a, b] = n
+    once = Counter(shape(w) for w, n in counts.items() if n == 1 and w in key)
+    inside = Counter()
+    for w, n in counts.items():
+        inside[kind(w)] += n
+    logs = class_lm.smoothed(matrix)
+
+    def word(w):
+        k = kind(w)
+        if k == end:
+            return 0
+        if k < classes:
+            return math.log10(counts[w] / inside[k])
+        return math.log10((counts[w] + 0.5) / (inside[k] + 0.5 * (once[k - classes] + 1)))
+
+    return {i: sum(logs[kind(a), kind(b)] + word(b) for a, b in zip(["\n", *words], words)) for i, words in texts.items()}
+
+
+def test_class_scores_equal_a_plain_model(spark):
+    rng = random.Random(3)
+    words = [f"{c}{'x' * (n % 9)}{'.' * (n % 5 == 0)}" for n, c in enumerate("abcdefghijklmnopqrstuvwxyz" * 3)]
+    texts = {i: [rng.choice(words[:8 + 70 * (j % 3 == i % 3)]) for j in range(rng.randrange(60))] for i in range(120)}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id bigint, text string")
+    texts = {i: [*t, "\n"] for i, t in texts.items()}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in texts}
+    want = plain_class_scores(texts, held, 12, 4)
+    for r in class_lm.scores(docs.repartition(3), vocabulary=12, classes=4).collect():
+        assert math.isclose(r.score, want[r.doc_id], rel_tol=1e-9), r
+
+
 def check_base(scored, texts):
     held = {i: zlib.crc32(str(i if i is not None else "").encode()) % 5 == 1 for i in texts}
     counts = Counter(w for i, words in texts.items() if not held[i] for w in words)
