@@ -38,7 +38,7 @@ PART_BYTES = (12 << 20, 256 << 20)
 SLICE_BYTES = 4 << 20
 SHAPES = 4
 # Fewest and most classes; most words that are exchanged one by one, and how many for a class.
-CLASSES, SEEDS, SEEDS_A_CLASS = (16, 256), 4096, 24
+CLASSES, SEEDS, SEEDS_A_CLASS = (16, 256), 2048, 16
 # A word that the parallel sweep leaves to its shape or to the exchange.
 UNPLACED = (1 << 16) - 1
 # Occurrences of other words beside their neighbours' classes, by part of the hash space.
@@ -262,7 +262,7 @@ def placed(words: np.ndarray, before: np.ndarray, after: np.ndarray, joint: np.n
     once = _plogp(table + 1) - _plogp(table)
     best = np.zeros(len(n), np.int64)
     begins = np.searchsorted(owners, np.arange(len(n) + 1))
-    step = max(1, (1 << 22) // classes)
+    step = max(1, (1 << 20) // classes)
     at = 0
     while at < len(n):
         to = max(at + 1, int(np.searchsorted(begins, begins[at] + step, side="right")) - 1)
@@ -315,7 +315,7 @@ def bigrams(train: DataFrame, keys: np.ndarray) -> np.ndarray:
     types = n + SHAPES + 1
 
     def count(batches):
-        sums = np.zeros(types * types, np.int64)
+        sums = np.zeros(types * types, np.uint32)
         for batch in batches:
             texts = encoded(batch.column(0).to_pylist())
             for a, b in slices([len(t) for t in texts], SLICE_BYTES):
@@ -325,11 +325,12 @@ def bigrams(train: DataFrame, keys: np.ndarray) -> np.ndarray:
                     at = np.minimum(np.searchsorted(ranked, found), n - 1)
                     shape = np.where(ranked[at] == found, order[at], shape)
                 line = np.concatenate(([types - 1], with_ends(shape, words, types - 1)))
-                sums += np.bincount(line[:-1] * types + line[1:], minlength=types * types)
+                codes, times = np.unique(line[:-1] * types + line[1:], return_counts=True)
+                sums[codes] += times.astype(np.uint32)
         some = np.flatnonzero(sums)
         for i in range(0, len(some), 1 << 16):
             part = some[i:i + (1 << 16)]
-            yield pa.RecordBatch.from_pydict({"code": pa.array(part), "n": pa.array(sums[part])})
+            yield pa.RecordBatch.from_pydict({"code": pa.array(part), "n": pa.array(sums[part].astype(np.int64))})
 
     rows = train.select("text").mapInArrow(count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
     found = rows.toArrow()
