@@ -9,7 +9,10 @@ one binary value:
     rules     two u32 each: what the symbol `first free symbol + i` stands for
     lengths   one u32 for each rule: how many ids it expands to
     symbols   one u32 each
-    documents i64 id (and a byte that tells null ids), u64 ids before it in the shard, u64 number of ids
+    keys      one i64 for each document, its id
+    nulls     one byte for each document: 1 where its id is null
+    starts    one u64 for each document: ids before it in the shard
+    counts    one u64 for each document: its ids
 
 A document is decoded by expanding only the symbols that cover it: prefix sums of expansion lengths find them.
 No symbol reaches over the end of a document.
@@ -40,53 +43,72 @@ FILES = "part bigint, shard bigint, part_ids bigint, payload binary"
 READ = "doc_id bigint, part bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
-def repair(ids: np.ndarray, last: np.ndarray, first_free: int, least: int = 32, most: int = 4096, gain: float = 0.01):
+def repair(ids: np.ndarray, last: np.ndarray, first_free: int, least: int = 4, most: int = 4096):
     """(symbols, rules): in each round the pairs that occur `least` times or more, up to `most` of them, the
     most frequent first, become new symbols; of overlapping pairs the more frequent wins, then the left one.
-    Rounds go on while one takes away at least a share `gain` of the symbols."""
-    symbols, rules, before = ids.astype(np.int64), [], len(ids) * 2
-    while 1 < len(symbols) <= before * (1 - gain):
-        before = len(symbols)
-        codes = symbols[:-1] << 32 | symbols[1:]
-        codes[last[:-1]] = -1
+    Rounds go on until no pair occurs `least` times: a rule takes three numbers, so that rarer pairs do not pay.
+
+    A pair that is too rare stays so until one of its sides is replaced, so that only changed places and pairs
+    still to be replaced are counted again.
+    """
+    symbols, rules, live = ids.astype(np.int64), [], ~last
+    while True:
+        at = np.flatnonzero(live)
+        codes = symbols[at] << 32 | symbols[at + 1]
         ranked = np.sort(codes)
-        begins = np.flatnonzero(ranked[1:] != ranked[:-1]) + 1
-        begins = np.concatenate(([0], begins))
+        begins = np.flatnonzero(np.diff(ranked, prepend=-1))
         counts = np.diff(np.append(begins, len(ranked)))
-        often = np.flatnonzero((counts >= least) & (ranked[begins] >= 0))
+        often = np.flatnonzero(counts >= least)
         if not len(often):
-            break
-        pairs = ranked[begins[often]]
-        pairs = pairs[np.lexsort((pairs, -counts[often]))][:most]
-        rank = np.full(len(symbols), len(pairs), np.int32)
-        # most places fail one of two small tables, which spares them the search
-        left, right = np.zeros(first_free + len(rules), bool), np.zeros(first_free + len(rules), bool)
-        left[pairs >> 32], right[pairs & 0xFFFFFFFF] = True, True
-        places = np.flatnonzero(left[symbols[:-1]] & right[symbols[1:]])
-        by_code = np.argsort(pairs)
-        found = np.minimum(np.searchsorted(pairs[by_code], codes[places]), len(pairs) - 1)
-        same = pairs[by_code][found] == codes[places]
-        rank[places[same]] = by_code[found[same]]
+            return symbols, np.array(rules, np.int64).reshape(-1, 2)
+        every = ranked[begins[often]]
+        rank_of = np.empty(len(every), np.int32)
+        rank_of[np.lexsort((every, -counts[often]))] = np.arange(len(every))
+        found = _places(every, codes, first_free + len(rules))
+        frequent = found >= 0
+        live[at[~frequent]] = False
+        at, ranks = at[frequent], rank_of[found[frequent]]
+        chosen = min(len(every), most)
+        pairs = every[np.argsort(rank_of)[:chosen]]
+        at, ranks = at[ranks < chosen], ranks[ranks < chosen]
         # a place is taken if neither neighbour's pair has a better rank; runs of one pair take every other place
-        taken = _spread(rank, len(pairs))
+        taken = _spread(at, ranks)
+        ranks, taken = ranks[taken], at[taken]
         fresh = first_free + len(rules)
         rules.extend(zip((pairs >> 32).tolist(), (pairs & 0xFFFFFFFF).tolist()))
-        symbols[taken] = fresh + rank[taken]
+        symbols[taken] = fresh + ranks
         last[taken] = last[taken + 1]
+        live[taken] = ~last[taken]
+        before = taken[taken > 0] - 1
+        live[before] = ~last[before]
         stay = np.ones(len(symbols), bool)
         stay[taken + 1] = False
-        symbols, last = symbols[stay], last[stay]
-    return symbols, np.array(rules, np.int64).reshape(-1, 2)
-
-
-def _spread(rank: np.ndarray, none: int) -> np.ndarray:
-    """Places whose pairs can be replaced together."""
-    wins = rank < none
-    wins[1:] &= rank[1:] <= rank[:-1]
-    wins[:-1] &= rank[:-1] <= rank[1:]
-    run = np.diff(wins.astype(np.int8), prepend=0) == 1
-    begin = np.maximum.accumulate(np.where(run, np.arange(len(wins)), 0))
-    return np.flatnonzero(wins & ((np.arange(len(wins)) - begin) % 2 == 0))
+        symbols, last, live = symbols[stay], last[stay], live[stay]
+
+
+def _places(pairs: np.ndarray, codes: np.ndarray, symbols: int) -> np.ndarray:
+    """For each code its place in the sorted `pairs`, or -1; most codes fail one of two small tables."""
+    left, right = np.zeros(symbols, bool), np.zeros(symbols, bool)
+    left[pairs >> 32], right[pairs & 0xFFFFFFFF] = True, True
+    some = np.flatnonzero(left[codes >> 32] & right[codes & 0xFFFFFFFF])
+    found = np.minimum(np.searchsorted(pairs, codes[some]), len(pairs) - 1)
+    same = pairs[found] == codes[some]
+    places = np.full(len(codes), -1, np.int64)
+    places[some[same]] = found[same]
+    return places
+
+
+def _spread(at: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """Which of the places `at` (ascending) hold pairs that can be replaced together."""
+    near = np.diff(at) == 1
+    wins = np.ones(len(at), bool)
+    wins[1:] &= ~(near & (ranks[:-1] < ranks[1:]))
+    wins[:-1] &= ~(near & (ranks[1:] < ranks[:-1]))
+    at_win = np.flatnonzero(wins)
+    run = np.diff(at[at_win], prepend=-2) != 1
+    order = np.arange(len(at_win))
+    begin = np.maximum.accumulate(np.where(run, order, 0))
+    return at_win[(order - begin) % 2 == 0]
 
 
 def rule_lengths(rules: np.ndarray, first_free: int) -> np.ndarray:
@@ -107,7 +129,7 @@ def to_file(keys: list, counts: list[int], ids: np.ndarray, first_free: int, ear
             symbols.astype("<u4").tobytes(), np.array([k or 0 for k in keys], "<i8").tobytes(),
             np.array([k is None for k in keys], "u1").tobytes(), (np.cumsum(size) - size).astype("<u8").tobytes(),
             size.astype("<u8").tobytes()]
-    return head + zlib.compress(b"".join(body), 1)
+    return head + b"".join(body)
 
 
 class Shard:
@@ -117,20 +139,21 @@ class Shard:
         magic, docs, symbols, rules, self.first_free, self.ids, self.earlier = HEAD.unpack_from(payload)
         if magic != MAGIC:
             raise ValueError("not a shard file")
-        body, at = zlib.decompress(payload[HEAD.size:]), 0
+        at = HEAD.size
 
         def take(kind: str, n: int) -> np.ndarray:
             nonlocal at
-            found = np.frombuffer(body, kind, n, at)
+            found = np.frombuffer(payload, kind, n, at)
             at += found.nbytes
             return found
 
-        self.rules = take("<u4", 2 * rules).reshape(-1, 2).astype(np.int64)
-        self.lengths = take("<u4", rules).astype(np.int64)
-        self.symbols = take("<u4", symbols).astype(np.int64)
+        self.rules = take("<u4", 2 * rules).reshape(-1, 2)
+        self.lengths = take("<u4", rules)
+        self.symbols = take("<u4", symbols)
         keys, null = take("<i8", docs), take("u1", docs)
         self.keys = [None if n else int(k) for k, n in zip(keys, null)]
         self.starts, self.counts = take("<u8", docs).astype(np.int64), take("<u8", docs).astype(np.int64)
+        # prefix sums of expansion lengths: where each symbol ends
         sizes = np.ones(len(self.symbols), np.int64)
         made = self.symbols >= self.first_free
         sizes[made] = self.lengths[self.symbols[made] - self.first_free]
@@ -138,6 +161,7 @@ class Shard:
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         """All ids that the symbols stand for; each step replaces every rule symbol by its two sides."""
+        symbols = symbols.astype(np.int64)
         while True:
             made = symbols >= self.first_free
             if not made.any():

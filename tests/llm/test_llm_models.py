@@ -356,6 +356,19 @@ def test_repair_round_trip():
         assert len(shard.rules) and len(shard.symbols) < len(ids)
 
 
+def test_repair_goes_on_while_a_pair_pays():
+    rng = np.random.default_rng(7)
+    for most in (2, 4096):
+        ids, last = rng.zipf(1.3, 20_000) % 40, rng.random(20_000) < 0.01
+        last[-1] = True
+        symbols, rules = grammar_store.repair(ids.astype("<u4"), last.copy(), 40, most=most)
+        lengths = grammar_store.rule_lengths(rules, 40)
+        ends = np.cumsum(np.where(symbols < 40, 1, lengths[symbols - 40]))
+        inside = ~last[ends - 1][:-1]
+        pairs = Counter(zip(symbols[:-1][inside].tolist(), symbols[1:][inside].tolist()))
+        assert len(rules) and max(pairs.values()) < 4 and set(np.flatnonzero(last) + 1) <= set(ends.tolist())
+
+
 def test_store(cases, nothing):
     docs, rows = cases
     tokenizer = Tokenizer.from_file(BYTES_FILE)
