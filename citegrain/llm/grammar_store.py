@@ -40,7 +40,7 @@ MAGIC = b"REPAIR01"
 HEAD = struct.Struct("<8s6Q")
 SHARD_IDS = 1 << 20
 FILES = "part bigint, shard bigint, part_ids bigint, payload binary"
-READ = "doc_id bigint, part bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
+READ = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
 def repair(ids: np.ndarray, last: np.ndarray, first_free: int, least: int = 4, most: int = 4096):
@@ -222,25 +222,23 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, first_free: int, text:
 def read(files: DataFrame) -> DataFrame:
     """Every document of the files: (doc_id, start, n_tokens, ids_crc32), decoded shard by shard.
 
-    `start` counts the ids of all documents before.  Partitions are few next to documents; only their totals
-    are summed in one place.
+    `start` counts the ids of all documents before.  Partitions are few next to documents; only their totals,
+    one row for each task that wrote, are summed in one place and broadcast.
     """
 
     def run(batches):
         for batch in batches:
-            for part, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for before, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 shard = Shard(payload)
                 crcs = [zlib.crc32(ids.astype("<u4").tobytes()) for ids in shard.documents()]
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": pa.array(shard.keys, pa.int64()), "part": pa.array([part] * len(crcs), pa.int64()),
-                    "start": pa.array(shard.starts + shard.earlier, pa.int64()),
+                    "doc_id": pa.array(shard.keys, pa.int64()),
+                    "start": pa.array(shard.starts + (shard.earlier + before), pa.int64()),
                     "n_tokens": pa.array(shard.counts, pa.int64()), "ids_crc32": pa.array(crcs, pa.int64()),
                 })
 
-    found = files.select("part", "payload").mapInArrow(run, READ)
     totals = files.groupBy("part").agg(F.max("part_ids").alias("ids"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("part", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("earlier"))
-    return found.join(totals, "part").select(
-        "doc_id", (F.col("start") + F.col("earlier")).alias("start"), "n_tokens", "ids_crc32"
-    )
+    placed = files.select("part", "payload").join(F.broadcast(totals), "part")
+    return placed.select("earlier", "payload").mapInArrow(run, READ)
