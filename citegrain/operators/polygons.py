@@ -16,10 +16,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citegrain.functions.geometry import ring_edges, wkt_rings
-from citegrain.operators.quadtree import MAX_LEVEL, Grid, finite, level_for
+from citegrain.operators.durable import durable
+from citegrain.operators.quadtree import MAX_LEVEL, Grid, finite, level_for, spread
 
 # Edges for each of which a polygon's box gets about one cell in each direction's square root.
 EDGES_PER_CELL = 8
+# Points of a shape that are handed to its polygons in one piece.
+PIECE = 1000
 # Edges are listed in cells that they miss by this share of a cell, so that rounding loses none.
 MARGIN = 1e-6
 
@@ -120,12 +123,19 @@ def points_in_polygons(
     """Polygon rows joined to the points they contain; empty polygons stay with null point columns.
 
     A point is looked up in one cell for each size of cell in use.  Points on a border are outside.  Polygons
-    whose box misses the points' extent are not listed, and of the others only cells within it.  Only ids,
+    whose box misses the points' extent are not listed, and of the others only cells within it.  Only shapes,
     positions and edges travel to the match; a polygon's other columns join afterwards, so ids are unique.
+
+    Polygons of equal text share one search.  A shape's points meet its polygons in pieces, which are taken apart
+    where the result is written: no row of the result is shuffled, and a crowded shape is spread by its pieces.
     """
     located = finite(points, lon, [lon, lat])
     grid = Grid(located, [lon, lat])
-    near = near_polygons(polygons, polygon_id, wkt, grid)
+    # one text per id; rings of rows that share an id make one shape
+    texts = F.array_join(F.array_sort(F.collect_list(F.col(wkt))), " ")
+    shaped = polygons.dropna(subset=[polygon_id]).groupBy(polygon_id).agg(texts.alias("_wkt"))
+    shaped = shaped.withColumn("_shape", F.sha2("_wkt", 256))
+    near = durable(near_polygons(shaped.select("_shape", "_wkt").distinct(), "_shape", "_wkt", grid))
     index = cell_index(near, grid)
     used = sorted(r[0] for r in near.select("_level").distinct().collect())  # at most MAX_LEVEL + 1
     levels = f"array({', '.join(map(str, used))})" if used else "cast(array() AS array<int>)"
@@ -140,5 +150,17 @@ def points_in_polygons(
     down = f"int({above('e', '_left', '_y')} != {above('e', '_left', '_low')})"
     odd = f"aggregate(_edges, int(_inside), (n, e) -> n + {along} + {down}) % 2 = 1"
     inside = f"_edges IS NULL OR ({odd} AND NOT exists(_edges, e -> {touches('e', '_x', '_y')}))"
-    matched = met.where(inside).select(F.col("_polygon").alias(polygon_id), *[F.col(f"`{c}`") for c in points.columns])
-    return polygons.join(matched, polygon_id, "left" if keep_empty else "inner")
+    point = F.struct(*[F.col(f"`{c}`") for c in points.columns]).alias("_point")
+    matched = durable(met.where(inside).select(
+        F.col("_polygon").alias("_shape"), point, F.xxhash64(F.monotonically_increasing_id()).alias("_deal")
+    ))
+    parts = matched.groupBy("_shape").agg(F.ceil(F.count(F.lit(1)) / PIECE).alias("_parts"))
+    pieces = matched.join(parts, "_shape").withColumn("_part", F.pmod("_deal", "_parts")).groupBy("_shape", "_part").agg(
+        F.collect_list("_point").alias("_points")
+    )
+    how, outer = ("left", "_outer") if keep_empty else ("inner", "")
+    rows = polygons.join(shaped.select(polygon_id, "_shape"), polygon_id, how).join(parts, "_shape", how)
+    rows = rows.selectExpr("*", f"explode{outer}(sequence(0L, _parts - 1)) AS _part")
+    at = ["_shape", "_part"]
+    named = [polygon_id, *(c for c in polygons.columns if c != polygon_id)]
+    return spread(rows, *at).join(spread(pieces, *at), at, how).selectExpr(*[f"`{c}`" for c in named], f"inline{outer}(_points)")
