@@ -8,7 +8,6 @@ No operator pairs points without near cells.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,12 +15,14 @@ from pyspark.sql import functions as F
 from citegrain.functions.geometry import haversine, unit_vector, valid_position
 from citegrain.functions.values import hot_cold
 from citegrain.operators.durable import durable
-from citegrain.operators.quadtree import Grid, finite, leaf_pairs, leaves, level_for, spread
+from citegrain.operators.quadtree import Grid, finite, leaf_pairs, leaves, spread
 from citegrain.operators.rows import repeat_flag
 from citegrain.operators.summaries import placed_values
 
 # A leaf holds so many times the candidates that a search wants.
 LEAF_FILL = 4
+# Rows of a leaf whose pairs within a distance are looked for.
+BAND_FILL = 1000
 # Repeated positions move by multiples of so many degrees.
 OFFSET_STEP = 1e-10
 
@@ -112,44 +113,33 @@ def nearest_neighbours(
     )
 
 
-def place_pairs(located: DataFrame, coords: Sequence[str], distance: float) -> tuple[DataFrame, DataFrame]:
-    """(places, pairs): distinct positions with their number of rows, and each pair at most `distance` apart, once.
+def near_rows(rows: DataFrame, coords: Sequence[str], distance: float, entry: Column) -> DataFrame:
+    """(_p, _q): the entries of all ordered pairs of rows at most `distance` apart, a row and itself among them.
 
-    A place looks into its own cell, for places of larger number, and into the half of the cells around it that
-    come after; cells are as wide as the distance.
+    Rows lie in the leaves of an adaptive quadtree.  Leaves within the distance meet as a whole and are taken apart
+    where they have met, so that no pair of rows is shuffled.
     """
-    places = durable(
-        located.groupBy(*coords).agg(F.count(F.lit(1)).alias("_n")).withColumn("_place", F.monotonically_increasing_id())
-    )
-    grid = Grid(places, coords)
-    reach = f"{distance / grid.span * (1 + 1e-9) + 1e-12!r}D"
-    placed = grid.at_levels(grid.place(places), f"array({level_for(reach)})").drop(*grid.units, "_n")
-    later = [o for o in product((-1, 0, 1), repeat=len(grid.cells)) if o >= (0,) * len(grid.cells)]
-    steps = "array(" + ", ".join("struct(" + ", ".join(f"{d} AS d{i}" for i, d in enumerate(o)) + ")" for o in later) + ")"
-    searches = placed.selectExpr("*", f"explode({steps}) AS _o").withColumn("_same", F.expr(
-        " AND ".join(f"_o.d{i} = 0" for i in range(len(grid.cells)))
-    ))
-    searches = searches.withColumns({c: F.expr(f"{c} + _o.d{i}") for i, c in enumerate(grid.cells)}).drop("_o")
-    targets = placed.withColumnsRenamed({"_place": "_other", **{c: f"nbr_{c}" for c in coords}})
-    met = searches.join(targets, grid.keys).where("not _same or _place < _other")
-    gap = F.expr(f"sqrt({grid.gap2()})").alias("gap")
-    return places, met.select("_place", "_other", gap).where(F.col("gap") <= distance)
+    grid = Grid(rows, coords)
+    held, deepest = leaves(grid.place(rows), grid, BAND_FILL, entry)
+    held = durable(held.withColumn("_reach", F.lit(distance / grid.span * (1 + 1e-9) + 1e-12)))
+    own = held.select("_leaf", F.col("_rows").alias("_own"))
+    targets = held.select(F.col("_leaf").alias("_other"), "_rows")
+    met = spread(leaf_pairs(held, held, grid, deepest).join(own, "_leaf").drop("_leaf"), "_other").join(targets, "_other")
+    paired = met.selectExpr("_rows", "explode(_own) AS _p").selectExpr("_p", "explode(_rows) AS _q")
+    return paired.where(f"{between('_p', '_q', coords)} <= {distance!r}D")
 
 
-def band_neighbours(points: DataFrame, id_col: str, coords: Sequence[str], distance: float) -> DataFrame:
-    """Ordered pairs of different points at most `distance` apart; positions that are not finite are left out.
+def between(p: str, q: str, coords: Sequence[str]) -> str:
+    """Straight-line distance of two entries."""
+    return "sqrt(" + " + ".join(f"({q}.`{c}` - {p}.`{c}`) * ({q}.`{c}` - {p}.`{c}`)" for c in coords) + ")"
 
-    Places are paired, each pair once; both orders and the copies at a place are written out at the end.
-    """
+
+def band_neighbours(points: DataFrame, id_col: str, coords: Sequence[str], distance: float) -> DataFrame:
+    """Ordered pairs of different points at most `distance` apart; positions that are not finite are left out."""
     located = finite(points, id_col, coords).select(id_col, *coords)
-    places, pairs = place_pairs(located, coords, distance)
-    alone = places.where("_n > 1").select("_place", F.col("_place").alias("_other"), F.lit(0.0).alias("gap"))
-    both = F.array(F.struct(F.col("_place").alias("p"), F.col("_other").alias("o")), F.struct(F.col("_other").alias("p"), F.col("_place").alias("o")))
-    ordered = pairs.select("gap", F.inline(both)).unionByName(alone.selectExpr("gap", "_place AS p", "_other AS o"))
-    members = located.join(places.drop("_n"), list(coords)).select(F.col(id_col), "_place")
-    nbrs = members.select(F.col(id_col).alias("nbr"), F.col("_place").alias("o"))
-    found = ordered.join(members.withColumnRenamed("_place", "p"), "p").join(nbrs, "o")
-    return found.where(F.col(id_col) != F.col("nbr")).select(id_col, "nbr", "gap")
+    entry = F.struct(F.col(id_col).alias("id"), *coords)
+    found = near_rows(located, coords, distance, entry).where("_p.id != _q.id")
+    return found.selectExpr(f"_p.id AS `{id_col}`", "_q.id AS nbr", f"{between('_p', '_q', coords)} AS gap")
 
 
 def band_counts(points: DataFrame, id_col: str, coords: Sequence[str], distance: float) -> DataFrame:
@@ -158,12 +148,12 @@ def band_counts(points: DataFrame, id_col: str, coords: Sequence[str], distance:
     Places are paired, not points: copies count through their number, however many there are.
     """
     located = finite(points, id_col, coords)
-    places, pairs = place_pairs(located, coords, distance)
-    size = places.select("_place", "_n")
-    second = pairs.join(size, "_place").select(F.col("_other").alias("_place"), "_n")
-    first = pairs.join(size.withColumnRenamed("_place", "_other"), "_other").select("_place", "_n")
-    own = size.select("_place", (F.col("_n") - 1).alias("_n"))
-    others = own.unionByName(first).unionByName(second).groupBy("_place").agg(F.sum("_n").alias("others"))
+    places = durable(
+        located.groupBy(*coords).agg(F.count(F.lit(1)).alias("_n")).withColumn("_place", F.monotonically_increasing_id())
+    )
+    pairs = near_rows(places, coords, distance, F.struct("_place", "_n", *coords)).where("_p._place != _q._place")
+    own = places.select("_place", (F.col("_n") - 1).alias("_n"))
+    others = own.unionByName(pairs.selectExpr("_p._place AS _place", "_q._n AS _n")).groupBy("_place").agg(F.sum("_n").alias("others"))
     return located.join(places.join(others, "_place").drop("_place", "_n"), list(coords))
 
 

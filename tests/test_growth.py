@@ -1,6 +1,6 @@
 """Steps whose work must not grow faster than their input."""
 
-from citegrain.operators import polygons
+from citegrain.operators import polygons, spatial
 
 
 def square(x: int) -> str:
@@ -23,3 +23,15 @@ def test_polygons_of_equal_text_share_one_search(spark, monkeypatch):
     assert [df.count() for df in kept] == [2, 40]  # shapes, and points in them, not points in polygons
     within = polygons.points_in_polygons(areas, points, "geoid", "wkt", "lon", "lat", keep_empty=False)
     assert {(r.geoid, r.n, r.id) for r in within.collect()} == inside and within.count() == len(inside)
+
+
+def test_pairs_of_a_band_are_not_shuffled(spark):
+    points = [(i, (i % 12) / 2, (i // 12 % 10) / 2) for i in range(240)]  # two rows at each place
+    df = spark.createDataFrame(points, "id int, lon double, lat double")
+    found = spatial.band_neighbours(df, "id", ["lon", "lat"], 1.0)
+    counted = spatial.band_counts(df, "id", ["lon", "lat"], 1.0)
+    near = {(i, j) for i, x, y in points for j, v, w in points if i != j and (x - v) ** 2 + (y - w) ** 2 <= 1}
+    assert sorted((r["id"], r["nbr"]) for r in found.collect()) == sorted(near)
+    assert {r["id"]: r["others"] for r in counted.collect()} == {i: sum(i == p for p, _ in near) for i, *_ in points}
+    above = found._jdf.queryExecution().sparkPlan().toString().split("Generate")[0]
+    assert "Join" not in above and "Exchange" not in above
