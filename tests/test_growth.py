@@ -1,6 +1,9 @@
 """Steps whose work must not grow faster than their input."""
 
+from datetime import datetime
+
 from citegrain.operators import polygons, spatial
+from workload import studies, views
 
 
 def square(x: int) -> str:
@@ -35,3 +38,20 @@ def test_pairs_of_a_band_are_not_shuffled(spark):
     assert {r["id"]: r["others"] for r in counted.collect()} == {i: sum(i == p for p, _ in near) for i, *_ in points}
     above = found._jdf.queryExecution().sparkPlan().toString().split("Generate")[0]
     assert "Join" not in above and "Exchange" not in above
+
+
+def test_lines_meet_inspections_over_all_partitions(spark, tmp_path):
+    tables = {
+        "nation": [(0, "N", 0)], "customer": [(i, "c", 0, 0.0, "s") for i in range(3)],
+        "part": [(i, "p", f"Brand#{i}", "PROMO", 1, 1.0) for i in range(4)],
+        "orders": [(i, i % 3, "O", 1.0, datetime(1996, 1, 1 + i), "1") for i in range(20)],
+        "lineitem": [(i % 20, i % 4, 0, i, 1.0, 1.0, 0.0, 0.0, "N", "O", datetime(1996, 2, 1)) for i in range(60)],
+    }
+    for name, rows in tables.items():
+        spark.createDataFrame(rows, views.SCHEMAS[name]).write.parquet(f"{tmp_path}/{name}.parquet")
+    cited = views.citations(spark, str(tmp_path))
+    assert cited.columns == ["eventid", "facility_id", "insp_year", "state", "deficiency_tag", "scope_severity"]
+    assert cited.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted((r.eventid, r.deficiency_tag) for r in cited.collect()) == sorted((i % 20, f"Brand#{i % 4}") for i in range(60))
+    ingested = studies.ingest_citations(spark, str(tmp_path))
+    assert ingested._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 2

@@ -30,7 +30,7 @@ def ingest_citations(spark, sf_dir):
         F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("deficiency_tag"), F.col("p_name").alias("inspection_text")
     )
     lines = v.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
-    raw = lines.join(orders, "l_orderkey").join(parts, "l_partkey").select(
+    raw = v.met_by(lines.join(parts, "l_partkey"), orders, "l_orderkey").select(
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("_c0"), F.col("l_orderkey").cast("string").alias("eventid"),
         "facility_id", "deficiency_tag", "inspection_date", "inspection_text",
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citegrain.operators.quadtree import spread
 from citegrain.sources.files import read_table
 
 YEARS = list(range(1995, 2002))
@@ -65,19 +66,29 @@ def citations(
     spark: SparkSession, sf_dir: str, state: bool = True, tags: bool = True, extra: tuple[str, ...] = (),
     years: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """One row per citation; the joins that a caller does not need are left out."""
+    """One row per citation; the joins that a caller does not need are left out.
+
+    Lines and inspections meet last, dealt over all of the session's shuffle partitions: a task's share, and with it
+    the sets that callers build from it, stays that small however much the rows are compressed.
+    """
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("eventid"), "l_partkey", *extra
     )
-    rows = lines.join(inspected_orders(spark, sf_dir, state, years), "eventid")
     if tags:
         parts = table(spark, sf_dir, "part").select(
             F.col("p_partkey").alias("l_partkey"),
             F.col("p_brand").alias("deficiency_tag"),
             F.col("p_type").alias("scope_severity"),
         )
-        rows = rows.join(parts, "l_partkey")
-    return rows.drop("l_partkey")
+        lines = lines.join(parts, "l_partkey")
+    rows = met_by(lines.drop("l_partkey"), inspected_orders(spark, sf_dir, state, years), "eventid")
+    tagged = ("deficiency_tag", "scope_severity") if tags else ()
+    return rows.select(*[c for c in rows.columns if c not in tagged], *tagged)
+
+
+def met_by(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """Inner join of two large tables on a key that few rows share, over all of the session's shuffle partitions."""
+    return spread(rows, key).join(spread(others, key), key)
 
 
 def provider_info(spark: SparkSession, sf_dir: str) -> DataFrame:
