@@ -3,6 +3,7 @@
 from datetime import datetime
 
 from citegrain.operators import polygons, spatial
+from citegrain.sources import headed
 from workload import studies, views
 
 
@@ -55,3 +56,19 @@ def test_lines_meet_inspections_over_all_partitions(spark, tmp_path):
     assert sorted((r.eventid, r.deficiency_tag) for r in cited.collect()) == sorted((i % 20, f"Brand#{i % 4}") for i in range(60))
     ingested = studies.ingest_citations(spark, str(tmp_path))
     assert ingested._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 2
+
+
+def test_extracts_are_read_as_wide_as_their_headers(spark, tmp_path, monkeypatch):
+    texts = ["a,\"b,\"\"x\",é\n1,2\n3,4,5,6\n", "é,a\n7,8\né,a\n"]
+    kept = []
+    cut = headed.stored
+    monkeypatch.setattr(headed, "stored", lambda df: kept.append(len(df.columns)) or cut(df))
+    want = {("1", "2", None), ("3", "4", "5"), ("8", None, "7"), ("a", None, "é")}
+    for multi_line, blank in ((False, "\n \n"), (True, "")):
+        folder = tmp_path / str(multi_line)
+        folder.mkdir()
+        for i, text in enumerate([*texts, ""]):
+            (folder / f"f{i}.csv").write_bytes(f"{blank}{text}".encode("ISO-8859-1"))
+        found = headed.read_headed(spark, str(folder), encoding="ISO-8859-1", multi_line=multi_line)
+        assert found.columns == ["a", 'b,"x', "é"] and {tuple(r) for r in found.collect()} == want
+    assert max(kept) <= 3  # the columns that headers name, not as many as a record may have
