@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from itertools import groupby
 from operator import add
 
 from pyspark.sql import Column
@@ -12,9 +14,32 @@ from citegrain.constants import NORMAL_975, SEVERE_LETTERS
 
 
 def parse_date(text: Column, *formats: str) -> Column:
-    """First format that fits; unreadable text gives null instead of an ANSI error."""
+    """First format that fits; unreadable text gives null instead of an ANSI error.
+
+    Text without a format's outline is not parsed: a failed parse costs many times a match.
+    """
     formats = formats or ("MM/dd/yyyy",)
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)).cast("date") for f in formats])
+    days = []
+    for f in formats:
+        day, outline = F.try_to_timestamp(text, F.lit(f)).cast("date"), format_outline(f)
+        days.append(F.when(text.rlike(outline), day) if outline else day)
+    return F.coalesce(*days)
+
+
+# Text of the date fields whose values end early.
+FIELD_TEXT = {"M": "[+-]?0*(?:[1-9]|1[0-2])", "d": "[+-]?0*(?:[1-9]|[12][0-9]|3[01])"}
+
+
+def format_outline(format_: str) -> str | None:
+    """A pattern that every text of a date format meets; None for formats with more than plain fields and marks."""
+    if not re.fullmatch(r"[yMdHms/:,. -]+", format_):
+        return None
+    runs = ["".join(run) for _, run in groupby(format_)]
+    fields = [
+        re.escape(r) if not r.isalpha() else "(?s:.+)" if r.startswith("MMM") else FIELD_TEXT.get(r[0], "[+-]?[0-9]+")
+        for r in runs
+    ]
+    return f"^{''.join(fields)}$"
 
 
 def strict_number(text: Column) -> Column:

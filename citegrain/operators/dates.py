@@ -21,16 +21,18 @@ def date_formats(df: DataFrame, columns: Sequence[str], formats: Sequence[str] =
     different days, the one that alone reads other rows of the column is meant; a column in which neither or both
     do so is ambiguous and raises ValueError.  A column that no format reads has none.
     """
-    counts = []
-    for c in columns:
-        days = {f: parse_date(F.trim(F.col(f"`{c}`")), f) for f in formats}
+    read, counts = [], []
+    for n, c in enumerate(columns):
+        days = {f: F.col(f"_{n}_{i}") for i, f in enumerate(formats)}
+        read += [parse_date(F.trim(F.col(f"`{c}`")), f).alias(f"_{n}_{i}") for i, f in enumerate(formats)]
         counts += [F.count(day).alias(f"{c}|{f}") for f, day in days.items()]
         for f, g in combinations(formats, 2):
             counts.append(F.count(F.when(days[f] != days[g], 1)).alias(f"{c}|{f}|{g}"))
             for one, other in ((f, g), (g, f)):
                 alone = days[one].isNotNull() & days[other].isNull()
                 counts.append(F.count(F.when(alone, 1)).alias(f"{c}|{one}|not|{other}"))
-    seen = df.agg(*counts).first().asDict() if counts else {}
+    # each text is read once by each format, and the counts look at the days
+    seen = df.select(*read).agg(*counts).first().asDict() if counts else {}
     found = {}
     for c in columns:
         used = [f for f in formats if seen[f"{c}|{f}"]]

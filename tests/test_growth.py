@@ -1,8 +1,12 @@
 """Steps whose work must not grow faster than their input."""
 
+import re
 from datetime import datetime
 
-from citegrain.operators import polygons, spatial
+from pyspark.sql import functions as F
+
+from citegrain.functions.values import format_outline, parse_date
+from citegrain.operators import dates, polygons, spatial
 from citegrain.sources import headed
 from workload import studies, views
 
@@ -72,3 +76,18 @@ def test_extracts_are_read_as_wide_as_their_headers(spark, tmp_path, monkeypatch
         found = headed.read_headed(spark, str(folder), encoding="ISO-8859-1", multi_line=multi_line)
         assert found.columns == ["a", 'b,"x', "é"] and {tuple(r) for r in found.collect()} == want
     assert max(kept) <= 3  # the columns that headers name, not as many as a record may have
+
+
+def test_text_without_the_outline_of_a_format_is_not_parsed(spark):
+    formats = dates.FORMATS
+    texts = ["1997-03-05", "1997-03-05 10:11:12", "3/5/1997", "13/5/1997", "3/31/1997", "0003/05/1997", "19970305", "19971305",
+             "March 5, 1997", "march 5, 1997", "March 35, 1997", "unknown", "", "+1997-03-05", "12345-03-05", "1997-02-30", "3/5/97",
+             "1997-03-05\n", "1997-03-05x", "-1997-03-05", "March  5, 1997", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = [F.try_to_timestamp("t", F.lit(f)).cast("date").cast("string") for f in formats]
+    rows = df.select("t", F.array(*plain).alias("plain"), F.array(*[parse_date(F.col("t"), f).cast("string") for f in formats]).alias("days")).collect()
+    assert all(r.plain == r.days for r in rows) and sum(d is not None for r in rows for d in r.days) >= 9
+    outlines = {f: re.compile(format_outline(f)) for f in formats}
+    assert [f for f in formats if outlines[f].search("13/5/1997")] == ["d/M/yyyy"]
+    assert not any(o.search("unknown") for o in outlines.values())
+    assert format_outline("yyyy[-MM]") is None and format_outline("yyyy'x'") is None
