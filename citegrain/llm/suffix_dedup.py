@@ -42,6 +42,8 @@ PART_BYTES = (12 << 20, 256 << 20)
 SHARD_BYTES = (1 << 20, 8 << 20)
 SLICE_BYTES = 1 << 20
 QUEUE_BYTES = 256 << 20
+# Places that are taken from a queue at once; blocks of few places would cost a call each.
+BATCH = 1 << 20
 SENT = "block bigint, shard bigint, payload binary"
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
 
@@ -53,9 +55,9 @@ class Queues:
     in sorted order: the priority of a tuple is (symbol, arrival).
     """
 
-    def __init__(self, symbols: int, most: int = QUEUE_BYTES):
+    def __init__(self, symbols: int, most: int = QUEUE_BYTES, kind: type = np.int64):
         self.blocks: list[list] = [[] for _ in range(symbols)]
-        self.most, self.held, self.file = most, 0, None
+        self.most, self.held, self.file, self.kind = most, 0, None, np.dtype(kind)
 
     def add(self, symbol: int, block: np.ndarray) -> None:
         if self.held + block.nbytes > self.most:
@@ -71,12 +73,20 @@ class Queues:
         kept = self.blocks[symbol][i]
         if isinstance(kept, tuple):
             self.file.seek(kept[0])
-            return np.frombuffer(self.file.read(8 * kept[1]), np.int64)
+            return np.frombuffer(self.file.read(self.kind.itemsize * kept[1]), self.kind)
         return kept
 
+    def next(self, symbol: int, i: int) -> tuple[np.ndarray, int]:
+        """What a queue holds from its i-th block on, up to `BATCH` places, and the number of the block after."""
+        found, held = [self.block(symbol, i)], 0
+        while i + len(found) < len(self.blocks[symbol]) and held + len(found[-1]) < BATCH:
+            held += len(found[-1])
+            found.append(self.block(symbol, i + len(found)))
+        return np.concatenate(found), i + len(found)
+
     def all(self, symbol: int) -> np.ndarray:
         found = [self.block(symbol, i) for i in range(len(self.blocks[symbol]))]
-        return np.concatenate(found) if found else np.zeros(0, np.int64)
+        return np.concatenate(found) if found else np.zeros(0, self.kind)
 
     def deal(self, places: np.ndarray, symbols: np.ndarray) -> None:
         """Append each place to the queue of its symbol, in order."""
@@ -92,37 +102,70 @@ class Queues:
 def _induce(text: np.ndarray, rising: np.ndarray, seeds: np.ndarray, symbols: int, most: int) -> np.ndarray:
     """All suffixes in order, from the left-most S-type ones in order."""
     begin = np.searchsorted(text[seeds], np.arange(symbols + 1))
-    falling = Queues(symbols, most)
+    kind = np.int32 if len(text) < 1 << 31 else np.int64
+    seeds = seeds.astype(kind)
+    # by suffix, the symbol before it, plus one: below 0 where the suffix from there is L-type; 0 has none before
+    prior = np.zeros(len(text), np.int16 if symbols < 1 << 15 else np.int32)
+    prior[1:] = text[:-1]
+    prior[1:] += 1
+    np.negative(prior[1:], out=prior[1:], where=~rising[:-1])
+    falling = Queues(symbols, most, kind)
     # the last suffix is L-type by definition and comes before all others of its symbol
-    falling.add(int(text[-1]), np.array([len(text) - 1]))
+    falling.add(int(text[-1]), np.array([len(text) - 1], kind))
 
-    def before(block: np.ndarray, kind: bool) -> np.ndarray:
-        places = block[block > 0] - 1
-        return places[rising[places] == kind]
+    def deal(queues: Queues, block: np.ndarray, sign: int) -> None:
+        """The suffixes one place before those of the block go to their queues, if they are of one type."""
+        codes = prior[block] * sign
+        some = codes > 0
+        queues.deal(block[some] - 1, codes[some] - 1)
 
     for c in range(symbols):
         i = 0
         while i < len(falling.blocks[c]):
-            places = before(falling.block(c, i), False)
-            falling.deal(places, text[places])
-            i += 1
-        places = before(seeds[begin[c]:begin[c + 1]], False)
-        falling.deal(places, text[places])
-    rising_queues = Queues(symbols, most)
+            block, i = falling.next(c, i)
+            deal(falling, block, -1)
+        deal(falling, seeds[begin[c]:begin[c + 1]], -1)
+    rising_queues = Queues(symbols, most, kind)
     order: list[np.ndarray] = []
     for c in reversed(range(symbols)):
         i = 0
         while i < len(rising_queues.blocks[c]):
-            places = before(rising_queues.block(c, i), True)
-            rising_queues.deal(places, text[places])
-            i += 1
+            block, i = rising_queues.next(c, i)
+            deal(rising_queues, block, 1)
         lower = falling.all(c)
-        places = before(lower[::-1], True)
-        rising_queues.deal(places, text[places])
+        deal(rising_queues, lower[::-1], 1)
         order += [rising_queues.all(c)[::-1], lower]
     return np.concatenate(order[::-1])
 
 
+def _ranked(names: np.ndarray, symbols: int) -> np.ndarray:
+    """Places of a string of names in the order of their first `symbols` names or more, by doubling.
+
+    A name's rank is the number of smaller ones; only places whose rank is not theirs alone are ranked again.
+    """
+    n = len(names)
+    held = np.bincount(names)
+    rank = (np.cumsum(held) - held)[names]
+    tied = np.flatnonzero(held[names] > 1)
+    span = 1
+    while span < symbols and len(tied):
+        ahead = tied + span
+        following = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        key = rank[tied] * (n + 1) + following
+        order = np.argsort(key, kind="stable")
+        tied, key = tied[order], key[order]
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        old = rank[tied]
+        first = np.concatenate(([True], old[1:] != old[:-1]))
+        at = np.arange(len(tied))
+        # a rank grows by the tied places before it that had the same rank
+        rank[tied] = old + np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(first, at, 0))
+        alone = new & np.append(new[1:], True)
+        tied = tied[~alone]
+        span *= 2
+    return np.argsort(rank, kind="stable")
+
+
 def suffix_order(text: np.ndarray, symbols: int, depth: int, most: int = QUEUE_BYTES) -> np.ndarray:
     """Suffixes of a string of small integers in the order of at least their first `depth` symbols."""
     n = len(text)
@@ -150,19 +193,10 @@ def suffix_order(text: np.ndarray, symbols: int, depth: int, most: int = QUEUE_B
         sums = prefix_hashes(text)
         marks = span_hashes(sums, ranked, ends[ranked])
         names = np.zeros(n, np.int64)
-        names[ranked] = np.cumsum(np.concatenate(([1], marks[1:] != marks[:-1])))
-        rank, span = names[lms], 1
-        while span * 2 < 2 * depth and len(np.unique(rank)) < len(rank):
-            ahead = np.zeros(len(rank), np.int64)
-            ahead[:-span] = rank[span:]
-            key = rank * (len(rank) + 1) + ahead
-            order = np.argsort(key, kind="stable")
-            new = np.concatenate(([1], key[order][1:] != key[order][:-1]))
-            rank = np.empty(len(key), np.int64)
-            rank[order] = np.cumsum(new)
-            span *= 2
-        lms = lms[np.argsort(rank, kind="stable")]
-        del first, is_lms, ranked, ends, sums, marks, names, rank
+        names[ranked] = np.cumsum(np.concatenate(([0], marks[1:] != marks[:-1])))
+        # a left-most S-type suffix begins two places or more before the next
+        lms = lms[_ranked(names[lms], -(-depth // 2))]
+        del first, is_lms, ranked, ends, sums, marks, names
     return _induce(text, rising, lms, symbols, most)
 
 
@@ -183,7 +217,8 @@ def shared_least(stretches: list[bytes], ids: np.ndarray, length: int) -> list[n
     words = np.ndarray((total + length,), "<u8", data, strides=(1,))
     same = np.ones(len(order) - 1, bool) if len(order) else np.zeros(0, bool)
     for offset in [*range(0, length - 7, 8), length - 8]:
-        same &= words[order[:-1] + offset] == words[order[1:] + offset]
+        word = words[order + offset]
+        same &= word[:-1] == word[1:]
     begins = np.flatnonzero(np.concatenate(([True], ~same))) if len(order) else np.zeros(0, np.int64)
     least = np.minimum.reduceat(ids[owner[order]], begins) if len(order) else np.zeros(0, np.int64)
     found = np.zeros(total, np.int64)

@@ -198,6 +198,18 @@ def test_suffix_order(most):
         assert sorted(order.tolist()) == list(range(len(text))) and starts == sorted(starts)
 
 
+def test_suffixes_are_taken_from_queues_in_large_blocks(monkeypatch):
+    """A call a block of few suffixes would cost more than the suffixes."""
+    calls = []
+    deal = suffix_dedup.Queues.deal
+    monkeypatch.setattr(suffix_dedup.Queues, "deal", lambda *a: calls.append(1) or deal(*a))
+    text = np.random.default_rng(5).integers(1, 60, 20000)
+    order = suffix_dedup.suffix_order(text, 257, 50)
+    whole = text.astype(np.uint8).tobytes()
+    starts = [whole[i:i + 50] for i in order]
+    assert starts == sorted(starts) and len(calls) < 3000
+
+
 def test_suffix_dedup(cases):
     docs, rows = cases
     earlier, want = {}, []
