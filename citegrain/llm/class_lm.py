@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ from citegrain.operators.durable import stored
 
 BLOCK_BYTES = (8 << 20, 64 << 20)
 PART_BYTES = (12 << 20, 256 << 20)
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 SHAPES = 4
 # Fewest and most classes; most words that are exchanged one by one, and how many for a class.
 CLASSES, SEEDS, SEEDS_A_CLASS = (16, 256), 2048, 16
@@ -49,8 +50,11 @@ SCORES = (
 )
 
 
-def encoded(texts: list) -> list[bytes]:
-    return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+def byte_slices(column: pa.Array | pa.ChunkedArray):
+    """(first row, row after the last, values as bytes), `SLICE_BYTES` at a time: only these are Python objects at once."""
+    raw = column.cast(pa.binary())
+    for a, b in slices(pc.binary_length(raw).to_numpy().tolist(), SLICE_BYTES):
+        yield a, b, raw.slice(a, b - a).to_pylist()
 
 
 def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -157,11 +161,10 @@ def census(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     dealt = docs.select(block.alias("block"), "doc_id", "text", "held_out")
 
     def send(table: pa.Table) -> pa.Table:
-        texts = encoded(table.column("text").to_pylist())
         held = table.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
         hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for a, b in slices([len(t) for t in texts], SLICE_BYTES):
-            keys, n = word_keys(texts[a:b])
+        for a, b, texts in byte_slices(table.column("text")):
+            keys, n = word_keys(texts)
             found, back = np.unique(keys, return_inverse=True)
             hashes.append(found)
             counts.append(np.bincount(back, weights=np.repeat(~held[a:b], n), minlength=len(found)).astype(np.int64))
@@ -216,9 +219,8 @@ def beside(train: DataFrame, known: Seeds, parts: int) -> DataFrame:
 
     def send(batches):
         for batch in batches:
-            texts = encoded(batch.column(0).to_pylist())
-            for a, b in slices([len(t) for t in texts], SLICE_BYTES):
-                keys, n = word_keys(texts[a:b])
+            for _, _, texts in byte_slices(batch.column(0)):
+                keys, n = word_keys(texts)
                 kinds, seed = known.held(keys)
                 line = np.concatenate(([known.end], with_ends(kinds, n, known.end))).astype("<u2")
                 at = np.flatnonzero(~seed)
@@ -317,9 +319,8 @@ def bigrams(train: DataFrame, keys: np.ndarray) -> np.ndarray:
     def count(batches):
         sums = np.zeros(types * types, np.uint32)
         for batch in batches:
-            texts = encoded(batch.column(0).to_pylist())
-            for a, b in slices([len(t) for t in texts], SLICE_BYTES):
-                found, words = word_keys(texts[a:b])
+            for _, _, texts in byte_slices(batch.column(0)):
+                found, words = word_keys(texts)
                 shape = (found & np.uint64(3)).astype(np.int64) + n
                 if n:
                     at = np.minimum(np.searchsorted(ranked, found), n - 1)
@@ -350,10 +351,9 @@ def in_classes(dealt: DataFrame, told: DataFrame, known: Seeds, train_docs: int)
     def encode(own: pa.Table, told: pa.Table) -> pa.Table:
         if not own.num_rows:
             own = own.slice(0, 0)
-        texts = encoded(own.column("text").to_pylist())
         totals = answered(told, "<u4").astype(np.int64)
         classes = answered(told.select(["part", "classes"]).rename_columns(["part", "totals"]), "<u2").astype(np.int64)
-        found = [word_keys(texts[a:b]) for a, b in slices([len(t) for t in texts], SLICE_BYTES)]
+        found = [word_keys(texts) for _, _, texts in byte_slices(own.column("text"))]
         distinct = np.unique(np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in found)]))
         n_tokens, n_known, base, words, kinds = [], [], [], [], []
         for keys, n in found:
@@ -384,9 +384,9 @@ def class_bigrams(coded: DataFrame, total: int) -> np.ndarray:
     def count(batches):
         sums = np.zeros(total * total, np.int64)
         for batch in batches:
-            line = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u2").astype(np.int64)
-            line = np.concatenate(([total - 1], line))
-            sums += np.bincount(line[:-1] * total + line[1:], minlength=total * total)
+            for _, _, kinds in byte_slices(batch.column(0)):
+                line = np.concatenate(([total - 1], np.frombuffer(b"".join(kinds), "<u2").astype(np.int64)))
+                sums += np.bincount(line[:-1] * total + line[1:], minlength=total * total)
         some = np.flatnonzero(sums)
         yield pa.RecordBatch.from_pydict({"code": pa.array(some), "n": pa.array(sums[some])})
 
@@ -426,15 +426,17 @@ def scores(
 
     def score(batches):
         for batch in batches:
-            n = batch.column("n_tokens").to_numpy()
-            line = np.frombuffer(b"".join(batch.column("kinds").to_pylist()), "<u2").astype(np.int64)
-            cost = moves[np.concatenate(([known.end], line[:-1])), line] - size[line] if len(line) else np.zeros(0)
-            full = np.add.reduceat(cost, np.cumsum(n) - n) if len(line) else np.zeros(0)
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "n_tokens": batch.column("n_tokens"),
-                "n_known": batch.column("n_known"), "train_tokens": pa.array(np.full(len(n), train_tokens, np.int64)),
-                "base_score": pa.array(batch.column("base").to_numpy() - n * slot),
-                "score": pa.array(full + batch.column("words").to_numpy()),
-            })
+            for a, b, kinds in byte_slices(batch.column("kinds")):
+                some = batch.slice(a, b - a)
+                n = some.column("n_tokens").to_numpy()
+                line = np.frombuffer(b"".join(kinds), "<u2").astype(np.int64)
+                cost = moves[np.concatenate(([known.end], line[:-1])), line] - size[line]
+                full = np.add.reduceat(cost, np.cumsum(n) - n)
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": some.column("doc_id"), "held_out": some.column("held_out"), "n_tokens": some.column("n_tokens"),
+                    "n_known": some.column("n_known"), "train_tokens": pa.array(np.full(len(n), train_tokens, np.int64)),
+                    "base_score": pa.array(some.column("base").to_numpy() - n * slot),
+                    "score": pa.array(full + some.column("words").to_numpy()),
+                })
 
     return coded.mapInArrow(score, SCORES)

@@ -4,11 +4,13 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -245,6 +247,31 @@ def test_language_model_edges(spark, cases, nothing):
     assert untrained and all(r.n_known == 0 and math.isfinite(r.score) for r in untrained)
 
 
+def test_texts_of_a_batch_are_held_slice_by_slice():
+    text = " ".join(f"w{i % 5000}" for i in range(200_000))
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([text[i:i + 4000] for i in range(0, len(text), 4000)] * 20)})
+    whole = pa.chunked_array([batch.column(0), pa.array(["", text], pa.string())])
+    got = [(b - a, t) for a, b, texts in class_lm.byte_slices(whole) for t in texts]
+    assert [t.decode() for _, t in got] == whole.to_pylist() and got[-1][0] == 1
+
+    class Frame:  # keeps the function that a task runs
+        def select(self, _):
+            return self
+
+        def mapInArrow(self, function, _):
+            self.function = function
+            return self
+
+    frame = Frame()
+    class_lm.beside(frame, class_lm.Seeds(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((5, 5))), 1)
+    class_lm.word_keys([b"one"])  # tables that are kept
+    tracemalloc.start()
+    assert sum(r.num_rows for r in frame.function([batch])) >= 1
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2 * batch.nbytes  # texts and their bytes alone would be more
+
+
 def test_exchange_raises_mutual_information():
     rng = np.random.default_rng(2)
     kinds = np.arange(24) // 6
