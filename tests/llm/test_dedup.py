@@ -181,6 +181,30 @@ def test_line_dedup_query_of_null_ids(spark, tmp_path):
     assert got == {1: (2, 0, None), None: (3, 2, [1, 2])}
 
 
+def test_values_are_compared_and_banded_without_writing_them_out(spark):
+    """Code for each value by itself grows too large to be compiled."""
+    rng = random.Random(2)
+    rows = [(i, 0, [rng.randrange(3) for _ in range(line_dedup.VALUES)]) for i in range(40)]
+    lines = spark.createDataFrame(rows, "n bigint, kind int, values array<int>")
+    both = lines.crossJoin(lines.selectExpr("n AS m", "values AS others"))
+    agreed = both.select("n", "m", line_dedup.agreement("values", "others").alias("agreed"))
+    assert all(r.agreed == sum(x == y for x, y in zip(rows[r.n][2], rows[r.m][2])) for r in agreed.collect())
+    marks = both.select("*", line_dedup.marked("values").alias("ma"), line_dedup.marked("others").alias("mb"))
+    for r in marks.withColumn("most", line_dedup.most_agreement("ma", "mb")).collect():
+        assert r.most == sum(x & 3 == y & 3 for x, y in zip(r["values"], r.others))
+    for found in (agreed, line_dedup.more_buckets(lines.selectExpr("n", "0L AS bucket", "n AS root"), lines.select("n", "values"))):
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("values") < line_dedup.VALUES
+    sets = line_dedup.bands()
+    held = defaultdict(set)
+    for n, _, values in rows:
+        for b, of in enumerate(sets):
+            held[b, *(values[j] for j in of)].add(n)
+    got = defaultdict(set)
+    for r in line_dedup.bucketed(lines).collect():
+        got[r.bucket].add(r.n)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in held.values() if len(x) > 1)
+
+
 def test_line_dedup_empty(nothing):
     assert line_dedup.dedup_lines(nothing).collect() == []
 
