@@ -14,8 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = (1 << 20, 64 << 20)
-PART_BYTES = (12 << 20, 256 << 20)
+# Smallest and largest: a task holds some ten times a block or a part, whatever the total.
+BLOCK_BYTES = (1 << 20, 8 << 20)
+PART_BYTES = (3 << 20, 12 << 20)
 FAN = 512
 
 LOWER = np.arange(256, dtype=np.uint8)

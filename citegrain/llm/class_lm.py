@@ -35,7 +35,7 @@ from citegrain.llm.texts import fold, slices
 from citegrain.operators.durable import stored
 
 BLOCK_BYTES = (8 << 20, 64 << 20)
-PART_BYTES = (12 << 20, 256 << 20)
+PART_BYTES = (12 << 20, 24 << 20)
 SLICE_BYTES = 1 << 19
 SHAPES = 4
 # Fewest and most classes; most words that are exchanged one by one, and how many for a class.

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citegrain.llm.texts import fold, free_name, slices
+from citegrain.llm.texts import fold, free_name, text_slices
 
 CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": bytes(range(97, 123)), "digit": b"0123456789",
            "symbol": b"#*$%&<>~^=+@\\{}[]_", "pipe": b"|", "bang": b"!?", "space": b" \t\r\v\f",
@@ -156,9 +156,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, folds: int = 4,
 
     def extract(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in slices([len(t) for t in texts], SLICE_BYTES):
-                x, _, counts = line_features(texts[a:b])
+            for a, b, texts in text_slices(batch.column(1), SLICE_BYTES):
+                x, _, counts = line_features(texts)
                 at = np.concatenate(([0], np.cumsum(counts)))
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column(0)[a:b], "y": batch.column(2)[a:b],
@@ -177,8 +176,7 @@ def with_score(docs: DataFrame, chain: Chain, name: str = "score") -> DataFrame:
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
-        texts = [t or "" for t in text.to_pylist()]
-        parts = [chain.scores(texts[a:b]) for a, b in slices([len(t) for t in texts], SLICE_BYTES)]
+        parts = [chain.scores(texts) for _, _, texts in text_slices(text, SLICE_BYTES)]
         return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return docs.withColumn(name, score(F.col("text")))

@@ -31,13 +31,14 @@ from citegrain.llm.census import (
     BLOCK_BYTES, PART_BYTES, REPORT, answered, answers, cut, mixed, report, total_bytes, word_hashes,
 )
 from citegrain.llm.graph import components
-from citegrain.llm.texts import free_name
+from citegrain.llm.texts import free_name, text_slices
 from citegrain.operators.durable import stored
 
 LAST_ID = (1 << 63) - 1
 CENSUS_SHARE = 0.4
 FRAGMENTS = 4
 STARS = 3
+SLICE_BYTES = 1 << 20
 FACTORS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 UPPER = bytes(range(65, 91))
 TO_LOWER = bytes.maketrans(UPPER, UPPER.lower())
@@ -51,7 +52,7 @@ def words_key(text: str | None) -> bytes | None:
 
 @F.arrow_udf(T.BinaryType())
 def words_keys(text: pa.Array) -> pa.Array:
-    return pa.array([words_key(t) for t in text.to_pylist()], pa.binary())
+    return pa.array([words_key(t) for _, _, texts in text_slices(text, SLICE_BYTES) for t in texts], pa.binary())
 
 
 def gram_sets(texts: list[bytes], n: int = 5) -> tuple[np.ndarray, np.ndarray]:

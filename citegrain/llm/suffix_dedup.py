@@ -38,7 +38,7 @@ from citegrain.operators.durable import stored
 LAST_ID = (1 << 63) - 1
 ANCHOR = 20
 BLOCK_BYTES = (2 << 20, 64 << 20)
-PART_BYTES = (12 << 20, 256 << 20)
+PART_BYTES = (12 << 20, 24 << 20)
 SHARD_BYTES = (1 << 20, 8 << 20)
 SLICE_BYTES = 1 << 20
 QUEUE_BYTES = 256 << 20

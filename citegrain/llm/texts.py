@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,3 +68,10 @@ def slices(sizes, most: int):
         held += n
     if start < len(sizes):
         yield start, len(sizes)
+
+
+def text_slices(column: pa.Array, most: int):
+    """(start, end, texts) of a batch's slices of `most` characters; only one slice's texts are Python objects."""
+    lengths = pc.fill_null(pc.utf8_length(column), 0).to_pylist()
+    for a, b in slices(lengths, most):
+        yield a, b, [t or "" for t in column.slice(a, b - a).to_pylist()]
