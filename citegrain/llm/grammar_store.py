@@ -33,12 +33,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from citegrain.llm.texts import text_slices
 from citegrain.llm.tokens import encoder
 from citegrain.operators.durable import stored
 
 MAGIC = b"REPAIR01"
 HEAD = struct.Struct("<8s6Q")
 SHARD_IDS = 1 << 20
+SLICE_BYTES = 4 << 20
 FILES = "part bigint, shard bigint, part_ids bigint, payload binary"
 READ = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
@@ -55,21 +57,24 @@ def repair(ids: np.ndarray, last: np.ndarray, first_free: int, least: int = 4, m
     while True:
         at = np.flatnonzero(live)
         codes = symbols[at] << 32 | symbols[at + 1]
-        ranked = np.sort(codes)
+        order = _order(symbols, at, first_free + len(rules))
+        ranked = codes[order]
         begins = np.flatnonzero(np.diff(ranked, prepend=-1))
         counts = np.diff(np.append(begins, len(ranked)))
         often = np.flatnonzero(counts >= least)
         if not len(often):
             return symbols, np.array(rules, np.int64).reshape(-1, 2)
         every = ranked[begins[often]]
-        rank_of = np.empty(len(every), np.int32)
-        rank_of[np.lexsort((every, -counts[often]))] = np.arange(len(every))
-        found = _places(every, codes, first_free + len(rules))
-        frequent = found >= 0
+        best = np.argsort(-counts[often], kind="stable")
+        rank_of = np.full(len(begins), -1, np.int32)
+        rank_of[often[best]] = np.arange(len(every))
+        ranks = np.empty(len(at), np.int32)
+        ranks[order] = np.repeat(rank_of, counts)
+        frequent = ranks >= 0
         live[at[~frequent]] = False
-        at, ranks = at[frequent], rank_of[found[frequent]]
+        at, ranks = at[frequent], ranks[frequent]
         chosen = min(len(every), most)
-        pairs = every[np.argsort(rank_of)[:chosen]]
+        pairs = every[best[:chosen]]
         at, ranks = at[ranks < chosen], ranks[ranks < chosen]
         # a place is taken if neither neighbour's pair has a better rank; runs of one pair take every other place
         taken = _spread(at, ranks)
@@ -86,16 +91,14 @@ def repair(ids: np.ndarray, last: np.ndarray, first_free: int, least: int = 4, m
         symbols, last, live = symbols[stay], last[stay], live[stay]
 
 
-def _places(pairs: np.ndarray, codes: np.ndarray, symbols: int) -> np.ndarray:
-    """For each code its place in the sorted `pairs`, or -1; most codes fail one of two small tables."""
-    left, right = np.zeros(symbols, bool), np.zeros(symbols, bool)
-    left[pairs >> 32], right[pairs & 0xFFFFFFFF] = True, True
-    some = np.flatnonzero(left[codes >> 32] & right[codes & 0xFFFFFFFF])
-    found = np.minimum(np.searchsorted(pairs, codes[some]), len(pairs) - 1)
-    same = pairs[found] == codes[some]
-    places = np.full(len(codes), -1, np.int64)
-    places[some[same]] = found[same]
-    return places
+def _order(symbols: np.ndarray, at: np.ndarray, kinds: int) -> np.ndarray:
+    """The order of the pairs at the places `at`; pair and number are sorted as one integer where they fit into it."""
+    wide, far = int(kinds).bit_length(), len(at).bit_length()
+    if 2 * wide + far > 63:
+        return np.argsort(symbols[at] << 32 | symbols[at + 1], kind="stable")
+    packed = (symbols[at] << wide | symbols[at + 1]) << far | np.arange(len(at))
+    packed.sort()
+    return packed & ((1 << far) - 1)
 
 
 def _spread(at: np.ndarray, ranks: np.ndarray) -> np.ndarray:
@@ -174,8 +177,18 @@ class Shard:
             symbols = out
 
     def documents(self) -> list[np.ndarray]:
-        """The ids of all documents, in order."""
-        return np.split(self.expand(self.symbols), self.starts[1:])
+        """The ids of all documents, in order; every rule is expanded once, and its ids are copied."""
+        spelt = self.expand(self.first_free + np.arange(len(self.rules)))
+        begins = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
+        made = self.symbols >= self.first_free
+        sizes = np.diff(self.ends, prepend=0)
+        # plain ids stand behind the rules' ids
+        begin = np.empty(len(sizes), np.int64)
+        begin[made] = begins[self.symbols[made] - self.first_free]
+        begin[~made] = len(spelt) + np.arange(len(sizes) - int(made.sum()))
+        every = np.concatenate([spelt, self.symbols[~made]]).astype("<u4")
+        ids = every[np.repeat(begin - (self.ends - sizes), sizes) + np.arange(len(sizes) and self.ends[-1])]
+        return np.split(ids, self.starts[1:])
 
     def document(self, i: int) -> np.ndarray:
         """The ids of the i-th document, from the symbols that cover it."""
@@ -196,23 +209,25 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, first_free: int, text:
         keys, counts, held, size = [], [], [], 0
 
         def close() -> pa.RecordBatch:
-            payload = to_file(keys, counts, np.frombuffer(b"".join(held), "<u4"), first_free, earlier)
+            payload = to_file(keys, counts, np.concatenate(held), first_free, earlier)
             return pa.RecordBatch.from_pydict({
                 "part": pa.array([part], pa.int64()), "shard": pa.array([shard], pa.int64()),
                 "part_ids": pa.array([earlier + size], pa.int64()), "payload": pa.array([payload], pa.binary()),
             })
 
         for batch in batches:
-            for key, whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encode.ids(whole or "") + end
-                keys.append(key)
-                counts.append(len(ids) // 4)
-                held.append(ids)
-                size += counts[-1]
-                if size >= SHARD_IDS:
-                    yield close()
-                    earlier, shard = earlier + size, shard + 1
-                    keys, counts, held, size = [], [], [], 0
+            for a, b, texts in text_slices(batch.column(1), SLICE_BYTES):
+                ids, sizes = encode.many(texts, end)
+                ends = np.cumsum(sizes).tolist()
+                for key, count, to in zip(batch.column(0).slice(a, b - a).to_pylist(), sizes.tolist(), ends):
+                    keys.append(key)
+                    counts.append(count)
+                    held.append(ids[to - count:to])
+                    size += count
+                    if size >= SHARD_IDS:
+                        yield close()
+                        earlier, shard = earlier + size, shard + 1
+                        keys, counts, held, size = [], [], [], 0
         if keys:
             yield close()
 
@@ -230,7 +245,7 @@ def read(files: DataFrame) -> DataFrame:
         for batch in batches:
             for before, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 shard = Shard(payload)
-                crcs = [zlib.crc32(ids.astype("<u4").tobytes()) for ids in shard.documents()]
+                crcs = [zlib.crc32(ids) for ids in shard.documents()]
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": pa.array(shard.keys, pa.int64()),
                     "start": pa.array(shard.starts + (shard.earlier + before), pa.int64()),

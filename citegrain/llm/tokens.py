@@ -1,8 +1,8 @@
 """Token ids of whole texts with the public tokenizers, in bounded memory.
 
 A text is cut where no token can cross, each distinct piece is encoded once by the tokenizers library, and
-the ids of pieces are kept as bytes (little-endian, 32 bits) in a cache of at most about 2 * CACHE_BYTES, one
-per Python worker.  The ids are those of encoding the whole text at once; tests compare them.  The strings of
+the ids of pieces are kept as bytes (little-endian, 32 bits) in a cache of at most about 2 * CACHE_BYTES (twice
+that for byte vocabularies), one per Python worker.  The ids are those of encoding the whole text at once; tests compare them.  The strings of
 special tokens are ordinary text, as the vocabularies' description has it.
 """
 
@@ -12,10 +12,16 @@ import os
 import re
 from array import array
 
+import numpy as np
+import pyarrow as pa
+
 CACHE_BYTES = 56 << 20
 ENTRY_BYTES = 200
 MARKS = ".,!?;:"
 LOWER_AND_BLANK = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\n", b"abcdefghijklmnopqrstuvwxyz ")
+LETTER, MARK = np.zeros(256, bool), np.zeros(256, bool)
+LETTER[[*range(65, 91), *range(97, 123)]] = True
+MARK[list(MARKS.encode())] = True
 _ENCODERS: dict = {}
 
 
@@ -37,10 +43,13 @@ class Encoder:
         self.held = 0
 
     def _encode(self, pieces: list[str]) -> None:
-        encoded = self.tokenizer.encode_batch(pieces, add_special_tokens=False)
+        encoded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         for piece, e in zip(pieces, encoded):
             self._keep(piece, array("I", e.ids).tobytes())
 
+    def most(self) -> int:
+        return CACHE_BYTES if self.words else 2 * CACHE_BYTES
+
     def _keep(self, piece: str, ids: bytes) -> None:
         self.young[piece] = ids
         self.held += ENTRY_BYTES + len(piece) + len(ids)
@@ -66,13 +75,76 @@ class Encoder:
 
     def _joined(self, pieces: list[str]) -> bytes:
         missing = set(pieces).difference(self.young)
-        if missing and self.held > CACHE_BYTES:  # turned over between texts only: a text needs all its pieces at once
+        if missing and self.held > self.most():  # turned over between texts only: a text needs all its pieces at once
             self.old, self.young, self.held = self.young, {}, 0
             missing = set(pieces)
         if missing:
             self._learn(missing)
         return b"".join(map(self.young.__getitem__, pieces))
 
+    def _table(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces, in their order."""
+        young, old = self.young, self.old
+        if self.held > self.most():
+            self.old, self.young, self.held = young, {}, 0
+            young, old = self.young, self.old
+        new = []
+        for piece in pieces:
+            if piece not in young:
+                if piece in old:
+                    self._keep(piece, old[piece])
+                else:
+                    new.append(piece)
+        if new:
+            self._encode(new)
+        return [young[p] for p in pieces]
+
+    def _odd_texts(self, data: np.ndarray, texts: list[str], ends: np.ndarray) -> np.ndarray:
+        """Which of the texts are cut at runs of white space; the expression is tried where a byte leaves doubt."""
+        blank = (data == 10) | (data == 32)
+        apart = blank.copy()
+        apart[1:] &= blank[:-1]
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        odd = np.logical_or.reduceat(apart, starts)
+        doubt = np.logical_or.reduceat((data >= 127) | (data < 32) & ~blank, starts)
+        for i in np.flatnonzero(doubt & ~odd).tolist():
+            odd[i] = bool(self._odd.search(texts[i]))
+        return odd
+
+    def many(self, texts: list[str], end: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of several texts, each followed by `end`, as one array, and how many each text has with it.
+
+        Only for `words` false.  Pieces are cut, also between a letter and a mark, and told apart for all texts at
+        once; texts with runs of white space are encoded one by one, and an empty line stands in their place.
+        """
+        plain = [t.encode() for t in texts]
+        ends = np.cumsum([len(p) + 1 for p in plain]) - 1
+        data = np.frombuffer(b"\n".join(plain) + b"\n", np.uint8)
+        odd = self._odd_texts(data, texts, ends)
+        if odd.any():
+            plain = [b"" if o else p for p, o in zip(plain, odd)]
+            ends = np.cumsum([len(p) + 1 for p in plain]) - 1
+            data = np.frombuffer(b"\n".join(plain) + b"\n", np.uint8)
+        line_end = data == 10
+        cut = line_end | (data == 32)
+        cut[1:] |= line_end[:-1] | (LETTER[data[:-1]] & MARK[data[1:]])
+        cut[0] = True
+        starts = np.flatnonzero(cut)
+        offsets = np.append(starts, len(data)).astype(np.int32)
+        found = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        found = found.dictionary_encode()
+        table = self._table(found.dictionary.to_pylist())
+        # the line end behind each text stands for its end, and for the whole of an odd text
+        behind = np.searchsorted(starts, ends)
+        which = found.indices.to_numpy().astype(np.int64)
+        which[behind] = len(table) + np.arange(len(texts))
+        table += [self.ids(t) + end if o else end for t, o in zip(texts, odd)]
+        size = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        ids = np.frombuffer(b"".join(table), "<u4")
+        begin, sizes = (np.cumsum(size) - size)[which], size[which]
+        to = np.cumsum(sizes)
+        return ids[np.repeat(begin - (to - sizes), sizes) + np.arange(to[-1])], np.diff(to[behind], prepend=0)
+
     def ids(self, text: str) -> bytes:
         """The ids of a text as little-endian 32-bit integers."""
         if not text:

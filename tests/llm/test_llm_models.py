@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from citegrain.llm import class_lm, crf, grammar_store, mixing, packing, quality_rules
+from citegrain.llm import class_lm, crf, grammar_store, mixing, packing, quality_rules, tokens
 from citegrain.llm.queries import op7_quality_classifier, op9_class_lm
 from citegrain.llm.texts import labels
 from citegrain.llm.tokens import Encoder
@@ -396,6 +396,42 @@ def test_repair_goes_on_while_a_pair_pays():
         assert len(rules) and max(pairs.values()) < 4 and set(np.flatnonzero(last) + 1) <= set(ends.tolist())
 
 
+def test_texts_are_encoded_together(cases, monkeypatch):
+    """A slice's pieces are looked up once each, and the ids are those of every text by itself."""
+    texts = [r[1] or "" for r in cases[1]] + ["plain words, here. Don't stop: 'em.\nnext line;x a.b!", "caf\u00e9, na\u00efve. a\u00a0b\u2003 c"]
+    texts += [" lead", "trail ", "a\tb c", "tab\t end", "x\x1cy", "line\n\nline", "it's. we'll! 5. 5, <|endoftext|>."] * 3
+    tokenizer = Tokenizer.from_file(BYTES_FILE)
+    tokenizer.encode_special_tokens = True
+    own = Encoder(BYTES_FILE, False)
+    end = (7).to_bytes(4, "little")
+    for least, turns in ((None, 1), (500, 2)):
+        if least:
+            monkeypatch.setattr(tokens, "CACHE_BYTES", least)
+        for _ in range(turns):
+            ids, sizes = own.many(texts, end)
+            got = np.split(ids, np.cumsum(sizes)[:-1])
+            assert [g.tolist() for g in got] == [[*tokenizer.encode(t, add_special_tokens=False).ids, 7] for t in texts]
+    plain, asked = [" ".join(f"w{i % 50}," for i in range(5000))] * 4, []
+    monkeypatch.setattr(own, "_table", lambda pieces, table=own._table: asked.append(len(pieces)) or table(pieces))
+    own.many(plain, end)
+    assert sum(asked) < 200
+
+
+def test_rules_are_expanded_once():
+    ids = np.random.default_rng(8).zipf(1.2, 50_000).astype("<u4") % 60
+    shard = grammar_store.Shard(grammar_store.to_file(list(range(50)), [1000] * 50, ids, 60, 0))
+    asked, expand = [], shard.expand
+    shard.expand = lambda symbols: asked.append(len(symbols)) or expand(symbols)
+    assert np.concatenate(shard.documents()).tolist() == ids.tolist() and sum(asked) <= len(shard.rules)
+
+
+def test_pairs_in_order():
+    symbols = np.random.default_rng(9).integers(0, 40, 3000)
+    at = np.flatnonzero(symbols[:-1] != 3)
+    want = np.argsort(symbols[at] << 32 | symbols[at + 1], kind="stable").tolist()
+    assert all(grammar_store._order(symbols, at, kinds).tolist() == want for kinds in (40, 1 << 30))
+
+
 def test_store(cases, nothing):
     docs, rows = cases
     tokenizer = Tokenizer.from_file(BYTES_FILE)
