@@ -40,7 +40,7 @@ from citegrain.operators.durable import stored
 MAGIC = b"REPAIR01"
 HEAD = struct.Struct("<8s6Q")
 SHARD_IDS = 1 << 20
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 FILES = "part bigint, shard bigint, part_ids bigint, payload binary"
 READ = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
@@ -51,19 +51,21 @@ def repair(ids: np.ndarray, last: np.ndarray, first_free: int, least: int = 4, m
     Rounds go on until no pair occurs `least` times: a rule takes three numbers, so that rarer pairs do not pay.
 
     A pair that is too rare stays so until one of its sides is replaced, so that only changed places and pairs
-    still to be replaced are counted again.
+    still to be replaced are counted again.  Symbols stay where they are, linked with those beside them.
     """
     symbols, rules, live = ids.astype(np.int64), [], ~last
+    after, before, gone = np.arange(1, len(ids) + 1), np.arange(-1, len(ids)), np.zeros(len(ids), bool)
     while True:
         at = np.flatnonzero(live)
-        codes = symbols[at] << 32 | symbols[at + 1]
-        order = _order(symbols, at, first_free + len(rules))
+        left, right = symbols[at], symbols[after[at]]
+        codes = left << 32 | right
+        order = _order(left, right, first_free + len(rules))
         ranked = codes[order]
         begins = np.flatnonzero(np.diff(ranked, prepend=-1))
         counts = np.diff(np.append(begins, len(ranked)))
         often = np.flatnonzero(counts >= least)
         if not len(often):
-            return symbols, np.array(rules, np.int64).reshape(-1, 2)
+            return symbols[~gone], np.array(rules, np.int64).reshape(-1, 2)
         every = ranked[begins[often]]
         best = np.argsort(-counts[often], kind="stable")
         rank_of = np.full(len(begins), -1, np.int32)
@@ -77,48 +79,55 @@ def repair(ids: np.ndarray, last: np.ndarray, first_free: int, least: int = 4, m
         pairs = every[best[:chosen]]
         at, ranks = at[ranks < chosen], ranks[ranks < chosen]
         # a place is taken if neither neighbour's pair has a better rank; runs of one pair take every other place
-        taken = _spread(at, ranks)
+        taken = _spread(at, ranks, after)
         ranks, taken = ranks[taken], at[taken]
         fresh = first_free + len(rules)
         rules.extend(zip((pairs >> 32).tolist(), (pairs & 0xFFFFFFFF).tolist()))
         symbols[taken] = fresh + ranks
-        last[taken] = last[taken + 1]
+        right = after[taken]
+        last[taken], after[taken] = last[right], after[right]
+        before[after[taken]] = taken
+        live[right], gone[right] = False, True
         live[taken] = ~last[taken]
-        before = taken[taken > 0] - 1
-        live[before] = ~last[before]
-        stay = np.ones(len(symbols), bool)
-        stay[taken + 1] = False
-        symbols, last, live = symbols[stay], last[stay], live[stay]
+        beside = before[taken[taken > 0]]
+        live[beside] = ~last[beside]
 
 
-def _order(symbols: np.ndarray, at: np.ndarray, kinds: int) -> np.ndarray:
-    """The order of the pairs at the places `at`; pair and number are sorted as one integer where they fit into it."""
-    wide, far = int(kinds).bit_length(), len(at).bit_length()
+def _order(left: np.ndarray, right: np.ndarray, kinds: int) -> np.ndarray:
+    """The order of pairs of symbols; pair and number are sorted as one integer where they fit into it."""
+    wide, far = int(kinds).bit_length(), len(left).bit_length()
     if 2 * wide + far > 63:
-        return np.argsort(symbols[at] << 32 | symbols[at + 1], kind="stable")
-    packed = (symbols[at] << wide | symbols[at + 1]) << far | np.arange(len(at))
+        return np.argsort(left << 32 | right, kind="stable")
+    packed = (left << wide | right) << far | np.arange(len(left))
     packed.sort()
     return packed & ((1 << far) - 1)
 
 
-def _spread(at: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+def _spread(at: np.ndarray, ranks: np.ndarray, after: np.ndarray) -> np.ndarray:
     """Which of the places `at` (ascending) hold pairs that can be replaced together."""
-    near = np.diff(at) == 1
+    near = after[at[:-1]] == at[1:]
     wins = np.ones(len(at), bool)
     wins[1:] &= ~(near & (ranks[:-1] < ranks[1:]))
     wins[:-1] &= ~(near & (ranks[1:] < ranks[:-1]))
     at_win = np.flatnonzero(wins)
-    run = np.diff(at[at_win], prepend=-2) != 1
+    run = np.ones(len(at_win), bool)
+    run[1:] = after[at[at_win[:-1]]] != at[at_win[1:]]
     order = np.arange(len(at_win))
     begin = np.maximum.accumulate(np.where(run, order, 0))
     return at_win[(order - begin) % 2 == 0]
 
 
 def rule_lengths(rules: np.ndarray, first_free: int) -> np.ndarray:
-    lengths = np.ones(len(rules), np.int64)
-    for i, (a, b) in enumerate(rules.tolist()):
-        lengths[i] = (lengths[a - first_free] if a >= first_free else 1) + (lengths[b - first_free] if b >= first_free else 1)
-    return lengths
+    # the first is the length of all plain ids; sides that are not known yet are 0
+    lengths = np.concatenate(([1], np.zeros(len(rules), np.int64)))
+    sides = np.maximum(rules - first_free + 1, 0)
+    todo = np.arange(len(rules))
+    while len(todo):
+        both = lengths[sides[todo]]
+        known = both.all(axis=1)
+        lengths[todo[known] + 1] = both[known].sum(axis=1)
+        todo = todo[~known]
+    return lengths[1:]
 
 
 def to_file(keys: list, counts: list[int], ids: np.ndarray, first_free: int, earlier: int) -> bytes:

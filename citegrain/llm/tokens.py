@@ -45,7 +45,9 @@ class Encoder:
     def _encode(self, pieces: list[str]) -> None:
         encoded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         for piece, e in zip(pieces, encoded):
-            self._keep(piece, array("I", e.ids).tobytes())
+            ids = array("I", e.ids).tobytes()
+            self.young[piece] = ids
+            self.held += ENTRY_BYTES + len(piece) + len(ids)
 
     def most(self) -> int:
         return CACHE_BYTES if self.words else 2 * CACHE_BYTES

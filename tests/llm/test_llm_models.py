@@ -428,8 +428,9 @@ def test_rules_are_expanded_once():
 def test_pairs_in_order():
     symbols = np.random.default_rng(9).integers(0, 40, 3000)
     at = np.flatnonzero(symbols[:-1] != 3)
-    want = np.argsort(symbols[at] << 32 | symbols[at + 1], kind="stable").tolist()
-    assert all(grammar_store._order(symbols, at, kinds).tolist() == want for kinds in (40, 1 << 30))
+    left, right = symbols[at], symbols[at + 1]
+    want = np.argsort(left << 32 | right, kind="stable").tolist()
+    assert all(grammar_store._order(left, right, kinds).tolist() == want for kinds in (40, 1 << 30))
 
 
 def test_store(cases, nothing):
