@@ -31,14 +31,14 @@ from citegrain.llm.census import (
     BLOCK_BYTES, PART_BYTES, REPORT, answered, answers, cut, mixed, report, total_bytes, word_hashes,
 )
 from citegrain.llm.graph import components
-from citegrain.llm.texts import free_name, text_slices
+from citegrain.llm.texts import free_name, slices, text_slices
 from citegrain.operators.durable import stored
 
 LAST_ID = (1 << 63) - 1
 CENSUS_SHARE = 0.4
 FRAGMENTS = 4
 STARS = 3
-SLICE_BYTES = 1 << 20
+SLICE_BYTES, GRAM_BYTES = 1 << 20, 1 << 18
 FACTORS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 UPPER = bytes(range(65, 91))
 TO_LOWER = bytes.maketrans(UPPER, UPPER.lower())
@@ -56,7 +56,16 @@ def words_keys(text: pa.Array) -> pa.Array:
 
 
 def gram_sets(texts: list[bytes], n: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct n-gram hashes of each text, one after another, and the size of each set."""
+    """Sorted distinct n-gram hashes of each text, one after another, and the size of each set.
+
+    Hashing takes some fifty times a text's bytes, so that it sees the texts of one slice at a time.
+    """
+    done = [_slice_sets(texts[a:b], n) for a, b in slices([len(t) for t in texts], GRAM_BYTES)]
+    done = done or [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    return np.concatenate([grams for grams, _ in done]), np.concatenate([sizes for _, sizes in done])
+
+
+def _slice_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     words, counts = word_hashes(texts)
     factors = [np.uint64(FACTORS[i % 5] * (2 * (i // 5) + 1) & (1 << 64) - 1) for i in range(n)]
     owner = np.repeat(np.arange(len(texts)), counts)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -94,6 +95,20 @@ def test_shingle_join_of_a_large_group(spark):
     assert {r.id: r.component_id for r in got} == of and len(set(of.values())) == 1
 
 
+def test_gram_sets_take_a_slice_at_a_time():
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(900)}" for _ in range(rng.choice((0, 1, 3, 40, 900)))).encode() for _ in range(2000)]
+    shingle_join.gram_sets(texts[:9])  # tables that are kept
+    tracemalloc.start()
+    grams, sizes = shingle_join.gram_sets(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    one_by_one = [shingle_join.gram_sets([t]) for t in texts]
+    assert grams.tolist() == [g for found, _ in one_by_one for g in found.tolist()]
+    assert sizes.tolist() == [s.tolist()[0] for _, s in one_by_one]
+    assert most < 2 * grams.nbytes + (24 << 20) < 20 * sum(map(len, texts))
+
+
 def test_shingle_join_empty(nothing):
     assert shingle_join.groups(nothing).collect() == []
     assert shingle_join.one_per_group(nothing).collect() == []
