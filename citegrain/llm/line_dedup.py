@@ -6,11 +6,11 @@ units); a shorter line is one shingle.  Exact copies merge first.
 
 MinHash values are taken over all shingles of short lines and over a fourth of those of long lines, chosen by
 their hash; lines near the border have both.  Bands are sets of the values that overlap, so that few values give
-many bands, and bring the distinct lines together.  Every member of a band's bucket is compared with two members
-of it, which settles buckets of up to three lines; in larger ones that is done once more, and what proves
-similar becomes one component.  The lines of buckets that still hold several components get further bands, and in
-all such buckets every line outside the largest component is compared with all lines of other components.  Pairs most of whose values differ are not similar; the others are
-compared by all their shingles, taken from the lines' text as the pair is read.  Those whose Jaccard similarity is
+many bands, and bring the distinct lines together.  Every member of a band's bucket is compared with up to four members
+of it, which settles buckets of up to three lines, and what proves similar becomes one component.  The lines of larger
+buckets that still hold several components get further bands, and in all such buckets every line outside the largest
+component is compared with all lines of other components.  Pairs most of whose values differ are not similar; the others
+are compared by all their shingles, taken from the lines' text as the pair is read.  Those whose Jaccard similarity is
 at least `similarity` are linked, and of each connected component only its earliest line, by document id and
 line number, stays.
 
@@ -24,7 +24,7 @@ from __future__ import annotations
 import random
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citegrain.llm.graph import components
@@ -40,6 +40,10 @@ MORE_BANDS, MORE_ROWS = 32, 6
 LONG, SHORT, SAMPLED = 128, 160, 4
 # Pairs that agree in fewer values are not compared: of similar ones fewer than 1 in 1,000 do.
 AGREED = 12
+# So many low bits of each value are compared; values that differ have the same ones in 1 of 256 cases.
+BITS, IN_WORD = 8, 8
+# Members of a bucket are put in order by their number and by their number with these bits turned over.
+TURNED = 0x2AAAAAAAAAAAAAAA
 # Places of a long line are listed by so many at a time.
 STRETCH = 65536
 LAST_ID = (1 << 63) - 1
@@ -122,10 +126,17 @@ def band_keys(sets: list[list[int]], first: int, *also: str) -> Column:
 
 
 def bucketed(lines: DataFrame) -> DataFrame:
-    """(n, bucket, held) of all buckets that hold two lines or more."""
+    """(n, bucket, held, hubs) of all buckets that hold two lines or more, with up to four of their members.
+
+    Nearly all buckets hold a single line: one shuffle of two numbers a row, and no second pass that joins counts.
+    """
     banded = lines.select("n", F.explode(band_keys(bands(), 0, "kind")).alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    return banded.join(shared, "bucket")
+    of, turned = Window.partitionBy("bucket"), F.col("n").bitwiseXOR(F.lit(TURNED))
+    ends = [F.min("n").over(of).alias("e0"), F.max("n").over(of).alias("e1")]
+    ends += [F.min(turned).over(of).alias("e2"), F.max(turned).over(of).alias("e3")]
+    met = banded.select("n", "bucket", F.count(F.lit(1)).over(of).alias("held"), *ends).where("held > 1")
+    hubs = [F.col("e0"), F.col("e1")] + [F.col(e).bitwiseXOR(F.lit(TURNED)) for e in ("e2", "e3")]
+    return met.select("n", "bucket", "held", F.array_distinct(F.array(*hubs)).alias("hubs"))
 
 
 def agreement(a: str, b: str) -> Column:
@@ -135,38 +146,61 @@ def agreement(a: str, b: str) -> Column:
     return F.aggregate(same, F.lit(0), lambda total, one: total + one)
 
 
-def marked(values: str) -> Column:
-    """The two lowest bits of each value in one number."""
-    return F.aggregate(values, F.lit(0).cast("bigint"), lambda mark, x: mark * 4 + x.bitwiseAND(3).cast("bigint"))
+def marked(values: str | Column, bits: int = 2) -> Column:
+    """The lowest bits of each value in one number."""
+    low = (1 << bits) - 1
+    return F.aggregate(
+        values, F.lit(0).cast("bigint"),
+        lambda mark, x: F.shiftleft(mark, bits).bitwiseOR(x.bitwiseAND(F.lit(low)).cast("bigint")),
+    )
+
+
+def most_agreement(a: str, b: str, bits: int = 2, count: int = VALUES) -> Column:
+    """At least `agreement`, from the marks of two lines: in how many of them all bits are the same."""
+    either, step = F.col(a).bitwiseXOR(F.col(b)), 1
+    while step < bits:
+        either, step = either.bitwiseOR(F.shiftright(either, step)), 2 * step
+    return count - F.bit_count(either.bitwiseAND(F.lit(sum(1 << bits * j for j in range(count)))))
+
+
+WORDS = [f"w{k}" for k in range(VALUES // IN_WORD)]
 
 
-def most_agreement(a: str, b: str) -> Column:
-    """At least `agreement`, from the marks of two lines: in how many of them both bits are the same."""
-    apart = F.col(a).bitwiseXOR(F.col(b))
-    either = apart.bitwiseOR(F.shiftright(apart, 1)).bitwiseAND(F.lit(sum(4**j for j in range(VALUES))))
-    return VALUES - F.bit_count(either)
+def words(values: str) -> list[Column]:
+    """The compared bits of all values in three numbers."""
+    return [marked(F.slice(values, 1 + k * IN_WORD, IN_WORD), BITS).alias(w) for k, w in enumerate(WORDS)]
 
 
-def with_hubs(open_: DataFrame, values: DataFrame, turn: int) -> DataFrame:
-    """(a, b, agreed): each line of a bucket with two lines of it, and how many of their values agree, if most do."""
-    mark = F.struct(F.xxhash64("n", F.lit(turn)).alias("mark"), "n", "root")
-    hubs = open_.groupBy("bucket").agg(F.min(mark).alias("low"), F.max(mark).alias("high"))
-    near = open_.join(hubs, "bucket").select("n", "root", F.explode(F.array("low", "high")).alias("hub"))
-    near = near.where(F.col("root") != F.col("hub.root"))
-    pairs = near.select(F.least("n", "hub.n").alias("a"), F.greatest("n", "hub.n").alias("b")).distinct()
-    both = pairs.join(values.toDF("a", "va"), "a").join(values.toDF("b", "vb"), "b")
-    return both.select("a", "b", agreement("va", "vb").alias("agreed")).where(F.col("agreed") >= AGREED)
+def agreed(a: str, b: str) -> Column:
+    """At least `agreement` of two lines, from their `words` in columns that begin with the given names."""
+    return sum((most_agreement(a + w, b + w, BITS, IN_WORD) for w in WORDS), F.lit(0))
+
+
+def with_words(values: DataFrame, n: str, line: str) -> DataFrame:
+    """`values` under the names of one side of a pair."""
+    return values.select(F.col("n").alias(n), F.col("line").alias(line), *[F.col(w).alias(n + w) for w in WORDS])
+
+
+def with_hubs(met: DataFrame, values: DataFrame) -> DataFrame:
+    """(a, b, agreed): each line of a bucket with the bucket's hubs, if most of their values agree."""
+    near = met.select("n", F.explode("hubs").alias("hub")).where("n != hub")
+    pairs = near.select(F.least("n", "hub").alias("p"), F.greatest("n", "hub").alias("q")).distinct()
+    both = pairs.join(with_words(values, "p", "lp"), "p").join(with_words(values, "q", "lq"), "q")
+    both = both.where("lp != lq").withColumn("agreed", agreed("p", "q")).where(F.col("agreed") >= AGREED)
+    ends = [F.least("lp", "lq").alias("a"), F.greatest("lp", "lq").alias("b")]
+    return both.select(*ends, "agreed").groupBy("a", "b").agg(F.max("agreed").alias("agreed"))
 
 
 def split_only(known: DataFrame) -> DataFrame:
     """The rows of `known` (n, bucket, root) whose bucket holds several components."""
-    split = known.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2")
-    return known.join(split.select("bucket"), "bucket", "left_semi")
+    of = Window.partitionBy("bucket")
+    ends = known.select("*", F.min("root").over(of).alias("r1"), F.max("root").over(of).alias("r2"))
+    return ends.where("r1 != r2").drop("r1", "r2")
 
 
 def more_buckets(open_: DataFrame, values: DataFrame) -> DataFrame:
     """`open_` and the further buckets of its lines, as far as they hold several components."""
-    lines = open_.select("n", "root").distinct().join(values, "n")
+    lines = open_.select("n", "root").distinct().join(values.select("n", "values"), "n")
     keys = band_keys(bands(MORE_BANDS, MORE_ROWS), BANDS)
     return open_.select("n", "bucket", "root").union(split_only(lines.select("n", F.explode(keys).alias("bucket"), "root")))
 
@@ -178,17 +212,18 @@ def rest_pairs(open_: DataFrame, values: DataFrame) -> DataFrame:
     """
     sizes = open_.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("held"))
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("held", "root")).alias("top")).select("bucket", "top.root")
-    known = open_.join(largest.withColumnRenamed("root", "top"), "bucket").join(values, "n")
-    inside = F.col("root") == F.col("top")
-    sides = known.select("bucket", "n", "root", "values", marked("values").alias("mark"), inside.alias("inside"))
-    some = sides.where("not inside").toDF("bucket", "a", "ra", "va", "ma", "out").drop("out")
-    every = sides.toDF("bucket", "b", "rb", "vb", "mb", "inside")
-    once = F.col("inside") | (F.col("a") < F.col("b"))
-    apart = (F.col("bucket") == F.col("other")) & (F.col("ra") != F.col("rb")) & once
-    # most pairs fail by their marks, whose test costs next to nothing
-    near = (most_agreement("ma", "mb") >= AGREED) & (agreement("va", "vb") >= AGREED)
-    met = some.join(every.withColumnRenamed("bucket", "other"), apart & near)
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    inside = open_.join(largest.withColumnRenamed("root", "top"), "bucket")
+    inside = inside.select("bucket", "n", "root", (F.col("root") == F.col("top")).alias("inside"))
+
+    def side(rows: DataFrame, n: str) -> DataFrame:
+        return rows.withColumnsRenamed({"n": n, "root": f"r{n}"}).join(with_words(values, n, f"l{n}"), n)
+
+    some = side(inside.where("not inside").drop("inside"), "p")
+    every = side(inside, "q").withColumnRenamed("bucket", "other")
+    once = F.col("inside") | (F.col("p") < F.col("q"))
+    apart = (F.col("bucket") == F.col("other")) & (F.col("rp") != F.col("rq")) & once
+    met = some.join(every, apart & (agreed("p", "q") >= AGREED))
+    return met.select(F.least("lp", "lq").alias("a"), F.greatest("lp", "lq").alias("b")).distinct()
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -235,14 +270,14 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float) -> Data
     return both.where(F.forall(sets, enough)).select("a", "b")
 
 
-def linked(tree: DataFrame, pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+def linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """(node, root) after linking the similar ones of `pairs`.
 
     Each line is first compared with its likeliest partner; then the pairs are left that components keep apart.
     """
     ends = pairs.select("a", "b", "agreed", F.explode(F.array("a", "b")).alias("n"))
     best = ends.groupBy("n").agg(F.max(F.struct("agreed", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    roots = kept_rows(components(tree.union(similar_pairs(best, texts, similarity))))
+    roots = kept_rows(components(similar_pairs(best, texts, similarity)))
     apart = pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
     for c in "ab":
         apart = apart.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left")
@@ -256,20 +291,16 @@ def forest(roots: DataFrame) -> DataFrame:
 
 
 def linked_lines(
-    met: DataFrame, twins: DataFrame, values: DataFrame, pairs: DataFrame, texts: DataFrame, similarity: float
+    met: DataFrame, values: DataFrame, pairs: DataFrame, texts: DataFrame, similarity: float
 ) -> DataFrame:
     """(node, root) for the lines that are linked with another; `pairs` have met their buckets' hubs."""
-    tree = twins
-    for turn in range(2):
-        roots = linked(tree, pairs, texts, similarity)
-        tree = forest(roots)
-        # buckets of up to three lines are settled: all their pairs have met
-        known = met.where("held > 3").join(roots.withColumnRenamed("node", "n"), "n", "left")
-        known = known.select("n", "bucket", F.coalesce("root", "n").alias("root"))
-        open_ = kept_rows(split_only(known))
-        if turn == 0:
-            pairs = kept_rows(with_hubs(open_, values, 1))
-    return components(tree.union(similar_pairs(rest_pairs(kept_rows(more_buckets(open_, values)), values), texts, similarity)))
+    roots = linked(pairs, texts, similarity)
+    # buckets of up to three lines are settled: all their pairs have met
+    lines = values.select("n", "line").join(roots.withColumnRenamed("node", "line"), "line", "left")
+    lines = lines.select("n", F.coalesce("root", "line").alias("root"))
+    open_ = kept_rows(split_only(met.where("held > 3").select("n", "bucket").join(lines, "n")))
+    rest = rest_pairs(kept_rows(more_buckets(open_, values)), values)
+    return components(forest(roots).union(similar_pairs(rest, texts, similarity)))
 
 
 def doubled_lines(docs: DataFrame, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -279,16 +310,17 @@ def doubled_lines(docs: DataFrame, similarity: float = 0.8, text: str = "text",
     marks = with_place(kept_rows(found.select("key", "id", "pos")))
     firsts = kept_rows(marks.groupBy("key").agg(F.min("place").alias("place")))
     met = kept_rows(bucketed(lines))
-    some = met.select("n").distinct()
-    values = by_number(lines.select("n", "values").join(some, "n"))
-    pairs = kept_rows(with_hubs(met.withColumn("root", F.col("n")), values, 0))
-    wanted = pairs.select(F.col("a").alias("n")).union(pairs.select("b")).union(met.where("held > 3").select("n")).distinct()
+    # of a twin's two numbers the smaller one stands for the line
+    twins = lines.where("twin").groupBy("key").agg(F.max("n").alias("n"), F.min("n").alias("line")).drop("key")
+    values = lines.select("n", "values").join(met.select("n").distinct(), "n").join(twins, "n", "left")
+    values = by_number(values.select("n", F.coalesce("line", "n").alias("line"), "values", *words("values")))
+    pairs = kept_rows(with_hubs(met, values))
+    crowded = values.select("n", "line").join(met.where("held > 3").select("n").distinct(), "n").select("line")
+    wanted = pairs.select(F.col("a").alias("n")).union(pairs.select("b")).union(crowded).distinct()
     places = lines.select("n", "key").join(wanted, "n").join(firsts, "key")
     texts = by_number(line_texts(docs, places, text, doc_id))
-    twins = lines.where("twin").groupBy("key").agg(F.min("n").alias("a"), F.max("n").alias("b")).select("a", "b")
-    roots = linked_lines(met, twins, values, pairs, texts, similarity)
-    # both numbers of a twin have one root
-    linked_keys = lines.select("n", "key").join(roots.withColumnRenamed("node", "n"), "n").select("key", "root").distinct()
+    roots = linked_lines(met, values, pairs, texts, similarity)
+    linked_keys = lines.select("n", "key").join(roots.withColumnRenamed("node", "n"), "n").select("key", "root")
     grouped = linked_keys.join(firsts, "key")
     first = grouped.groupBy("root").agg(F.min("place").alias("kept_place"))
     linked_places = grouped.join(first, "root").select("key", "kept_place")

@@ -220,6 +220,47 @@ def test_values_are_compared_and_banded_without_writing_them_out(spark):
     assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in held.values() if len(x) > 1)
 
 
+def test_buckets_of_lines_take_one_pass(spark):
+    """Hardly any bucket holds two lines: they are dealt once, and all pairs of up to three lines meet their hubs."""
+    rng = random.Random(3)
+    rows = [(i, 0, [rng.randrange(3) for _ in range(line_dedup.VALUES)]) for i in range(60)]
+    lines = spark.createDataFrame(rows, "n bigint, kind int, values array<int>")
+    met = line_dedup.bucketed(lines)
+    open_ = lines.selectExpr("n", "0L AS bucket", "n % 7 AS root")
+    for found in (met, line_dedup.split_only(open_)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Generate") == (found is met) and "Join" not in plan and plan.count("Window ") == 1
+    held = defaultdict(dict)
+    for r in met.collect():
+        held[r.bucket][r.n] = r.hubs
+        assert len(set(r.hubs)) == len(r.hubs) <= 4
+    for members in held.values():
+        assert all(set(hubs) <= set(members) for hubs in members.values())
+        if len(members) <= 3:
+            assert all(a in members[b] or b in members[a] for a in members for b in members if a != b)
+    assert {r.n for r in line_dedup.split_only(open_).collect()} == set(range(60))
+    assert line_dedup.split_only(open_.where("root = 1")).collect() == []
+
+
+def test_words_hold_the_low_bits_of_all_values(spark):
+    rng = random.Random(8)
+    rows = [(i, i // 2, [rng.choice((7, -1, 263, rng.getrandbits(31) - 2**30)) for _ in range(24)]) for i in range(40)]
+    values = spark.createDataFrame(rows, "n bigint, line bigint, values array<int>")
+    values = values.select("n", "line", "values", *line_dedup.words("values"))
+    both = line_dedup.with_words(values, "p", "lp").crossJoin(line_dedup.with_words(values, "q", "lq"))
+    for r in both.select("p", "q", line_dedup.agreed("p", "q").alias("agreed")).collect():
+        assert r.agreed == sum(x & 255 == y & 255 for x, y in zip(rows[r.p][2], rows[r.q][2]))
+    met = spark.createDataFrame([(n, 5, 40, [0, 39]) for n in range(40)], "n bigint, bucket bigint, held bigint, hubs array<bigint>")
+    want = defaultdict(int)
+    for p in range(40):
+        for q in {0, 39}:
+            a, b = sorted((rows[p][1], rows[q][1]))
+            n = sum(x & 255 == y & 255 for x, y in zip(rows[p][2], rows[q][2]))
+            if a != b and n >= line_dedup.AGREED:
+                want[a, b] = max(want[a, b], n)
+    assert {(r.a, r.b): r.agreed for r in line_dedup.with_hubs(met, values).collect()} == want and want
+
+
 def test_line_dedup_empty(nothing):
     assert line_dedup.dedup_lines(nothing).collect() == []
 
