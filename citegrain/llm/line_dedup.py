@@ -10,7 +10,8 @@ many bands, and bring the distinct lines together.  Every member of a band's buc
 of it, which settles buckets of up to three lines, and what proves similar becomes one component.  The lines of larger
 buckets that still hold several components get further bands, and in all such buckets every line outside the largest
 component is compared with all lines of other components.  Pairs most of whose values differ are not similar; the others
-are compared by all their shingles, taken from the lines' text as the pair is read.  Those whose Jaccard similarity is
+are compared by all their shingles, taken from the lines' text as the pair is read; in crowded buckets a bound on the
+Jaccard, from bits that each line's shingles set once, first tells those that can't be similar.  Those whose Jaccard similarity is
 at least `similarity` are linked, and of each connected component only its earliest line, by document id and
 line number, stays.
 
@@ -44,6 +45,8 @@ AGREED = 12
 BITS, IN_WORD = 8, 8
 # Members of a bucket are put in order by their number and by their number with these bits turned over.
 TURNED = 0x2AAAAAAAAAAAAAAA
+# Bits that a line's shingles set by their hashes, in numbers of 64.
+OUTLINE = 16
 # Places of a long line are listed by so many at a time.
 STRETCH = 65536
 LAST_ID = (1 << 63) - 1
@@ -88,6 +91,13 @@ def with_place(marks: DataFrame) -> DataFrame:
     return marks.withColumn("place", place.cast("decimal(32,0)"))
 
 
+def shingles(units: DataFrame, *names: str) -> DataFrame:
+    """The place `i` and hash `h` of each shingle of the lines `u`, whose last place is `last`, with the columns `names`."""
+    runs = units.selectExpr("*", f"explode(sequence(0, last, {STRETCH})) AS run")
+    places = runs.selectExpr(*names, "u", f"explode(sequence(run, least(run + {STRETCH - 1}, last))) AS i")
+    return places.selectExpr(*names, "i", f"{_hash('u', 'i')} AS h")
+
+
 def signatures(found: DataFrame) -> DataFrame:
     """(n, key, kind, twin, values): distinct lines by kind of signature, numbered.
 
@@ -99,10 +109,7 @@ def signatures(found: DataFrame) -> DataFrame:
     # 2 and 3 are the two kinds of a twin
     kinds = f"CASE WHEN last < {LONG} THEN array(0) WHEN last < {SHORT} THEN array(2, 3) ELSE array(1) END"
     kinds = units.selectExpr("*", f"{LAST_PLACE.format('u')} AS last").selectExpr("*", f"explode({kinds}) AS kind")
-    runs = kinds.selectExpr("*", f"explode(sequence(0, last, {STRETCH})) AS run")
-    places = runs.selectExpr("key", "kind", "u", f"explode(sequence(run, least(run + {STRETCH - 1}, last))) AS i")
-    hashes = places.selectExpr("key", "kind", "i", f"{_hash('u', 'i')} AS h")
-    chosen = hashes.where(f"(kind & 1) = 0 OR i = 0 OR (h & {SAMPLED - 1}) = 0")
+    chosen = shingles(kinds, "key", "kind").where(f"(kind & 1) = 0 OR i = 0 OR (h & {SAMPLED - 1}) = 0")
     masks = [F.xxhash64(F.lit(j)) for j in range(VALUES)]
     least = [F.min(F.shiftright(F.col("h").bitwiseXOR(m), 32).cast("int")).alias(f"m{j}") for j, m in enumerate(masks)]
     signed = chosen.groupBy("key", "kind").agg(*least)
@@ -270,6 +277,30 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float) -> Data
     return both.where(F.forall(sets, enough)).select("a", "b")
 
 
+def outlines(texts: DataFrame) -> DataFrame:
+    """(n, places, o0, o1, ...): a line's number of places and the bits that its shingles set."""
+    units = texts.select("n", F.encode("norm", "UTF-16BE").alias("u")).selectExpr("*", f"{LAST_PLACE.format('u')} AS last")
+    bit, word = "shiftleft(1L, cast(h & 63 AS int))", f"(shiftright(h, 6) & {OUTLINE - 1})"
+    bits = [F.expr(f"bit_or(IF({word} = {k}, {bit}, 0L))").alias(f"o{k}") for k in range(OUTLINE)]
+    return shingles(units, "n").groupBy("n").agg(F.count(F.lit(1)).alias("places"), *bits)
+
+
+def may_be_similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose outlines leave the similarity open; none that has it is left out.
+
+    A bit that one line alone sets stands for a shingle that only this line has, and a line has no more distinct
+    shingles than places: with `d` such bits and `p` places in all, the Jaccard is at most (p - d) / (p + d).
+    """
+    ends = pairs.select(F.col("a").alias("n")).union(pairs.select("b")).distinct()
+    lines = by_number(outlines(texts.join(ends, "n")))
+    both = pairs
+    for c in "ab":
+        both = both.join(lines.select(F.col("n").alias(c), *[F.col(x).alias(c + x) for x in lines.columns[1:]]), c)
+    apart = sum((F.bit_count(F.col(f"ao{k}").bitwiseXOR(F.col(f"bo{k}"))) for k in range(OUTLINE)), F.lit(0))
+    places = F.col("aplaces") + F.col("bplaces")
+    return both.where(places - apart >= F.lit(similarity) * (places + apart)).select("a", "b")
+
+
 def linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """(node, root) after linking the similar ones of `pairs`.
 
@@ -299,7 +330,8 @@ def linked_lines(
     lines = values.select("n", "line").join(roots.withColumnRenamed("node", "line"), "line", "left")
     lines = lines.select("n", F.coalesce("root", "line").alias("root"))
     open_ = kept_rows(split_only(met.where("held > 3").select("n", "bucket").join(lines, "n")))
-    rest = rest_pairs(kept_rows(more_buckets(open_, values)), values)
+    rest = kept_rows(rest_pairs(kept_rows(more_buckets(open_, values)), values))
+    rest = may_be_similar(rest, texts, similarity)
     return components(forest(roots).union(similar_pairs(rest, texts, similarity)))
 
 

@@ -261,6 +261,25 @@ def test_words_hold_the_low_bits_of_all_values(spark):
     assert {(r.a, r.b): r.agreed for r in line_dedup.with_hubs(met, values).collect()} == want and want
 
 
+def test_outlines_bound_the_similarity(spark):
+    """No similar pair is left out, most others of lines of ordinary length are; long lines fill all bits."""
+    rng = random.Random(12)
+    lines = ["", "abc", "日本語のテキスト", "a" * 300, "ab" * 200, "😀" * 9]
+    for n in (3, 30, 60, 2000):
+        base = [f"w{rng.randrange(10**5)}" for _ in range(n)]
+        for share in (0, 0.01, 0.03, 0.1, 0.2, 0.3, 0.3):
+            lines.append(" ".join(f"e{rng.randrange(10**5)}" if rng.random() < share else w for w in base))
+    texts = spark.createDataFrame([*enumerate(lines)], "n bigint, norm string")
+    pairs = [(a, b) for b in range(len(lines)) for a in range(b)]
+    left = line_dedup.may_be_similar(spark.createDataFrame(pairs, "a bigint, b bigint"), texts, 0.8).collect()
+    left = {(r.a, r.b) for r in left}
+    sets = [line_set(x) for x in lines]
+    of = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in pairs}
+    assert {p for p, j in of.items() if j >= 0.8} <= left
+    far = {(a, b) for (a, b), j in of.items() if j < 0.6 and all(100 < len(sets[x]) < 500 for x in (a, b))}
+    assert len(far) > 50 and not far & left
+
+
 def test_line_dedup_empty(nothing):
     assert line_dedup.dedup_lines(nothing).collect() == []
 
